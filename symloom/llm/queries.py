@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, sharding, url_filter
+from . import html_text, mixing, packing, quality_rules, sharding, url_filter
 
 #: The rules that the query on URLs applies.
 URL_RULES = [
@@ -38,6 +38,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
     "op10_url_filters": op10_url_filters,
 }
 
