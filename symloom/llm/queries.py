@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, packing, quality_rules, sharding, url_filter
+from . import html_text, mixing, neighbours, packing, quality_rules, sharding, url_filter
 
 #: The rules that the query on URLs applies.
 URL_RULES = [
@@ -34,6 +34,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_quality_rules": op7_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_url_filters": op10_url_filters,
