@@ -166,11 +166,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     matrix = projection(dimension)
     splits = Splits(unit(np.array(sample["vector"].tolist())) @ matrix, max(1, min(CELLS, -(-n // CELL))))
     salts = max(1, -(-n // (CELL * len(splits.low))))
-    model = spark.sparkContext.broadcast((matrix, splits))
     limit = chi_square_point(CONFIDENCE, DIMENSIONS)
 
     def celled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, splits = model.value
         for p in parts:
             if len(p):
                 yield p.assign(cell=splits.cell(unit(np.array(p["vector"].tolist())) @ matrix).astype("int32"))
@@ -182,7 +180,6 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     queries = written(queries.select("key", "vector", "cell", "block"), "ann-queries")
 
     def search(_: tuple, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        matrix, _splits = model.value
         out = []
         if len(points) and len(asked):
             raw = np.array(points["vector"].tolist())
@@ -214,7 +211,6 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     reached = reached.select("key", F.when(F.col("_n") >= want, 2 - 2 * F.col("_low")).otherwise(8.0).alias("reach"))
 
     def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, splits = model.value
         for p in parts:
             if not len(p):
                 continue
