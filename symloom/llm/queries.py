@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, neighbours, packing, quality_model, quality_rules, sharding, url_filter
+from . import html_text, jaccard_join, mixing, neighbours, packing, quality_model, quality_rules, sharding, url_filter
 
 #: The rules that the query on URLs applies.
 URL_RULES = [
@@ -30,6 +30,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_quality_rules": op7_quality_rules,
