@@ -10,6 +10,7 @@ Ranks of the pieces within their length then lead to windows and offsets.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,34 +27,83 @@ from .common import buckets_for, prefix_sums, written
 CAPACITY, END, SLACK = 4096, 2, 8
 #: Up to this many cut pieces, their documents are found by a broadcast of ids; more are found by a shuffle.
 BROADCAST_CUTS = 200_000
-#: Distinct words whose ids a task keeps.
-CACHE = 400_000
+#: Blank-separated pieces and words whose ids a worker keeps, in each of two generations.
+CACHE = 250_000
 
 
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit ids, by a cache of the ids of blank-separated pieces.
 
-    For tokenizers that drop white space, so that a text's ids are those of its pieces in turn.
+    For byte-pair tokenizers that drop white space, lower the case and end every word by a marked id, so that a text's
+    ids are those of its pieces in turn, and those of many words in one string can be told apart. Pieces are a word and
+    what stands after it; a word of letters alone is one unit of the tokenizer, whatever follows it.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.ends = np.isin(np.arange(self.tokenizer.get_vocab_size()), list(ends))
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words) - self.known.keys()) if words else []
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(set().union(*words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.pieces) > CACHE:
+            self.old_pieces, self.pieces = self.pieces, {}
+        if len(self.words) > CACHE:
+            self.old_words, self.words = self.words, {}
+        new = set().union(*pieces).difference(self.pieces) if pieces else set()
+        parts = {}
+        for p in new:
+            if (found := self.old_pieces.get(p)) is not None:
+                self.pieces[p] = found
+            else:
+                w = p.rstrip(".,;:!?")
+                parts[p] = (w.lower() if w.isascii() else w, p[len(w) :]) if w and w[-1].isalpha() else (p, "")
+        self._learn({w for pair in parts.values() for w in pair})
+        for p, (w, rest) in parts.items():
+            self.pieces[p] = self.words[w] + self.words[rest]
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, x)) for x in pieces]
+
+    def _learn(self, words: set[str]) -> None:
+        plain, odd = [], []
+        for w in words.difference(self.words):
+            if (found := self.old_words.get(w)) is not None:
+                self.words[w] = found
+            else:
+                (plain if w.isalpha() else odd).append(w)
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for at in range(0, len(groups), 64):
+            some = groups[at : at + 64]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.nonzero(self.ends[ids])[0] + 1
+                if len(cuts) != len(group) or cuts[-1] != len(ids):
+                    odd += group  # a letter that the tokenizer takes apart
+                    continue
+                raw, before = ids.tobytes(), 0
+                for w, c in zip(group, (4 * cuts).tolist()):
+                    self.words[w], before = raw[before:c], c
+        for at in range(0, len(odd), 1024):
+            part = odd[at : at + 1024]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a vocabulary; a Python worker keeps it for the tasks to come."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 @dataclass
@@ -263,10 +313,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
     path = tokenizer_path
 
     def checksum(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(_path(path))
+        coder = encoder(_path(path))
         tail = np.array([end], "<u4").tobytes()
         for p in parts:
-            ids = [(x + tail)[4 * a : 4 * (a + n)] for x, a, n in zip(encoder.encode(p["_text"].tolist()), p["start"], p["length"])]
+            ids = [(x + tail)[4 * a : 4 * (a + n)] for x, a, n in zip(coder.encode(p["_text"].tolist()), p["start"], p["length"])]
             q = p.drop(columns="_text").assign(ids_crc32=pd.array([zlib.crc32(x) for x in ids], "Int64"))
             yield q.assign(ids=ids) if with_ids else q
 
@@ -286,13 +336,13 @@ def _pieces(keyed: DataFrame, path: str | None, capacity: int, end: int) -> Data
     """Windows and remainder of each document with their checksums."""
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(_path(path))
+        coder = encoder(_path(path))
         tail, wide = np.array([end], "<u4").tobytes(), 4 * capacity
         for p in parts:
             for at in range(0, len(p), 500):
                 q = p.iloc[at : at + 500]
                 rows = []
-                for i, ids in enumerate(encoder.encode(q["_text"].tolist())):
+                for i, ids in enumerate(coder.encode(q["_text"].tolist())):
                     ids += tail
                     n = len(ids)
                     rows += [(i, b // 4, (min(b + wide, n) - b) // 4, zlib.crc32(ids[b : b + wide]), n // 4) for b in range(0, n, wide)]
