@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from .common import written
 
 #: Labelled documents that words are mined from, and documents that the scorer is trained on: at most, and about.
-LABELLED, TRAINED = 12_000, 16_000
+LABELLED, TRAINED = 10_000, 10_000
 #: Bits of the feature space, rows of an Arrow slice that is worked on at once, words whose features a task keeps.
 BITS, SLICE, CACHE = 24, 1000, 500_000
 #: Mined words: in so many toxic documents at least (as a number and as a share of them), which are so large a share of
@@ -148,13 +148,31 @@ def fit_labellers(counts: dict[int, int], n: int, prior: float) -> dict[int, flo
     return dict(zip(codes, post.tolist()))
 
 
-def train(rows: list[np.ndarray], targets: np.ndarray) -> tuple[dict[int, float], float]:
-    """Sparse weights and bias of a logistic scorer over slots, by follow-the-regularised-leader with an L1 penalty."""
+class Rows:
+    """Lists of slots in one flat array, as Arrow has them."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+        self.flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.lengths = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
+        ends = np.cumsum(self.lengths)
+        self.starts, self.ends = ends - self.lengths, ends
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+
+def train(rows: Rows, order_of: np.ndarray, targets: np.ndarray) -> tuple[dict[int, float], float]:
+    """Sparse weights and bias of a logistic scorer over slots, by follow-the-regularised-leader with an L1 penalty.
+
+    ``order_of``: an order of the rows that doesn't depend on how they came.
+    """
     if not len(rows):
         return {}, -4.0
-    slots, place = np.unique(np.concatenate(rows), return_inverse=True)
-    ends = np.cumsum([len(r) for r in rows])
-    starts = ends - [len(r) for r in rows]
+    slots, place = np.unique(rows.flat, return_inverse=True)
+    place, starts, ends = place.astype(np.int32), rows.starts, rows.ends
     z, n = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)
     bias = len(slots)
     order = np.random.default_rng(3)
@@ -165,7 +183,7 @@ def train(rows: list[np.ndarray], targets: np.ndarray) -> tuple[dict[int, float]
         return np.where(np.abs(zs) <= penalty, 0.0, -(zs - np.sign(zs) * penalty) / ((1 + np.sqrt(n[at])) / RATE + L2))
 
     for _ in range(EPOCHS):
-        for i in order.permutation(len(rows)):
+        for i in order_of[order.permutation(len(rows))]:
             at = np.append(place[starts[i] : ends[i]], bias)
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - targets[i]
@@ -176,20 +194,19 @@ def train(rows: list[np.ndarray], targets: np.ndarray) -> tuple[dict[int, float]
     return {int(k): float(v) for k, v in zip(slots, w[:-1]) if v}, float(w[-1])
 
 
-def mine(rows: list[np.ndarray], heads: list[np.ndarray], toxic: np.ndarray) -> dict[str, frozenset[int]]:
+def mine(words: Rows, heads: Rows, toxic: np.ndarray, half: np.ndarray) -> dict[str, frozenset[int]]:
     """Slots of words (from either half of the labelled documents) and of word heads that tell toxic documents."""
 
-    def tells(rows: list[np.ndarray], toxic: np.ndarray) -> frozenset[int]:
-        if not len(rows) or not toxic.any():
+    def tells(rows: Rows, pick: np.ndarray) -> frozenset[int]:
+        bad = toxic & pick
+        if not bad.any():
             return frozenset()
-        slots, place = np.unique(np.concatenate(rows), return_inverse=True)
-        of = np.repeat(toxic, [len(r) for r in rows])
-        bad, all_ = np.bincount(place, of, len(slots)), np.bincount(place, minlength=len(slots))
-        return frozenset(slots[(bad >= max(MINED_DOCS, MINED_PART * toxic.sum())) & (bad >= MINED_SHARE * all_)].tolist())
+        of = np.repeat(np.arange(len(rows)), rows.lengths)
+        slots, place = np.unique(rows.flat[pick[of]], return_inverse=True)
+        hits, all_ = np.bincount(place, toxic[of[pick[of]]], len(slots)), np.bincount(place, minlength=len(slots))
+        return frozenset(slots[(hits >= max(MINED_DOCS, MINED_PART * bad.sum())) & (hits >= MINED_SHARE * all_)].tolist())
 
-    half = np.arange(len(rows)) % 2 == 0
-    pick = lambda x, m: [r for r, k in zip(x, m) if k]
-    return {"a": tells(pick(rows, half), toxic[half]), "b": tells(pick(rows, ~half), toxic[~half]), "heads": tells(heads, toxic)}
+    return {"a": tells(words, half), "b": tells(words, ~half), "heads": tells(heads, np.ones(len(toxic), bool))}
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -222,12 +239,12 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
         words = Words()
         for part, texts in _texts(batches, "text"):
             seen = [[words.of(w) for w in set(t.lower().split())] for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([list({w for w, _, _ in s}) for s in seen], pa.list_(pa.int32())), pa.array([list({h for _, h, _ in s}) for s in seen], pa.list_(pa.int32()))], ["toxic", "words", "heads"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), pa.array([list({w for w, _, _ in s}) for s in seen], pa.list_(pa.int32())), pa.array([list({h for _, h, _ in s}) for s in seen], pa.list_(pa.int32()))], ["id", "toxic", "words", "heads"])
 
     mined_from = text.join(F.broadcast(chosen), F.col("id") == F.col("_id")).where("toxic IS NOT NULL")
-    sample = mined_from.select("text", "toxic").mapInArrow(list_slots, "toxic int, words array<int>, heads array<int>").toPandas()
-    as_arrays = lambda x: [np.asarray(r, np.int64) for r in x]
-    lists = mine(as_arrays(sample["words"]), as_arrays(sample["heads"]), sample["toxic"].to_numpy(float) > 0)
+    sample = mined_from.select("id", "text", "toxic").mapInArrow(list_slots, "id string, toxic int, words array<int>, heads array<int>").toArrow()
+    half = np.array([zlib.crc32(x.encode()) & 1 for x in sample["id"].to_pylist()], bool)
+    lists = mine(Rows(sample["words"]), Rows(sample["heads"]), sample["toxic"].to_numpy() > 0, half)
     del sample
 
     def vote(batches: Iterator[pa.RecordBatch], with_features: bool = False) -> Iterator[pa.RecordBatch]:
@@ -263,14 +280,13 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
 
     # the scorer's sample: about TRAINED documents, by a hash of id and text
     part = text.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(min(1 << 30, (TRAINED << 30) // max(total, 1))))
-    trained = with_labels(part.mapInArrow(lambda b: vote(b, True), "id string, junk int, toxic int, features array<int>")).toPandas()
-    rows = as_arrays(trained["features"])
-    order = np.argsort([zlib.crc32(str(x).encode()) for x in trained["id"]], kind="stable")  # the same order in each run
-    rows = [rows[i] for i in order]
+    trained = with_labels(part.mapInArrow(lambda b: vote(b, True), "id string, junk int, toxic int, features array<int>")).toArrow()
+    rows = Rows(trained["features"])
+    order = np.argsort([zlib.crc32((x or "").encode()) for x in trained["id"].to_pylist()], kind="stable")
     heads = []
     for name, post in (("junk", post_junk), ("toxic", post_toxic)):
-        targets = trained[name].map(post).fillna(0.5).to_numpy(float)[order]
-        heads.append(train(rows, targets))
+        targets = np.array([post.get(x, 0.5) for x in trained[name].to_pylist()])
+        heads.append(train(rows, order, targets))
     del trained, rows
     model = spark.sparkContext.broadcast(heads)
 
