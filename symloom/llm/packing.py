@@ -15,6 +15,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -27,16 +28,16 @@ from .common import buckets_for, prefix_sums, written
 CAPACITY, END, SLACK = 4096, 2, 8
 #: Up to this many cut pieces, their documents are found by a broadcast of ids; more are found by a shuffle.
 BROADCAST_CUTS = 200_000
-#: Blank-separated pieces and words whose ids a worker keeps, in each of two generations.
-CACHE = 250_000
+#: Blank-separated pieces whose ids a worker keeps, in each of two generations.
+CACHE = 150_000
 
 
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit ids, by a cache of the ids of blank-separated pieces.
 
-    For byte-pair tokenizers that drop white space, lower the case and end every word by a marked id, so that a text's
-    ids are those of its pieces in turn, and those of many words in one string can be told apart. Pieces are a word and
-    what stands after it; a word of letters alone is one unit of the tokenizer, whatever follows it.
+    For byte-level byte-pair tokenizers that compose characters, drop white space, lower the case and split off words of
+    letters, so that a text's ids are those of its pieces in turn. A piece that is a word of letters and punctuation
+    after it goes to the model as these two units; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -44,56 +45,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
-        self.ends = np.isin(np.arange(self.tokenizer.get_vocab_size()), list(ends))
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.pieces) > CACHE:
-            self.old_pieces, self.pieces = self.pieces, {}
-        if len(self.words) > CACHE:
-            self.old_words, self.words = self.words, {}
-        new = set().union(*pieces).difference(self.pieces) if pieces else set()
-        parts = {}
-        for p in new:
-            if (found := self.old_pieces.get(p)) is not None:
-                self.pieces[p] = found
-            else:
-                w = p.rstrip(".,;:!?")
-                parts[p] = (w.lower() if w.isascii() else w, p[len(w) :]) if w and w[-1].isalpha() else (p, "")
-        self._learn({w for pair in parts.values() for w in pair})
-        for p, (w, rest) in parts.items():
-            self.pieces[p] = self.words[w] + self.words[rest]
+            self.old, self.pieces = self.pieces, {}
+        for p in set().union(*pieces).difference(self.pieces) if pieces else ():
+            self.pieces[p] = self.old.get(p) or self._one(p)
         get = self.pieces.__getitem__
         return [b"".join(map(get, x)) for x in pieces]
 
-    def _learn(self, words: set[str]) -> None:
-        plain, odd = [], []
-        for w in words.difference(self.words):
-            if (found := self.old_words.get(w)) is not None:
-                self.words[w] = found
-            else:
-                (plain if w.isalpha() else odd).append(w)
-        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        for at in range(0, len(groups), 64):
-            some = groups[at : at + 64]
-            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                cuts = np.nonzero(self.ends[ids])[0] + 1
-                if len(cuts) != len(group) or cuts[-1] != len(ids):
-                    odd += group  # a letter that the tokenizer takes apart
-                    continue
-                raw, before = ids.tobytes(), 0
-                for w, c in zip(group, (4 * cuts).tolist()):
-                    self.words[w], before = raw[before:c], c
-        for at in range(0, len(odd), 1024):
-            part = odd[at : at + 1024]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+    def _one(self, piece: str) -> bytes:
+        word = piece.rstrip(".,;:!?")
+        if not word.isalpha():
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        low = word.lower()
+        if not word.isascii():
+            # lowering must not depend on what stands around, nor call for composing anew
+            if "\u03a3" in word or not (is_normalized("NFC", word) and is_normalized("NFC", low)) or not low.isalpha():
+                return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            low = low.encode().decode("latin-1").translate(self.alphabet)
+        end = piece[len(word) :]
+        if end not in self.ends:
+            if len(self.ends) > 10_000:
+                self.ends = {"": b""}
+            self.ends[end] = np.array(self.tokenizer.encode(end, add_special_tokens=False).ids, "<u4").tobytes()
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(low)]) + self.ends[end]
 
 
 def encoder(path: str) -> Encoder:
