@@ -6,8 +6,8 @@ run is sorted by size and cut into tiles, and only tiles whose sizes allow the t
 which two parity bitmaps differ bound the overlap from above; what stays is intersected exactly from sorted arrays.
 
 A group of thousands of near copies would give as many pairs as its square. So each run's members are first compared
-with the run's first set alone; sets that these links join need no further comparison with each other, and runs are
-tiled only for pairs of sets that are still apart. No link between components is lost that way.
+with the run's first set alone, then each set with the likeliest of those that are apart from it. Sets that these links
+join need no further comparison with each other, and runs are tiled only for pairs of sets that are still apart. No link between components is lost that way.
 """
 
 from __future__ import annotations
@@ -35,37 +35,40 @@ BROADCAST_IDS = 500_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Hashes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = xxhash.xxh3_64_digest(word)
+        return found
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles of ``k`` words."""
 
     def __init__(self, k: int):
-        self.k, self.known = k, {}
+        self.k, self.known = k, _Hashes()
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    def of(self, text: bytes | None) -> np.ndarray:
+        words = (text or b"").lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        try:
-            raw = b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_digest(w)
-            raw = b"".join(map(known.__getitem__, words))
-        h = np.frombuffer(raw, np.uint64)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        h = np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint64)
         k = min(self.k, len(h))
         n = len(h) - k + 1
-        with np.errstate(over="ignore"):
-            out = np.full(n, np.uint64(k), np.uint64)
-            for i in range(k):
-                out = out * _A + h[i : i + n]
-            out ^= out >> np.uint64(33)
-            out *= np.uint64(0xFF51AFD7ED558CCD)
-            out ^= out >> np.uint64(33)
-        return np.unique(out)
+        out = np.full(n, np.uint64(k), np.uint64)
+        for i in range(k):  # arrays of unsigned numbers wrap around
+            out *= _A
+            out += h[i : i + n]
+        out ^= out >> np.uint64(33)
+        out *= np.uint64(0xFF51AFD7ED558CCD)
+        out ^= out >> np.uint64(33)
+        out.sort()
+        if n > 1 and (again := out[1:] == out[:-1]).any():
+            out = out[np.concatenate([[True], ~again])]
+        return out
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -117,8 +120,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def tile_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of a run, sorted by size, of different groups, whose sizes and bitmaps allow the threshold."""
+def tile_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of pairs of a run, sorted by size, of different groups, whose sizes and bitmaps allow the threshold.
+
+    The third array has bounds of their similarity, in thousandths.
+    """
     n = len(sizes)
     if n <= 12:
         ints = [int.from_bytes(m, "little") for m in maps]
@@ -131,17 +137,17 @@ def tile_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, percent
                 if groups[i] != groups[j]:
                     to = 8 * len(maps[i])
                     differ = (ints[i] ^ fold(ints[j], 8 * len(maps[j]), to)).bit_count()
-                    if overlap_allows((a + b - differ) // 2, a, b, percent):
-                        found.append((i, j))
+                    most = (a + b - differ) // 2
+                    if overlap_allows(most, a, b, percent):
+                        found.append((i, j, 1000 * most // (a + b - most)))
         if found:
             pairs = np.array(found)
-            yield pairs[:, 0], pairs[:, 1]
+            yield pairs[:, 0], pairs[:, 1], pairs[:, 2]
         return
-    # bitmaps fold to the smallest in the run
-    to = 8 * min(map(len, maps))
-    if any(8 * len(m) != to for m in maps):
-        maps = [m if 8 * len(m) == to else fold(int.from_bytes(m, "little"), 8 * len(m), to).to_bytes(to // 8, "little") for m in maps]
-    table = np.frombuffer(b"".join(maps), np.uint64).reshape(n, -1)
+    # sizes ascend, and bitmaps with them: one table for each length of bitmap
+    widths = np.array([len(m) for m in maps])
+    bounds = np.concatenate([[0], np.nonzero(widths[1:] != widths[:-1])[0] + 1, [n]]).tolist()
+    tables = [(lo, hi, np.frombuffer(b"".join(maps[lo:hi]), np.uint64).reshape(hi - lo, -1)) for lo, hi in zip(bounds[:-1], bounds[1:])]
     for lo in range(0, n, TILE):
         hi = min(lo + TILE, n)
         for left in range(0, lo + 1, TILE):
@@ -149,17 +155,20 @@ def tile_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, percent
             if 100 * int(sizes[right - 1]) < percent * int(sizes[lo]):
                 continue  # the tiles' sizes are too far apart
             for j in range(max(lo, left + 1), hi):
-                end = min(right, j)
-                start = max(left, int(np.searchsorted(sizes, -(-percent * int(sizes[j]) // 100))))
-                if start >= end:
-                    continue
-                differ = np.bitwise_count(table[start:end] ^ table[j]).sum(axis=1).astype(np.int64)
-                both = sizes[start:end] + sizes[j]
-                most = (both - differ) // 2
-                ok = (100 * most >= percent * (both - most)) & (groups[start:end] != groups[j])
-                if ok.any():
-                    i = np.nonzero(ok)[0] + start
-                    yield i, np.full(len(i), j)
+                first = max(left, int(np.searchsorted(sizes, -(-percent * int(sizes[j]) // 100))))
+                for at, upto, table in tables:
+                    start, end = max(first, at), min(right, j, upto)
+                    if start >= end:
+                        continue
+                    bits = 64 * table.shape[1]
+                    mine = maps[j] if 8 * len(maps[j]) == bits else fold(int.from_bytes(maps[j], "little"), 8 * len(maps[j]), bits).to_bytes(bits // 8, "little")
+                    differ = np.bitwise_count(table[start - at : end - at] ^ np.frombuffer(mine, np.uint64)).sum(axis=1).astype(np.int64)
+                    both = sizes[start:end] + sizes[j]
+                    most = (both - differ) // 2
+                    ok = (100 * most >= percent * (both - most)) & (groups[start:end] != groups[j])
+                    if ok.any():
+                        i = np.nonzero(ok)[0] + start
+                        yield i, np.full(len(i), j), (1000 * most // (both - most))[ok]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -201,7 +210,7 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
 def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sets (doc_id, n_shingles, set_id, ...) of all documents and enough links (a, b) between sets for all components."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(k)
@@ -296,9 +305,18 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     stars = runs.where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct()
     stars = written(_bounded(stars, one, percent), "join-stars")
     links = written(_verify(stars, base, one, k, percent), "join-links")
-    labels = components(links)
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Then each set that is still apart from others in its runs tries the likeliest of them, and at last all are tried.
+    for best in (True, False):
+        pairs = _apart(runs, components(links), one, percent, best, parts).join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "join-pairs")
+        links = written(links.unionByName(_verify(pairs, base, one, k, percent)), "join-links")
+        tried = tried.unionByName(pairs)
+    return sets, links
+
 
-    # second round: runs whose sets are not all in one component
+def _apart(runs: DataFrame, labels: DataFrame, one: DataFrame, percent: int, best: bool, parts: int) -> DataFrame:
+    """Pairs (a, b) of sets in one run, of different components, that sizes and bitmaps allow; ``best``: for each set the likeliest."""
     grouped = runs.select("key", "set_id").join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("label", "set_id").alias("group"))
     grouped = written(grouped, "join-grouped")
     mixed = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select(F.col("key").alias("_key"))
@@ -310,21 +328,23 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
             keys, me = table.column("key").to_numpy(), table.column("set_id").to_numpy()
             group, size, maps = table.column("group").to_numpy(), table.column("n").to_numpy(), table.column("map").to_pylist()
             edges = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
-            a_out, b_out = [], []
+            out = []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                for i, j in tile_pairs(size[lo:hi], maps[lo:hi], group[lo:hi], percent):
+                for i, j, bound in tile_pairs(size[lo:hi], maps[lo:hi], group[lo:hi], percent):
+                    if best:  # of those with the same j
+                        top = np.lexsort((i, -bound, j))
+                        top = top[np.concatenate([[True], j[top][1:] != j[top][:-1]])]
+                        i, j, bound = i[top], j[top], bound[top]
                     x, y = me[lo + i], me[lo + j]
-                    a_out.append(np.minimum(x, y))
-                    b_out.append(np.maximum(x, y))
-            if a_out:
-                pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-    pairs = apart.mapInArrow(tile, "a long, b long").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "join-pairs")
-    more = written(_verify(pairs, base, one, k, percent), "join-more")
-    return sets, links.unionByName(more)
+                    out.append(np.stack([np.minimum(x, y), np.maximum(x, y), y, bound], axis=1))
+            if out:
+                pairs = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, c].copy()) for c in range(4)], ["a", "b", "by", "bound"])
+
+    pairs = apart.mapInArrow(tile, "a long, b long, by long, bound long")
+    if best:
+        pairs = pairs.groupBy("by").agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b")
+    return pairs.select("a", "b").distinct()
 
 
 def _bounded(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
