@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard_join, mixing, neighbours, packing, quality_model, quality_rules, sharding, url_filter
+from . import html_text, jaccard_join, mixing, neighbours, packing, quality_model, quality_rules, recurrent_lm, sharding, url_filter
 
 #: The rules that the query on URLs applies.
 URL_RULES = [
@@ -26,6 +26,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -62,6 +66,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
