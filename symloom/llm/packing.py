@@ -19,6 +19,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ CAPACITY, END, SLACK = 4096, 2, 8
 BROADCAST_CUTS = 200_000
 #: Blank-separated pieces whose ids a worker keeps, in each of two generations.
 CACHE = 150_000
+#: ASCII punctuation that never joins a word before it; the apostrophe may.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -64,7 +67,7 @@ class Encoder:
         return [b"".join(map(get, x)) for x in pieces]
 
     def _one(self, piece: str) -> bytes:
-        word = piece.rstrip(".,;:!?")
+        word = piece.rstrip(MARKS)
         if not word.isalpha():
             return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         low = word.lower()
@@ -78,8 +81,13 @@ class Encoder:
             if len(self.ends) > 10_000:
                 self.ends = {"": b""}
             self.ends[end] = np.array(self.tokenizer.encode(end, add_special_tokens=False).ids, "<u4").tobytes()
-        packed = self.packed
-        return b"".join([packed[t.id] for t in self.model.tokenize(low)]) + self.ends[end]
+        ids = self.pieces.get(low) if word.isascii() else None
+        if ids is None:
+            packed = self.packed
+            ids = b"".join([packed[t.id] for t in self.model.tokenize(low)])
+            if word.isascii():
+                self.pieces[low] = ids
+        return ids + self.ends[end]
 
 
 def encoder(path: str) -> Encoder:
@@ -298,15 +306,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
     found = cut.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select(*cut.columns, "_text")
     path = tokenizer_path
 
-    def checksum(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(_path(path))
         tail = np.array([end], "<u4").tobytes()
-        for p in parts:
-            ids = [(x + tail)[4 * a : 4 * (a + n)] for x, a, n in zip(coder.encode(p["_text"].tolist()), p["start"], p["length"])]
-            q = p.drop(columns="_text").assign(ids_crc32=pd.array([zlib.crc32(x) for x in ids], "Int64"))
-            yield q.assign(ids=ids) if with_ids else q
-
-    summed = found.mapInPandas(checksum, schema + ", ids binary" * with_ids)
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):
+                q = batch.slice(at, 250)
+                ids = [(x + tail)[4 * a : 4 * (a + n)] for x, a, n in zip(coder.encode(q.column("_text").to_pylist()), q.column("start").to_pylist(), q.column("length").to_pylist())]
+                sums = pa.array([zlib.crc32(x) for x in ids], pa.int64())
+                columns = [sums if c == "ids_crc32" else q.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.binary())] if with_ids else [])], names + ["ids"] * with_ids)
+
+    summed = found.mapInArrow(checksum, schema + ", ids binary" * with_ids)
     return summed if with_ids else whole.unionByName(summed)
 
 
@@ -321,18 +333,20 @@ def _path(path: str | None) -> str:
 def _pieces(keyed: DataFrame, path: str | None, capacity: int, end: int) -> DataFrame:
     """Windows and remainder of each document with their checksums."""
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(_path(path))
         tail, wide = np.array([end], "<u4").tobytes(), 4 * capacity
-        for p in parts:
-            for at in range(0, len(p), 500):
-                q = p.iloc[at : at + 500]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_key"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 rows = []
-                for i, ids in enumerate(coder.encode(q["_text"].tolist())):
+                for i, ids in enumerate(coder.encode(part.column("_text").to_pylist())):
                     ids += tail
                     n = len(ids)
                     rows += [(i, b // 4, (min(b + wide, n) - b) // 4, zlib.crc32(ids[b : b + wide]), n // 4) for b in range(0, n, wide)]
                 a = np.array(rows, np.int64).reshape(-1, 5)
-                yield pd.DataFrame({"doc_id": q["doc_id"].array[a[:, 0]], "start": a[:, 1], "length": a[:, 2], "ids_crc32": a[:, 3], "doc_tokens": a[:, 4], "text_key": q["text_key"].to_numpy()[a[:, 0]]})
+                row = pa.array(a[:, 0].copy())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), *(pa.array(a[:, c].copy()) for c in range(1, 5)), part.column("text_key").take(row)], names)
 
-    return keyed.mapInPandas(encode, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, text_key long")
+    return keyed.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(encode, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, text_key long")
