@@ -27,8 +27,8 @@ from .common import written
 FREQUENT_PART, FREQUENT, LISTED = 1 / 1000, 64, 1_000_000
 #: Shingles that a task gathers before it counts them, words whose hashes and sets whose shingles it keeps.
 GATHER, CACHE, SEEN = 2_000_000, 500_000, 200_000
-#: Bits of a bitmap: a power of two near the set's size, within these.
-LEAST_BITS, MOST_BITS = 128, 8192
+#: Bits of a bitmap: the power of two up to the set's size, within these.
+LEAST_BITS, MOST_BITS = 64, 8192
 TILE = 1024
 #: Up to this many ids are sent to every executor to pick their documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -78,7 +78,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 def bitmap(shingles: np.ndarray) -> bytes:
     """Parities of the shingles' counts by bucket. Two sets differ in at least as many elements as bitmaps in bits."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(len(shingles), 1) - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(len(shingles), 1).bit_length() - 1))
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -241,7 +241,7 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Shingler(k), set()
         for batch in batches:
-            keys, ids = [], []
+            keys, ids, sizes = [], [], []
             for text in batch.column("text"):
                 s = make.of(text.as_py())
                 if not len(s):
@@ -255,49 +255,48 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
                 p = prefix(s, shared.value, percent)
                 keys.append(p.astype(np.int64))
                 ids.append(np.full(len(p), me, np.int64))
+                sizes.append(np.full(len(p), len(s), np.int32))
                 if len(keys) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "set_id"])
-                    keys, ids = [], []
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes)], ["key", "set_id", "n"])
+                    keys, ids, sizes = [], [], []
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "set_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes)], ["key", "set_id", "n"])
 
     def runs_of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by key and set: those in runs of more than one set, with the run's first set."""
-        last: tuple[int, int, bool] | None = None  # key, first set, whether the first has been given out
-        prev = None
+        """Of rows sorted by key, size and set: those in runs of more than one set, with the run's first set.
+
+        A run ends with its key, and where the next size is too large for the threshold: no pair spans such a gap.
+        """
+        before = None  # the row before: key, set, size
+        first, waits = (0, 0), False  # the open run's first set and size, and whether that set is still to be given out
         for batch in batches:
-            key, me = batch.column("key").to_numpy(), batch.column("set_id").to_numpy()
+            key, me, n = (batch.column(c).to_numpy() for c in ("key", "set_id", "n"))
+            if not len(key):
+                continue
+            last = before or (key[0] + 1 if key[0] < 0 else key[0] - 1, me[0], n[0])
+            key0, me0, n0 = (np.concatenate([[v], x[:-1]]) for v, x in zip(last, (key, me, n)))
+            fresh = (key != key0) | (me != me0)
+            key, me, n, key0, n0 = key[fresh], me[fresh], n[fresh], key0[fresh], n0[fresh]
             if not len(key):
                 continue
-            if prev is not None:
-                key, me = np.concatenate([[prev[0]], key]), np.concatenate([[prev[1]], me])
-            new_key = np.concatenate([[True], key[1:] != key[:-1]])
-            if prev is not None and last is not None and last[0] == key[0]:
-                first_of_head, given = last[1], last[2]
-            else:
-                first_of_head, given = int(me[0]), False
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (me[1:] != me[:-1])])
-            fresh[0] = prev is None or not given  # the held row was given out already, or is still to be
-            start = np.maximum.accumulate(np.where(new_key, np.arange(len(key)), 0))
-            first = me[start]
-            first[start == 0] = first_of_head
-            member = fresh & (me != first)
-            member[0] = False
-            # the first set of a run goes out with the run's first other member
-            opens = np.unique(start[member])
-            opens = opens[~((opens == 0) & given)] if given else opens
-            k_out = np.concatenate([key[member], key[opens]])
-            s_out = np.concatenate([me[member], first[opens]])
-            f_out = np.concatenate([first[member], first[opens]])
-            tail = int(start[-1])
-            tail_given = bool(member[tail:].any()) or (tail == 0 and given)
-            last = (int(key[-1]), int(first[-1]), tail_given)
-            prev = (key[-1], me[-1])
-            if len(k_out):
-                yield pa.RecordBatch.from_arrays([pa.array(k_out), pa.array(s_out), pa.array(f_out)], ["key", "set_id", "first"])
+            opens = (key != key0) | (100 * n0 < percent * n)
+            at = np.maximum.accumulate(np.where(opens, np.arange(len(key)), -1))
+            first_me, first_n = np.where(at < 0, first[0], me[at]), np.where(at < 0, first[1], n[at])
+            member = ~opens
+            given = np.nonzero(opens[:-1] & member[1:])[0]  # first sets whose run goes on
+            lead = [(key[0], first[0], first[0], first[1])] if waits and member[0] else []
+            out = [np.concatenate([x[member], x[given], np.array([r[i] for r in lead], np.int64)]) for i, x in enumerate((key, me, first_me, first_n))]
+            out[2][int(member.sum()) : int(member.sum()) + len(given)] = me[given]
+            out[3][int(member.sum()) : int(member.sum()) + len(given)] = n[given]
+            tail = int(at[-1])
+            first, waits = (int(first_me[-1]), int(first_n[-1])), tail == len(key) - 1
+            before = (key[-1], me[-1], n[-1])
+            if len(out[0]):
+                run = (out[0].astype(np.uint64) ^ (out[3].astype(np.uint64) * _A)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(out[1]), pa.array(out[2])], ["key", "set_id", "first"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread_out = base.mapInArrow(spread, "key long, set_id long").repartition(parts, "key").sortWithinPartitions("key", "set_id")
+    spread_out = base.mapInArrow(spread, "key long, set_id long, n int").repartition(parts, "key").sortWithinPartitions("key", "n", "set_id")
     runs = written(spread_out.mapInArrow(runs_of_many, "key long, set_id long, first long"), "join-runs")
     one = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("map").alias("map"))
     one = written(one, "join-one")
