@@ -26,7 +26,7 @@ from .common import written
 #: them are listed. What is listed changes the work, not the result.
 FREQUENT_PART, FREQUENT, LISTED = 1 / 1000, 64, 1_000_000
 #: Shingles that a task gathers before it counts them, words whose hashes and sets whose shingles it keeps.
-GATHER, CACHE, SEEN = 2_000_000, 500_000, 200_000
+GATHER, CACHE, SEEN = 1_000_000, 200_000, 100_000
 #: Bits of a bitmap: the power of two up to the set's size, within these.
 LEAST_BITS, MOST_BITS = 64, 8192
 TILE = 1024

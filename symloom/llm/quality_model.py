@@ -22,8 +22,9 @@ from .common import written
 
 #: Labelled documents that words are mined from, and documents that the scorer is trained on: at most, and about.
 LABELLED, TRAINED = 10_000, 10_000
-#: Bits of the feature space, rows of an Arrow slice that is worked on at once, words whose features a task keeps.
-BITS, SLICE, CACHE = 24, 1000, 500_000
+#: Bits of the feature space, rows of an Arrow slice that is worked on at once, words whose features a task
+#: keeps, in each of two generations.
+BITS, SLICE, CACHE = 24, 500, 120_000
 #: Mined words: in so many toxic documents at least (as a number and as a share of them), which are so large a share of
 #: all documents with the word.
 MINED_DOCS, MINED_PART, MINED_SHARE = 3, 0.015, 0.85
@@ -49,21 +50,24 @@ class Words:
     def __init__(self, lists: dict[str, frozenset[int]] | None = None):
         self.lists = lists or {}
         self.known: dict[bytes, tuple[int, int, int]] = {}
+        self.old: dict[bytes, tuple[int, int, int]] = {}
 
     def of(self, word: bytes) -> tuple[int, int, int]:
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= CACHE:
-                self.known.clear()
-            bare = word.strip(b".,;:!?\"'()[]{}#*$%&|<>-")
-            whole, head = slot(b"w" + bare), slot(b"h" + bare[:HEAD])
-            marks = (bare in FUNCTION) | (bare in INSULTS) << 1
-            for i, name in enumerate(("a", "b")):
-                marks |= (whole in self.lists.get(name, ())) << (2 + i)
-            marks |= (head in self.lists.get("heads", ())) << 4
-            found = self.known[word] = (whole, head, marks)
+                self.old, self.known = self.known, {}
+            found = self.known[word] = self.old.get(word) or self._new(word)
         return found
 
+    def _new(self, word: bytes) -> tuple[int, int, int]:
+        bare = word.strip(b".,;:!?\"'()[]{}#*$%&|<>-")
+        whole, head = slot(b"w" + bare), slot(b"h" + bare[:HEAD])
+        marks = (bare in FUNCTION) | (bare in INSULTS) << 1
+        for i, name in enumerate(("a", "b")):
+            marks |= (whole in self.lists.get(name, ())) << (2 + i)
+        return whole, head, marks | (head in self.lists.get("heads", ())) << 4
+
 
 def slot(name: bytes) -> int:
     return zlib.crc32(name) >> (32 - BITS)
@@ -89,11 +93,13 @@ def votes(raw: bytes, words: list[bytes], marks: list[int], figures: tuple[float
     """
     n = max(len(words), 1)
     symbols, upper, repeats, stutter = figures
-    function = sum(m & 1 for m in marks) / n
+    packed = bytes(marks)
+    counts = [(v, packed.count(v)) for v in set(packed)]
+    function = sum(c for v, c in counts if v & 1) / n
     shouts = raw.count(b"!") / n
     plain = symbols < 0.02 and upper < 0.1 and repeats < 0.2 and stutter < 0.1 and shouts < 0.05
     junk = [int(symbols > 0.04), int(upper > 0.35), int(repeats > 0.4), int(stutter > 0.25), int(shouts > 0.3), int(n >= 20 and function < 0.01), 2 * plain]
-    hits = [sum(m >> i & 1 for m in marks) for i in range(1, 5)]
+    hits = [sum(c for v, c in counts if v >> i & 1) for i in range(1, 5)]
     toxic = [int(hits[0] >= 2), *(1 if h >= 2 else 2 if h == 0 else 0 for h in hits[1:])]
     return junk, toxic
 

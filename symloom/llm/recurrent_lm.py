@@ -32,7 +32,7 @@ LISTED = 150_000
 FIRST = 8
 RATE = 0.01
 #: Distinct words that a task counts before it passes them on, tokens that it works on at once, words it keeps.
-COUNTED, BLOCK, CACHE = 300_000, 1_500_000, 400_000
+COUNTED, BLOCK, CACHE = 200_000, 800_000, 150_000
 
 
 def held_out(doc_id: Column) -> Column:
