@@ -1,12 +1,306 @@
-"""All queries over the graph tables with their SQL."""
+"""All queries over the graph tables with their SQL for the oracle."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import aggregates as ag
+from ..operators import evaluation as ev
+from ..operators import lookups as lk
+from ..operators import mining as mn
+from ..operators import resolution as rs
+from ..operators import text as tx
+from ..operators import traversal as gr
+from ..sources.graph import Graph, from_tables
+from ..streaming import sessions as ss
+from .projection_sql import oracle
 
 FLAGSHIP = "blast_radius"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def add(name: str, build: Callable[[Graph], DataFrame], views: str = "", sql: str | None = None, more: str = "") -> None:
+    """Registers a query and, where SQL can express it, its oracle."""
+    QUERIES[name] = lambda spark, path: build(from_tables(spark, path))
+    if sql is not None:
+        ORACLE[name] = oracle(views, sql, more)
+
+
+#: Tables of expressions that several oracles share.
+FILE_EDGES = "fe AS (SELECT e.source_file, t.file_path AS target_file, e.type, e.confidence FROM {} e JOIN nodes t ON t.id = e.target_id WHERE e.source_file <> t.file_path)"
+FE, SFE = FILE_EDGES.format("edges"), FILE_EDGES.format("sparse")
+PARAMS = "(CASE WHEN trim(regexp_extract(signature, '\\(([^()]*)\\)', 1)) = '' THEN 0 ELSE len(string_split(regexp_extract(signature, '\\(([^()]*)\\)', 1), ',')) END)"
+WEIGHT = "(CASE type WHEN 'CALLS' THEN 1.0E0 WHEN 'IMPORTS' THEN 0.8E0 WHEN 'EXTENDS' THEN 0.9E0 WHEN 'USES' THEN 0.5E0 ELSE 0.3E0 END)"
+GATE = "confidence >= 0.5E0 AND resolution_method IN ('same_file', 'import', 'name_match')"
+DEGREE = "deg AS (SELECT t.file_path, count(*) AS degree FROM edges e JOIN nodes t ON t.id = e.target_id WHERE e.type = 'CALLS' GROUP BY 1)"
+
+
+def _seed_files(g: Graph) -> DataFrame:
+    return g.nodes.agg(F.min("file_path").alias("file_path"))
+
+
+def _seed_nodes(g: Graph) -> DataFrame:
+    return g.nodes.where("id <= 20").select("id")
+
+
+# Point lookups and joins of edges
+
+add("symbol_by_name", lambda g: lk.by_name(g, "red_plate"), "nodes edges", "SELECT n.id, name, file_path, coalesce(c.n, 0) AS usage_count FROM nodes n LEFT JOIN (SELECT target_id, count(*) AS n FROM edges GROUP BY 1) c ON c.target_id = n.id WHERE name = 'red_plate'")
+add("node_by_id", lambda g: g.nodes.where("id = 7"), "nodes", "SELECT * FROM nodes WHERE id = 7")
+add("functions_in_file", lambda g: lk.functions_in_file(g, "src/brand4/large.py"), "nodes", "SELECT id, name, start_line, end_line FROM nodes WHERE file_path = 'src/brand4/large.py' AND label IN ('Function', 'Method')")
+add("inside_range", lambda g: lk.inside_range(g, 100, 300), "nodes", "SELECT id, file_path, start_line, end_line FROM nodes WHERE start_line >= 100 AND end_line <= 300")
+add(
+    "enclosing_function",
+    lambda g: lk.enclosing(g, g.edges.groupBy("source_id").agg(F.first("source_file").alias("file_path"), F.min("source_line").alias("l")).select(F.col("source_id").alias("point_id"), "file_path", (F.col("l") * 20).alias("line"))),
+    "nodes edges",
+    "SELECT point_id, node_id FROM (SELECT p.point_id, n.id AS node_id, row_number() OVER (PARTITION BY p.point_id ORDER BY end_line - start_line, n.id) AS k FROM (SELECT source_id AS point_id, min(source_file) AS file_path, min(source_line) * 20 AS line FROM edges GROUP BY 1) p JOIN nodes n ON n.file_path = p.file_path AND n.start_line <= p.line AND p.line <= n.end_line WHERE n.label IN ('Function', 'Method')) WHERE k = 1",
+)
+add(
+    "path_match",
+    lambda g: lk.path_match(g.nodes.select("file_path").distinct(), g.nodes.select(F.substring_index("file_path", "/", -1).alias("wanted")).distinct()),
+    "nodes",
+    "SELECT w AS wanted, min(file_path) AS file_path FROM (SELECT DISTINCT string_split(file_path, '/')[-1] AS w FROM nodes) JOIN (SELECT DISTINCT file_path FROM nodes) ON ends_with(file_path, '/' || w) GROUP BY 1",
+)
+add("confident_edges", lambda g: g.edges.where(lk.gate(0.9)).groupBy("type").agg(F.count(F.lit(1)).alias("n")), "edges", "SELECT type, count(*) AS n FROM edges WHERE confidence >= 0.9E0 GROUP BY 1")
+add("admissible_edges", lambda g: g.edges.where(lk.gate(0.0, lk.ADMISSIBLE)).groupBy("resolution_method").agg(F.count(F.lit(1)).alias("n")), "edges", "SELECT resolution_method, count(*) AS n FROM edges WHERE resolution_method IN ('same_file', 'import', 'name_match') GROUP BY 1")
+add("best_property", lk.best_property, "properties", "SELECT node_id, kind, CASE WHEN length(value) > 100 THEN concat(substr(value, 1, 100), '...') ELSE value END AS value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY node_id, kind ORDER BY confidence DESC, line, id) AS k FROM properties) WHERE k = 1")
+add("contract_pivot", lk.contract_pivot, "properties", "SELECT node_id, max(value) FILTER (kind = 'guard_clause') AS guard_clause, max(value) FILTER (kind = 'return_shape') AS return_shape, max(value) FILTER (kind = 'exception_type') AS exception_type, max(value) FILTER (kind = 'docstring') AS docstring FROM properties GROUP BY 1")
+add("node_properties", lambda g: g.properties.where("node_id <= 50").select("node_id", "kind", "value"), "properties", "SELECT node_id, kind, value FROM properties WHERE node_id <= 50")
+add("test_assertions", lambda g: g.assertions.groupBy("test_node_id", "kind").agg(F.count(F.lit(1)).alias("n")), "assertions", "SELECT test_node_id, kind, count(*) AS n FROM assertions GROUP BY 1, 2")
+add(
+    "assertions_in_file",
+    lambda g: g.assertions.join(g.nodes.select(F.col("id").alias("t"), "file_path"), F.col("test_node_id") == F.col("t")).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target_node_id") == 0).alias("unresolved")),
+    "assertions",
+    "SELECT file_path, count(*) AS n, count(*) FILTER (target_node_id = 0) AS unresolved FROM assertions a JOIN nodes n ON n.id = a.test_node_id GROUP BY 1",
+)
+add(
+    "callers_topk",
+    lk.callers,
+    "nodes edges",
+    f"SELECT target_id, source_id, source_line, resolution_method, rank FROM (SELECT e.*, row_number() OVER (PARTITION BY target_id ORDER BY CASE resolution_method WHEN 'same_file' THEN 0 WHEN 'import' THEN 1 ELSE 2 END, source_line, source_id) AS rank FROM edges e JOIN nodes t ON t.id = e.target_id WHERE e.type = 'CALLS' AND {GATE} AND e.source_file <> t.file_path) WHERE rank <= 10",
+)
+add("callees_topk", lk.callees, "nodes edges", f"SELECT source_id, target_id, n.name AS callee, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, source_line, target_id) AS rank FROM edges WHERE type = 'CALLS' AND {GATE}) e JOIN nodes n ON n.id = e.target_id WHERE rank <= 5")
+add("file_dependencies", lk.file_dependencies, "nodes edges", "SELECT DISTINCT source_file, target_file, type FROM fe", FE)
+add("importers", lk.importers, "nodes edges", "SELECT DISTINCT target_file AS file_path, source_file AS importer FROM fe WHERE type = 'IMPORTS'", FE)
+add("tests_for_target", lk.tests_for, "nodes edges", "SELECT target_id, source_id, s.name AS test_name FROM edges e JOIN nodes s ON s.id = e.source_id JOIN nodes t ON t.id = e.target_id WHERE e.type = 'CALLS' AND s.is_test AND NOT t.is_test")
+add("siblings", lk.sibling_counts, "nodes", "SELECT id, siblings FROM (SELECT id, count(*) OVER (PARTITION BY parent_id) - 1 AS siblings FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT id, count(*) OVER (PARTITION BY file_path) - 1 FROM nodes WHERE parent_id IS NULL AND label = 'Function') WHERE siblings > 0")
+add("sibling_pairs", lambda g: lk.siblings(g).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("sibling_id").alias("first_id")), "nodes", "SELECT a.id, count(*) AS n, min(b.id) AS first_id FROM nodes a JOIN nodes b ON a.id <> b.id AND (a.parent_id = b.parent_id OR (a.parent_id IS NULL AND b.parent_id IS NULL AND a.label = 'Function' AND b.label = 'Function' AND a.file_path = b.file_path)) GROUP BY 1")
+add("bidirectional_neighbours", lk.bidirectional_neighbours, "nodes edges", "SELECT file_path, other, max(confidence) AS confidence FROM (SELECT source_file AS file_path, target_file AS other, confidence FROM fe UNION ALL SELECT target_file, source_file, confidence FROM fe) GROUP BY 1, 2", FE)
+add(
+    "indirect_files",
+    lk.indirect_files,
+    "sparse",
+    "SELECT DISTINCT a.target_file AS file_path, b.source_file AS indirect FROM d a JOIN d b ON b.target_file = a.source_file WHERE a.target_file <> b.source_file AND NOT EXISTS (SELECT 1 FROM d WHERE d.target_file = a.target_file AND d.source_file = b.source_file)",
+    SFE + ", d AS (SELECT DISTINCT source_file, target_file FROM fe WHERE type = 'CALLS')",
+)
+add("ambiguous_edges", lk.ambiguous_edges, "nodes edges", "SELECT source_id, target_id, s.name AS source_name, t.name AS target_name, confidence FROM edges e JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE e.type = 'CALLS' AND confidence < 0.5E0")
+add("orphan_edges", lk.dangling, "nodes edges", "SELECT 'source' AS missing, count(*) AS n FROM edges WHERE source_id NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'target', count(*) FROM edges WHERE target_id NOT IN (SELECT id FROM nodes)")
+add("dead_code", lk.dead_code, "nodes sparse", "SELECT id, name, file_path FROM nodes n WHERE is_exported AND NOT is_test AND NOT EXISTS (SELECT 1 FROM sparse s WHERE s.target_id = n.id)")
+add("qualified_methods", lk.parent_chain, "nodes", "SELECT n.id, concat(c.name, '.', n.name) AS qualified FROM nodes n JOIN nodes c ON c.id = n.parent_id WHERE n.label = 'Method'")
+add(
+    "test_coimport",
+    lk.common_test_importers,
+    "nodes sparse",
+    "SELECT a.target_file AS file_a, b.target_file AS file_b, count(*) AS tests FROM d a JOIN d b ON a.source_file = b.source_file AND a.target_file < b.target_file WHERE regexp_replace(a.target_file, '/[^/]*$', '') <> regexp_replace(b.target_file, '/[^/]*$', '') GROUP BY 1, 2",
+    SFE + ", d AS (SELECT DISTINCT source_file, target_file FROM fe WHERE source_file IN (SELECT file_path FROM nodes WHERE is_test))",
+)
+add("naming_ambiguity", lk.near_names, "nodes", "SELECT a.name, b.name AS other, levenshtein(a.name, b.name) AS distance FROM (SELECT DISTINCT name FROM nodes) a JOIN (SELECT DISTINCT name FROM nodes) b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 3")
+
+# Aggregations and rankings
+
+add("hotspots", ag.hotspots, "nodes edges", "SELECT n.id, count(*) AS usage_count, any_value(n.name) AS name, any_value(n.file_path) AS file_path FROM edges e JOIN nodes n ON n.id = e.target_id WHERE NOT n.is_test GROUP BY n.id ORDER BY usage_count DESC, n.id LIMIT 20")
+add("usage_counts", lambda g: lk.usage(g), "edges", "SELECT target_id AS id, count(*) AS usage_count FROM edges GROUP BY 1")
+add("store_stats", ag.store_stats, "nodes edges", "SELECT * FROM (SELECT count(*) AS nodes, count(DISTINCT file_path) AS files, count(*) FILTER (is_test) AS tests, count(*) FILTER (is_exported) AS exported FROM nodes), (SELECT count(*) AS edges, count(*) FILTER (type = 'CALLS') AS calls, count(*) FILTER (confidence >= 0.9E0) AS sure FROM edges)")
+add("property_counts", ag.property_counts, "properties", "SELECT kind, count(*) AS n, count(DISTINCT node_id) AS nodes FROM properties GROUP BY 1")
+add("entry_point_files", ag.entry_point_files, "nodes edges", "SELECT t.file_path, count(*) AS incoming FROM edges e JOIN nodes t ON t.id = e.target_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+add("top_directories", ag.top_directories, "nodes", "SELECT regexp_replace(file_path, '/[^/]*$', '') AS dir, count(DISTINCT file_path) AS files, count(*) AS symbols FROM nodes GROUP BY 1")
+add("module_symbols", ag.module_symbols, "nodes", "SELECT module, count(*) AS symbols FROM (SELECT unnest([string_split(file_path, '/')[1], string_split(file_path, '/')[1] || '/' || string_split(file_path, '/')[2], file_path]) AS module FROM nodes) GROUP BY 1")
+add("confidence_stats", ag.confidence_stats, "edges", "SELECT high_share, median, CASE WHEN median > 0 AND median <= 0.9E0 THEN median ELSE 0.5E0 END AS threshold FROM (SELECT round(avg(CASE WHEN confidence >= 0.7E0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS high_share FROM edges), (SELECT quantile_cont(confidence, 0.5) AS median FROM edges WHERE type = 'CALLS')")
+add("hub_penalty", ag.hub_penalty, "nodes edges", "SELECT file_path, degree, round(tanh(degree / 50.0E0), 6) AS penalty FROM deg", DEGREE)
+add("caller_counts", ag.caller_counts, "edges", f"SELECT target_id, count(*) AS callers, count(DISTINCT source_file) AS files FROM edges WHERE type = 'CALLS' AND {GATE} GROUP BY 1")
+add("blast_radius_p95", ag.blast_radius_p95, "nodes edges", "SELECT n, CAST(CASE WHEN n < 5 THEN 20 ELSE greatest(5, degree) END AS BIGINT) AS threshold FROM (SELECT degree, row_number() OVER (ORDER BY degree) AS r, count(*) OVER () AS n FROM deg) WHERE r = round_even(0.95E0 * (n - 1), 0) + 1", DEGREE)
+add("hub_scale_p90", ag.hub_scale_p90, "nodes edges", "SELECT n, degree AS p90 FROM (SELECT degree, row_number() OVER (ORDER BY degree) AS r, count(*) OVER () AS n FROM deg) WHERE r = least(floor(0.9E0 * n) + 1, n)", DEGREE)
+add("high_freq_names", ag.high_frequency_names, "nodes", "SELECT name, n FROM (SELECT name, n, row_number() OVER (ORDER BY n DESC, name) AS r, count(*) OVER () AS m FROM (SELECT name, count(*) AS n FROM nodes GROUP BY 1) WHERE n >= 5) WHERE r <= greatest(1, floor(m / 100))")
+add("impact_radius", ag.impact_radius, "nodes edges", "SELECT name, count(DISTINCT source_file) AS files, min(source_file) AS first_file FROM edges e JOIN nodes n ON n.id = e.target_id GROUP BY 1")
+add("impact_summary", ag.impact_summary, "edges", f"SELECT target_id, n AS callers, CASE WHEN n >= 5 THEN 'HIGH' WHEN n >= 2 THEN 'MODERATE' ELSE 'LOW' END AS level FROM (SELECT target_id, count(*) AS n FROM edges WHERE type = 'CALLS' AND {GATE} GROUP BY 1)")
+add("blast_radius", ag.blast_radius, "nodes edges", "SELECT t.file_path, count(*) AS calls, count(DISTINCT source_file) AS files, count(DISTINCT source_id) AS callers, round(tanh(count(*) / 50.0E0), 6) AS penalty FROM edges e JOIN nodes t ON t.id = e.target_id WHERE e.type = 'CALLS' GROUP BY 1")
+LAST = "last AS (SELECT commit_id, ts FROM commit_files GROUP BY 1, 2 HAVING count(*) <= 50 ORDER BY ts DESC, commit_id DESC LIMIT 500)"
+add("cochange_pairs", ag.cochange_pairs, "commit_files", "SELECT a.file_path AS file_a, b.file_path AS file_b, count(*) AS n FROM commit_files a JOIN commit_files b ON a.commit_id = b.commit_id AND a.file_path < b.file_path WHERE a.commit_id IN (SELECT commit_id FROM last) GROUP BY 1, 2 HAVING count(*) >= 3", LAST)
+add("recency_weight", ag.recency_weight, "commit_files", "SELECT file_path, commits, round(ln(1 + commits) / ln(1 + max(commits) OVER ()), 6) AS weight FROM (SELECT file_path, count(*) AS commits FROM commit_files WHERE ts >= (SELECT max(ts) FROM commit_files) - INTERVAL 365 DAYS GROUP BY 1)")
+add(
+    "cochange_cluster",
+    ag.cochange_cluster,
+    "commit_files",
+    "SELECT file_path, round(sum(1.0E0 / ln(place + 3)) + CASE WHEN file_path = (SELECT min(file_path) FROM commit_files) THEN 2.0E0 ELSE 0.0E0 END, 6) AS score FROM commit_files JOIN placed USING (commit_id) WHERE commit_id IN (SELECT commit_id FROM commit_files WHERE file_path = (SELECT min(file_path) FROM commit_files)) GROUP BY file_path",
+    "placed AS (SELECT commit_id, row_number() OVER (ORDER BY ts DESC, commit_id DESC) - 1 AS place FROM (SELECT DISTINCT commit_id, ts FROM commit_files) ORDER BY ts DESC, commit_id DESC LIMIT 500)",
+)
+add("top_functions_per_file", ag.top_functions_per_file, "nodes edges", "SELECT * FROM (SELECT file_path, n.id, name, coalesce(c.n, 0) AS refs, row_number() OVER (PARTITION BY file_path ORDER BY coalesce(c.n, 0) DESC, name, n.id) AS rank FROM nodes n LEFT JOIN (SELECT target_id, count(*) AS n FROM edges WHERE type = 'CALLS' GROUP BY 1) c ON c.target_id = n.id WHERE label IN ('Function', 'Method')) WHERE rank <= 3")
+add("top_symbols_by_degree", ag.top_symbols_by_degree, "nodes edges", "SELECT * FROM (SELECT file_path, n.id, coalesce(c.n, 0) AS degree, row_number() OVER (PARTITION BY file_path ORDER BY coalesce(c.n, 0) DESC, n.id) AS rank FROM nodes n LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY 1) c ON c.id = n.id) WHERE rank <= 3")
+add("focus_functions", ag.focus_functions, "nodes edges", "SELECT id, name, file_path, usage_count FROM (SELECT n.id, name, file_path, c.n AS usage_count, row_number() OVER (PARTITION BY file_path ORDER BY c.n DESC, n.id) AS k FROM nodes n JOIN (SELECT target_id, count(*) AS n FROM edges WHERE type = 'CALLS' GROUP BY 1) c ON c.target_id = n.id WHERE label IN ('Function', 'Method') AND NOT is_test) WHERE k <= 2 ORDER BY usage_count DESC, id LIMIT 10")
+add(
+    "hub_penalized_neighbors",
+    ag.hub_penalized,
+    "nodes edges",
+    "SELECT o.file_path, round(o.n * (1 - least(1.0E0, coalesce(deg.degree, 0) / (SELECT CAST(degree AS DOUBLE) FROM (SELECT degree, row_number() OVER (ORDER BY degree) AS r, count(*) OVER () AS n FROM deg) WHERE r = least(floor(0.9E0 * n) + 1, n)))), 6) AS score FROM (SELECT source_file AS file_path, count(*) AS n FROM fe GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) o LEFT JOIN deg USING (file_path) ORDER BY score DESC, o.file_path LIMIT 10",
+    FE + ", " + DEGREE,
+)
+add("usage_tier", ag.evidence_tiers, "edges", "SELECT type, CASE WHEN confidence >= 0.9E0 THEN 'VERIFIED' WHEN confidence >= 0.5E0 THEN 'WARNING' ELSE 'INFO' END AS tier, count(*) AS n FROM edges GROUP BY 1, 2")
+add(
+    "risk_scores",
+    ag.risk_scores,
+    "nodes sparse",
+    "SELECT f.file_path, round(least(1.0E0, 0.25E0 * least(1.0E0, exported / 30.0E0) + 0.15E0 * amb + 0.15E0 * least(1.0E0, params / 5.0E0) + 0.15E0 * coalesce(unused, 0) / greatest(exported, 1) + 0.15E0 * (1 - names / CAST(symbols AS DOUBLE)) + 0.15E0 * tanh(coalesce(degree, 0) / 50.0E0)), 6) AS risk FROM f LEFT JOIN u USING (file_path) LEFT JOIN a USING (file_path) LEFT JOIN deg USING (file_path) ORDER BY risk DESC, f.file_path LIMIT 50",
+    DEGREE
+    + f", f AS (SELECT file_path, count(*) AS symbols, count(*) FILTER (is_exported) AS exported, avg({PARAMS}) AS params, count(DISTINCT name) AS names FROM nodes GROUP BY 1), u AS (SELECT file_path, count(*) AS unused FROM nodes WHERE is_exported AND id NOT IN (SELECT target_id FROM sparse) GROUP BY 1), h AS (SELECT name, count(DISTINCT file_path) AS c FROM nodes GROUP BY 1), a AS (SELECT file_path, avg(CASE WHEN c > 1 THEN 1.0E0 ELSE 0.0E0 END) AS amb FROM nodes JOIN h USING (name) GROUP BY 1)",
+)
+add("session_summary", ag.session_summary, "interventions", "SELECT run_id, count(*) AS calls, count(DISTINCT tool) AS tools, count(*) FILTER (outcome = 'errors_found') AS errors, count(*) FILTER (ai_called) AS ai_calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, min(ts) AS first_ts, max(ts) AS last_ts FROM interventions GROUP BY 1")
+add("trace_analysis", ag.trace_analysis, "interventions", "SELECT tool, outcome, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, max(latency_ms) AS max_ms FROM interventions GROUP BY 1, 2")
+add("compliance_stats", ag.compliance_stats, "interventions", "SELECT round(avg(latency_ms), 6) AS mean, quantile_cont(CAST(latency_ms AS DOUBLE), 0.5) AS median, count(latency_ms) AS n FROM (SELECT * FROM interventions ORDER BY ts DESC, id DESC LIMIT 1000)")
+add("token_accounting", ag.token_accounting, "", "SELECT role, CAST(sum(floor(coalesce(length(text), 0) / 4)) AS BIGINT) AS tokens, count(*) AS turns FROM conversations GROUP BY 1")
+add("resolution_methods", ag.call_site_distribution, "edges", "SELECT resolution_method, count(*) AS n, round(avg(confidence), 6) AS mean, round(stddev_pop(confidence), 6) AS spread FROM edges GROUP BY 1")
+
+# Walks
+
+BFS = "b AS (SELECT source_file AS x, target_file AS y FROM fe UNION SELECT target_file, source_file FROM fe), bfs(file_path, distance) AS (SELECT min(file_path), 0 FROM nodes UNION SELECT b.y, bfs.distance + 1 FROM bfs JOIN b ON b.x = bfs.file_path WHERE bfs.distance < 3)"
+add("bfs_connected", lambda g: gr.bfs_files(g, _seed_files(g)), "nodes sparse", "SELECT file_path, CAST(min(distance) AS INT) AS distance FROM bfs GROUP BY 1", SFE + ", " + BFS)
+add("find_relevant", lambda g: gr.relevance(g, _seed_files(g)), "nodes sparse", "SELECT * FROM (SELECT file_path, CAST(d AS INT) AS distance, round(pow(0.5E0, d) * CASE WHEN file_path IN (SELECT file_path FROM nodes WHERE label = 'Class') THEN 1.5E0 ELSE 1.0E0 END, 6) AS score FROM (SELECT file_path, min(distance) AS d FROM bfs GROUP BY 1)) WHERE score >= 0.2E0", SFE + ", " + BFS)
+add(
+    "reach_scores",
+    lambda g: gr.reach(g, _seed_files(g)),
+    "nodes sparse",
+    "SELECT file_path, round(sum(score), 6) AS score, CAST(min(length) AS INT) AS length FROM (SELECT f AS file_path, m / 2.0E0 AS score, 1 AS length FROM m1 UNION ALL SELECT f, m / 3.0E0, 2 FROM m2 UNION ALL SELECT f, m / 4.0E0, 3 FROM m3) GROUP BY 1",
+    SFE + f", w AS (SELECT source_file, target_file, sum({WEIGHT} * confidence) AS w FROM fe GROUP BY 1, 2), m1 AS (SELECT target_file AS f, sum(w) AS m FROM w WHERE source_file = (SELECT min(file_path) FROM nodes) GROUP BY 1), m2 AS (SELECT target_file AS f, sum(m * w) AS m FROM m1 JOIN w ON source_file = f GROUP BY 1), m3 AS (SELECT target_file AS f, sum(m * w) AS m FROM m2 JOIN w ON source_file = f GROUP BY 1)",
+)
+add("ppr_files", lambda g: gr.personalized_pagerank(g, _seed_files(g), 3), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT DISTINCT source_file, target_file FROM fe WHERE confidence >= 0.5E0), o AS (SELECT source_file, count(*) AS o FROM d GROUP BY 1), s AS (SELECT file_path, CASE WHEN file_path = (SELECT min(file_path) FROM nodes) THEN 1.0E0 ELSE 0.0E0 END AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * (coalesce(g, 0.0E0) + (SELECT coalesce(sum(r), 0.0E0) FROM r{i - 1} WHERE file_path NOT IN (SELECT source_file FROM d)) * s) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
+add("pagerank_files", lambda g: gr.weighted_pagerank(g, 3), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT source_file, target_file, sum(confidence) AS w FROM fe GROUP BY 1, 2), o AS (SELECT source_file, sum(w) AS o FROM d GROUP BY 1), s AS (SELECT file_path, 1.0E0 / count(*) OVER () AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r * w / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * coalesce(g, 0.0E0) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
+add("callee_multihop", lambda g: gr.callee_closure(g, _seed_nodes(g)), "nodes sparse", "SELECT id, CAST(min(depth) AS INT) AS depth FROM c GROUP BY 1", "c(id, depth) AS (SELECT id, 0 FROM nodes WHERE id <= 20 UNION SELECT target_id, depth + 1 FROM c JOIN sparse ON source_id = c.id WHERE type = 'CALLS' AND confidence >= 0.5E0 AND depth < 3)")
+add(
+    "rule_expand",
+    lambda g: gr.expand_by_rules(g, _seed_nodes(g)),
+    "nodes edges",
+    "SELECT seed, id, rule, weight FROM (SELECT *, row_number() OVER (PARTITION BY seed, rule ORDER BY id) AS k FROM (SELECT DISTINCT target_id AS seed, source_id AS id, 'callers' AS rule, 0.8E0 AS weight FROM edges WHERE type = 'CALLS' AND target_id <= 20 UNION ALL SELECT DISTINCT source_id, target_id, 'callees', 0.6E0 FROM edges WHERE type = 'CALLS' AND source_id <= 20 UNION ALL SELECT a.id, b.id, 'same_class', 0.7E0 FROM nodes a JOIN nodes b ON a.parent_id = b.parent_id AND a.id <> b.id WHERE a.id <= 20)) WHERE k <= 3 ORDER BY weight DESC, seed, rule, id LIMIT 50",
+)
+add("anchor_proximity", lambda g: gr.anchor_proximity(g, g.nodes.where("label = 'Class' AND is_test").select("file_path").distinct()), "nodes sparse", "SELECT y AS file_path, count(*) AS anchors FROM (SELECT source_file AS x, target_file AS y FROM fe UNION SELECT target_file, source_file FROM fe) WHERE x IN (SELECT file_path FROM nodes WHERE label = 'Class' AND is_test) GROUP BY 1", SFE)
+add(
+    "ego_graph",
+    lambda g: gr.ego_graph(g, _seed_nodes(g)),
+    "nodes edges",
+    "SELECT source_id AS seed, target_id AS id, 'callee' AS relation FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY source_line, target_id) AS k FROM edges WHERE type = 'CALLS' AND source_id <= 20) WHERE k <= 4 UNION ALL SELECT target_id, source_id, 'caller' FROM (SELECT e.*, row_number() OVER (PARTITION BY target_id ORDER BY confidence DESC, source_id) AS k FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.type = 'CALLS' AND target_id <= 20 AND e.source_file <> n.file_path) WHERE k <= 3",
+)
+add("base_methods", gr.base_methods, "nodes edges", "SELECT m.id, b.id AS base_id, m.name FROM edges e JOIN nodes m ON m.parent_id = e.source_id JOIN nodes b ON b.parent_id = e.target_id AND b.name = m.name WHERE e.type = 'EXTENDS'")
+
+# Text and vectors
+
+TERMS = ["the", "that", "was", "for", "with", "this"]
+BM25 = "t AS (SELECT {key} AS k, regexp_extract_all(lower({text}), '[a-z]{{3,}}') AS w FROM {table}), tot AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t), tf AS (SELECT k, any_value(len) AS n, token, count(*) AS tf FROM (SELECT k, len(w) AS len, unnest(w) AS token FROM t) WHERE token IN (" + ", ".join(f"'{w}'" for w in TERMS) + ") GROUP BY k, token), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1)"
+SCORE = "SELECT k AS {key}, round(sum(ln(1 + (docs - df + 0.5E0) / (df + 0.5E0)) * tf * 2.2E0 / (tf + 1.2E0 * (0.25E0 + 0.75E0 * n / mean))), 6) AS score FROM tf JOIN df USING (token), tot GROUP BY k"
+add("lexical_bm25", lambda g: tx.bm25(g.table("documents"), "doc_id", F.col("text"), TERMS), "", SCORE.format(key="doc_id"), BM25.format(key="doc_id", text="text", table="documents"))
+add("benchmark_bm25", lambda g: tx.bm25(g.table("benchmark"), "item_id", F.col("text"), TERMS), "", SCORE.format(key="item_id"), BM25.format(key="item_id", text="text", table="benchmark"))
+add("idf_weights", lambda g: tx.idf_weights(g.table("documents"), "doc_id", F.col("text")), "", "SELECT token, df, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5E0) / (df + 0.5E0)), 6) AS idf FROM (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS token FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100)")
+add("path_segments", tx.path_segments, "nodes", "SELECT part, count(*) AS files FROM (SELECT unnest(list_distinct(list_filter(string_split(regexp_replace(lower(file_path), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))) AS part FROM (SELECT DISTINCT file_path FROM nodes)) GROUP BY 1")
+add("name_components", tx.name_components, "nodes", "SELECT part, count(*) AS nodes FROM (SELECT unnest(list_distinct(string_split(name, '_'))) AS part FROM nodes) WHERE part <> '' GROUP BY 1")
+add("symbol_anchors", lambda g: tx.symbol_anchors(g, ["small", "red", "plate", "rod", "widget"]), "nodes", "SELECT file_path, count(*) AS names FROM (SELECT DISTINCT file_path, name FROM nodes) WHERE len(list_filter(string_split(name, '_'), lambda x: x <> '' AND x NOT IN ('small', 'red', 'plate', 'rod', 'widget'))) = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+add("test_link", tx.stem_matches, "nodes", "SELECT t.stem, count(*) AS pairs FROM (SELECT DISTINCT file_path, regexp_replace(string_split(file_path, '/')[-1], '\\.[^.]*$', '') AS stem FROM nodes WHERE is_test) t JOIN (SELECT DISTINCT file_path, regexp_replace(string_split(file_path, '/')[-1], '\\.[^.]*$', '') AS stem FROM nodes WHERE NOT is_test) s ON s.stem = t.stem GROUP BY 1")
+add("code_grep", lambda g: tx.code_grep(g.table("documents"), "License"), "", "SELECT doc_id, no AS line_no, length(line) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents) WHERE contains(line, 'License')) WHERE k <= 3")
+add("task_words", lambda g: tx.task_words(g.table("benchmark"), "item_id", F.col("text")))
+add("cosine_topk", lambda g: tx.cosine_topk(g.table("embeddings"), 0), "", "SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 20)")
+add("semantic_max", lambda g: tx.semantic_max(g.table("embeddings"), [0, 1, 2]), "", "SELECT vec_id, round(s, 6) AS score FROM (SELECT e.vec_id, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS s FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 1, 2) GROUP BY 1 ORDER BY s DESC, e.vec_id LIMIT 20)")
+
+
+def _signals(g: Graph) -> DataFrame:
+    a = tx.ranked(ag.in_degree(g), "calls", "degree", "file_path")
+    b = tx.ranked(ag.recency_weight(g), "recent", "commits", "file_path")
+    return a.unionByName(b)
+
+
+SIGNALS = DEGREE + ", rec AS (SELECT file_path, count(*) AS commits FROM commit_files WHERE ts >= (SELECT max(ts) FROM commit_files) - INTERVAL 365 DAYS GROUP BY 1), sig AS (SELECT file_path AS key, 'calls' AS signal, row_number() OVER (ORDER BY degree DESC, file_path) AS rank FROM deg QUALIFY rank <= 100 UNION ALL SELECT file_path, 'recent', row_number() OVER (ORDER BY commits DESC, file_path) AS rank FROM rec QUALIFY rank <= 100)"
+add("rrf_fuse", lambda g: tx.rrf(_signals(g)), "nodes edges commit_files", "SELECT key, round(sum(1.0E0 / (60 + rank)), 6) AS score, count(*) AS signals FROM sig GROUP BY 1 ORDER BY sum(1.0E0 / (60 + rank)) DESC, key LIMIT 50", SIGNALS)
+add("weighted_rrf", lambda g: tx.rrf(_signals(g), {"calls": 2.0}), "nodes edges commit_files", "SELECT key, round(sum(CASE signal WHEN 'calls' THEN 2.0E0 ELSE 1.0E0 END / (60 + rank)), 6) AS score, count(*) AS signals FROM sig GROUP BY 1 ORDER BY sum(CASE signal WHEN 'calls' THEN 2.0E0 ELSE 1.0E0 END / (60 + rank)) DESC, key LIMIT 50", SIGNALS)
+add("signal_agreement", lambda g: tx.agreement(_signals(g)), "nodes edges commit_files", "SELECT key, count(DISTINCT signal) AS signals, min(rank) AS best FROM sig GROUP BY 1", SIGNALS)
+
+# Resolution, derived relations and maintenance
+
+NAME_CONFIDENCE = "CASE WHEN {0} <= 1 THEN 0.9E0 WHEN {0} = 2 THEN 0.6E0 WHEN {0} <= 5 THEN 0.4E0 ELSE 0.2E0 END"
+add(
+    "resolve_calls",
+    rs.resolve_calls,
+    "nodes sparse",
+    f"SELECT source_id, qualified_name, target_id, CASE step WHEN 1 THEN 'same_file' WHEN 2 THEN 'import' ELSE 'name_match' END AS method, CASE WHEN step < 3 THEN 1.0E0 ELSE {NAME_CONFIDENCE.format('candidates')} END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_id, qualified_name ORDER BY step) AS k FROM (SELECT source_id, qualified_name, step, min(id) AS target_id, count(*) AS candidates FROM cand GROUP BY 1, 2, 3)) WHERE k = 1",
+    "c AS (SELECT DISTINCT s.source_id, s.source_file, t.qualified_name FROM sparse s JOIN nodes t ON t.id = s.target_id WHERE s.type = 'CALLS'), i AS (SELECT DISTINCT e.source_file, t.file_path FROM edges e JOIN nodes t ON t.id = e.target_id WHERE e.type = 'IMPORTS'), cand AS (SELECT c.source_id, c.qualified_name, n.id, CASE WHEN n.file_path = c.source_file THEN 1 WHEN i.file_path IS NOT NULL THEN 2 ELSE 3 END AS step FROM c JOIN nodes n USING (qualified_name) LEFT JOIN i ON i.source_file = c.source_file AND i.file_path = n.file_path)",
+)
+add("name_match_confidence", rs.homonyms, "nodes", f"SELECT name, count(*) AS candidates, count(DISTINCT file_path) AS files, min(id) AS first_id, {NAME_CONFIDENCE.format('count(*)')} AS confidence FROM nodes GROUP BY 1")
+add("module_aliases", rs.module_aliases, "nodes", "SELECT alias, count(*) AS files FROM (SELECT unnest([p[1] || '.' || p[2] || '.' || p[3], p[2] || '.' || p[3], p[3]]) AS alias FROM (SELECT DISTINCT file_path, string_split(regexp_replace(file_path, '\\.[a-z]+$', ''), '/') AS p FROM nodes)) GROUP BY 1")
+add(
+    "assertion_targets",
+    rs.assertion_targets,
+    "assertions",
+    "SELECT assertion_id, candidate, score FROM (SELECT *, row_number() OVER (PARTITION BY assertion_id ORDER BY score DESC, candidate) AS k FROM (SELECT a.id AS assertion_id, c.target_id AS candidate, CASE WHEN contains(a.expression, '(' || n.name || '(') THEN 3.0E0 ELSE 0.0E0 END + CASE WHEN n.file_path = c.source_file THEN 4.0E0 ELSE 0.0E0 END + CASE WHEN NOT n.is_test THEN 0.5E0 ELSE 0.0E0 END AS score FROM assertions a JOIN (SELECT DISTINCT source_id, target_id, source_file FROM edges WHERE type = 'CALLS') c ON c.source_id = a.test_node_id JOIN nodes n ON n.id = c.target_id)) WHERE k = 1 AND score >= 3.5E0",
+)
+add("proximity_resolve", rs.proximity, "nodes", "SELECT a.name, a.dir, here, anywhere FROM (SELECT name, regexp_replace(file_path, '/[^/]*$', '') AS dir, min(id) AS here FROM nodes GROUP BY 1, 2) a JOIN (SELECT name, min(id) AS anywhere FROM nodes GROUP BY 1) b USING (name)")
+TWINS = "t AS (SELECT DISTINCT file_path, name, string_split(name, '_')[1] AS head, regexp_replace(name, '^[^_]*_', '') AS tail FROM nodes WHERE label IN ('Function', 'Method') AND contains(name, '_'))"
+add("structural_twins", rs.structural_twins, "nodes", "SELECT a.file_path, a.name AS name_a, b.name AS name_b FROM t a JOIN t b ON a.file_path = b.file_path AND a.tail = b.tail AND a.head < b.head", TWINS)
+API = "'/' || array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND NOT regexp_matches(x, '^(\\{.*\\}|:.+|<.*>|[0-9]+|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})$')), '/')"
+add("path_normalize", rs.api_paths, "", f"SELECT {API} AS path, count(*) AS n FROM pages GROUP BY 1")
+add("api_path_match", rs.route_matches, "", f"SELECT * FROM (SELECT {API} AS path, count(*) FILTER (page_id % 2 = 0) AS clients, count(*) FILTER (page_id % 2 = 1) AS routes FROM pages GROUP BY 1) WHERE clients > 0 AND routes > 0")
+ONE_FILE = "'src/brand4/large.py'"
+add("replace_file", lambda g: rs.replace_file(g, "src/brand4/large.py"), "properties edges", f"SELECT 'edges' AS \"table\", count(*) AS n FROM edges WHERE source_file = {ONE_FILE} OR target_id IN (SELECT id FROM nodes WHERE file_path = {ONE_FILE}) UNION ALL SELECT 'properties', count(*) FROM properties WHERE node_id IN (SELECT id FROM nodes WHERE file_path = {ONE_FILE}) UNION ALL SELECT 'nodes', count(*) FROM nodes WHERE file_path = {ONE_FILE}")
+add("edge_restore", lambda g: rs.restore_incoming(g, "src/brand4/large.py"), "nodes edges", f"SELECT e.source_id, e.type, e.target_id AS old_target, c.new_target, CASE WHEN c.n = 1 THEN e.confidence ELSE {NAME_CONFIDENCE.format('c.n')} END AS confidence FROM edges e JOIN nodes t ON t.id = e.target_id JOIN (SELECT name, count(*) AS n, min(id) AS new_target FROM nodes WHERE file_path = {ONE_FILE} GROUP BY 1) c ON c.name = t.name WHERE t.file_path = {ONE_FILE} AND e.source_file <> {ONE_FILE}")
+add(
+    "changed_files",
+    lambda g: rs.changed_files(g.nodes.where("id % 7 <> 0").groupBy("file_path").agg(F.sum("id").alias("hash")), g.nodes.where("id % 5 <> 0").groupBy("file_path").agg(F.sum("id").alias("hash"))),
+    "nodes",
+    "SELECT file_path, CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS status FROM (SELECT file_path, sum(id) AS h FROM nodes WHERE id % 7 <> 0 GROUP BY 1) a FULL JOIN (SELECT file_path, sum(id) AS h FROM nodes WHERE id % 5 <> 0 GROUP BY 1) b USING (file_path)",
+)
+add("freshness", rs.freshness, "interventions", "SELECT run_id, CASE WHEN age <= 60 THEN 'FRESH' WHEN age <= 3600 THEN 'SLIGHTLY_STALE' ELSE 'STALE' END AS freshness FROM (SELECT run_id, floor(epoch((SELECT max(ts) FROM interventions))) - floor(epoch(max(ts))) AS age FROM interventions GROUP BY 1)")
+
+# Mining, validation and findings
+
+GROUPS = "grp AS (SELECT id, file_path AS grp FROM nodes WHERE parent_id IS NULL AND label = 'Function')"
+MAJOR = GROUPS + ", v AS (SELECT grp, kind, value, count(DISTINCT node_id) AS n FROM properties JOIN grp ON grp.id = node_id GROUP BY 1, 2, 3), tot AS (SELECT grp, kind, count(DISTINCT node_id) AS total FROM properties JOIN grp ON grp.id = node_id GROUP BY 1, 2), maj AS (SELECT grp, kind, value, n, total, round(n / CAST(total AS DOUBLE), 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY grp, kind ORDER BY n DESC, value) AS k FROM v) JOIN tot USING (grp, kind) WHERE k = 1 AND total >= 3)"
+add("property_majorities", mn.property_majorities, "properties", "SELECT * FROM maj", MAJOR)
+add("sibling_outliers", mn.sibling_outliers, "properties", "SELECT node_id, p.kind, p.value, m.value AS usual, share FROM properties p JOIN grp ON grp.id = p.node_id JOIN maj m ON m.grp = grp.grp AND m.kind = p.kind WHERE p.value <> m.value AND share >= 0.4E0", MAJOR)
+add("rule_miner", mn.mined_rules, "properties", "SELECT grp, kind, concat(CAST(n AS STRING), '/', CAST(f AS STRING)) AS frequency FROM (SELECT grp, kind, count(DISTINCT node_id) AS n FROM properties JOIN grp ON grp.id = node_id GROUP BY 1, 2) JOIN (SELECT grp, count(*) AS f FROM grp GROUP BY 1) USING (grp) WHERE f >= 3 AND n >= 0.8E0 * f", GROUPS)
+add("conventions", mn.class_conventions, "nodes", "SELECT file_path, return_type, n, CAST(total AS BIGINT) AS total FROM (SELECT *, sum(n) OVER (PARTITION BY file_path) AS total, row_number() OVER (PARTITION BY file_path ORDER BY n DESC, return_type) AS k FROM (SELECT file_path, return_type, count(*) AS n FROM nodes WHERE label IN ('Function', 'Method') GROUP BY 1, 2)) WHERE k = 1 AND n > 0.7E0 * total")
+add("call_site_voting", mn.call_site_votes, "nodes edges", "SELECT target_id, value, round(n / CAST(total AS DOUBLE) * (1 - CASE WHEN length(value) = 0 AND length(own) = 0 THEN 1.0E0 ELSE 1.0E0 - levenshtein(value, own) / CAST(greatest(length(value), length(own)) AS DOUBLE) END), 6) AS confidence FROM (SELECT v.*, t.return_type AS own, sum(n) OVER (PARTITION BY target_id) AS total, row_number() OVER (PARTITION BY target_id ORDER BY n DESC, value) AS k FROM (SELECT target_id, s.return_type AS value, count(*) AS n FROM edges e JOIN nodes s ON s.id = e.source_id WHERE e.type = 'CALLS' GROUP BY 1, 2) v JOIN nodes t ON t.id = v.target_id) WHERE k = 1 AND total >= 3")
+GUARDS = "gr AS (SELECT target_id, count(*) AS sites, avg(CASE WHEN source_id IN (SELECT node_id FROM properties WHERE kind = 'guard_clause') THEN 1.0E0 ELSE 0.0E0 END) AS r FROM edges WHERE type = 'CALLS' GROUP BY 1 HAVING count(*) >= 3)"
+add("guard_rate", mn.guard_rates, "properties edges", "SELECT target_id, sites, round(r, 6) AS rate, round(least(r * 0.85E0, 0.85E0), 6) AS confidence FROM gr", GUARDS)
+add("contracts", mn.contracts, "properties edges", "SELECT id, 'returns_value' AS contract, 0.9E0 AS confidence FROM nodes WHERE label IN ('Function', 'Method') AND return_type NOT IN ('', 'None') UNION ALL SELECT id, 'many_callers', 0.95E0 FROM nodes WHERE label IN ('Function', 'Method') AND id IN (SELECT target_id FROM edges WHERE type = 'CALLS' GROUP BY 1 HAVING count(*) > 10) UNION ALL SELECT id, 'pure', 0.85E0 FROM nodes WHERE label IN ('Function', 'Method') AND id NOT IN (SELECT node_id FROM properties WHERE kind = 'side_effect')")
+add("jaccard_sibling", lambda g: mn.similar_siblings(g, 0.0), "nodes edges", "SELECT a.id, b.id AS sibling, round(count(*) / CAST(any_value(a.n) + any_value(b.n) - count(*) AS DOUBLE), 6) AS similarity FROM c a JOIN c b ON a.parent_id = b.parent_id AND a.target_id = b.target_id AND a.id <> b.id GROUP BY 1, 2", "c AS (SELECT m.id, m.parent_id, e.target_id, count(*) OVER (PARTITION BY m.id) AS n FROM edges e JOIN nodes m ON m.id = e.source_id WHERE e.type = 'CALLS' AND m.parent_id IS NOT NULL)")
+OVERRIDE = f"ov AS (SELECT source_id, target_id, sp AS params, tp AS base_params FROM edges e JOIN (SELECT id, label AS sl, CAST({PARAMS} AS INT) AS sp FROM nodes) s ON s.id = e.source_id JOIN (SELECT id, label AS tl, CAST({PARAMS} AS INT) AS tp FROM nodes) t ON t.id = e.target_id WHERE e.type = 'EXTENDS' AND sl = tl AND sp <> tp)"
+ARITY = f"ar AS (SELECT source_id, target_id, sp AS given, tp AS wanted FROM edges e JOIN (SELECT id, CAST({PARAMS} AS INT) AS sp FROM nodes) s ON s.id = e.source_id JOIN (SELECT id, CAST({PARAMS} AS INT) AS tp FROM nodes) t ON t.id = e.target_id WHERE e.type = 'CALLS' AND confidence >= 0.9E0 AND sp = 0 AND tp > 5)"
+add("override_violation", mn.override_violations, "nodes edges", "SELECT * FROM ov", OVERRIDE)
+add("arity_mismatch", mn.arity_mismatches, "nodes edges", "SELECT * FROM ar", ARITY)
+add("import_moved", mn.moved_imports, "nodes sparse", "SELECT w.source_file, w.name, f.found_in FROM (SELECT DISTINCT s.source_file, t.name, regexp_replace(s.source_file, '/[^/]*$', '') AS dir FROM sparse s JOIN nodes t ON t.id = s.target_id WHERE s.type = 'IMPORTS') w JOIN (SELECT name, min(file_path) AS found_in FROM nodes GROUP BY 1) f USING (name) WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.name = w.name AND regexp_replace(n.file_path, '/[^/]*$', '') = w.dir)")
+FOUND = ", ".join([OVERRIDE, ARITY, GUARDS]) + ", found AS (SELECT 'override' AS kind, source_id AS subject, target_id AS other, 0.9E0 AS confidence FROM ov UNION ALL SELECT 'arity', source_id, target_id, 0.85E0 FROM ar UNION ALL SELECT 'guard', target_id, 0, round(least(r * 0.85E0, 0.85E0), 6) FROM gr WHERE round(r, 6) >= 0.75E0)"
+add("findings", mn.findings, "properties edges", "SELECT * FROM found", FOUND)
+add("findings_prune", lambda g: mn.pruned(mn.findings(g)), "properties edges", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY confidence DESC, subject, other) AS rank FROM found WHERE confidence >= 0.7E0) WHERE rank <= 3", FOUND)
+add("abstention", lambda g: mn.abstention(mn.findings(g)), "properties edges", "SELECT subject, count(*) AS evidence, CASE WHEN count(*) >= 2 AND max(confidence) >= 0.85E0 THEN 'hard' WHEN max(confidence) >= 0.7E0 THEN 'soft' ELSE 'none' END AS policy FROM found GROUP BY 1", FOUND)
+add("near_dup_names", mn.name_shingles, "nodes", "SELECT a.name AS name_a, b.name AS name_b, round(len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE), 6) AS similarity FROM s a JOIN s b ON a.name < b.name WHERE round(len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE), 6) >= 0.6E0", "s AS (SELECT name, list_distinct(list_transform(range(1, length(name) - 1), lambda i: substr(name, i, 3))) AS s FROM (SELECT DISTINCT name FROM nodes) WHERE length(name) >= 3)")
+add("budget_select", lambda g: mn.select_within_budget(mn.findings(g).select(F.col("subject").alias("target"), F.col("kind").alias("family"), F.col("confidence").alias("score"), (F.col("other") % 300).alias("tokens"))))
+
+# Events
+
+add("running_counters", ss.running_counters, "interventions", "SELECT id, run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, id) AS step, CAST(sum(CASE WHEN outcome = 'errors_found' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS errors FROM interventions")
+add("drift_signals", ss.drift, "interventions", "SELECT run_id, first_phase, CAST(sum(CASE WHEN phase <> first_phase THEN 1 ELSE 0 END) AS BIGINT) AS outside, sum(CASE WHEN phase <> first_phase THEN 1 ELSE 0 END) >= 2 AS drifts FROM (SELECT *, first_value(phase) OVER (PARTITION BY run_id ORDER BY ts, id) AS first_phase FROM interventions) GROUP BY 1, 2")
+add("repeated_reads", ss.repeats, "interventions", "SELECT run_id, CAST(sum(CASE WHEN list_contains(b, tool) THEN 1 ELSE 0 END) AS BIGINT) AS repeats, count(*) AS calls FROM (SELECT run_id, tool, list(tool) OVER (PARTITION BY run_id ORDER BY ts, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM interventions) GROUP BY 1")
+add("replan_triggers", ss.replan_triggers, "interventions", "SELECT run_id, CAST(min(step) AS INT) AS step FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, id) AS step, sum(CASE WHEN outcome = 'errors_found' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS errors FROM interventions) WHERE errors >= 3 GROUP BY 1")
+add("findings_novelty", ss.novelty, "interventions", "SELECT id, run_id, tool, outcome FROM (SELECT *, row_number() OVER (PARTITION BY run_id, tool, outcome ORDER BY ts, id) AS k FROM interventions) WHERE k = 1")
+add("sessions", ss.sessions, "interventions", "SELECT run_id, min(ts) AS start_ts, count(*) AS calls FROM (SELECT run_id, ts, sum(b) OVER (PARTITION BY run_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT run_id, ts, id, CASE WHEN ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts, id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS b FROM interventions)) GROUP BY run_id, s")
+
+# Evaluation
+
+Z = "1.96E0"
+add("wilson", ev.quality_rates, "", f"SELECT lang, n, good, round(greatest(0.0E0, (p + {Z} * {Z} / (2 * n) - {Z} * sqrt(p * (1 - p) / n + {Z} * {Z} / (4 * n * n))) / (1 + {Z} * {Z} / n)), 6) AS low, round(least(1.0E0, (p + {Z} * {Z} / (2 * n) + {Z} * sqrt(p * (1 - p) / n + {Z} * {Z} / (4 * n * n))) / (1 + {Z} * {Z} / n)), 6) AS high FROM (SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, sum(quality) / CAST(count(*) AS DOUBLE) AS p FROM labels JOIN documents USING (doc_id) GROUP BY 1)")
+add("rollups", ev.rollups, "interventions", "SELECT phase, count(*) AS n, round(avg(latency_ms), 6) AS mean, round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.75), 6) AS p75, round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.95), 6) AS p95 FROM interventions GROUP BY 1")
+add("ab_compare", ev.ab_compare, "interventions", "SELECT CASE WHEN a = 1 AND b = 1 THEN 'both' WHEN a = 1 THEN 'lost' WHEN b = 1 THEN 'gained' ELSE 'neither' END AS status, count(*) AS runs FROM (SELECT run_id, max(CASE WHEN day(ts) <= 15 THEN CAST(outcome = 'valid' AS INT) END) AS a, max(CASE WHEN day(ts) > 15 THEN CAST(outcome = 'valid' AS INT) END) AS b FROM interventions GROUP BY 1) GROUP BY 1")
+add("category_table", ev.category_table, "", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
+add("graph_metrics", ev.graph_metrics, "edges", "SELECT source_file, count(*) AS edges, count(DISTINCT target_id) AS targets, round(avg(confidence), 6) AS confidence FROM edges GROUP BY 1")
+add("bucket_rates", ev.bucket_rates, "", "SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'middle' ELSE 'long' END AS bucket, count(*) AS n, round(avg(quality), 6) AS good FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+add("correlation", ev.correlation, "", "SELECT round(corr(quality, n_chars), 6) AS r, count(*) AS n FROM labels JOIN documents USING (doc_id)")
+add("envelope", ev.envelope, "edges", "SELECT source_file, round(CASE WHEN avg(confidence) > 0 THEN stddev_pop(confidence) / avg(confidence) ELSE 0.0E0 END, 6) AS cv FROM edges GROUP BY 1")
+add("retrieval_metrics", lambda g: ev.retrieval_metrics(lk.callers(g).groupBy("target_id").agg(F.min(F.when(F.col("resolution_method") == "import", F.col("rank"))).alias("rank"))), "nodes edges", f"SELECT count(*) AS queries, round(avg(coalesce(1.0E0 / r, 0.0E0)), 6) AS mrr, " + ", ".join(f"round(avg(CASE WHEN r <= {k} THEN 1.0E0 ELSE 0.0E0 END), 6) AS hit_{k}" for k in (1, 3, 5, 10)) + f" FROM (SELECT target_id, min(CASE WHEN resolution_method = 'import' THEN rank END) AS r FROM (SELECT e.*, row_number() OVER (PARTITION BY target_id ORDER BY CASE resolution_method WHEN 'same_file' THEN 0 WHEN 'import' THEN 1 ELSE 2 END, source_line, source_id) AS rank FROM edges e JOIN nodes t ON t.id = e.target_id WHERE e.type = 'CALLS' AND {GATE} AND e.source_file <> t.file_path) WHERE rank <= 10 GROUP BY 1)")
