@@ -76,15 +76,16 @@ class Network:
             states[t] = h = new
         return states, kept
 
-    def log_shares(self, states: np.ndarray) -> np.ndarray:
+    def log_shares(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the classes, their exponentials, and the sums of these."""
         y = states.reshape(-1, UNITS) @ self.out
         y += self.bias
-        y -= y.max(axis=1, keepdims=True)
+        np.minimum(y, 80, out=y)  # keeps the exponential finite; trained values are far below
         e = np.exp(y)
-        return y, e, e.sum(axis=1)
+        return y, e, e @ np.ones(CLASSES, np.float32)
 
-    def learn(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, state: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, float]:
-        """Puts the gradient of a window's mean loss into ``grad``; the last state and the summed loss."""
+    def learn(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, state: np.ndarray, g: Network) -> tuple[np.ndarray, float]:
+        """Puts the gradient of a window's mean loss into ``g``; the last state and the summed loss."""
         u = UNITS
         states, kept = self.window(x, state)
         y, e, total = self.log_shares(states)
@@ -95,7 +96,7 @@ class Network:
         d = e / total[:, None]
         d[rows, flat_target] -= 1
         d *= (flat_live / n)[:, None]
-        g = Network(np.zeros_like(self.flat))
+        g.flat[:] = 0
         g.out[:] = states.reshape(-1, u).T @ d
         g.bias[:] = d.sum(axis=0)
         dh_out = (d @ self.out.T).reshape(states.shape)
@@ -115,7 +116,6 @@ class Network:
         sorted_x = flat_x[order]
         starts = np.concatenate([[0], np.nonzero(sorted_x[1:] != sorted_x[:-1])[0] + 1])
         g.inputs[sorted_x[starts]] = np.add.reduceat(rows_in[order], starts, axis=0)
-        grad[:] = g.flat
         return states[-1], loss
 
 
@@ -185,12 +185,12 @@ def score_classes(net: Network, texts: list[np.ndarray]) -> np.ndarray:
 def train_classes(net: Network, adam: Adam, texts: list[np.ndarray]) -> float:
     """One pass over the texts; the summed loss."""
     x, y, of = lanes(texts)
-    state, grad, loss = np.zeros((x.shape[1], UNITS), np.float32), np.empty_like(net.flat), 0.0
+    state, grad, loss = np.zeros((x.shape[1], UNITS), np.float32), Network(np.zeros_like(net.flat)), 0.0
     for at in range(0, len(x), STEPS):
         live = of[at : at + STEPS] >= 0
         n = int(live[0].sum())
         state, more = net.learn(x[at : at + STEPS, :n], y[at : at + STEPS, :n], live[:, :n], state[:n], grad)
-        adam.step(net.flat, grad)
+        adam.step(net.flat, grad.flat)
         loss += more
     return loss
 
@@ -346,32 +346,43 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for values, texts in _tokens(batches, ["row", "doc_id", "held_out"]):
             if len(known) > CACHE:
                 known.clear()
-            get = known.__getitem__
-            classes, rows = [], []
-            for t in texts:
-                a = np.frombuffer(b"".join(map(get, t)) + get(b""), record)
-                tail = np.nonzero(a["tail"])[0]
-                words = Counter(t[i] for i in tail.tolist() if i < len(t))
-                classes.append(a["k"].astype(np.int16))
-                rows.append((len(a), len(a) - len(tail), float(a["base"].sum()), float(a["model"].sum()), [{"w": w.decode("utf-8", "replace"), "n": n, "k": small.class_of(w)} for w, n in words.items()], len(tail) - sum(words.values())))
-            sums = score_classes(net, classes) / math.log(10)
-            # an end that no training text had is unknown too, and has no row in the counts
-            missing = [r[5] * -scale + r[5] * math.log10(0.5) for r in rows]
+            get, end = known.__getitem__, known[b""]
+            a = np.frombuffer(b"".join([b"".join(map(get, t)) + end for t in texts]), record)
+            lengths = np.array([len(t) + 1 for t in texts])
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            k = a["k"].astype(np.int16)
+            sums = score_classes(net, np.split(k, ends[:-1])) / math.log(10)
+            tail = np.nonzero(a["tail"])[0]
+            of = np.searchsorted(ends, tail, "right")
+            in_text = tail < ends[of] - 1  # an end that no training text had has no row in the counts
+            missing = np.bincount(of[~in_text], minlength=len(texts)) * (math.log10(0.5) - scale)
+            rare, of_rare = tail[in_text], of[in_text]
+            words = pa.array([texts[i][j] for i, j in zip(of_rare.tolist(), (rare - starts[of_rare]).tolist())], pa.binary()).cast(pa.string())
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(of_rare, minlength=len(texts)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([words, pa.array(a["k"][rare].astype(np.int32))], ["w", "k"]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64()), pa.array([v[2] for v in values], pa.bool_()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] + m for r, m in zip(rows, missing)], pa.float64()), pa.array([r[3] + s for r, s in zip(rows, sums.tolist())], pa.float64()), pa.array([r[4] for r in rows], pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64()), ("k", pa.int32())])))],
+                [
+                    *(pa.array([v[i] for v in values], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))),
+                    pa.array(lengths),
+                    pa.array(lengths - np.bincount(of, minlength=len(texts))),
+                    pa.array(np.add.reduceat(a["base"], starts) + missing),
+                    pa.array(np.add.reduceat(a["model"], starts) + sums),
+                    lists,
+                ],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "tail"],
             )
 
-    scored = written(base.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<struct<w: string, n: long, k: int>>"), "lm-scored")
+    scored = written(base.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<struct<w: string, k: int>>"), "lm-scored")
     # the words that no task's list has: their counts are joined, whatever their number
     classes = spark.createDataFrame([(k, small.known_log10(k), math.log10(small.unknown(k)) if k >= OWN else 0.0) for k in range(CLASSES)], "class int, add double, unseen double")
-    rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.w").alias("w"), F.col("t.n").alias("times"), F.col("t.k").alias("k"))
+    rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.w").alias("w"), F.col("t.k").alias("k"))
     joined = rare.join(counts, F.col("w") == F.col("word"), "left").join(F.broadcast(classes), F.col("k") == F.col("class"))
-    n, times = F.coalesce("n", F.lit(0)), F.col("times")
+    n = F.coalesce("n", F.lit(0))
     rare_sums = joined.groupBy(F.col("row").alias("_row")).agg(
-        F.sum(F.when(n > 0, times).otherwise(0)).alias("_known"),
-        F.sum(times * (F.log10(n + 0.5) - small.base_scale())).alias("_base"),
-        F.sum(times * F.when(n > 0, F.col("add") + F.log10(F.greatest(n, F.lit(1)))).otherwise(F.col("unseen"))).alias("_model"),
+        F.count_if(n > 0).alias("_known"),
+        F.sum(F.log10(n + 0.5) - small.base_scale()).alias("_base"),
+        F.sum(F.when(n > 0, F.col("add") + F.log10(F.greatest(n, F.lit(1)))).otherwise(F.col("unseen"))).alias("_model"),
     )
     out = scored.drop("tail").join(rare_sums, F.col("row") == F.col("_row"), "left")
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
