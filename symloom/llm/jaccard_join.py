@@ -30,6 +30,8 @@ GATHER, CACHE, SEEN = 1_000_000, 200_000, 100_000
 #: Bits of a bitmap: the power of two up to the set's size, within these.
 LEAST_BITS, MOST_BITS = 64, 8192
 TILE = 1024
+#: Runs of up to so many sets are paired without tiles.
+SMALL_RUN = 8
 #: Up to this many ids are sent to every executor to pick their documents; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -315,11 +317,15 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
 
 
 def _apart(runs: DataFrame, labels: DataFrame, one: DataFrame, percent: int, best: bool, parts: int) -> DataFrame:
-    """Pairs (a, b) of sets in one run, of different components, that sizes and bitmaps allow; ``best``: for each set the likeliest."""
+    """Pairs (a, b) of sets in one run, of different components, that sizes and bitmaps allow.
+
+    ``best``: for each set the likeliest, from runs of many sets alone.
+    """
     grouped = runs.select("key", "set_id").join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("label", "set_id").alias("group"))
     grouped = written(grouped, "join-grouped")
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select(F.col("key").alias("_key"))
-    apart = grouped.join(mixed, F.col("key") == F.col("_key"), "left_semi").join(one.select(F.col("set_id").alias("_s"), "n", "map"), F.col("set_id") == F.col("_s"))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi").select(F.col("key").alias("_key"), F.col("many") > SMALL_RUN)
+    mixed = mixed.toDF("_key", "large")
+    apart = grouped.join(mixed.where("large"), F.col("key") == F.col("_key"), "left_semi").join(one.select(F.col("set_id").alias("_s"), "n", "map"), F.col("set_id") == F.col("_s"))
     apart = apart.select("key", "set_id", "group", "n", "map").repartition(parts, "key").sortWithinPartitions("key", "n", "set_id")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +348,12 @@ def _apart(runs: DataFrame, labels: DataFrame, one: DataFrame, percent: int, bes
 
     pairs = apart.mapInArrow(tile, "a long, b long, by long, bound long")
     if best:
-        pairs = pairs.groupBy("by").agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b")
-    return pairs.select("a", "b").distinct()
+        return pairs.groupBy("by").agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    # runs of a few sets: their pairs are fewer than the bitmaps that a tile would need
+    few = grouped.join(mixed.where("NOT large"), F.col("key") == F.col("_key"), "left_semi")
+    both = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.group") != F.col("y.group")))
+    small = both.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+    return pairs.select("a", "b").unionByName(_bounded(small, one, percent)).distinct()
 
 
 def _bounded(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
