@@ -27,8 +27,8 @@ from .common import written
 FREQUENT_PART, FREQUENT, LISTED = 1 / 1000, 64, 1_000_000
 #: Shingles that a task gathers before it counts them, words whose hashes and sets whose shingles it keeps.
 GATHER, CACHE, SEEN = 1_000_000, 200_000, 100_000
-#: Bits of a bitmap: the power of two up to the set's size, within these.
-LEAST_BITS, MOST_BITS = 64, 8192
+#: Bits of a bitmap: the next power of two over the set's size, within these. With fewer, sets far under the threshold pass.
+LEAST_BITS, MOST_BITS = 128, 16384
 TILE = 1024
 #: Runs of up to so many sets are paired without tiles.
 SMALL_RUN = 8
@@ -80,7 +80,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 def bitmap(shingles: np.ndarray) -> bytes:
     """Parities of the shingles' counts by bucket. Two sets differ in at least as many elements as bitmaps in bits."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(len(shingles), 1).bit_length() - 1))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(len(shingles), 1).bit_length()))
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
