@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from unicodedata import is_normalized
 
@@ -35,6 +35,17 @@ CACHE = 150_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class _Pieces(dict):
+    """Ids of pieces, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = self.make(piece)
+        return found
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit ids, by a cache of the ids of blank-separated pieces.
 
@@ -53,18 +64,18 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self._found)
         self.old: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.pieces) > CACHE:
-            self.old, self.pieces = self.pieces, {}
-        for p in set().union(*pieces).difference(self.pieces) if pieces else ():
-            self.pieces[p] = self.old.get(p) or self._one(p)
+            self.old, self.pieces = self.pieces, _Pieces(self._found)
         get = self.pieces.__getitem__
-        return [b"".join(map(get, x)) for x in pieces]
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+    def _found(self, piece: str) -> bytes:
+        return self.old.get(piece) or self._one(piece)
 
     def _one(self, piece: str) -> bytes:
         word = piece.rstrip(MARKS)
