@@ -177,7 +177,7 @@ def evidence_tiers(g: Graph) -> DataFrame:
     return g.edges.groupBy("type", evidence_tier(F.col("confidence")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def risk_scores(g: Graph, most: int = 50) -> DataFrame:
+def risk_scores(g: Graph, most: int = 50, edges: DataFrame | None = None) -> DataFrame:
     """Files by a weighted sum of crowding, naming, arity, unused exports, ambiguity and centrality."""
     f = g.nodes.groupBy("file_path").agg(
         F.count(F.lit(1)).alias("symbols"),
@@ -185,7 +185,7 @@ def risk_scores(g: Graph, most: int = 50) -> DataFrame:
         F.avg(parameter_count(F.col("signature"))).alias("params"),
         F.countDistinct("name").alias("names"),
     )
-    used = g.nodes.where("is_exported").join(g.sparse_edges.select(F.col("target_id").alias("id")).distinct(), "id", "left_anti").groupBy("file_path").agg(F.count(F.lit(1)).alias("unused"))
+    used = g.nodes.where("is_exported").join((g.edges if edges is None else edges).select(F.col("target_id").alias("id")).distinct(), "id", "left_anti").groupBy("file_path").agg(F.count(F.lit(1)).alias("unused"))
     homonyms = g.nodes.groupBy("name").agg(F.countDistinct("file_path").alias("in_files"))
     shared = g.nodes.join(homonyms, "name").groupBy("file_path").agg(F.avg((F.col("in_files") > 1).cast("double")).alias("ambiguous"))
     j = f.join(used, "file_path", "left").join(shared, "file_path", "left").join(in_degree(g), "file_path", "left")

@@ -128,9 +128,9 @@ def bidirectional_neighbours(g: Graph) -> DataFrame:
     return both.groupBy("file_path", "other").agg(F.max("confidence").alias("confidence"))
 
 
-def indirect_files(g: Graph) -> DataFrame:
-    """Files that call a caller of a file without calling it themselves, over the sparse edges."""
-    e = file_edges(g, g.sparse_edges.where("type = 'CALLS'")).select("source_file", "target_file").distinct()
+def indirect_files(g: Graph, edges: DataFrame | None = None) -> DataFrame:
+    """Files that call a caller of a file without calling it themselves."""
+    e = file_edges(g, (g.edges if edges is None else edges).where("type = 'CALLS'")).select("source_file", "target_file").distinct()
     hop = e.select(F.col("target_file").alias("file_path"), F.col("source_file").alias("middle")).join(e.select(F.col("target_file").alias("middle"), F.col("source_file").alias("indirect")), "middle")
     far = hop.select("file_path", "indirect").where("file_path <> indirect").distinct()
     direct = e.select(F.col("target_file").alias("file_path"), F.col("source_file").alias("indirect"))
@@ -154,7 +154,7 @@ def dangling(g: Graph) -> DataFrame:
 
 def dead_code(g: Graph, edges: DataFrame | None = None) -> DataFrame:
     """Exported nodes outside of tests without an incoming edge."""
-    e = g.sparse_edges if edges is None else edges
+    e = g.edges if edges is None else edges
     return g.nodes.where("is_exported AND NOT is_test").join(e.select(F.col("target_id").alias("id")), "id", "left_anti").select("id", "name", "file_path")
 
 
@@ -167,7 +167,7 @@ def parent_chain(g: Graph) -> DataFrame:
 def common_test_importers(g: Graph, edges: DataFrame | None = None) -> DataFrame:
     """Pairs of files of different folders that the same test files call, with the number of those."""
     tests = g.nodes.where("is_test").select(F.col("file_path").alias("source_file")).distinct()
-    e = file_edges(g, g.sparse_edges if edges is None else edges).join(tests, "source_file", "left_semi").select("source_file", "target_file").distinct()
+    e = file_edges(g, edges).join(tests, "source_file", "left_semi").select("source_file", "target_file").distinct()
     a, b = e.select("source_file", F.col("target_file").alias("file_a")), e.select("source_file", F.col("target_file").alias("file_b"))
     apart = F.regexp_replace("file_a", "/[^/]*$", "") != F.regexp_replace("file_b", "/[^/]*$", "")
     return a.join(b, "source_file").where((F.col("file_a") < F.col("file_b")) & apart).groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("tests"))

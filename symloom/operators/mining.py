@@ -102,10 +102,10 @@ def arity_mismatches(g: Graph) -> DataFrame:
     return g.edges.where("type = 'CALLS' AND confidence >= 0.9").join(s, "source_id").join(t, "target_id").where("given = 0 AND wanted > 5").select("source_id", "target_id", "given", "wanted")
 
 
-def moved_imports(g: Graph) -> DataFrame:
+def moved_imports(g: Graph, edges: DataFrame | None = None) -> DataFrame:
     """Imports of a name that its folder doesn't hold, with the first file elsewhere that does."""
     n = g.nodes.select("name", "file_path", F.regexp_replace("file_path", "/[^/]*$", "").alias("dir"))
-    wanted = g.sparse_edges.where("type = 'IMPORTS'").join(g.nodes.select(F.col("id").alias("target_id"), "name"), "target_id").select("source_file", "name").distinct().withColumn("dir", F.regexp_replace("source_file", "/[^/]*$", ""))
+    wanted = (g.edges if edges is None else edges).where("type = 'IMPORTS'").join(g.nodes.select(F.col("id").alias("target_id"), "name"), "target_id").select("source_file", "name").distinct().withColumn("dir", F.regexp_replace("source_file", "/[^/]*$", ""))
     gone = wanted.join(n.select("name", "dir").distinct(), ["name", "dir"], "left_anti")
     first = n.groupBy("name").agg(F.min("file_path").alias("found_in"))
     return gone.join(first, "name").select("source_file", "name", "found_in")

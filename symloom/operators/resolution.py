@@ -15,11 +15,11 @@ def name_match_confidence(n: F.Column) -> F.Column:
     return F.when(n <= 1, 0.9).when(n == 2, 0.6).when(n <= 5, 0.4).otherwise(0.2)
 
 
-def resolve_calls(g: Graph) -> DataFrame:
+def resolve_calls(g: Graph, edges: DataFrame | None = None) -> DataFrame:
     """Calls by qualified name resolved anew: the same file's node first, then a file's that the caller imports, then by
     name alone. Candidates of the first step that has any; the smallest id wins."""
     q = g.nodes.select("id", "qualified_name", "file_path")
-    calls = g.sparse_edges.where("type = 'CALLS'").join(q.select(F.col("id").alias("target_id"), "qualified_name"), "target_id").select("source_id", F.col("target_id").alias("was"), "source_file", "qualified_name")
+    calls = (g.edges if edges is None else edges).where("type = 'CALLS'").join(q.select(F.col("id").alias("target_id"), "qualified_name"), "target_id").select("source_id", F.col("target_id").alias("was"), "source_file", "qualified_name")
     calls = calls.groupBy("source_id", "source_file", "qualified_name").agg(F.min("was").alias("was"))
     ends = q.select(F.col("id").alias("target_id"), F.col("file_path").alias("imported_file"))
     imports = g.edges.where("type = 'IMPORTS'").join(ends, "target_id").select("source_file", "imported_file").distinct()

@@ -34,7 +34,7 @@ def type_weight() -> F.Column:
 
 def bfs_files(g: Graph, seeds: DataFrame, depth: int = 3, edges: DataFrame | None = None) -> DataFrame:
     """Least distance of files from the seeds (file_path), over imports and calls in either direction."""
-    e = file_edges(g, g.sparse_edges if edges is None else edges).select("source_file", "target_file").distinct()
+    e = file_edges(g, edges).select("source_file", "target_file").distinct()
     both = e.unionByName(e.select(F.col("target_file").alias("source_file"), F.col("source_file").alias("target_file"))).distinct()
     both = _cut(both)
     seen = seeds.select("file_path", F.lit(0).alias("distance")).distinct()
@@ -46,19 +46,19 @@ def bfs_files(g: Graph, seeds: DataFrame, depth: int = 3, edges: DataFrame | Non
     return seen
 
 
-def relevance(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
+def relevance(g: Graph, seeds: DataFrame, depth: int = 3, edges: DataFrame | None = None) -> DataFrame:
     """Scores 1 / 2^distance, half more where the file holds a class; under .2 left out."""
     holders = g.nodes.where("label = 'Class'").select("file_path").distinct().withColumn("boost", F.lit(1.5))
-    b = bfs_files(g, seeds, depth).join(holders, "file_path", "left")
+    b = bfs_files(g, seeds, depth, edges).join(holders, "file_path", "left")
     return b.select("file_path", "distance", F.round(F.pow(F.lit(0.5), F.col("distance")) * F.coalesce("boost", F.lit(1.0)), 6).alias("score")).where("score >= 0.2")
 
 
-def reach(g: Graph, seeds: DataFrame, hops: int = 3) -> DataFrame:
+def reach(g: Graph, seeds: DataFrame, hops: int = 3, edges: DataFrame | None = None) -> DataFrame:
     """Sum over all walks of up to ``hops`` hops of the product of type weight and confidence, divided by hops and 1.
 
     Mass is linear, so a hop is a join and a sum; parallel edges and revisits count.
     """
-    e = file_edges(g, g.sparse_edges).select("source_file", "target_file", (type_weight() * F.col("confidence")).alias("w"))
+    e = file_edges(g, edges).select("source_file", "target_file", (type_weight() * F.col("confidence")).alias("w"))
     e = _cut(e.groupBy("source_file", "target_file").agg(F.sum("w").alias("w")))
     mass, found = seeds.select("file_path", F.lit(1.0).alias("mass")).distinct(), None
     for hop in range(1, hops + 1):
@@ -69,9 +69,9 @@ def reach(g: Graph, seeds: DataFrame, hops: int = 3) -> DataFrame:
     return found.groupBy("file_path").agg(F.round(F.sum("score"), 6).alias("score"), F.min("length").alias("length"))
 
 
-def personalized_pagerank(g: Graph, seeds: DataFrame, rounds: int = 5, alpha: float = 0.85) -> DataFrame:
+def personalized_pagerank(g: Graph, seeds: DataFrame, rounds: int = 5, alpha: float = 0.85, edges: DataFrame | None = None) -> DataFrame:
     """Ranks of files after some rounds over distinct unweighted edges; mass without a way out returns to the seeds."""
-    e = file_edges(g, g.sparse_edges.where("confidence >= 0.5")).select("source_file", "target_file").distinct()
+    e = file_edges(g, (g.edges if edges is None else edges).where("confidence >= 0.5")).select("source_file", "target_file").distinct()
     out = e.groupBy("source_file").agg(F.count(F.lit(1)).alias("out"))
     e = _cut(e.join(out, "source_file"))
     files = _cut(g.nodes.select("file_path").distinct())
@@ -87,9 +87,9 @@ def personalized_pagerank(g: Graph, seeds: DataFrame, rounds: int = 5, alpha: fl
     return rank.select("file_path", F.round("rank", 6).alias("rank"))
 
 
-def weighted_pagerank(g: Graph, rounds: int = 5, alpha: float = 0.85) -> DataFrame:
+def weighted_pagerank(g: Graph, rounds: int = 5, alpha: float = 0.85, edges: DataFrame | None = None) -> DataFrame:
     """Ranks of files over weighted edges from an even start; mass without a way out is lost."""
-    e = file_edges(g, g.sparse_edges).groupBy("source_file", "target_file").agg(F.sum("confidence").alias("w"))
+    e = file_edges(g, edges).groupBy("source_file", "target_file").agg(F.sum("confidence").alias("w"))
     out = e.groupBy("source_file").agg(F.sum("w").alias("out"))
     e = _cut(e.join(out, "source_file"))
     files = g.nodes.select("file_path").distinct()
@@ -102,9 +102,9 @@ def weighted_pagerank(g: Graph, rounds: int = 5, alpha: float = 0.85) -> DataFra
     return rank.select("file_path", F.round("rank", 6).alias("rank"))
 
 
-def callee_closure(g: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
+def callee_closure(g: Graph, seeds: DataFrame, depth: int = 3, edges: DataFrame | None = None) -> DataFrame:
     """Nodes that the seeds (id) reach by calls, with the least number of hops; every hop is gated."""
-    e = _cut(g.sparse_edges.where("type = 'CALLS' AND confidence >= 0.5").select("source_id", "target_id"))
+    e = _cut((g.edges if edges is None else edges).where("type = 'CALLS' AND confidence >= 0.5").select("source_id", "target_id"))
     seen = seeds.select("id", F.lit(0).alias("depth"))
     front = seen
     for d in range(1, depth + 1):
@@ -128,9 +128,9 @@ def expand_by_rules(g: Graph, seeds: DataFrame, per_seed: int = 3, most: int = 5
     return quota.orderBy(F.desc("weight"), "seed", "rule", "id").limit(most)
 
 
-def anchor_proximity(g: Graph, anchors: DataFrame) -> DataFrame:
+def anchor_proximity(g: Graph, anchors: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Distinct anchor files next to each file."""
-    e = file_edges(g, g.sparse_edges).select("source_file", "target_file").distinct()
+    e = file_edges(g, edges).select("source_file", "target_file").distinct()
     both = e.unionByName(e.select(F.col("target_file").alias("source_file"), F.col("source_file").alias("target_file"))).distinct()
     return both.join(anchors.select(F.col("file_path").alias("source_file")), "source_file").groupBy(F.col("target_file").alias("file_path")).agg(F.count(F.lit(1)).alias("anchors"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,18 @@ def add(name: str, build: Callable[[Graph], DataFrame], views: str = "", sql: st
         ORACLE[name] = oracle(views, sql, more)
 
 
+def sparse(g: Graph) -> DataFrame:
+    """The fixture's thinned edges (FIXTURES.md, B.4), for queries whose SQL reads the view of that name."""
+    return g.edges.where((F.col("source_id") * 31 + F.col("target_id")) % 37 == 0)
+
+
+def add_both(name: str, build: Callable[[Graph, DataFrame], DataFrame], views: str, sql: str, more: str = "") -> None:
+    """Registers a query over the thinned edges that its SQL reads, and ``name``_whole over all edges with the same SQL over these."""
+    whole = lambda text: re.sub(r"\bsparse\b", "edges", text)
+    add(name, lambda g: build(g, sparse(g)), views, sql, more)
+    add(f"{name}_whole", lambda g: build(g, g.edges), whole(views), whole(sql), whole(more))
+
+
 #: Tables of expressions that several oracles share.
 FILE_EDGES = "fe AS (SELECT e.source_file, t.file_path AS target_file, e.type, e.confidence FROM {} e JOIN nodes t ON t.id = e.target_id WHERE e.source_file <> t.file_path)"
 FE, SFE = FILE_EDGES.format("edges"), FILE_EDGES.format("sparse")
@@ -91,7 +104,7 @@ add("tests_for_target", lk.tests_for, "nodes edges", "SELECT target_id, source_i
 add("siblings", lk.sibling_counts, "nodes", "SELECT id, siblings FROM (SELECT id, count(*) OVER (PARTITION BY parent_id) - 1 AS siblings FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT id, count(*) OVER (PARTITION BY file_path) - 1 FROM nodes WHERE parent_id IS NULL AND label = 'Function') WHERE siblings > 0")
 add("sibling_pairs", lambda g: lk.siblings(g).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("sibling_id").alias("first_id")), "nodes", "SELECT a.id, count(*) AS n, min(b.id) AS first_id FROM nodes a JOIN nodes b ON a.id <> b.id AND (a.parent_id = b.parent_id OR (a.parent_id IS NULL AND b.parent_id IS NULL AND a.label = 'Function' AND b.label = 'Function' AND a.file_path = b.file_path)) GROUP BY 1")
 add("bidirectional_neighbours", lk.bidirectional_neighbours, "nodes edges", "SELECT file_path, other, max(confidence) AS confidence FROM (SELECT source_file AS file_path, target_file AS other, confidence FROM fe UNION ALL SELECT target_file, source_file, confidence FROM fe) GROUP BY 1, 2", FE)
-add(
+add_both(
     "indirect_files",
     lk.indirect_files,
     "sparse",
@@ -100,9 +113,9 @@ add(
 )
 add("ambiguous_edges", lk.ambiguous_edges, "nodes edges", "SELECT source_id, target_id, s.name AS source_name, t.name AS target_name, confidence FROM edges e JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE e.type = 'CALLS' AND confidence < 0.5E0")
 add("orphan_edges", lk.dangling, "nodes edges", "SELECT 'source' AS missing, count(*) AS n FROM edges WHERE source_id NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'target', count(*) FROM edges WHERE target_id NOT IN (SELECT id FROM nodes)")
-add("dead_code", lk.dead_code, "nodes sparse", "SELECT id, name, file_path FROM nodes n WHERE is_exported AND NOT is_test AND NOT EXISTS (SELECT 1 FROM sparse s WHERE s.target_id = n.id)")
+add_both("dead_code", lk.dead_code, "nodes sparse", "SELECT id, name, file_path FROM nodes n WHERE is_exported AND NOT is_test AND NOT EXISTS (SELECT 1 FROM sparse s WHERE s.target_id = n.id)")
 add("qualified_methods", lk.parent_chain, "nodes", "SELECT n.id, concat(c.name, '.', n.name) AS qualified FROM nodes n JOIN nodes c ON c.id = n.parent_id WHERE n.label = 'Method'")
-add(
+add_both(
     "test_coimport",
     lk.common_test_importers,
     "nodes sparse",
@@ -150,9 +163,9 @@ add(
     FE + ", " + DEGREE,
 )
 add("usage_tier", ag.evidence_tiers, "edges", "SELECT type, CASE WHEN confidence >= 0.9E0 THEN 'VERIFIED' WHEN confidence >= 0.5E0 THEN 'WARNING' ELSE 'INFO' END AS tier, count(*) AS n FROM edges GROUP BY 1, 2")
-add(
+add_both(
     "risk_scores",
-    ag.risk_scores,
+    lambda g, e: ag.risk_scores(g, edges=e),
     "nodes sparse",
     "SELECT f.file_path, round(least(1.0E0, 0.25E0 * least(1.0E0, exported / 30.0E0) + 0.15E0 * amb + 0.15E0 * least(1.0E0, params / 5.0E0) + 0.15E0 * coalesce(unused, 0) / greatest(exported, 1) + 0.15E0 * (1 - names / CAST(symbols AS DOUBLE)) + 0.15E0 * tanh(coalesce(degree, 0) / 50.0E0)), 6) AS risk FROM f LEFT JOIN u USING (file_path) LEFT JOIN a USING (file_path) LEFT JOIN deg USING (file_path) ORDER BY risk DESC, f.file_path LIMIT 50",
     DEGREE
@@ -167,25 +180,25 @@ add("resolution_methods", ag.call_site_distribution, "edges", "SELECT resolution
 # Walks
 
 BFS = "b AS (SELECT source_file AS x, target_file AS y FROM fe UNION SELECT target_file, source_file FROM fe), bfs(file_path, distance) AS (SELECT min(file_path), 0 FROM nodes UNION SELECT b.y, bfs.distance + 1 FROM bfs JOIN b ON b.x = bfs.file_path WHERE bfs.distance < 3)"
-add("bfs_connected", lambda g: gr.bfs_files(g, _seed_files(g)), "nodes sparse", "SELECT file_path, CAST(min(distance) AS INT) AS distance FROM bfs GROUP BY 1", SFE + ", " + BFS)
-add("find_relevant", lambda g: gr.relevance(g, _seed_files(g)), "nodes sparse", "SELECT * FROM (SELECT file_path, CAST(d AS INT) AS distance, round(pow(0.5E0, d) * CASE WHEN file_path IN (SELECT file_path FROM nodes WHERE label = 'Class') THEN 1.5E0 ELSE 1.0E0 END, 6) AS score FROM (SELECT file_path, min(distance) AS d FROM bfs GROUP BY 1)) WHERE score >= 0.2E0", SFE + ", " + BFS)
-add(
+add_both("bfs_connected", lambda g, e: gr.bfs_files(g, _seed_files(g), edges=e), "nodes sparse", "SELECT file_path, CAST(min(distance) AS INT) AS distance FROM bfs GROUP BY 1", SFE + ", " + BFS)
+add_both("find_relevant", lambda g, e: gr.relevance(g, _seed_files(g), edges=e), "nodes sparse", "SELECT * FROM (SELECT file_path, CAST(d AS INT) AS distance, round(pow(0.5E0, d) * CASE WHEN file_path IN (SELECT file_path FROM nodes WHERE label = 'Class') THEN 1.5E0 ELSE 1.0E0 END, 6) AS score FROM (SELECT file_path, min(distance) AS d FROM bfs GROUP BY 1)) WHERE score >= 0.2E0", SFE + ", " + BFS)
+add_both(
     "reach_scores",
-    lambda g: gr.reach(g, _seed_files(g)),
+    lambda g, e: gr.reach(g, _seed_files(g), edges=e),
     "nodes sparse",
     "SELECT file_path, round(sum(score), 6) AS score, CAST(min(length) AS INT) AS length FROM (SELECT f AS file_path, m / 2.0E0 AS score, 1 AS length FROM m1 UNION ALL SELECT f, m / 3.0E0, 2 FROM m2 UNION ALL SELECT f, m / 4.0E0, 3 FROM m3) GROUP BY 1",
     SFE + f", w AS (SELECT source_file, target_file, sum({WEIGHT} * confidence) AS w FROM fe GROUP BY 1, 2), m1 AS (SELECT target_file AS f, sum(w) AS m FROM w WHERE source_file = (SELECT min(file_path) FROM nodes) GROUP BY 1), m2 AS (SELECT target_file AS f, sum(m * w) AS m FROM m1 JOIN w ON source_file = f GROUP BY 1), m3 AS (SELECT target_file AS f, sum(m * w) AS m FROM m2 JOIN w ON source_file = f GROUP BY 1)",
 )
-add("ppr_files", lambda g: gr.personalized_pagerank(g, _seed_files(g), 3), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT DISTINCT source_file, target_file FROM fe WHERE confidence >= 0.5E0), o AS (SELECT source_file, count(*) AS o FROM d GROUP BY 1), s AS (SELECT file_path, CASE WHEN file_path = (SELECT min(file_path) FROM nodes) THEN 1.0E0 ELSE 0.0E0 END AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * (coalesce(g, 0.0E0) + (SELECT coalesce(sum(r), 0.0E0) FROM r{i - 1} WHERE file_path NOT IN (SELECT source_file FROM d)) * s) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
-add("pagerank_files", lambda g: gr.weighted_pagerank(g, 3), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT source_file, target_file, sum(confidence) AS w FROM fe GROUP BY 1, 2), o AS (SELECT source_file, sum(w) AS o FROM d GROUP BY 1), s AS (SELECT file_path, 1.0E0 / count(*) OVER () AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r * w / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * coalesce(g, 0.0E0) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
-add("callee_multihop", lambda g: gr.callee_closure(g, _seed_nodes(g)), "nodes sparse", "SELECT id, CAST(min(depth) AS INT) AS depth FROM c GROUP BY 1", "c(id, depth) AS (SELECT id, 0 FROM nodes WHERE id <= 20 UNION SELECT target_id, depth + 1 FROM c JOIN sparse ON source_id = c.id WHERE type = 'CALLS' AND confidence >= 0.5E0 AND depth < 3)")
+add_both("ppr_files", lambda g, e: gr.personalized_pagerank(g, _seed_files(g), 3, edges=e), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT DISTINCT source_file, target_file FROM fe WHERE confidence >= 0.5E0), o AS (SELECT source_file, count(*) AS o FROM d GROUP BY 1), s AS (SELECT file_path, CASE WHEN file_path = (SELECT min(file_path) FROM nodes) THEN 1.0E0 ELSE 0.0E0 END AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * (coalesce(g, 0.0E0) + (SELECT coalesce(sum(r), 0.0E0) FROM r{i - 1} WHERE file_path NOT IN (SELECT source_file FROM d)) * s) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
+add_both("pagerank_files", lambda g, e: gr.weighted_pagerank(g, 3, edges=e), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT source_file, target_file, sum(confidence) AS w FROM fe GROUP BY 1, 2), o AS (SELECT source_file, sum(w) AS o FROM d GROUP BY 1), s AS (SELECT file_path, 1.0E0 / count(*) OVER () AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r * w / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * coalesce(g, 0.0E0) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
+add_both("callee_multihop", lambda g, e: gr.callee_closure(g, _seed_nodes(g), edges=e), "nodes sparse", "SELECT id, CAST(min(depth) AS INT) AS depth FROM c GROUP BY 1", "c(id, depth) AS (SELECT id, 0 FROM nodes WHERE id <= 20 UNION SELECT target_id, depth + 1 FROM c JOIN sparse ON source_id = c.id WHERE type = 'CALLS' AND confidence >= 0.5E0 AND depth < 3)")
 add(
     "rule_expand",
     lambda g: gr.expand_by_rules(g, _seed_nodes(g)),
     "nodes edges",
     "SELECT seed, id, rule, weight FROM (SELECT *, row_number() OVER (PARTITION BY seed, rule ORDER BY id) AS k FROM (SELECT DISTINCT target_id AS seed, source_id AS id, 'callers' AS rule, 0.8E0 AS weight FROM edges WHERE type = 'CALLS' AND target_id <= 20 UNION ALL SELECT DISTINCT source_id, target_id, 'callees', 0.6E0 FROM edges WHERE type = 'CALLS' AND source_id <= 20 UNION ALL SELECT a.id, b.id, 'same_class', 0.7E0 FROM nodes a JOIN nodes b ON a.parent_id = b.parent_id AND a.id <> b.id WHERE a.id <= 20)) WHERE k <= 3 ORDER BY weight DESC, seed, rule, id LIMIT 50",
 )
-add("anchor_proximity", lambda g: gr.anchor_proximity(g, g.nodes.where("label = 'Class' AND is_test").select("file_path").distinct()), "nodes sparse", "SELECT y AS file_path, count(*) AS anchors FROM (SELECT source_file AS x, target_file AS y FROM fe UNION SELECT target_file, source_file FROM fe) WHERE x IN (SELECT file_path FROM nodes WHERE label = 'Class' AND is_test) GROUP BY 1", SFE)
+add_both("anchor_proximity", lambda g, e: gr.anchor_proximity(g, g.nodes.where("label = 'Class' AND is_test").select("file_path").distinct(), e), "nodes sparse", "SELECT y AS file_path, count(*) AS anchors FROM (SELECT source_file AS x, target_file AS y FROM fe UNION SELECT target_file, source_file FROM fe) WHERE x IN (SELECT file_path FROM nodes WHERE label = 'Class' AND is_test) GROUP BY 1", SFE)
 add(
     "ego_graph",
     lambda g: gr.ego_graph(g, _seed_nodes(g)),
@@ -226,7 +239,7 @@ add("signal_agreement", lambda g: tx.agreement(_signals(g)), "nodes edges commit
 # Resolution, derived relations and maintenance
 
 NAME_CONFIDENCE = "CASE WHEN {0} <= 1 THEN 0.9E0 WHEN {0} = 2 THEN 0.6E0 WHEN {0} <= 5 THEN 0.4E0 ELSE 0.2E0 END"
-add(
+add_both(
     "resolve_calls",
     rs.resolve_calls,
     "nodes sparse",
@@ -275,7 +288,7 @@ OVERRIDE = f"ov AS (SELECT source_id, target_id, sp AS params, tp AS base_params
 ARITY = f"ar AS (SELECT source_id, target_id, sp AS given, tp AS wanted FROM edges e JOIN (SELECT id, CAST({PARAMS} AS INT) AS sp FROM nodes) s ON s.id = e.source_id JOIN (SELECT id, CAST({PARAMS} AS INT) AS tp FROM nodes) t ON t.id = e.target_id WHERE e.type = 'CALLS' AND confidence >= 0.9E0 AND sp = 0 AND tp > 5)"
 add("override_violation", mn.override_violations, "nodes edges", "SELECT * FROM ov", OVERRIDE)
 add("arity_mismatch", mn.arity_mismatches, "nodes edges", "SELECT * FROM ar", ARITY)
-add("import_moved", mn.moved_imports, "nodes sparse", "SELECT w.source_file, w.name, f.found_in FROM (SELECT DISTINCT s.source_file, t.name, regexp_replace(s.source_file, '/[^/]*$', '') AS dir FROM sparse s JOIN nodes t ON t.id = s.target_id WHERE s.type = 'IMPORTS') w JOIN (SELECT name, min(file_path) AS found_in FROM nodes GROUP BY 1) f USING (name) WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.name = w.name AND regexp_replace(n.file_path, '/[^/]*$', '') = w.dir)")
+add_both("import_moved", mn.moved_imports, "nodes sparse", "SELECT w.source_file, w.name, f.found_in FROM (SELECT DISTINCT s.source_file, t.name, regexp_replace(s.source_file, '/[^/]*$', '') AS dir FROM sparse s JOIN nodes t ON t.id = s.target_id WHERE s.type = 'IMPORTS') w JOIN (SELECT name, min(file_path) AS found_in FROM nodes GROUP BY 1) f USING (name) WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.name = w.name AND regexp_replace(n.file_path, '/[^/]*$', '') = w.dir)")
 FOUND = ", ".join([OVERRIDE, ARITY, GUARDS]) + ", found AS (SELECT 'override' AS kind, source_id AS subject, target_id AS other, 0.9E0 AS confidence FROM ov UNION ALL SELECT 'arity', source_id, target_id, 0.85E0 FROM ar UNION ALL SELECT 'guard', target_id, 0, round(least(r * 0.85E0, 0.85E0), 6) FROM gr WHERE round(r, 6) >= 0.75E0)"
 add("findings", mn.findings, "properties edges", "SELECT * FROM found", FOUND)
 add("findings_prune", lambda g: mn.pruned(mn.findings(g)), "properties edges", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY confidence DESC, subject, other) AS rank FROM found WHERE confidence >= 0.7E0) WHERE rank <= 3", FOUND)

@@ -88,10 +88,6 @@ class Graph:
         rank = F.row_number().over(Window.partitionBy("_b").orderBy("source_id", "target_id", "type"))
         return keyed.withColumn("_r", rank).join(counts, "_b").select((F.col("_before") + F.col("_r")).alias("id"), *self._plain_edges.columns)
 
-    @cached_property
-    def sparse_edges(self) -> DataFrame:
-        return self.edges.where((F.col("source_id") * 31 + F.col("target_id")) % 37 == 0)
-
     @cached_property
     def commit_files(self) -> DataFrame:
         lines = self.table("lineitem").select(F.col("l_orderkey").alias("commit_id"), (F.col("l_partkey") + 1).alias("id"))
