@@ -8,6 +8,7 @@ which two parity bitmaps differ bound the overlap from above; what stays is inte
 A group of thousands of near copies would give as many pairs as its square. So each run's members are first compared
 with the run's first set alone, then each set with the likeliest of those that are apart from it. Sets that these links
 join need no further comparison with each other, and runs are tiled only for pairs of sets that are still apart. No link between components is lost that way.
+That gives the components (:func:`similar`). :func:`linked_pairs` and :func:`joined` compare and verify all candidates, also those within a component.
 """
 
 from __future__ import annotations
@@ -199,18 +200,45 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     blank texts have none and link with nothing. Documents with null ids link, but give no component their id;
     repeated rows are rows of their own. An empty table gives no rows.
     """
-    sets, links = _links(docs, k, percent, id_col, text_col)
+    return _labelled(*_links(docs, k, percent, id_col, text_col)).drop("set_id")
+
+
+def linked_pairs(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents' sets (doc_id, n_shingles, set_id) and all linked pairs (a < b) of different sets, each once."""
+    sets, links = _links(docs, k, percent, id_col, text_col, every=True)
+    return sets.select("doc_id", "n_shingles", "set_id"), links
+
+
+def joined(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What :func:`similar` gives, from all linked pairs, with n_links: the number of other rows that a document links with.
+
+    Rows of an equal set link with each other; a linked set counts as often as rows have it.
+    """
+    sets, links = linked_pairs(docs, k, percent, id_col, text_col)
+    copies = written(sets.where("n_shingles > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies")), "join-copies")
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    linked = ends.join(copies, F.col("other") == F.col("set_id")).groupBy("node").agg(F.sum("copies").alias("linked"))
+    counts = copies.join(linked, F.col("set_id") == F.col("node"), "left").select(F.col("set_id").alias("_n"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    out = _labelled(sets, links).join(counts, F.col("set_id") == F.col("_n"), "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and set_id (null without shingles) of every document."""
     labels = components(links)
     named = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("_least"))
     named = named.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("label", "set_id").alias("_label"), "_least")
     least = named.groupBy(F.col("_label").alias("_l")).agg(F.min("_least").alias("component_id"))
     final = named.join(least, F.col("_label") == F.col("_l")).select(F.col("set_id").alias("_s"), "component_id")
-    out = sets.where("n_shingles > 0").join(final, F.col("set_id") == F.col("_s")).select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = sets.where("n_shingles > 0").join(final, F.col("set_id") == F.col("_s")).select("doc_id", "n_shingles", "component_id", "set_id")
+    return out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_id")))
 
 
-def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The sets (doc_id, n_shingles, set_id, ...) of all documents and enough links (a, b) between sets for all components."""
+def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sets (doc_id, n_shingles, set_id, ...) of all documents and enough links (a, b) between sets for all components.
+
+    ``every``: all links.
+    """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -303,6 +331,9 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     one = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("map").alias("map"))
     one = written(one, "join-one")
 
+    if every:
+        pairs = written(_apart(runs, None, one, percent, False, parts), "join-pairs")
+        return sets, written(_verify(pairs, base, one, k, percent), "join-links")
     stars = runs.where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct()
     stars = written(_bounded(stars, one, percent), "join-stars")
     links = written(_verify(stars, base, one, k, percent), "join-links")
@@ -316,13 +347,16 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     return sets, links
 
 
-def _apart(runs: DataFrame, labels: DataFrame, one: DataFrame, percent: int, best: bool, parts: int) -> DataFrame:
-    """Pairs (a, b) of sets in one run, of different components, that sizes and bitmaps allow.
+def _apart(runs: DataFrame, labels: DataFrame | None, one: DataFrame, percent: int, best: bool, parts: int) -> DataFrame:
+    """Pairs (a, b) of sets in one run, of different components, that sizes and bitmaps allow; without ``labels`` each set is one.
 
     ``best``: for each set the likeliest, from runs of many sets alone.
     """
-    grouped = runs.select("key", "set_id").join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("label", "set_id").alias("group"))
-    grouped = written(grouped, "join-grouped")
+    if labels is None:
+        grouped = runs.select("key", "set_id", F.col("set_id").alias("group"))
+    else:
+        grouped = runs.select("key", "set_id").join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("label", "set_id").alias("group"))
+        grouped = written(grouped, "join-grouped")
     mixed = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi").select(F.col("key").alias("_key"), F.col("many") > SMALL_RUN)
     mixed = mixed.toDF("_key", "large")
     apart = grouped.join(mixed.where("large"), F.col("key") == F.col("_key"), "left_semi").join(one.select(F.col("set_id").alias("_s"), "n", "map"), F.col("set_id") == F.col("_s"))

@@ -35,7 +35,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return jaccard_join.joined(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
