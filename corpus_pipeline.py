@@ -29,7 +29,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at a similarity of 0.8 or more."""
-    return stages.one_of_each(docs, jaccard_join.similar(docs, k=5, percent=80))
+    key = stages.row_key(["doc_id", "text"])
+    groups = jaccard_join.similar(docs.withColumn("_key", key), k=5, percent=80, row_col="_key")
+    return stages.first_of_each(docs, groups, key)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,21 +192,23 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield held
 
 
-def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document.
 
     Two documents link when 100 times the size of the intersection of their sets of ``k``-word shingles is at least
     ``percent`` times that of the union. Texts of fewer words have their whole sequence as the one shingle. Null and
     blank texts have none and link with nothing. Documents with null ids link, but give no component their id;
-    repeated rows are rows of their own. An empty table gives no rows.
+    repeated rows are rows of their own. An empty table gives no rows. With ``row_col``, a key of rows with equal ids and
+    texts: also this key as row and, where there are shingles, the component's smallest set as label.
     """
-    return _labelled(*_links(docs, k, percent, id_col, text_col)).drop("set_id")
+    out = _labelled(*_links(docs, k, percent, id_col, text_col, row_col=row_col))
+    return out.select("doc_id", "n_shingles", "component_id", *(["row", "label"] if row_col else []))
 
 
 def linked_pairs(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents' sets (doc_id, n_shingles, set_id) and all linked pairs (a < b) of different sets, each once."""
+    """The documents' sets (doc_id, row, n_shingles, set_id) and all linked pairs (a < b) of different sets, each once."""
     sets, links = _links(docs, k, percent, id_col, text_col, every=True)
-    return sets.select("doc_id", "n_shingles", "set_id"), links
+    return sets.select("doc_id", "row", "n_shingles", "set_id"), links
 
 
 def joined(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,28 +226,28 @@ def joined(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id
 
 
 def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and set_id (null without shingles) of every document."""
+    """doc_id, n_shingles, component_id, set_id, row and label (the component's smallest set) of every document; without shingles no set and label."""
     labels = components(links)
     named = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("_least"))
     named = named.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("label", "set_id").alias("_label"), "_least")
     least = named.groupBy(F.col("_label").alias("_l")).agg(F.min("_least").alias("component_id"))
-    final = named.join(least, F.col("_label") == F.col("_l")).select(F.col("set_id").alias("_s"), "component_id")
-    out = sets.where("n_shingles > 0").join(final, F.col("set_id") == F.col("_s")).select("doc_id", "n_shingles", "component_id", "set_id")
-    return out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_id")))
+    final = named.join(least, F.col("_label") == F.col("_l")).select(F.col("set_id").alias("_s"), "component_id", F.col("_label").alias("label"))
+    out = sets.where("n_shingles > 0").join(final, F.col("set_id") == F.col("_s")).select("doc_id", "n_shingles", "component_id", "set_id", "row", "label")
+    return out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_id"), "row", F.lit(None).cast("long").alias("label")))
 
 
-def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, every: bool = False, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The sets (doc_id, n_shingles, set_id, ...) of all documents and enough links (a, b) between sets for all components.
 
     ``every``: all links.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(k)
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
+            texts, ids, rows = batch.column("text"), batch.column("doc_id"), batch.column("row")
             at = 0
             while at < batch.num_rows:
                 start, total, found, maps = at, 0, [], []
@@ -258,11 +260,11 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, ev
                 # what is frequent here stands in the first row
                 hot = [list(zip(every[often].astype(np.int64).tolist(), counts[often].tolist()))] + [None] * (len(found) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, at - start), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) for s in found], pa.int64()), pa.array(maps, pa.binary()), pa.array([h and [{"s": a, "n": b} for a, b in h] for h in hot], pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64())])))],
-                    ["doc_id", "n_shingles", "set_id", "map", "hot"],
+                    [ids.slice(start, at - start), rows.slice(start, at - start), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) for s in found], pa.int64()), pa.array(maps, pa.binary()), pa.array([h and [{"s": a, "n": b} for a, b in h] for h in hot], pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64())])))],
+                    ["doc_id", "row", "n_shingles", "set_id", "map", "hot"],
                 )
 
-    sets = written(base.mapInArrow(gather, "doc_id long, n_shingles long, set_id long, map binary, hot array<struct<s: long, n: long>>"), "join-sets")
+    sets = written(base.mapInArrow(gather, "doc_id long, row long, n_shingles long, set_id long, map binary, hot array<struct<s: long, n: long>>"), "join-sets")
     n_docs = sets.count()
     often = sets.where("hot IS NOT NULL").select(F.explode("hot").alias("h")).groupBy("h.s").agg(F.sum("h.n").alias("n")).where(F.col("n") >= max(FREQUENT, n_docs * FREQUENT_PART)).orderBy(F.desc("n"), "s").limit(LISTED)
     frequent = np.sort(np.array([r["s"] for r in often.select("s").collect()], np.int64).astype(np.uint64))

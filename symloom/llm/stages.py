@@ -44,6 +44,23 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return out.unionByName(nameless.dropDuplicates(["text"])) if linked else out
 
 
+def first_of_each(docs: DataFrame, groups: DataFrame, key: Column) -> DataFrame:
+    """Of each group of ``groups`` (doc_id, row, label) the row with the smallest id, decided by row; ``key``: a row's key.
+
+    Rows without a label link with nothing and stay. Rows without an id come last in their group. Of rows with equal
+    keys one stays.
+    """
+    groups = written(groups.select("doc_id", "row", "label"), "stage-groups")
+    first = groups.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first"))
+    others = groups.join(first.select(F.col("label").alias("_l"), F.col("first.row").alias("_first")), F.col("label") == F.col("_l")).where("row <> _first")
+    out = without(docs, others.select("row"), key).withColumn("_row", key)
+    again = written(groups.groupBy("row").count().where("count > 1").select(F.col("row").alias("_again")), "stage-repeated")
+    if again.isEmpty():
+        return out.drop("_row")
+    once = out.join(again, F.col("_row") == F.col("_again"), "left_semi").dropDuplicates(["_row"])
+    return out.join(again, F.col("_row") == F.col("_again"), "left_anti").unionByName(once).drop("_row")
+
+
 def repeated(docs: DataFrame, mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row of ``docs`` as often as ``mixed`` (key, size, taken) takes it, to a whole number; not at all is possible.
 
