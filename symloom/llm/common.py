@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +20,45 @@ BLANKS = " \t\n\x0b\x0c\r"
 _own: list[tempfile.TemporaryDirectory] = []
 
 
+#: Rows of an Arrow batch of texts, where the session doesn't set its own, and bytes of a row group of written tables.
+BATCH_ROWS, ROW_GROUP = 1000, 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests on one machine) a temporary folder takes its place.
+    Where it is unset a temporary folder takes its place, if driver and executors are one process; else this raises, as
+    executors would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.TemporaryDirectory(prefix="symloom-"))
         atexit.register(_own[0].cleanup)
     return _own[0].name
 
 
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this process under ``key`` for the tasks to come.
+
+    Functions reach workers by value, each with globals of its own, so what they share is in a module made here.
+    """
+    own = sys.modules.setdefault("_symloom_worker", types.ModuleType("_symloom_worker")).__dict__
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small in this session, unless it sets their size itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
@@ -38,7 +66,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Shingles of at least this part of all documents, and of FREQUENT documents, come last in the order; at most LISTED of
 #: them are listed. What is listed changes the work, not the result.
@@ -242,27 +242,32 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, ev
     ``every``: all links.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(k)
+        ids, rows, found, maps, total = [], [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            every, counts = np.unique(np.concatenate(found), return_counts=True)
+            often = counts >= max(4, FREQUENT_PART / 2 * len(found))
+            # what is frequent here stands in the first row
+            hot = [[{"s": a, "n": b} for a, b in zip(every[often].astype(np.int64).tolist(), counts[often].tolist())], *[None] * (len(found) - 1)]
+            kinds = pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64())]))
+            columns = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) for s in found], pa.int64()), pa.array(maps, pa.binary()), pa.array([hot[0] or None, *hot[1:]], kinds)]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "set_id", "map", "hot"])
+
         for batch in batches:
-            texts, ids, rows = batch.column("text"), batch.column("doc_id"), batch.column("row")
-            at = 0
-            while at < batch.num_rows:
-                start, total, found, maps = at, 0, [], []
-                while at < batch.num_rows and total < GATHER and at - start < 4000:
-                    found.append(s := make.of(texts[at].as_py()))
-                    maps.append(bitmap(s) if len(s) else b"")
-                    total, at = total + len(s), at + 1
-                every, counts = np.unique(np.concatenate(found), return_counts=True)
-                often = counts >= max(4, FREQUENT_PART / 2 * len(found))
-                # what is frequent here stands in the first row
-                hot = [list(zip(every[often].astype(np.int64).tolist(), counts[often].tolist()))] + [None] * (len(found) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, at - start), rows.slice(start, at - start), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) for s in found], pa.int64()), pa.array(maps, pa.binary()), pa.array([h and [{"s": a, "n": b} for a, b in h] for h in hot], pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64())])))],
-                    ["doc_id", "row", "n_shingles", "set_id", "map", "hot"],
-                )
+            for text, doc_id, row in zip(batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()):
+                s = make.of(text.as_py())
+                ids.append(doc_id), rows.append(row), found.append(s), maps.append(bitmap(s) if len(s) else b"")
+                total += len(s)
+                if total >= GATHER or len(found) >= 4000:
+                    yield out()
+                    ids, rows, found, maps, total = [], [], [], [], 0
+        if found:
+            yield out()
 
     sets = written(base.mapInArrow(gather, "doc_id long, row long, n_shingles long, set_id long, map binary, hot array<struct<s: long, n: long>>"), "join-sets")
     n_docs = sets.count()

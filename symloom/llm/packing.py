@@ -10,6 +10,7 @@ Ranks of the pieces within their length then lead to windows and offsets.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, prefix_sums, written
+from .common import buckets_for, kept, prefix_sums, small_batches, written
 
 #: Ids in a sequence, the id that ends a document, and the slack that is left rather than cut for.
 CAPACITY, END, SLACK = 4096, 2, 8
@@ -51,7 +52,8 @@ class Encoder:
 
     For byte-level byte-pair tokenizers that compose characters, drop white space, lower the case and split off words of
     letters, so that a text's ids are those of its pieces in turn. A piece that is a word of letters and punctuation
-    after it goes to the model as these two units; any other goes through the whole tokenizer.
+    after it goes to the model as these two units; any other goes through the whole tokenizer. With a tokenizer of any
+    other kind, whole texts go through it.
     """
 
     def __init__(self, path: str):
@@ -60,6 +62,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.whole = not self._splits_at_blanks(json.loads(self.tokenizer.to_str()))
         # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
@@ -68,7 +71,27 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def _splits_at_blanks(parts: dict) -> bool:
+        """Whether the tokenizer is of the kind whose ids of a text are those of its blank-separated pieces."""
+        steps = [(n.get("type"), n.get("pattern"), n.get("content")) for n in (parts.get("normalizer") or {}).get("normalizers", [])]
+        splits = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        regex = splits[0].get("pattern", {}).get("Regex", "") if splits else ""
+        return (
+            steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+            and splits[0].get("behavior") == "Removed"
+            and splits[0].get("invert") is True
+            and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in regex
+            and not splits[1].get("add_prefix_space")
+            and not splits[1].get("use_regex")
+            and parts["model"]["type"] == "BPE"
+            and not parts["model"].get("dropout")
+        )
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.whole:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.pieces) > CACHE:
             self.old, self.pieces = self.pieces, _Pieces(self._found)
         get = self.pieces.__getitem__
@@ -103,12 +126,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The process's encoder for a vocabulary; a Python worker keeps it for the tasks to come."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 @dataclass
@@ -282,6 +300,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
     An empty table gives no rows. Only the last window may be left with much room.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keyed = base.withColumn("text_key", F.xxhash64("_text"))
     pieces = written(_pieces(keyed, tokenizer_path, capacity, end), "pack-pieces")

@@ -14,17 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import written
+from .common import small_batches, written
 
 #: Labelled documents that words are mined from, and documents that the scorer is trained on: at most, and about.
 LABELLED, TRAINED = 10_000, 10_000
 #: Bits of the feature space, rows of an Arrow slice that is worked on at once, words whose features a task
 #: keeps, in each of two generations.
-BITS, SLICE, CACHE = 24, 500, 120_000
+BITS, SLICE, CACHE = 24, 500, 60_000
 #: Mined words: in so many toxic documents at least (as a number and as a share of them), which are so large a share of
 #: all documents with the word.
 MINED_DOCS, MINED_PART, MINED_SHARE = 3, 0.015, 0.85
@@ -219,7 +218,16 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
-            yield part, [(x or "").encode("utf-8", "surrogatepass") for x in part.column(column).to_pylist()]
+            yield part, _bytes(part.column(column))
+
+
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+
+
+def bounded(df: DataFrame, by: Column, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``, those with the smallest hash ``by``; of rows with equal hashes one."""
+    return df.withColumn("_by", by).dropDuplicates(["_by"]).orderBy("_by").limit(rows).drop("_by")
 
 
 def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", junk_limit: float = 0.8, toxic_limit: float = 0.5) -> DataFrame:
@@ -227,9 +235,11 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
 
     ``labels`` has id, quality (0 is junk) and toxic (1 is toxic); of repeated ids the worst counts, null values
     abstain. Without labels the heuristics stand alone. A null or empty text gets junk_score 1. Repeated rows are judged
-    alike, an empty table gives no rows. Input columns named like the added ones are replaced.
+    alike and enter a sample once, an empty table gives no rows. Input columns named like the added ones are replaced;
+    all other columns stay in the JVM, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     added = ["junk_score", "toxic_score", "kept"]
     docs = docs.drop(*added)
     text = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
@@ -248,7 +258,8 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), pa.array([list({w for w, _, _ in s}) for s in seen], pa.list_(pa.int32())), pa.array([list({h for _, h, _ in s}) for s in seen], pa.list_(pa.int32()))], ["id", "toxic", "words", "heads"])
 
     mined_from = text.join(F.broadcast(chosen), F.col("id") == F.col("_id")).where("toxic IS NOT NULL")
-    sample = mined_from.select("id", "text", "toxic").mapInArrow(list_slots, "id string, toxic int, words array<int>, heads array<int>").toArrow()
+    mined_from = bounded(mined_from.select("id", "text", "toxic"), F.xxhash64("id", "text"), LABELLED)
+    sample = mined_from.mapInArrow(list_slots, "id string, toxic int, words array<int>, heads array<int>").toArrow()
     half = np.array([zlib.crc32(x.encode()) & 1 for x in sample["id"].to_pylist()], bool)
     lists = mine(Rows(sample["words"]), Rows(sample["heads"]), sample["toxic"].to_numpy() > 0, half)
     del sample
@@ -284,8 +295,9 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
     post_toxic = fit_labellers(rows_of("toxic"), TOXIC_LABELLERS, 0.1)
     total = sum(r["n"] for r in counts)
 
-    # the scorer's sample: about TRAINED documents, by a hash of id and text
-    part = text.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(min(1 << 30, (TRAINED << 30) // max(total, 1))))
+    # the scorer's sample: TRAINED different documents at most, by a hash of id and text
+    by = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 60))
+    part = bounded(text.where(by < F.lit(min(1 << 60, (TRAINED << 60) // max(total, 1) * 5 // 4))), by, TRAINED)
     trained = with_labels(part.mapInArrow(lambda b: vote(b, True), "id string, junk int, toxic int, features array<int>")).toArrow()
     rows = Rows(trained["features"])
     order = np.argsort([zlib.crc32((x or "").encode()) for x in trained["id"].to_pylist()], kind="stable")
@@ -296,19 +308,26 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
     del trained, rows
     model = spark.sparkContext.broadcast(heads)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<junk_score: double, toxic_score: double>")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         (junk_w, junk_b), (toxic_w, toxic_b) = model.value
         words = Words(lists)
-        for part, texts in _texts(batches, text_col):
+        for texts in parts:
             found = []
-            for raw in texts:
-                low = raw.lower().split()
-                slots = features(shares(raw, low), [words.of(w) for w in set(low)])
-                a = junk_b + sum(junk_w.get(s, 0.0) for s in slots)
-                b = toxic_b + sum(toxic_w.get(s, 0.0) for s in slots)
-                found.append((1 / (1 + np.exp(-max(min(a, 35), -35))) if low else 1.0, 1 / (1 + np.exp(-max(min(b, 35), -35))) if low else 0.0))
-            junk, toxic = pa.array([float(x) for x, _ in found], pa.float64()), pa.array([float(x) for _, x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*part.columns, junk, toxic], [*part.schema.names, "junk_score", "toxic_score"])
-
-    schema = StructType(list(docs.schema.fields)).add("junk_score", "double").add("toxic_score", "double")
-    return docs.mapInArrow(score, schema).withColumn("kept", (F.col("junk_score") < junk_limit) & (F.col("toxic_score") < toxic_limit))
+            for at in range(0, len(texts), SLICE):
+                for raw in _bytes(texts.slice(at, SLICE)):
+                    low = raw.lower().split()
+                    slots = features(shares(raw, low), [words.of(w) for w in set(low)])
+                    a = junk_b + sum(junk_w.get(s, 0.0) for s in slots)
+                    b = toxic_b + sum(toxic_w.get(s, 0.0) for s in slots)
+                    found.append((_chance(a) if low else 1.0, _chance(b) if low else 0.0))
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)], ["junk_score", "toxic_score"])
+
+    # the text alone goes to Python, the scores alone come back
+    judged = docs.withColumn("junk_score", score(F.col(text_col)))
+    judged = judged.withColumn("toxic_score", F.col("junk_score.toxic_score")).withColumn("junk_score", F.col("junk_score.junk_score"))
+    return judged.withColumn("kept", (F.col("junk_score") < junk_limit) & (F.col("toxic_score") < toxic_limit))
+
+
+def _chance(x: float) -> float:
+    return float(1 / (1 + np.exp(-max(min(x, 35), -35))))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Frequent words that are classes of their own (with the end), classes by last letters, and by length for the rest.
 OWN, ENDINGS, REST = 40, 20, 4
@@ -255,6 +255,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows. Words without a count are one event in each class, with the share that words seen once suggest.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     training = base.where("NOT held_out")
 
