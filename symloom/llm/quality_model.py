@@ -176,8 +176,8 @@ def train(rows: Rows, order_of: np.ndarray, targets: np.ndarray) -> tuple[dict[i
     """
     if not len(rows):
         return {}, -4.0
-    slots, place = np.unique(rows.flat, return_inverse=True)
-    place, starts, ends = place.astype(np.int32), rows.starts, rows.ends
+    slots, starts, ends = np.unique(rows.flat), rows.starts, rows.ends
+    place = np.concatenate([np.searchsorted(slots, part).astype(np.int32) for part in np.array_split(rows.flat, len(rows.flat) // (1 << 20) + 1)])
     z, n = np.zeros(len(slots) + 1), np.zeros(len(slots) + 1)
     bias = len(slots)
     order = np.random.default_rng(3)
@@ -199,19 +199,19 @@ def train(rows: Rows, order_of: np.ndarray, targets: np.ndarray) -> tuple[dict[i
     return {int(k): float(v) for k, v in zip(slots, w[:-1]) if v}, float(w[-1])
 
 
-def mine(words: Rows, heads: Rows, toxic: np.ndarray, half: np.ndarray) -> dict[str, frozenset[int]]:
-    """Slots of words (from either half of the labelled documents) and of word heads that tell toxic documents."""
+def mine(sample: DataFrame) -> dict[str, frozenset[int]]:
+    """Slots of words (from either half of the labelled documents) and of word heads that tell toxic documents.
 
-    def tells(rows: Rows, pick: np.ndarray) -> frozenset[int]:
-        bad = toxic & pick
-        if not bad.any():
-            return frozenset()
-        of = np.repeat(np.arange(len(rows)), rows.lengths)
-        slots, place = np.unique(rows.flat[pick[of]], return_inverse=True)
-        hits, all_ = np.bincount(place, toxic[of[pick[of]]], len(slots)), np.bincount(place, minlength=len(slots))
-        return frozenset(slots[(hits >= max(MINED_DOCS, MINED_PART * bad.sum())) & (hits >= MINED_SHARE * all_)].tolist())
+    ``sample``: half, toxic (0 or 1), words and heads of a document each. Only slots that tell are collected.
+    """
+
+    def tells(docs: DataFrame, column: str) -> frozenset[int]:
+        least = max(MINED_DOCS, MINED_PART * (docs.agg(F.sum("toxic")).first()[0] or 0))
+        counts = docs.select("toxic", F.explode(column).alias("slot")).groupBy("slot").agg(F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("docs"))
+        found = counts.where((F.col("hits") >= least) & (F.col("hits") >= MINED_SHARE * F.col("docs")))
+        return frozenset(r["slot"] for r in found.select("slot").collect())
 
-    return {"a": tells(words, half), "b": tells(words, ~half), "heads": tells(heads, np.ones(len(toxic), bool))}
+    return {"a": tells(sample.where("half = 1"), "words"), "b": tells(sample.where("half = 0"), "words"), "heads": tells(sample, "heads")}
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -227,7 +227,9 @@ def _bytes(texts: pa.Array) -> list[bytes]:
 
 def bounded(df: DataFrame, by: Column, rows: int) -> DataFrame:
     """At most ``rows`` rows of ``df``, those with the smallest hash ``by``; of rows with equal hashes one."""
-    return df.withColumn("_by", by).dropDuplicates(["_by"]).orderBy("_by").limit(rows).drop("_by")
+    keyed = df.withColumn("_by", by)
+    few = keyed.select("_by").distinct().orderBy("_by").limit(rows)
+    return keyed.join(F.broadcast(few), "_by", "left_semi").dropDuplicates(["_by"]).drop("_by")
 
 
 def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", junk_limit: float = 0.8, toxic_limit: float = 0.5) -> DataFrame:
@@ -259,10 +261,9 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
 
     mined_from = text.join(F.broadcast(chosen), F.col("id") == F.col("_id")).where("toxic IS NOT NULL")
     mined_from = bounded(mined_from.select("id", "text", "toxic"), F.xxhash64("id", "text"), LABELLED)
-    sample = mined_from.mapInArrow(list_slots, "id string, toxic int, words array<int>, heads array<int>").toArrow()
-    half = np.array([zlib.crc32(x.encode()) & 1 for x in sample["id"].to_pylist()], bool)
-    lists = mine(Rows(sample["words"]), Rows(sample["heads"]), sample["toxic"].to_numpy() > 0, half)
-    del sample
+    sample = mined_from.mapInArrow(list_slots, "id string, toxic int, words array<int>, heads array<int>")
+    sample = sample.select((F.crc32(F.col("id").cast("binary")) % 2).alias("half"), (F.col("toxic") > 0).cast("int").alias("toxic"), "words", "heads")
+    lists = mine(written(sample, "quality-slots"))
 
     def vote(batches: Iterator[pa.RecordBatch], with_features: bool = False) -> Iterator[pa.RecordBatch]:
         words = Words(lists)
