@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,9 +22,11 @@ from pyspark.sql.window import Window
 from .common import written
 
 #: Projected dimensions, and the probability at which the test stops a search.
-DIMENSIONS, CONFIDENCE = 16, 0.95
-#: Distinct vectors that the upper levels are fitted to at most, vectors in a cell about, vectors in a leaf, queries in a block.
-SAMPLE, CELL, LEAF, BLOCK = 20_000, 8192, 64, 2048
+DIMENSIONS, CONFIDENCE = 8, 0.9
+#: Distinct vectors that the upper levels are fitted to at most, vectors in a cell about (least, most), vectors in a leaf.
+SAMPLE, CELL, MOST_CELL, LEAF = 20_000, 2048, 65_536, 64
+#: Squared distances so near count as equal.
+TIE = 1e-12
 #: Cells of the upper levels at most; larger tables deal a cell's vectors to more tasks by hash.
 CELLS = 1024
 SEED = 7
@@ -95,41 +97,58 @@ class Splits:
 
 
 class Tree:
-    """The lower levels over a cell's points: leaves of equal size with their boxes."""
+    """The lower levels over a cell's projected points: leaves of equal size with their boxes, points in order of leaves."""
 
     def __init__(self, points: np.ndarray):
-        self.leaves: list[np.ndarray] = []
-        self._cut(points, np.arange(len(points)))
-        self.low = np.array([points[x].min(axis=0) for x in self.leaves])
-        self.high = np.array([points[x].max(axis=0) for x in self.leaves])
-
-    def _cut(self, points: np.ndarray, of: np.ndarray) -> None:
+        leaves: list[np.ndarray] = []
+        self._cut(points, np.arange(len(points)), leaves)
+        self.order = np.concatenate(leaves)
+        self.points = points[self.order]
+        ends = np.cumsum([len(x) for x in leaves])
+        self.spans = list(zip((ends - [len(x) for x in leaves]).tolist(), ends.tolist()))
+        self.low = np.array([points[x].min(axis=0) for x in leaves])
+        self.high = np.array([points[x].max(axis=0) for x in leaves])
+
+    def _cut(self, points: np.ndarray, of: np.ndarray, leaves: list[np.ndarray]) -> None:
         if len(of) <= LEAF:
-            self.leaves.append(of)
+            leaves.append(of)
             return
         here = points[of]
         d = int((here.max(axis=0) - here.min(axis=0)).argmax())
         order = np.argpartition(here[:, d], len(of) // 2)
-        self._cut(points, of[order[: len(of) // 2]])
-        self._cut(points, of[order[len(of) // 2 :]])
+        self._cut(points, of[order[: len(of) // 2]], leaves)
+        self._cut(points, of[order[len(of) // 2 :]], leaves)
+
+    def search(self, query: np.ndarray, projected: np.ndarray, vectors: np.ndarray, want: int, reach: float, limit: float) -> tuple[np.ndarray, int]:
+        """Places of the ``want`` nearest found, ties of the last included, and how many vectors were verified.
 
-    def search(self, query: np.ndarray, projected: np.ndarray, vectors: np.ndarray, want: int, reach: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """The ``want`` nearest found, as places and squared distances; ``reach``: the squared distance to beat."""
+        Points come in order of projected distance. Each step verifies some of them and lowers ``reach``, the squared
+        distance to beat; the search stops where the next point's squared projected distance is over ``limit`` times that.
+        ``vectors`` are in the tree's order.
+        """
         gap = np.maximum(np.maximum(self.low - projected, projected - self.high), 0)
-        bounds = (gap * gap).sum(axis=1)
-        order = np.argsort(bounds)
-        places, found = np.empty(0, np.int64), np.empty(0)
-        for at in range(0, len(order), 8):
-            if bounds[order[at]] > limit * reach:
+        open_ = np.nonzero((gap * gap).sum(axis=1) <= limit * reach)[0]
+        if not len(open_):
+            return np.empty(0, np.int64), 0
+        of = np.concatenate([np.arange(*self.spans[k]) for k in open_.tolist()])
+        away = self.points[of] - projected
+        away = (away * away).sum(axis=1)
+        near = away <= limit * reach
+        of, away = of[near], away[near]
+        order = np.argsort(away, kind="stable")
+        of, away = of[order], away[order]
+        places, found, at, step = np.empty(0, np.int64), np.empty(0), 0, 4 * want
+        while at < len(of):
+            upto = min(at + step, int(np.searchsorted(away, limit * reach, "right")))
+            if upto <= at:
                 break
-            of = np.concatenate([self.leaves[k] for k in order[at : at + 8]])
-            places, found = np.concatenate([places, of]), np.concatenate([found, 2 - 2 * (vectors[of] @ query)])
-            if len(found) > want:
-                keep = np.argpartition(found, want - 1)[:want]
-                places, found = places[keep], found[keep]
-            if len(found) == want:
-                reach = min(reach, max(found.max(), 1e-12))
-        return places, found
+            places, found = np.concatenate([places, of[at:upto]]), np.concatenate([found, 2 - 2 * (vectors[of[at:upto]] @ query)])
+            at, step = upto, 2 * step
+            if len(found) >= want:
+                last = np.partition(found, want - 1)[want - 1]
+                keep = found <= last + TIE
+                places, found, reach = places[keep], found[keep], min(reach, max(last, TIE))
+        return places, at
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -142,20 +161,44 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     """The ``k`` nearest rows by cosine of each row whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
     Rows whose vector is null, empty, zero or has null or non-finite components take no part, nor do rows with a null
-    id or of another length than most. Ties go to the smaller id. Equal vectors are searched once, whatever their
-    number; a row is no neighbour of itself, though its copies are. Rows repeated with their id ask once. Fewer rows than ``k + 1`` give all there are.
+    id. Vectors of different lengths have no cosine: each length is searched for itself, all rows of a length against
+    that length's queries. Ties go to the smaller id. Equal vectors are searched once, whatever their number; a row is no
+    neighbour of itself, though its copies are. Rows repeated with their id ask once. Fewer rows than ``k + 1`` give all
+    there are. An empty table gives no rows; other columns don't matter, whatever their names.
     """
-    spark, want = vectors.sparkSession, k + 1
+    spark = vectors.sparkSession
+    found = [_nearest(rows, d, k, every)[0] for rows, d in _by_length(vectors, id_col, vector_col)]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for one in found:
+        out = out.unionByName(one)
+    return found[0] if len(found) == 1 else out
+
+
+def verified_share(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """The share of all pairs of a query and a vector that the search verifies."""
+    seen = pairs = 0
+    for rows, d in _by_length(vectors, id_col, vector_col):
+        _, verified, n = _nearest(rows, d, k, every)
+        total, queries = verified.agg(F.sum("verified"), F.countDistinct("key")).first()
+        seen, pairs = seen + (total or 0), pairs + n * queries
+    return seen / pairs if pairs else 0.0
+
+
+def _by_length(vectors: DataFrame, id_col: str, vector_col: str) -> list[tuple[DataFrame, int]]:
+    """Rows (id, vector) that take part, by length of their vectors. Lengths are collected: one row each."""
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if kind == "float" else "array<double>").alias("vector"))
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if sizes is None:
-        return empty
-    dimension = sizes["d"]
-    rows = rows.where(F.size("vector") == dimension)
+    sizes = [r["d"] for r in rows.select(F.size("vector").alias("d")).distinct().orderBy("d").collect()]
+    return [(rows.where(F.size("vector") == d), d) for d in sizes]
+
+
+def _nearest(rows: DataFrame, dimension: int, k: int, every: int) -> tuple[DataFrame, DataFrame, int]:
+    """The result of :func:`nearest` over rows of one length, a table (key, verified) of searches, and the number of distinct vectors."""
+    spark, want = rows.sparkSession, k + 1
+    kind = rows.schema["vector"].dataType.simpleString()
     # equal vectors once, with their smallest ids; the limit is applied before the shuffle too
     first = Window.partitionBy("vector").orderBy("id")
     few = rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= want)
@@ -164,70 +207,96 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     n = distinct.count()
     sample = distinct.select("vector").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toPandas()  # bounded by SAMPLE
     matrix = projection(dimension)
-    splits = Splits(unit(np.array(sample["vector"].tolist())) @ matrix, max(1, min(CELLS, -(-n // CELL))))
-    salts = max(1, -(-n // (CELL * len(splits.low))))
+    size = min(MOST_CELL, max(CELL, n // 64))
+    splits = Splits(unit(np.array(sample["vector"].tolist())) @ matrix, max(1, min(CELLS, -(-n // size))))
+    salts = max(1, -(-n // (size * len(splits.low))))
     limit = chi_square_point(CONFIDENCE, DIMENSIONS)
 
-    def celled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if len(p):
-                yield p.assign(cell=splits.cell(unit(np.array(p["vector"].tolist())) @ matrix).astype("int32"))
+    def rows_of(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(splits.cell(unit(rows_of(b.column("vector"))) @ matrix).astype(np.int32))], [*b.schema.names, "cell"])
 
-    index = written(distinct.mapInPandas(celled, "key string, vector array<double>, ids array<long>, cell int").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")), "ann-index")
+    index = distinct.mapInArrow(celled, f"key string, vector {kind}, ids array<long>, cell int")
+    index = written(index.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")), "ann-index")
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "vector"])
-    queries = index.join(asked.select("vector").distinct(), "vector", "left_semi")
-    queries = queries.withColumn("block", F.floor(F.pmod(F.xxhash64(F.lit("q"), "key"), F.lit(1 << 20)) * F.lit(-(-n // (BLOCK * every)) or 1) / (1 << 20)).cast("int"))
-    queries = written(queries.select("key", "vector", "cell", "block"), "ann-queries")
-
-    def search(_: tuple, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(points) and len(asked):
-            raw = np.array(points["vector"].tolist())
-            vectors = unit(raw)
-            tree, ids = Tree(vectors @ matrix), points["ids"].tolist()
-            for key, q, reach in zip(asked["key"], asked["vector"], asked["reach"]):
-                q = np.asarray(q)
-                direction = unit(q[None, :])[0]
-                places, _d = tree.search(direction, direction @ matrix, vectors, want, reach, limit)
-                scores = cosines(raw[places], q)
-                best = sorted((-s, i) for s, p in zip(scores.tolist(), places) for i in ids[p])[:want]
-                out += [(key, int(i), -s) for s, i in best]
-        return pd.DataFrame(out, columns=["key", "id", "score"])
-
-    def visit(routed: DataFrame) -> DataFrame:
-        """Searches the cells to which the queries are routed (key, vector, cell, block, reach)."""
-        pairs = routed.select(F.col("cell").alias("_c"), F.col("block").alias("block")).distinct()
-        points = index.join(pairs, F.col("cell") == F.col("_c")).select("vector", "ids", "cell", "salt", "block")
-        dealt = routed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else routed.withColumn("salt", F.lit(0))
-        by = ["cell", "salt", "block"]
-        return points.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(search, "key string, id long, score double")
+    queries = written(index.join(asked.select("vector").distinct(), "vector", "left_semi").select("key", "vector", "cell"), "ann-queries")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows by cell and salt: points first, of which a tree is made, then the queries, one after another."""
+        at, held, tree, directions, raw, ids = None, [], None, None, None, None
+        for batch in batches:
+            group = batch.column("cell").to_numpy().astype(np.int64) * (1 << 32) + batch.column("salt").to_numpy() * 2 + batch.column("asks").to_numpy()
+            edges = [0, *(np.nonzero(group[1:] != group[:-1])[0] + 1).tolist(), len(group)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if lo == hi:
+                    continue
+                part, now, asks = batch.slice(lo, hi - lo), int(group[lo]) >> 1, int(group[lo]) & 1
+                if now != at:
+                    at, held, tree = now, [], None
+                if not asks:
+                    held.append(part)
+                    continue
+                if not held and tree is None:
+                    continue  # a cell without points
+                if tree is None:
+                    raw = np.concatenate([rows_of(x.column("vector")) for x in held])
+                    directions = unit(raw)
+                    tree = Tree(directions @ matrix)
+                    ids = [i for x in held for i in x.column("ids").to_pylist()]
+                    raw, directions, ids, held = raw[tree.order], directions[tree.order], [ids[i] for i in tree.order.tolist()], []
+                found: list[tuple] = []
+                asked_, reaches = rows_of(part.column("vector")), part.column("reach").to_pylist()
+                units = unit(asked_)
+                projected = units @ matrix
+                for i, key in enumerate(part.column("key").to_pylist()):
+                    places, verified = tree.search(units[i], projected[i], directions, want, reaches[i], limit)
+                    best = sorted((-x, one) for x, p in zip(cosines(raw[places], asked_[i]).tolist(), places.tolist()) for one in ids[p])[:want]
+                    found.append((key, verified, [one for _, one in best], [-x for x, _ in best]))
+                columns = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "verified", "ids", "scores"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(splits.low) * salts)
+
+    def visit(routed: DataFrame, label: str) -> DataFrame:
+        """Searches the cells to which the queries are routed (key, vector, cell, reach). The index is dealt once, whatever the number of queries."""
+        points = index.select("cell", "salt", F.lit(0).alias("asks"), "key", "vector", "ids", F.lit(0.0).alias("reach"))
+        salted = routed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        asks = salted.select("cell", "salt", F.lit(1).alias("asks"), "key", "vector", F.lit(None).cast("array<long>").alias("ids"), "reach")
+        dealt = points.unionByName(asks).repartition(parts, "cell", "salt").sortWithinPartitions("cell", "salt", "asks", "key")
+        return written(dealt.mapInArrow(search, "key string, verified long, ids array<long>, scores array<double>"), label)
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("key").orderBy(F.desc("score"), "id")
-        return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= want).drop("_k")
+        pairs = found.select("key", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score"))).alias("p")).select("key", "p.id", "p.score")
+        return pairs.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= want).drop("_k")
 
-    own = written(visit(queries.withColumn("reach", F.lit(8.0))), "ann-own")
+    own = visit(queries.withColumn("reach", F.lit(8.0)), "ann-own")
     reached = best(own).groupBy("key").agg(F.min("score").alias("_low"), F.count(F.lit(1)).alias("_n"))
     reached = reached.select("key", F.when(F.col("_n") >= want, 2 - 2 * F.col("_low")).otherwise(8.0).alias("reach"))
 
-    def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if not len(p):
-                continue
-            bounds = splits.bounds(unit(np.array(p["vector"].tolist())) @ matrix)
-            reach = np.maximum(p["reach"].to_numpy(float), 1e-12)
-            go = bounds <= limit * reach[:, None]
-            go[np.arange(len(p)), p["cell"].to_numpy()] = False
-            row, cell = np.nonzero(go)
-            q = p.iloc[row]
-            yield q.assign(cell=cell.astype("int32"))
-
-    routed = queries.join(reached, "key").select("key", "vector", "cell", "block", "reach").mapInPandas(route, "key string, vector array<double>, cell int, block int, reach double")
-    found = best(own.unionByName(visit(written(routed, "ann-routed"))))
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                q = b.slice(at, 1000)
+                bounds = splits.bounds(unit(rows_of(q.column("vector"))) @ matrix)
+                go = bounds <= limit * np.maximum(q.column("reach").to_numpy(), TIE)[:, None]
+                go[np.arange(q.num_rows), q.column("cell").to_numpy()] = False
+                row, cell = np.nonzero(go)
+                q = q.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([q.column("key"), q.column("vector"), pa.array(cell.astype(np.int32)), q.column("reach")], ["key", "vector", "cell", "reach"])
+
+    routed = queries.join(reached, "key").select("key", "vector", "cell", "reach").mapInArrow(route, f"key string, vector {kind}, cell int, reach double")
+    every_visit = own.unionByName(visit(written(routed, "ann-routed"), "ann-others"))
+    found = best(every_visit)
     # back to the rows that ask: each asks with its own id left out
     keyed = asked.join(queries.select("key", F.col("vector").alias("_v")), F.col("vector") == F.col("_v")).select(F.col("id").alias("query_id"), "key")
     pairs = keyed.join(found, "key")
     itself = F.row_number().over(Window.partitionBy("query_id", "key", "id").orderBy("id")) == 1
     pairs = pairs.withColumn("_own", (F.col("id") == F.col("query_id")) & itself).where("NOT _own")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    out = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    return out, every_visit.select("key", "verified"), n
