@@ -130,6 +130,13 @@ def test_sharding(many):
         assert sorted(g.slot) == list(range(len(g)))
 
 
+@pytest.mark.parametrize("n", [3, 16, 17, 40])
+def test_one_more_shard_is_the_next_count(spark, n):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    grown = {r["doc_id"]: r["grown_shard"] for r in sharding.shard_documents(docs, n).collect()}
+    assert grown == {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, n + 1).collect()}
+
+
 def test_sharding_odd(odd, none):
     rows = sharding.shard_documents(odd).toPandas()
     assert len(rows) == odd.count() and rows.shard.notna().all()
@@ -312,6 +319,30 @@ def test_classifier_odd(spark, odd, none):
     assert quality_model.classify(none, labels).count() == 0
 
 
+def test_a_sample_is_bounded(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("id"), F.lit("same").alias("text"))
+    assert sorted(r["id"] for r in quality_model.bounded(df, F.xxhash64("id", "text"), 10).collect()) == [0, 1, 2]
+    assert quality_model.bounded(spark.range(500), F.xxhash64("id"), 10).count() == 10
+
+
+def test_labellers_equal_row_by_row_maximisation():
+    r = np.random.default_rng(2)
+    truth = r.random(3000) < 0.2
+    rows = [[int(x) for x in np.where(r.random(5) < 0.2, 0, np.where((r.random(5) < 0.85) == t, 1, 2))] for t in truth]
+    post = quality_model.fit_labellers(dict(Counter(map(quality_model.pattern, rows))), 5, 0.1)
+    p = np.array([np.clip((v.count(1) + 0.2) / (v.count(1) + v.count(2) + 2), 0.02, 0.98) for v in rows])
+    for _ in range(quality_model.ROUNDS):
+        score = np.full(len(rows), math.log(np.clip(p.mean(), 1e-4, 0.9) / (1 - np.clip(p.mean(), 1e-4, 0.9))))
+        for j in range(5):
+            for vote in range(3):
+                has = np.array([v[j] == vote for v in rows])
+                a, b = ((has * w).sum() + 0.5 for w in (p, 1 - p))
+                score += has * (math.log(a / (p.sum() + 1.5)) - math.log(b / ((1 - p).sum() + 1.5)))
+        p = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
+    assert np.allclose(p, [post[quality_model.pattern(v)] for v in rows], atol=1e-9)
+    assert ((p > 0.5) == truth).mean() > 0.9
+
+
 def test_labellers_are_weighed():
     counts = {quality_model.pattern(v): n for v, n in [([1, 1, 0], 50), ([2, 2, 2], 900), ([0, 0, 1], 5), ([2, 2, 1], 10)]}
     post = quality_model.fit_labellers(counts, 3, 0.1)
@@ -337,7 +368,65 @@ def test_page_text(spark):
 def test_lines_shared_with_the_nearest_page_go(spark):
     page = "<body><div>home</div><div>about</div><p>{}</p><div>imprint</div></body>"
     df = spark.createDataFrame([(i, f"http://h/x/{i}", page.format(f"text {i}")) for i in range(4)], "page_id long, url string, html string")
-    assert {r["text"] for r in html_text.extract_pages(df, partitions=1).collect()} == {f"text {i}" for i in range(4)}
+    assert {r["text"] for r in html_text.extract_pages(df).collect()} == {f"text {i}" for i in range(4)}
+
+
+def random_pages():
+    """Pages of three hosts: marked and unmarked articles, shared menus, copies, repeated rows, ties of path and id."""
+    r, rows = random.Random(3), []
+    for i in range(240):
+        host = r.choice(["a.x", "a.x", "b.y", "c.z"])
+        kind, story = r.randrange(4), "".join(f"<p>line {r.randrange(60)} of story {r.randrange(30)}</p>" for _ in range(r.randrange(1, 6)))
+        if r.random() < 0.3:
+            story = "<p>copied one</p><p>copied two</p>" + ("<p>changed</p>" if r.random() < 0.3 else "")
+        body = f"<article>{story}</article>" if kind == 0 else f'<div class="post-content">{story}</div>' if kind == 1 else story
+        top = f"<div>home of {host}</div><div>about</div>" + (f"<div>day {r.randrange(3)}</div>" if r.random() < 0.5 else "")
+        url = None if r.random() < 0.03 else f"http://{host}/{r.choice('pq')}/{r.randrange(40)}"
+        rows.append((None if r.random() < 0.05 else i, url, f"<body>{top}{body}<div>imprint</div></body>"))
+    return rows + rows[:20] + [(rows[0][0], rows[0][1], rows[1][2]), (1000, "http://a.x/p/3", "<p>" + "long text " * 60_000 + "</p>" + "".join(f"<p>{i}</p>" for i in range(4000))), (1001, "http://a.x/p/4", None)]
+
+
+def brute_texts(spark, rows):
+    """Every page's text by a search through all pages of its host."""
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").fillna("", "html")
+    keyed = df.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"), url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path")).distinct().collect()
+    pages = []
+    for r in keyed:
+        lines = html_text.page_lines(r["html"])
+        top = max([1] + [x.role for x in lines])
+        pages.append((r["host"], r["path"], r["page_id"] is not None, r["page_id"] or 0, r["key"], lines, [x.text for x in lines if x.role == top] or [x.text for x in lines if x.role >= 0], r))
+    pages.sort(key=lambda x: x[:5])
+    out = {}
+    for i, p in enumerate(pages):
+        make = lambda q: html_text.Page(q[4], q[1], 0, [x.text for x in q[5]], [x.role for x in q[5]], [len(x.text) for x in q[5]])
+        before = next((make(q) for q in reversed(pages[:i]) if q[0] == p[0] and q[6] != p[6]), None)
+        after = next((make(q) for q in pages[i + 1 :] if q[0] == p[0] and q[6] != p[6]), None)
+        gone = html_text.template_lines(make(p), before, after)
+        out[p[7]["page_id"], p[7]["url"], p[7]["html"]] = html_text.main_text(p[5], gone)
+    return sorted((str((p, u)), out[p, u, h or ""]) for p, u, h in rows)
+
+
+def test_pages_equal_brute_force_on_any_partitions(spark, monkeypatch):
+    rows = random_pages()
+    want = brute_texts(spark, rows)
+    assert any("imprint" not in x for _, x in want) and any("copied one" in x for _, x in want)
+    df = spark.createDataFrame([(*r, "own", 1) for r in rows], "page_id long, url string, html string, key string, host int")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, lines in ((1, 500_000), (8, 0), (40, 500_000)):
+            monkeypatch.setattr(html_text, "BROADCAST_LINES", lines)
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted((str((r["page_id"], r["url"])), r["text"]) for r in html_text.extract_pages(df).collect()) == want, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_templates_and_copies():
+    page = lambda key, path, lines: html_text.Page(key, path, key, lines, [0] * len(lines), [10] * len(lines))
+    own = page(1, "/a/1", ["menu", "x", "y", "imprint"])
+    assert html_text.template_lines(own, page(2, "/a/0", ["menu", "p", "imprint"]), page(3, "/b", ["menu", "q"])) == [0, 3]
+    assert html_text.template_lines(own, page(2, "/a/0", ["menu", "x", "y", "z"]), page(3, "/b", ["menu", "q"])) == [0]  # a near copy
+    assert html_text.template_lines(own, None, page(3, "/b", ["menu", "q"])) == [0] and html_text.template_lines(own, None, None) == []
 
 
 @pytest.mark.parametrize("bits", [1 << 28, 16])
@@ -369,13 +458,16 @@ def test_urls_equal_sql(spark, sf_dir):
 
 def test_urls_odd(spark):
     urls = [None, "", "nothing", "HTTP://WWW.Example.COM/en/7x?q", "http://com/en/", "http://xcom/en/", "http://a.example.net/de/81#z", "http://net", "http://é.org/es/ñ", "http://u@a.org/es/"]
-    df = spark.createDataFrame([(i, u, "own", 1) for i, u in enumerate(urls)], "page_id long, url string, verdict string, _row int")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df.drop("_row"), url_filter.rules_frame(spark, queries.URL_RULES)).collect()}
+    urls += ["http://a.net/de/" + "x" * 200_000, *[urls[4]] * 3]
+    df = spark.createDataFrame([(i, u, "own", 1, 2, "h") for i, u in enumerate(urls)], "page_id long, url string, verdict string, _row int, _s int, `_h.x` string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, url_filter.rules_frame(spark, queries.URL_RULES)).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("www.example.com", "/en/7x", "example.com/en/7", "allow") and got[4][2:] == ("com/en/", "block") and got[5][2:] == (None, "allow")
     assert got[6][2:] == ("example.net/de/8", "block") and got[7] == ("net", "", None, "allow") and got[8][2:] == ("org/es/", "block") and got[9][2] == "org/es/"
-    assert url_filter.judge_urls(df.drop("_row").limit(0), url_filter.rules_frame(spark, queries.URL_RULES)).count() == 0
-    assert url_filter.judge_urls(df.drop("_row"), url_filter.rules_frame(spark, [])).count() == len(urls)
+    assert got[10][2:] == ("net/de/", "block") and got[11] == got[13] == got[4]
+    assert url_filter.judge_urls(df, url_filter.rules_frame(spark, queries.URL_RULES)).columns == ["page_id", "url", "_row", "_s", "_h.x", "host", "path", "rule", "verdict"]
+    assert url_filter.judge_urls(df.limit(0), url_filter.rules_frame(spark, queries.URL_RULES)).count() == 0
+    assert url_filter.judge_urls(df, url_filter.rules_frame(spark, [])).count() == len(urls)
 
 
 # Pipeline
@@ -399,3 +491,27 @@ def test_stages_odd(spark, odd):
     kept = stages.one_of_each(odd, jaccard_join.similar(odd, 5, 80))
     ids = [r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None]
     assert len(ids) == len(set(ids)) and {1, 2, 3, 4, 5} <= set(ids) and 9 not in ids and 6 not in ids
+
+
+# Nearest neighbours where projections tell near from far
+
+
+def test_neighbours_of_clusters(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 256)
+    r = np.random.default_rng(4)
+    rows = [(i, (r.standard_normal(32) * 0.05 + c).tolist()) for i, c in enumerate(np.repeat(r.standard_normal((60, 32)), 50, axis=0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for x in neighbours.nearest(df).collect():
+        got[x["query_id"]][x["rank"]] = x["vec_id"]
+    want = dict(brute_nearest(rows))
+    hits = sum(len(set(got[q].values()) & set(ids)) for q, ids in want.items())
+    assert set(got) == set(want) and hits >= 0.9 * 5 * len(want)
+    assert neighbours.verified_share(df) < 0.1
+
+
+def test_neighbours_of_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0, 0.0]), (0, [1.0, 0.0]), (3, [])]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "vec_id long, embedding array<double>, key string, cell int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(df).collect())
+    assert got == [(0, 1, 0), (0, 2, 1), (50, 1, 2)]
