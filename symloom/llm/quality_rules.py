@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, written
 
@@ -68,21 +69,26 @@ def _vector() -> list[Column]:
 
 def _quantile(df: DataFrame, groups: list[str], value: Column, share: float) -> DataFrame:
     """For each group the level under which ``share`` of its rows lie, from counts by level: exact counts, whatever the order of rows."""
-    from pyspark.sql.window import Window
-
-    level = F.floor(F.log2(value + F.lit(1e-6)) * LEVELS)
-    counts = df.groupBy(*groups, level.alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*groups, _level(value).alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
     run, all_rows = Window.partitionBy(*groups).orderBy("_level"), Window.partitionBy(*groups)
     counts = counts.withColumn("_run", F.sum("_n").over(run)).withColumn("_total", F.sum("_n").over(all_rows))
     return counts.where(F.col("_run") >= F.col("_total") * share).groupBy(*groups).agg(F.min("_level").alias("_cut"))
 
 
+def _level(value: Column) -> Column:
+    return F.floor(F.log2(value + F.lit(1e-6)) * LEVELS)
+
+
 def _moments(df: DataFrame, groups: list[str]) -> DataFrame:
     """Count, means and the covariance matrix (upper triangle c_i_j) of each group."""
-    names = list(STATS)
-    means = [F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)]
-    products = [F.covar_pop(a, names[j]).alias(f"c_{i}_{j}") for i, a in enumerate(names) for j in range(i, len(names))]
-    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *means, *products)
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *_mean_and_covariance())
+
+
+def _mean_and_covariance(of: Column | None = None, suffix: str = "") -> list[Column]:
+    """Aggregates m_i and c_i_j, of all rows or of those for which ``of`` holds."""
+    x = [F.col(n) if of is None else F.when(of, F.col(n)) for n in STATS]
+    products = [F.covar_pop(a, x[j]).alias(f"c_{i}_{j}{suffix}") for i, a in enumerate(x) for j in range(i, len(x))]
+    return [*[F.avg(v).alias(f"m_{i}{suffix}") for i, v in enumerate(x)], *products]
 
 
 def _factor(moments: DataFrame) -> DataFrame:
@@ -127,29 +133,46 @@ def _joined(df: DataFrame, table: DataFrame, groups: list[str], few: bool) -> Da
 BROADCAST_GROUPS = 100_000
 
 
+#: Names of an estimate's columns: means and the lower triangle of the factor.
+FIGURES = [*[f"m_{i}" for i in range(len(STATS))], *[f"l_{i}_{j}" for i in range(len(STATS)) for j in range(i + 1)]]
+
+
+def starts(stats: DataFrame, groups: list[str]) -> DataFrame:
+    """Three first estimates of each group, numbered by ``start``, all in one pass over ``stats``.
+
+    Medians with a diagonal of quartile ranges; means and covariance of all rows; those of a quarter of them, by hash.
+    """
+    names, size = list(STATS), range(len(STATS))
+    quarter = F.pmod(F.xxhash64(*names), F.lit(4)) == 0
+    quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, n in enumerate(names)]
+    one = stats.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *quartiles, *_mean_and_covariance(None, "_a"), *_mean_and_covariance(quarter, "_b"))
+    pairs = [(i, j) for i in size for j in range(i, len(STATS))]
+    spread = lambda i: F.pow((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, 2)
+    robust = [*[F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in size], *[(spread(i) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in pairs]]
+    # a quarter without rows is all of them
+    plain = lambda s: [F.coalesce(F.col(f"{n}{s}"), F.col(f"{n}_a")).alias(n) for n in (*[f"m_{i}" for i in size], *[f"c_{i}_{j}" for i, j in pairs])]
+    made = [F.struct(F.lit(k).alias("start"), *columns) for k, columns in enumerate((robust, plain("_a"), plain("_b")))]
+    return _factor(one.select(*groups, "rows", F.explode(F.array(*made)).alias("s")).select(*groups, "rows", "s.*"))
+
+
 def mcd(stats: DataFrame, groups: list[str]) -> DataFrame:
-    """Means and Cholesky factors of the rows that the last concentration step keeps, by group.
+    """For each group its rows, and means and Cholesky factor of the minimum covariance determinant.
 
-    ``stats`` has the columns of STATS and is read once a step. The first step starts from medians and a diagonal of
-    median absolute deviations.
+    ``stats`` has the columns of STATS and is read twice a step. From each of the starts, a step keeps the share KEEP of
+    the rows nearest by the estimate and estimates anew from them; after STEPS of these the estimate with the smallest
+    determinant holds.
     """
-    names = list(STATS)
-    few = stats.select(*groups).distinct().count() <= BROADCAST_GROUPS
-    start = stats.groupBy(*groups).agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m_{i}") for i, n in enumerate(names)])
-    away = _joined(stats, start, groups, few)
-    spread = away.groupBy(*groups).agg(*[F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, 1000).alias(f"_s{i}") for i, n in enumerate(names)])
-    estimate = _joined(start, spread, groups, few)
-    for i in range(len(names)):
-        for j in range(i, len(names)):
-            estimate = estimate.withColumn(f"c_{i}_{j}", F.pow(F.col(f"_s{i}") * 1.4826, 2) if i == j else F.lit(0.0))
-    estimate = _factor(estimate)
+    by = [*groups, "start"]
+    estimate = written(starts(stats, groups).select(*by, F.col("rows").alias("all_rows"), *FIGURES), "mcd-step")
+    few = estimate.count() <= BROADCAST_GROUPS
     for _ in range(STEPS):
-        estimate = written(estimate.select(*groups, *[f"m_{i}" for i in range(len(names))], *[f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)]), "mcd-step")
-        measured = _distance(_joined(stats, estimate, groups, few)).select(*groups, *names, "distance2")
-        cut = _quantile(measured, groups, F.col("distance2"), KEEP)
-        near = _joined(measured, cut, groups, few).where(F.floor(F.log2(F.col("distance2") + F.lit(1e-6)) * LEVELS) <= F.col("_cut"))
-        estimate = _factor(_moments(near, groups))
-    return written(estimate.select(*groups, "rows", *[f"m_{i}" for i in range(len(names))], *[f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)]), "mcd")
+        measured = _distance(_joined(stats, estimate, groups, few)).select(*by, "all_rows", *STATS, "distance2")
+        cut = _quantile(measured, by, F.col("distance2"), KEEP)
+        near = _joined(measured, cut, by, few).where(_level(F.col("distance2")) <= F.col("_cut"))
+        estimate = written(_factor(_moments(near, [*by, "all_rows"])).select(*by, "all_rows", *FIGURES), "mcd-step")
+    determinant = sum((F.log(f"l_{i}_{i}") for i in range(len(STATS))), F.lit(0.0))
+    best = estimate.groupBy(*groups).agg(F.min_by(F.struct(F.col("all_rows").alias("rows"), *FIGURES), F.struct(determinant, "start")).alias("e"))
+    return best.select(*groups, "e.*")
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
@@ -167,19 +190,20 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = text_counts(kept, "doc_id", "_t", ["_lang", "_source", *[f"c_{c}" for c in carry if c != text_col]])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = written(counts.select("*", failed.alias("base_failed"), *_vector()), "quality-stats")
-    sound = stats.where("NOT base_failed").select("_lang", "_source", *STATS)
-    by_source = mcd(sound, ["_lang", "_source"])
-    by_lang = mcd(sound, ["_lang"])
-    everywhere = mcd(sound.withColumn("_whole", F.lit(0)), ["_whole"])
-    few = by_source.count() <= BROADCAST_GROUPS
+    # every row stands for its language and source, for its language, and for all
+    level = lambda n, lang, source: F.struct(F.lit(n).alias("level"), lang.cast("string").alias("_lang"), source.cast("string").alias("_source"))
+    none = F.lit(None)
+    levels = F.array(level(2, F.col("_lang"), F.col("_source")), level(1, F.col("_lang"), none), level(0, none, none))
+    sound = stats.where("NOT base_failed").select(F.explode(levels).alias("g"), *STATS).select("g.*", *STATS)
+    estimates = written(mcd(sound, ["level", "_lang", "_source"]), "mcd")
+    few = estimates.count() <= BROADCAST_GROUPS
     # each group's own estimate, or that of the next larger group
-    figures = [c for c in by_source.columns if c not in ("_lang", "_source", "rows")]
-    pick = by_source
-    wide = _joined(pick, by_lang.select("_lang", F.col("rows").alias("rows_l"), *[F.col(c).alias(f"{c}_l") for c in figures]), ["_lang"], few)
-    wide = wide.crossJoin(F.broadcast(everywhere.select(*[F.col(c).alias(f"{c}_a") for c in figures])))  # one row
-    estimate = wide.select("_lang", "_source", *[F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).when(F.col("rows_l") >= LEAST_ROWS, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a")).alias(c) for c in figures])
-    renamed = estimate.select(F.col("_lang").alias("_kl"), F.col("_source").alias("_ks"), *figures)
-    measured = stats.join(F.broadcast(renamed) if few else renamed, F.col("_lang").eqNullSafe(F.col("_kl")) & F.col("_source").eqNullSafe(F.col("_ks")), "left")
+    at = lambda level, suffix, *keys: estimates.where(F.col("level") == level).select(*[F.col(k).alias(f"{k}{suffix}") for k in keys], F.struct("rows", *FIGURES).alias(f"e{suffix}"))
+    wide = at(2, "_2", "_lang", "_source").join(at(1, "_1", "_lang"), F.col("_lang_2").eqNullSafe(F.col("_lang_1")))
+    wide = wide.crossJoin(F.broadcast(at(0, "_0")))  # one row
+    enough = [F.when(F.col(f"e{x}.rows") >= LEAST_ROWS, F.col(f"e{x}")) for x in ("_2", "_1")]
+    picked = wide.select(F.col("_lang_2").alias("_kl"), F.col("_source_2").alias("_ks"), F.coalesce(*enough, F.col("e_0")).alias("e")).select("_kl", "_ks", "e.*")
+    measured = stats.join(F.broadcast(picked) if few else picked, F.col("_lang").eqNullSafe(F.col("_kl")) & F.col("_source").eqNullSafe(F.col("_ks")), "left")
     measured = _distance(measured)
     over = [F.col(n) - F.col(f"m_{i}") for i, n in enumerate(STATS)]
     junk = F.greatest(F.abs(over[0]) / STATS["x_length"], *[over[i] / s for i, s in enumerate(STATS.values()) if i]) >= 3
