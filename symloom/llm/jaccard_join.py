@@ -8,7 +8,8 @@ which two parity bitmaps differ bound the overlap from above; what stays is inte
 A group of thousands of near copies would give as many pairs as its square. So each run's members are first compared
 with the run's first set alone, then each set with the likeliest of those that are apart from it. Sets that these links
 join need no further comparison with each other, and runs are tiled only for pairs of sets that are still apart. No link between components is lost that way.
-That gives the components (:func:`similar`). :func:`linked_pairs` and :func:`joined` compare and verify all candidates, also those within a component.
+That gives the components (:func:`similar`). All links lie within components: :func:`linked_pairs` and :func:`joined`
+compare all pairs of a component whose sizes allow a link, in tiles of bounded size, each pair once.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small_batches, written
 
@@ -31,6 +33,11 @@ GATHER, CACHE, SEEN = 1_000_000, 200_000, 100_000
 #: Bits of a bitmap: the next power of two over the set's size, within these. With fewer, sets far under the threshold pass.
 LEAST_BITS, MOST_BITS = 128, 16384
 TILE = 1024
+#: Shingles in a tile of a component at most (a longer set is a tile of its own), sets that have a rare shingle at most,
+#: columns of an incidence matrix, and partners of a first set that go to one task.
+TILE_SHINGLES, RARE, COLUMNS, STAR = 300_000, 6, 2048, 512
+#: Up to this many bands of large components are sent to every executor.
+BROADCAST_BANDS = 100_000
 #: Runs of up to so many sets are paired without tiles.
 SMALL_RUN = 8
 #: Up to this many ids are sent to every executor to pick their documents; more are joined by a shuffle.
@@ -201,33 +208,178 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     repeated rows are rows of their own. An empty table gives no rows. With ``row_col``, a key of rows with equal ids and
     texts: also this key as row and, where there are shingles, the component's smallest set as label.
     """
-    out = _labelled(*_links(docs, k, percent, id_col, text_col, row_col=row_col))
+    sets, links, _ = _links(docs, k, percent, id_col, text_col, row_col)
+    out = _labelled(sets, components(links))
     return out.select("doc_id", "n_shingles", "component_id", *(["row", "label"] if row_col else []))
 
 
 def linked_pairs(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents' sets (doc_id, row, n_shingles, set_id) and all linked pairs (a < b) of different sets, each once."""
-    sets, links = _links(docs, k, percent, id_col, text_col, every=True)
-    return sets.select("doc_id", "row", "n_shingles", "set_id"), links
+    sets, links, arrays = _links(docs, k, percent, id_col, text_col)
+    dealt = _dealt(components(links), arrays, sets, percent)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for me, other, _, _, hit in _tiles(batches, percent):
+            a, b = np.nonzero(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(me[a], other[b])), pa.array(np.maximum(me[a], other[b]))], ["a", "b"])
+
+    return sets.select("doc_id", "row", "n_shingles", "set_id"), dealt.mapInArrow(pairs, "a long, b long")
 
 
 def joined(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What :func:`similar` gives, from all linked pairs, with n_links: the number of other rows that a document links with.
+    """What :func:`similar` gives, with n_links: the number of other rows that a document links with.
 
-    Rows of an equal set link with each other; a linked set counts as often as rows have it.
+    All pairs of different sets in a component are compared, in tiles; a linked set counts as often as rows have it, and
+    rows of an equal set link with each other.
     """
-    sets, links = linked_pairs(docs, k, percent, id_col, text_col)
-    copies = written(sets.where("n_shingles > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies")), "join-copies")
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    linked = ends.join(copies, F.col("other") == F.col("set_id")).groupBy("node").agg(F.sum("copies").alias("linked"))
+    sets, links, arrays = _links(docs, k, percent, id_col, text_col)
+    labels = written(components(links), "join-labels")
+    dealt = _dealt(labels, arrays, sets, percent)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for me, other, copies, other_copies, hit in _tiles(batches, percent):
+            both = np.concatenate([me, other]), np.concatenate([hit @ other_copies, copies @ hit])
+            some = both[1] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in both], ["node", "linked"])
+
+    linked = dealt.mapInArrow(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    copies = sets.where("n_shingles > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))
     counts = copies.join(linked, F.col("set_id") == F.col("node"), "left").select(F.col("set_id").alias("_n"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    out = _labelled(sets, links).join(counts, F.col("set_id") == F.col("_n"), "left")
+    out = _labelled(sets, labels).join(counts, F.col("set_id") == F.col("_n"), "left")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+def _dealt(labels: DataFrame, arrays: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The sets of each component (node, label), dealt to work items in which every pair of sets that sizes allow meets once.
+
+    A small component is one item. A large one is cut into bands of sizes, so wide that only neighbouring ones can link,
+    and bands by hash into tiles of bounded size; an item is a pair of tiles (side 0 and 1) or one tile (side 0 alone).
+    """
+    copies = sets.where("n_shingles > 0").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.001))
+    members = labels.join(copies, F.col("node") == F.col("set_id")).select("label", "set_id", "n", "copies", band.alias("band"))
+    members = written(members, "join-members")
+    cut = lambda count, total: F.greatest(F.ceil(count / TILE), F.ceil(total / TILE_SHINGLES))
+    bands = members.groupBy("label", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    along = Window.partitionBy("label").orderBy("band")
+    beside = lambda f, d: F.when(f("band").over(along) == F.col("band") + d, f("tiles").over(along)).otherwise(0)
+    whole = Window.partitionBy("label")
+    bands = bands.withColumn("tiles", cut(F.col("c"), F.col("t"))).withColumn("_large", cut(F.sum("c").over(whole), F.sum("t").over(whole)) > 1)
+    bands = bands.withColumn("below", beside(F.lag, -1)).withColumn("above", beside(F.lead, 1)).where("_large")
+    bands = written(bands.select(F.col("label").alias("_l"), F.col("band").alias("_b"), "tiles", "below", "above"), "join-bands")
+    few = bands.count() <= BROADCAST_BANDS
+    at = members.join(F.broadcast(bands) if few else bands, (F.col("label") == F.col("_l")) & (F.col("band") == F.col("_b")), "left")
+    at = at.withColumn("tile", F.pmod(F.xxhash64("set_id"), F.coalesce("tiles", F.lit(1)).cast("long")))
+    item = lambda b, i, c, j, side: F.struct(b.cast("long").alias("b"), i.cast("long").alias("i"), c.cast("long").alias("c"), j.cast("long").alias("j"), F.lit(side).alias("side"))
+    count = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>")), f)
+    b, i = F.col("band"), F.col("tile")
+    # with the tiles from its own on, with those before, and with all of the bands beside
+    items = F.concat(
+        count(F.col("tiles") - i, lambda x: item(b, i, b, i + x, 0)),
+        count(i, lambda x: item(b, x, b, i, 1)),
+        count(F.col("above"), lambda x: item(b, i, b + 1, x, 0)),
+        count(F.col("below"), lambda x: item(b - 1, x, b, i, 1)),
+    )
+    zero = F.lit(0)
+    items = F.when(F.col("tiles").isNull(), F.array(item(zero, zero, zero, zero, 0))).otherwise(items)
+    dealt = at.select("label", "set_id", "copies", F.explode(items).alias("w")).select("label", "w.*", "set_id", "copies")
+    arrays = arrays.dropDuplicates(["set_id"]).select(F.col("set_id").alias("_s"), "shingles")
+    dealt = dealt.join(arrays, F.col("set_id") == F.col("_s")).drop("_s")
+    parts, by = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["label", "b", "i", "c", "j"]
+    return dealt.select(*by, "side", "set_id", "copies", "shingles").repartition(parts, *by).sortWithinPartitions(*by, "side", "set_id")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each work item: the sets and copies of its two sides, and which pairs link (pairs within one side above the diagonal)."""
+
+    def done(rows: list[tuple]) -> Iterator[tuple]:
+        sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+        if not sides[0] or (rows[0][4] and not sides[1]):
+            return
+        a, b = ([np.frombuffer(r[3], np.uint64) for r in side] for side in sides)
+        hit = linked_matrix(a, b or None, percent)
+        if hit.any():
+            me, copies = (np.array([r[x] for r in sides[0]], np.int64) for x in (1, 2))
+            other, other_copies = (np.array([r[x] for r in sides[1]], np.int64) for x in (1, 2)) if b else (me, copies)
+            yield me, other, copies, other_copies, hit
+
+    at, rows = None, []
+    for batch in batches:
+        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        for n, key in enumerate(zip(*(columns[c] for c in ("label", "b", "i", "c", "j")))):
+            if key != at:
+                if rows:
+                    yield from done(rows)
+                at, rows = key, []
+            two = key[1:3] != key[3:5]
+            rows.append((columns["side"][n], columns["set_id"][n], columns["copies"][n], columns["shingles"][n], two))
+    if rows:
+        yield from done(rows)
+
+
+def linked_matrix(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which sets of ``a`` link with which of ``b`` (with later ones of ``a``, if ``b`` is None), by exact intersections.
+
+    Hashed bitmaps bound the overlap from above; if some pair passes, shingles that at least two sets have are counted pair
+    by pair: rare ones by listing their pairs of sets, the others by products of incidence matrices.
+    """
+    one = b is None
+    b = a if one else b
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    both = n[:, None] + m[None, :]
+    open_ = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+    if one:
+        open_ &= np.arange(len(a))[:, None] < np.arange(len(a))[None, :]
+    if len(a) * len(b) <= 64:  # a few sets: bitmaps, then one pair after another
+        hit = np.zeros_like(open_)
+        maps = {id(x): int.from_bytes(bitmap(x), "little") for x in (*a, *b)}
+        width = lambda x: 8 * len(bitmap(x))
+        for i, j in zip(*np.nonzero(open_)):
+            x, y = a[i], b[j]
+            to = min(width(x), width(y))
+            differ = (fold(maps[id(x)], width(x), to) ^ fold(maps[id(y)], width(y), to)).bit_count()
+            most = (len(x) + len(y) - differ) // 2
+            hit[i, j] = overlap_allows(most, len(x), len(y), percent) and overlap_allows(overlap(x, y), len(x), len(y), percent)
+        return hit
+    sides = a if one else [*a, *b]
+    bits = 8 * len(bitmap(min(sides, key=len)))
+    table = np.array([np.frombuffer(fold(int.from_bytes(y, "little"), 8 * len(y), bits).to_bytes(bits // 8, "little"), np.uint64) for y in map(bitmap, sides)])
+    for i in range(len(a)):
+        differ = np.bitwise_count(table[0 if one else len(a) :] ^ table[i]).sum(axis=1, dtype=np.int64)
+        most = (both[i] - differ) // 2
+        open_[i] &= 100 * most >= percent * (both[i] - most)
+    if not open_.any():
+        return open_
+    row = np.repeat(np.arange(len(sides)), [len(x) for x in sides])
+    values = np.concatenate(sides)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    first = np.concatenate([[True], values[1:] != values[:-1]])
+    column = np.cumsum(first) - 1
+    starts = np.nonzero(first)[0]
+    counts = np.diff(np.append(starts, len(values)))
+    inter = np.zeros((len(a), len(b)), np.int32)
+    flat, shift = inter.ravel(), 0 if one else len(a)
+    for c in range(2, RARE + 1):
+        rows = row[starts[counts == c][:, None] + np.arange(c)]  # ascending in each shingle
+        for p in range(c):
+            for q in range(p + 1, c):
+                x, y = rows[:, p], rows[:, q] - shift
+                ok = slice(None) if one else (x < len(a)) & (y >= 0)
+                np.add.at(flat, x[ok] * len(b) + y[ok], 1)
+    often = np.cumsum(counts > RARE) - 1
+    dense = (counts > RARE)[column]
+    row, column = row[dense], often[column[dense]]
+    for at in range(0, int(often[-1]) + 1 if len(often) else 0, COLUMNS):
+        here = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        table = np.zeros((len(sides), COLUMNS), np.float32)
+        table[row[here], column[here] - at] = 1
+        inter += (table[: len(a)] @ table[shift:].T).astype(np.int32)
+    return open_ & (100 * inter >= percent * (both - inter))
+
+
+def _labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id, row and label (the component's smallest set) of every document; without shingles no set and label."""
-    labels = components(links)
     named = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("_least"))
     named = named.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("label", "set_id").alias("_label"), "_least")
     least = named.groupBy(F.col("_label").alias("_l")).agg(F.min("_least").alias("component_id"))
@@ -236,11 +388,9 @@ def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     return out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_id"), "row", F.lit(None).cast("long").alias("label")))
 
 
-def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, every: bool = False, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The sets (doc_id, n_shingles, set_id, ...) of all documents and enough links (a, b) between sets for all components.
-
-    ``every``: all links.
-    """
+def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets (doc_id, n_shingles, set_id, ...) of all documents, enough links (a, b) between sets for all components,
+    and the sorted arrays (set_id, shingles) of all linked sets, some of them repeated."""
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
@@ -338,32 +488,27 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, ev
     one = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("map").alias("map"))
     one = written(one, "join-one")
 
-    if every:
-        pairs = written(_apart(runs, None, one, percent, False, parts), "join-pairs")
-        return sets, written(_verify(pairs, base, one, k, percent), "join-links")
     stars = runs.where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct()
     stars = written(_bounded(stars, one, percent), "join-stars")
-    links = written(_verify(stars, base, one, k, percent), "join-links")
+    links, arrays = _verify(stars, base, one, k, percent)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Then each set that is still apart from others in its runs tries the likeliest of them, and at last all are tried.
     for best in (True, False):
         pairs = _apart(runs, components(links), one, percent, best, parts).join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "join-pairs")
-        links = written(links.unionByName(_verify(pairs, base, one, k, percent)), "join-links")
+        more, more_arrays = _verify(pairs, base, one, k, percent)
+        links, arrays = written(links.unionByName(more), "join-links"), arrays.unionByName(more_arrays)
         tried = tried.unionByName(pairs)
-    return sets, links
+    return sets, links, arrays
 
 
-def _apart(runs: DataFrame, labels: DataFrame | None, one: DataFrame, percent: int, best: bool, parts: int) -> DataFrame:
-    """Pairs (a, b) of sets in one run, of different components, that sizes and bitmaps allow; without ``labels`` each set is one.
+def _apart(runs: DataFrame, labels: DataFrame, one: DataFrame, percent: int, best: bool, parts: int) -> DataFrame:
+    """Pairs (a, b) of sets in one run, of different components, that sizes and bitmaps allow.
 
     ``best``: for each set the likeliest, from runs of many sets alone.
     """
-    if labels is None:
-        grouped = runs.select("key", "set_id", F.col("set_id").alias("group"))
-    else:
-        grouped = runs.select("key", "set_id").join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("label", "set_id").alias("group"))
-        grouped = written(grouped, "join-grouped")
+    grouped = runs.select("key", "set_id").join(labels, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("label", "set_id").alias("group"))
+    grouped = written(grouped, "join-grouped")
     mixed = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi").select(F.col("key").alias("_key"), F.col("many") > SMALL_RUN)
     mixed = mixed.toDF("_key", "large")
     apart = grouped.join(mixed.where("large"), F.col("key") == F.col("_key"), "left_semi").join(one.select(F.col("set_id").alias("_s"), "n", "map"), F.col("set_id") == F.col("_s"))
@@ -415,8 +560,11 @@ def _bounded(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(keep, "a long, b long")
 
 
-def _verify(pairs: DataFrame, base: DataFrame, one: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs over the threshold, by exact intersection of the sets' sorted arrays."""
+def _verify(pairs: DataFrame, base: DataFrame, one: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs over the threshold, by exact intersection of the sets' sorted arrays, and the arrays (set_id, shingles) of these pairs' sets.
+
+    A first set with many partners is dealt with them to several tasks.
+    """
     spark = pairs.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = written(one.join(wanted, "set_id", "left_semi").select("set_id", "doc_id"), "join-wanted")
@@ -432,11 +580,13 @@ def _verify(pairs: DataFrame, base: DataFrame, one: DataFrame, k: int, percent:
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "shingles"])
 
     sets = written(chosen.mapInArrow(arrays, "set_id long, shingles binary"), "join-arrays")
-    sides = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(pairs.select(F.col("a").alias("key"), F.lit(None).cast("long").alias("other")).distinct())
-    # a row for each pair's second set, and one with no other for the first; all of a first set's rows come together
-    rows = sides.withColumn("of", F.coalesce("other", "key")).join(sets, F.col("of") == F.col("set_id")).select("key", "other", "shingles")
+    many = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / STAR).alias("salts")).where("salts > 1")
+    salted = pairs.join(many, F.col("a") == F.col("_a"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)).cast("long")).alias("salt"))
+    sides = salted.select(F.col("a").alias("key"), "salt", F.col("b").alias("other")).unionByName(salted.select(F.col("a").alias("key"), "salt", F.lit(None).cast("long").alias("other")).distinct())
+    # a row for each pair's second set, and one with no other for the first; all of a first set's rows of a salt come together
+    rows = sides.withColumn("of", F.coalesce("other", "key")).join(sets, F.col("of") == F.col("set_id")).select("key", "salt", "other", "shingles")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", F.col("other").asc_nulls_first())
+    rows = rows.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", F.col("other").asc_nulls_first())
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, mine = None, np.empty(0, np.uint64)
@@ -451,7 +601,9 @@ def _verify(pairs: DataFrame, base: DataFrame, one: DataFrame, k: int, percent:
                     b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(intersect, "a long, b long")
+    links = written(rows.mapInArrow(intersect, "a long, b long"), "join-links")
+    linked = links.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    return links, sets.join(linked, "set_id", "left_semi")
 
 
 def components(links: DataFrame) -> DataFrame:
