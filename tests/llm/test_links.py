@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from symloom.llm import jaccard_join
 
 
@@ -22,7 +25,11 @@ def near_copies(seed=5):
     return texts
 
 
-def test_all_links_equal_brute_force(spark):
+@pytest.mark.parametrize(("tile", "shingles_"), [(1024, 300_000), (4, 300_000), (1024, 120)])
+def test_all_links_equal_brute_force(spark, monkeypatch, tile, shingles_):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", shingles_)
+    monkeypatch.setattr(jaccard_join, "STAR", 5)
     texts, k, percent = near_copies(), 2, 80
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = [shingles(t, k) for t in texts]
@@ -40,3 +47,20 @@ def test_all_links_equal_brute_force(spark):
 
 def test_links_of_an_empty_table(none):
     assert jaccard_join.joined(none).count() == 0
+
+
+@pytest.mark.parametrize("rare", [1, 6])
+def test_matrix_equals_sets(monkeypatch, rare):
+    monkeypatch.setattr(jaccard_join, "RARE", rare)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**63, 200, dtype=np.uint64)
+    make = lambda: np.unique(np.concatenate([r.choice(base, r.integers(100, 200), replace=False), r.integers(0, 2**63, int(r.integers(0, 30)), dtype=np.uint64)]))
+    for sizes in ((30, 20), (5, 4), (25, 0)):
+        a, b = ([make() for _ in range(n)] for n in sizes)
+        hit = jaccard_join.linked_matrix(a, b or None, 60)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b or a):
+                want = (bool(b) or i < j) and jaccard_join.overlap_allows(len(set(x.tolist()) & set(y.tolist())), len(x), len(y), 60)
+                assert hit[i, j] == want
+    assert hit.any() and not hit.all()

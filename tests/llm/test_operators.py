@@ -106,19 +106,67 @@ def test_lm_odd(odd, none):
 
 
 def test_lm_gradient():
-    c = recurrent_lm.CLASSES
-    net, rng = recurrent_lm.Network(None, np.full(c, 1 / c)), np.random.default_rng(0)
-    x, y = rng.integers(0, c + 1, (6, 5)).astype(np.int16), rng.integers(0, c, (6, 5)).astype(np.int16)
-    live, state, kept = rng.random((6, 5)) < 0.8, np.zeros((5, recurrent_lm.UNITS), np.float32), recurrent_lm.Network(np.zeros_like(net.flat))
-    net.learn(x, y, live, state, kept)
+    c, m = recurrent_lm.CLASSES, recurrent_lm
+    net, rng = m.Network(None, np.full(c, 1 / c), np.full((c - m.OWN, m.INNER), 1 / m.INNER)), np.random.default_rng(0)
+    x, y, j = rng.integers(0, m.START + 1, (6, 5)).astype(np.int16), rng.integers(0, c, (6, 5)).astype(np.int16), rng.integers(0, m.INNER, (6, 5)).astype(np.int16)
+    live, state, kept = rng.random((6, 5)) < 0.8, np.zeros((5, m.UNITS), np.float32), m.Network(np.zeros_like(net.flat))
+    net.learn(x, y, j, live, state, kept)
     grad = kept.flat.copy()
-    for i in np.argsort(-np.abs(grad))[:8]:
+    inner = kept.inner.ctypes.data - kept.flat.ctypes.data
+    tried = [*np.argsort(-np.abs(grad))[:8], *(np.argsort(-np.abs(grad[inner // 4 : inner // 4 + kept.inner.size]))[:4] + inner // 4)]
+    for i in tried:
         step = np.zeros_like(grad)
         step[i] = 1e-2
-        up, down = (recurrent_lm.Network(net.flat + s * step).learn(x, y, live, state, kept)[1] for s in (1, -1))
+        up, down = (m.Network(net.flat + s * step).learn(x, y, j, live, state, kept)[1] for s in (1, -1))
         assert math.isclose((up - down) / 0.02 / live.sum(), grad[i], rel_tol=0.05, abs_tol=2e-4)
 
 
+def brute_log10(model, words):
+    """The log10 probability of a text (bytes, None for its end), token by token from the formulas."""
+    m, v = recurrent_lm, model.words
+    net, counts = m.Network(model.parameters), {r["word"].encode(): r["n"] for r in model.counts.collect()}
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    h, x, total, u, mass = np.zeros(m.UNITS), m.START, 0.0, m.UNITS, None
+    for w in words:
+        w = w or b""
+        g = net.inputs[x].astype(float)
+        zr = sigmoid(g[: 2 * u] + h @ net.gates)
+        c = np.tanh(g[2 * u :] + (zr[u:] * h) @ net.candidate)
+        h = (1 - zr[:u]) * h + zr[:u] * c
+        classes = softmax(h @ net.out + net.bias)
+
+        def chance(word):
+            k = v.class_of(word)
+            if k < m.OWN:
+                return classes[k]
+            within = softmax(h @ net.inner[k - m.OWN] + net.inner_bias[k - m.OWN])
+            if word in v.entries:
+                return classes[k] * within[v.entries[word]]
+            return classes[k] * within[0] * ((1 - v.unknown(k)) * counts[word] / v.rest_total[k] if word in counts else v.unknown(k))
+
+        if mass is None:  # all words with a count and one without in each shared class
+            every = sum(chance(x) for x in counts) + sum(classes[k] * softmax(h @ net.inner[k - m.OWN] + net.inner_bias[k - m.OWN])[0] * v.unknown(k) for k in range(m.OWN, m.CLASSES))
+            mass = every
+        total += math.log10(chance(w))
+        x = v.of(w)[0]
+    return total, mass
+
+
+def test_lm_equals_brute_force(spark, many, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "LISTED", 300)  # most words have their counts joined
+    docs = many.where("length(text) < 1500").limit(40)
+    docs = spark.createDataFrame([*[tuple(r) for r in docs.collect()], (-5, "zzzunseen qqq the of", "en", "s", 0)], docs.schema)
+    model = recurrent_lm.fit(docs)
+    assert any(n > 0 for n in model.words.entries.values())
+    for i, r in enumerate(sorted(recurrent_lm.score_documents(docs, model=model).collect(), key=lambda r: r["doc_id"])):
+        if i % 6 == 0 or r["doc_id"] == -5:
+            text = docs.where(F.col("doc_id") == r["doc_id"]).first()["text"]
+            total, mass = brute_log10(model, [*(text or "").encode().lower().split(), None])
+            assert math.isclose(total, r["score"], rel_tol=1e-4, abs_tol=1e-3), r["doc_id"]
+            assert 0.9 < mass <= 1 + 1e-6  # a class or entry that no word has keeps its share
+
+
 # Sharding
 
 
@@ -231,6 +279,53 @@ def test_mixing(many):
     assert sorted(zip(rows.doc_id, rows.taken)) == sorted(zip(again.doc_id, again.taken))
 
 
+def test_mixing_equals_brute_force(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 40, 700])), r.choice(["b", "a", None, "c", "a"])) for i in range(300)] + [(5, "x y z", "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    plan = mixing.plan_mix(list(sizes.items()), block=16)
+    n, step = round(sum(p["slots"] for p in plan)), round(mixing.GOLDEN * 2**31) | 1
+    edges = [p["edge"] / plan[-1]["edge"] for p in plan]
+    ranks, want = Counter(), Counter()
+    placed, _ = mixing._placed(docs, "doc_id", "text", "source", [])
+    starts = defaultdict(list)
+    for x in placed.where("size > 0").collect():
+        starts[x["source_no"]] += [(x["start"], x["doc_id"], w) for w in range(x["size"])]
+    assert all(sorted(a + w for a, _, w in v) == list(range(len(v))) for v in starts.values())
+    by = {no: {a + w: (d, w) for a, d, w in v} for no, v in starts.items()}
+    for t in range(n):
+        turn = (t + 1) % 2**31 * step % 2**31 / 2**31
+        no = min(sum(e <= turn for e in edges), len(edges) - 1)
+        rank, p = ranks[no], plan[no]
+        ranks[no] += 1
+        if rank < 3 * p["blocks"]:
+            for w in range(rank % p["blocks"] * p["long"], min((rank % p["blocks"] + 1) * p["long"], p["size"])):
+                want[by[no][w][0]] += 1
+    plan_mix = mixing.plan_mix
+    try:
+        mixing.plan_mix = lambda sizes: plan_mix(sizes, 16)
+        taken, pieces = Counter(), Counter()
+        for x in mixing.mix_documents(docs).collect():
+            taken[x["doc_id"]] += x["taken"]
+            assert x["size"] * x["times_min"] <= x["taken"] <= x["size"] * x["times_max"] <= 3 * x["size"]
+        for x in mixing.mixed_pieces(docs).collect():
+            pieces[x["doc_id"]] += x["words"]
+    finally:
+        mixing.plan_mix = plan_mix
+    assert +taken == +want == +pieces
+
+
+def test_huge_sources_do_not_overflow(spark, monkeypatch):
+    huge = 10**13
+    monkeypatch.setattr(mixing, "plan_mix", lambda sizes, f=mixing.plan_mix: [{**p, "size": huge, "blocks": huge // p["long"], "slots": 8.0, "edge": 8.0} for p in f(sizes)])
+    monkeypatch.setattr(mixing, "prefix_sums", lambda df, *a: df.withColumn("start", F.lit(huge - 9)))
+    docs = spark.createDataFrame([(1, "a b c d e f g h i", "s")], "doc_id long, text string, source string")
+    assert mixing.mix_documents(docs).first()["taken"] == 0 and mixing.mixed_pieces(docs).count() == 0
+
+
 def test_mixing_odd(odd, none):
     rows = mixing.mix_documents(odd).toPandas()
     assert len(rows) == odd.count() and (rows.taken <= 3 * rows["size"]).all()
