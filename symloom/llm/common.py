@@ -73,6 +73,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffles and broadcasts that nothing refers to any more.
+
+    The cleaner follows the driver's garbage collection, which comes late where a loop makes many small tables.
+    """
+    spark._jvm.System.gc()
+
+
 def buckets_for(rows: int, per_bucket: int = 4096) -> int:
     """How many buckets keep a bucket near ``per_bucket`` rows."""
     return max(16, min(1_000_000, -(-rows // per_bucket)))

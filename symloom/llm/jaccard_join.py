@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, written
+from .common import release, small_batches, written
 
 #: Shingles of at least this part of all documents, and of FREQUENT documents, come last in the order; at most LISTED of
 #: them are listed. What is listed changes the work, not the result.
@@ -208,15 +208,15 @@ def similar(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_i
     repeated rows are rows of their own. An empty table gives no rows. With ``row_col``, a key of rows with equal ids and
     texts: also this key as row and, where there are shingles, the component's smallest set as label.
     """
-    sets, links, _ = _links(docs, k, percent, id_col, text_col, row_col)
-    out = _labelled(sets, components(links))
+    sets, labels, _ = _sets(docs, k, percent, id_col, text_col, row_col)
+    out = _labelled(sets, labels)
     return out.select("doc_id", "n_shingles", "component_id", *(["row", "label"] if row_col else []))
 
 
 def linked_pairs(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents' sets (doc_id, row, n_shingles, set_id) and all linked pairs (a < b) of different sets, each once."""
-    sets, links, arrays = _links(docs, k, percent, id_col, text_col)
-    dealt = _dealt(components(links), arrays, sets, percent)
+    sets, labels, arrays = _sets(docs, k, percent, id_col, text_col)
+    dealt = _dealt(labels, arrays, sets, percent)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for me, other, _, _, hit in _tiles(batches, percent):
@@ -232,8 +232,7 @@ def joined(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id
     All pairs of different sets in a component are compared, in tiles; a linked set counts as often as rows have it, and
     rows of an equal set link with each other.
     """
-    sets, links, arrays = _links(docs, k, percent, id_col, text_col)
-    labels = written(components(links), "join-labels")
+    sets, labels, arrays = _sets(docs, k, percent, id_col, text_col)
     dealt = _dealt(labels, arrays, sets, percent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,8 +387,8 @@ def _labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_id"), "row", F.lit(None).cast("long").alias("label")))
 
 
-def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sets (doc_id, n_shingles, set_id, ...) of all documents, enough links (a, b) between sets for all components,
+def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets (doc_id, n_shingles, set_id, ...) of all documents, labels (node, label) of the components of linked sets,
     and the sorted arrays (set_id, shingles) of all linked sets, some of them repeated."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -492,14 +491,14 @@ def _links(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, ro
     stars = written(_bounded(stars, one, percent), "join-stars")
     links, arrays = _verify(stars, base, one, k, percent)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    labels = components(links)
     # Then each set that is still apart from others in its runs tries the likeliest of them, and at last all are tried.
     for best in (True, False):
-        pairs = _apart(runs, components(links), one, percent, best, parts).join(tried, ["a", "b"], "left_anti")
+        pairs = _apart(runs, labels, one, percent, best, parts).join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "join-pairs")
-        more, more_arrays = _verify(pairs, base, one, k, percent)
-        links, arrays = written(links.unionByName(more), "join-links"), arrays.unionByName(more_arrays)
-        tried = tried.unionByName(pairs)
-    return sets, links, arrays
+        links, more = _verify(pairs, base, one, k, percent)
+        labels, arrays, tried = components(links, labels), arrays.unionByName(more), tried.unionByName(pairs)
+    return sets, written(labels, "join-labels"), arrays
 
 
 def _apart(runs: DataFrame, labels: DataFrame, one: DataFrame, percent: int, best: bool, parts: int) -> DataFrame:
@@ -606,20 +605,39 @@ def _verify(pairs: DataFrame, base: DataFrame, one: DataFrame, k: int, percent:
     return links, sets.join(linked, "set_id", "left_semi")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and label (the smallest node of its component) of all nodes of ``links`` (a, b), by large and small stars."""
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    state = None
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node and label (the smallest node of its component) of all nodes of ``links`` (a, b), by large and small stars.
+
+    ``known``: labels of some of the nodes, whose components the links may join; only joined ones are worked on.
+    """
+    if known is None:
+        return _stars(links)
+    known = written(known, "labels")
+    to = lambda x: known.select(F.col("node").alias(f"_{x}"), F.col("label").alias(f"l{x}"))
+    ends = links.join(to("a"), F.col("a") == F.col("_a"), "left").join(to("b"), F.col("b") == F.col("_b"), "left")
+    between = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    joined = written(_stars(between).withColumnRenamed("label", "_joined"), "labels")
+    old = known.join(joined.withColumnRenamed("node", "_n"), F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_joined", "label").alias("label"))
+    fresh = joined.join(known.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti").select("node", F.col("_joined").alias("label"))
+    return old.unionByName(fresh)
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    spark = links.sparkSession
+    state, edges = None, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
+        # the count and a sum of hashes, observed while the table is written, tell when nothing changes
+        seen = Observation()
+        edges = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")), "stars")
+        now = seen.get
+        if now == state or not now["n"]:
+            break
+        state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        small = joined.select(F.col("u"), F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = written(small, "stars")
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == state:
-            break
-        state = now
+        edges = joined.select(F.col("u"), F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+    release(spark)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import release, small_batches, written
 
 #: Labelled documents that words are mined from, and documents that the scorer is trained on: at most, and about.
 LABELLED, TRAINED = 10_000, 10_000
-#: Bits of the feature space, rows of an Arrow slice that is worked on at once, words whose features a task
-#: keeps, in each of two generations.
-BITS, SLICE, CACHE = 24, 500, 60_000
+#: Bits of the feature space, and words whose features a task keeps, in each of two generations.
+BITS, CACHE = 24, 60_000
 #: Mined words: in so many toxic documents at least (as a number and as a share of them), which are so large a share of
 #: all documents with the word.
 MINED_DOCS, MINED_PART, MINED_SHARE = 3, 0.015, 0.85
@@ -214,15 +213,10 @@ def mine(sample: DataFrame) -> dict[str, frozenset[int]]:
     return {"a": tells(sample.where("half = 1"), "words"), "b": tells(sample.where("half = 0"), "words"), "heads": tells(sample, "heads")}
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            yield part, _bytes(part.column(column))
-
-
-def _bytes(texts: pa.Array) -> list[bytes]:
-    return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+def _slices(parts: Iterator[pa.Array]) -> Iterator[list[bytes]]:
+    """The texts of batches, batch by batch, which small_batches keeps small."""
+    for texts in parts:
+        yield [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
 def bounded(df: DataFrame, by: Column, rows: int) -> DataFrame:
@@ -253,33 +247,40 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
     # words and heads of labelled documents; the sample is bounded by LABELLED ids
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
 
-    def list_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<words: array<int>, heads: array<int>>")
+    def list_slots(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Words()
-        for part, texts in _texts(batches, "text"):
+        for texts in _slices(parts):
             seen = [[words.of(w) for w in set(t.lower().split())] for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), pa.array([list({w for w, _, _ in s}) for s in seen], pa.list_(pa.int32())), pa.array([list({h for _, h, _ in s}) for s in seen], pa.list_(pa.int32()))], ["id", "toxic", "words", "heads"])
+            yield pa.StructArray.from_arrays([pa.array([list({x[i] for x in s}) for s in seen], pa.list_(pa.int32())) for i in (0, 1)], ["words", "heads"])
 
     mined_from = text.join(F.broadcast(chosen), F.col("id") == F.col("_id")).where("toxic IS NOT NULL")
     mined_from = bounded(mined_from.select("id", "text", "toxic"), F.xxhash64("id", "text"), LABELLED)
-    sample = mined_from.mapInArrow(list_slots, "id string, toxic int, words array<int>, heads array<int>")
+    sample = mined_from.select("id", "toxic", list_slots("text").alias("s")).select("id", "toxic", "s.words", "s.heads")
     sample = sample.select((F.crc32(F.col("id").cast("binary")) % 2).alias("half"), (F.col("toxic") > 0).cast("int").alias("toxic"), "words", "heads")
     lists = mine(written(sample, "quality-slots"))
 
-    def vote(batches: Iterator[pa.RecordBatch], with_features: bool = False) -> Iterator[pa.RecordBatch]:
+    def judge(raw: bytes, words: Words) -> tuple[list[bytes], tuple, int, int]:
+        """The text's words, its shares, and its patterns of votes for junk and for toxicity."""
+        low = raw.lower().split()
+        figures = shares(raw, low)
+        junk, toxic = votes(raw, low, [words.of(w)[2] for w in low], figures)
+        return low, figures, pattern(junk), pattern(toxic)
+
+    @F.arrow_udf("struct<junk: int, toxic: int>")
+    def vote(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Words(lists)
-        for part, texts in _texts(batches, "text"):
-            rows = []
-            for raw in texts:
-                low = raw.lower().split()
-                seen = [words.of(w) for w in low]
-                figures = shares(raw, low)
-                junk, toxic = votes(raw, low, [m for _, _, m in seen], figures)
-                rows.append((pattern(junk), pattern(toxic), features(figures, [words.of(w) for w in set(low)]) if with_features else None))
-            arrays = [part.column("id"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())]
-            names = ["id", "junk", "toxic"]
-            if with_features:
-                arrays, names = [*arrays, pa.array([r[2] for r in rows], pa.list_(pa.int32()))], [*names, "features"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        for texts in _slices(parts):
+            found = [judge(raw, words)[2:] for raw in texts]
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)], ["junk", "toxic"])
+
+    @F.arrow_udf("struct<junk: int, toxic: int, features: array<int>>")
+    def vote_with_features(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = Words(lists)
+        for texts in _slices(parts):
+            found = [(junk, toxic, features(figures, [words.of(w) for w in set(low)])) for low, figures, junk, toxic in (judge(raw, words) for raw in texts)]
+            kinds = pa.int32(), pa.int32(), pa.list_(pa.int32())
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], ["junk", "toxic", "features"])
 
     def with_labels(voted: DataFrame) -> DataFrame:
         """Adds the labels' votes as the last digit of the patterns."""
@@ -289,7 +290,7 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
         toxic = F.when(F.col("_t") > 0, 1).when(F.col("_t") == 0, 2).otherwise(0) * 3 ** (TOXIC_LABELLERS - 1) + F.col("toxic")
         return both.select(*[c for c in voted.columns if c not in ("junk", "toxic")], junk.alias("junk"), toxic.alias("toxic"))
 
-    voted = written(text.mapInArrow(vote, "id string, junk int, toxic int"), "quality-votes")
+    voted = written(text.select("id", vote("text").alias("v")).select("id", "v.junk", "v.toxic"), "quality-votes")
     counts = with_labels(voted).groupBy("junk", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # 3^7 * 3^5 rows at most
     rows_of = lambda name: {k: sum(r["n"] for r in counts if r[name] == k) for k in {r[name] for r in counts}}
     post_junk = fit_labellers(rows_of("junk"), QUALITY_LABELLERS, 0.1)
@@ -299,7 +300,7 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
     # the scorer's sample: TRAINED different documents at most, by a hash of id and text
     by = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 60))
     part = bounded(text.where(by < F.lit(min(1 << 60, (TRAINED << 60) // max(total, 1) * 5 // 4))), by, TRAINED)
-    trained = with_labels(part.mapInArrow(lambda b: vote(b, True), "id string, junk int, toxic int, features array<int>")).toArrow()
+    trained = with_labels(part.select("id", vote_with_features("text").alias("v")).select("id", "v.*")).toArrow()
     rows = Rows(trained["features"])
     order = np.argsort([zlib.crc32((x or "").encode()) for x in trained["id"].to_pylist()], kind="stable")
     heads = []
@@ -307,21 +308,21 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
         targets = np.array([post.get(x, 0.5) for x in trained[name].to_pylist()])
         heads.append(train(rows, order, targets))
     del trained, rows
+    release(spark)
     model = spark.sparkContext.broadcast(heads)
 
     @F.arrow_udf("struct<junk_score: double, toxic_score: double>")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         (junk_w, junk_b), (toxic_w, toxic_b) = model.value
         words = Words(lists)
-        for texts in parts:
+        for texts in _slices(parts):
             found = []
-            for at in range(0, len(texts), SLICE):
-                for raw in _bytes(texts.slice(at, SLICE)):
-                    low = raw.lower().split()
-                    slots = features(shares(raw, low), [words.of(w) for w in set(low)])
-                    a = junk_b + sum(junk_w.get(s, 0.0) for s in slots)
-                    b = toxic_b + sum(toxic_w.get(s, 0.0) for s in slots)
-                    found.append((_chance(a) if low else 1.0, _chance(b) if low else 0.0))
+            for raw in texts:
+                low = raw.lower().split()
+                slots = features(shares(raw, low), [words.of(w) for w in set(low)])
+                a = junk_b + sum(junk_w.get(s, 0.0) for s in slots)
+                b = toxic_b + sum(toxic_w.get(s, 0.0) for s in slots)
+                found.append((_chance(a) if low else 1.0, _chance(b) if low else 0.0))
             yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)], ["junk_score", "toxic_score"])
 
     # the text alone goes to Python, the scores alone come back

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, release, written
 
 #: Names of the transformed statistics, and for each the least standard deviation. A share that hardly varies in a
 #: group would otherwise make any other value an outlier.
@@ -170,6 +170,7 @@ def mcd(stats: DataFrame, groups: list[str]) -> DataFrame:
         cut = _quantile(measured, by, F.col("distance2"), KEEP)
         near = _joined(measured, cut, by, few).where(_level(F.col("distance2")) <= F.col("_cut"))
         estimate = written(_factor(_moments(near, [*by, "all_rows"])).select(*by, "all_rows", *FIGURES), "mcd-step")
+    release(stats.sparkSession)
     determinant = sum((F.log(f"l_{i}_{i}") for i in range(len(STATS))), F.lit(0.0))
     best = estimate.groupBy(*groups).agg(F.min_by(F.struct(F.col("all_rows").alias("rows"), *FIGURES), F.struct(determinant, "start")).alias("e"))
     return best.select(*groups, "e.*")
