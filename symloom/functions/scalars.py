@@ -57,11 +57,78 @@ def truncated(text: Column, most: int = 100) -> Column:
 
 
 def parameter_count(signature: Column) -> Column:
-    """Parameters of a signature without nested brackets."""
-    inner = F.regexp_extract(signature, r"\(([^()]*)\)", 1)
+    """Parameters of a signature; commas within brackets (five deep at most) separate none."""
+    inner = F.regexp_extract(signature, r"\((.*)\)", 1)
+    for _ in range(5):
+        inner = F.regexp_replace(inner, r"[\[({<][^\[\](){}<>]*[\])}>]", "")
     return F.when(F.trim(inner) == "", 0).otherwise(F.size(F.split(inner, ",")))
 
 
+def component_overlap(a: Column, b: Column) -> Column:
+    """Shared parts of two names by the larger number of parts."""
+    x, y = F.array_distinct(name_parts(a)), F.array_distinct(name_parts(b))
+    return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
+
+
+def module_score(a: Column, b: Column) -> Column:
+    """Shared parts of two paths by the smaller number of parts."""
+    x, y = F.array_distinct(name_parts(a)), F.array_distinct(name_parts(b))
+    return F.size(F.array_intersect(x, y)) / F.greatest(F.least(F.size(x), F.size(y)), F.lit(1))
+
+
+def has_keyword(text: Column, keyword: str) -> Column:
+    """Whether a text holds a word, with no letter, digit or underscore beside it."""
+    return text.rlike(r"(?i)(^|[^A-Za-z0-9_])" + keyword + r"($|[^A-Za-z0-9_])")
+
+
+def assertion_kind(name: Column) -> Column:
+    """equality, exception, truth, membership or other for the name of an assertion; null for other names."""
+    low = F.lower(name)
+    kind = F.when(low.rlike("raises|throws|error"), "exception").when(low.rlike("equal|same|is_eq|assert_eq|tobe|deep"), "equality").when(low.rlike("true|false|none|null|nil"), "truth").when(low.rlike("in$|contain|match"), "membership").otherwise("other")
+    return F.when(low.rlike("^(assert|expect|should|require|must)"), kind)
+
+
+def sanitized(text: Column, most: int = 2000) -> Column:
+    """Without control characters but tab and line ends, cut to a length."""
+    return F.substring(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), 1, most)
+
+
+def json_list(text: Column) -> Column:
+    """The strings of a JSON list; null where it is none."""
+    return F.from_json(text, "array<string>")
+
+
+def dig(text: Column, path: str) -> Column:
+    """A value within JSON text by a path like ``a.b``; null where there is none."""
+    return F.get_json_object(text, "$." + path)
+
+
+def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
+    return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), digits)
+
+
+def utc_iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def is_critical(path: Column) -> Column:
+    """Whether a path speaks of money, identity or safety."""
+    return F.lower(path).rlike(r"auth|login|payment|billing|security|crypt|permission|migration|admin")
+
+
+def fingerprint(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def is_source_path(path: Column) -> Column:
+    """Whether a path is a source file outside of tests and documents."""
+    return path.rlike(r"\.(py|js|jsx|ts|tsx|go|java|rs|rb|php|c|cc|cpp|h|cs|scala|kt|swift)$") & ~is_test_path(path) & ~is_docs_path(path)
+
+
+def is_docs_path(path: Column) -> Column:
+    return path.rlike(r"(^|/)(docs?|documentation)/|\.(md|rst|txt)$")
+
+
 def evidence_tier(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "VERIFIED").when(confidence >= 0.5, "WARNING").otherwise("INFO")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import wilson
 from ..sources.graph import Graph
@@ -41,8 +42,94 @@ def category_table(g: Graph) -> DataFrame:
 
 
 def graph_metrics(g: Graph) -> DataFrame:
-    """Edges by file."""
-    return g.edges.groupBy("source_file").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("target_id").alias("targets"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    """Edges for each file of the graph, and the in-degree of calls at nine tenths of the called nodes, by rank from 0."""
+    files = g.nodes.agg(F.countDistinct("file_path").alias("files"))
+    edges = g.edges.agg(F.count(F.lit(1)).alias("edges"))
+    degrees = g.edges.where("type = 'CALLS'").groupBy("target_id").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
+    # from counts by degree: the smallest degree with more nodes up to it than the rank
+    run = F.sum("n").over(Window.orderBy("degree"))  # a row a degree
+    total = degrees.agg(F.sum("n").alias("total"))
+    at = degrees.withColumn("run", run).crossJoin(F.broadcast(total)).where(F.col("run") > F.floor(F.col("total") * 0.9)).agg(F.min("degree").alias("p90"))
+    return files.crossJoin(edges).crossJoin(at).select("files", "edges", F.round(F.col("edges") / F.col("files"), 6).alias("edges_per_file"), "p90")  # one row each
+
+
+def file_edge_counts(g: Graph) -> DataFrame:
+    """Edges of each file, their targets, and the mean confidence in whole tenths."""
+    tenths = F.sum(F.round(F.col("confidence") * 10).cast("long")) / (F.count(F.lit(1)) * 10)
+    return g.edges.groupBy("source_file").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("target_id").alias("targets"), F.round(tenths, 6).alias("confidence"))
+
+
+def gold_ranks(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """For each query the first rank whose path ends with a gold path or the other way round: query, rank (null if none).
+
+    ``ranked``: query, path, rank; ``gold``: query, gold.
+    """
+    ends = F.col("path").endswith(F.col("gold")) | F.col("gold").endswith(F.col("path"))
+    found = ranked.join(gold, "query").where(ends).groupBy("query").agg(F.min("rank").alias("rank"))
+    return gold.select("query").distinct().join(found, "query", "left")
+
+
+def envelope_confidence(signals: DataFrame, k: int = 5) -> DataFrame:
+    """For each query over its top ``k`` (query, key, rank, score, a, b, c): agreement, separation, redundancy and their product.
+
+    Agreement is 1 less the mean of the signals' variation over those that aren't 0, separation the lead of the first over
+    the next after ``k``, redundancy the share with two signals and more.
+    """
+    x = F.filter(F.array("a", "b", "c"), lambda v: v > 0)
+    n = F.size(x)
+    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
+    spread = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n)
+    top = signals.withColumn("_cv", F.when(n > 0, spread / mean)).withColumn("_n", n)
+    out = top.groupBy("query").agg(
+        F.round(1 - F.avg(F.when(F.col("rank") <= k, F.coalesce("_cv", F.lit(1.0)))), 6).alias("agreement"),
+        F.round(F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.coalesce(F.max(F.when(F.col("rank") == k + 1, F.col("score"))), F.lit(0.0)), 6).alias("separation"),
+        F.round(F.avg(F.when(F.col("rank") <= k, (F.col("_n") >= 2).cast("double"))), 6).alias("redundancy"),
+    )
+    return out.withColumn("confidence", F.round(F.col("agreement") * F.col("separation") * F.col("redundancy"), 6))
+
+
+def compared(baseline: DataFrame, treated: DataFrame, key: str) -> DataFrame:
+    """Tasks solved (key, solved) by either, both or neither of two runs; a task that a run lacks isn't solved."""
+    both = baseline.select(key, F.col("solved").alias("_a")).join(treated.select(key, F.col("solved").alias("_b")), key, "full")
+    a, b = F.coalesce("_a", F.lit(False)), F.coalesce("_b", F.lit(False))
+    return both.select(key, F.when(a & b, "both").when(a, "lost").when(b, "gained").otherwise("neither").alias("status"))
+
+
+def latest_blocks(records: DataFrame) -> DataFrame:
+    """The last record of each task and block (task, block, ts, id, value)."""
+    return records.groupBy("task", "block").agg(F.max_by(F.struct("id", "value"), F.struct("ts", "id")).alias("r")).select("task", "block", "r.id", "r.value")
+
+
+def utilisation(calls: DataFrame) -> DataFrame:
+    """Calls by layer, the share of tasks that use it, and the exact median of calls by task that does (task, layer)."""
+    per_task = calls.groupBy("task", "layer").agg(F.count(F.lit(1)).alias("n"))
+    tasks = calls.agg(F.countDistinct("task").alias("tasks"))
+    by = per_task.groupBy("layer").agg(F.sum("n").alias("calls"), F.count(F.lit(1)).alias("used"), F.expr("percentile(n, 0.5)").alias("median"))
+    return by.crossJoin(F.broadcast(tasks)).select("layer", "calls", F.round(F.col("used") / F.col("tasks"), 6).alias("share"), "median")  # one row
+
+
+def verdicts(results: DataFrame) -> DataFrame:
+    """Tasks by verdict of their reward (null: noverdict, 1 and more: resolved), with tokens and cost."""
+    verdict = F.when(F.col("reward").isNull(), "noverdict").when(F.col("reward") >= 1, "resolved").otherwise("failed")
+    return results.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("tasks"), F.sum("tokens").alias("tokens"))
+
+
+def pilot_stop(tasks: DataFrame, most_worse: int, least_advantage: float) -> DataFrame:
+    """Whether a pilot may go on: few tasks worse, and on average fewer files (task, before, after)."""
+    out = tasks.agg(F.count_if(F.col("after") > F.col("before")).alias("worse"), F.count_if(F.col("after") < F.col("before")).alias("better"), F.round(F.avg(F.col("before") - F.col("after")), 6).alias("advantage"))
+    return out.withColumn("pass", (F.col("worse") <= most_worse) & (F.col("advantage") >= least_advantage))
+
+
+def tiered_cost(tokens: Column, threshold: int, below: float, above: float) -> Column:
+    """The price of tokens: one rate for a million up to the threshold, another beyond."""
+    return F.round((F.least(tokens, F.lit(threshold)) * below + F.greatest(tokens - threshold, F.lit(0)) * above) / 1e6, 6)
+
+
+def cost_ledger(calls: DataFrame) -> DataFrame:
+    """Tokens and cost by task (task, input_tokens, output_tokens)."""
+    by = calls.groupBy("task").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    band = F.when(F.col("input_tokens") < 10_000, "small").when(F.col("input_tokens") < 100_000, "middle").otherwise("large")
+    return by.select("task", "input_tokens", "output_tokens", band.alias("band"), tiered_cost(F.col("input_tokens"), 50_000, 1.25, 2.5).alias("cost"))
 
 
 def bucket_rates(g: Graph) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
@@ -15,43 +12,12 @@ from ..operators import mining as mn
 from ..operators import resolution as rs
 from ..operators import text as tx
 from ..operators import traversal as gr
-from ..sources.graph import Graph, from_tables
+from ..sources.graph import Graph
 from ..streaming import sessions as ss
-from .projection_sql import oracle
+from .registry import DEGREE, FE, FILE_EDGES, GATE, ORACLE, PARAMS, QUERIES, SFE, WEIGHT, add, add_both, sparse
 
 FLAGSHIP = "blast_radius"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def add(name: str, build: Callable[[Graph], DataFrame], views: str = "", sql: str | None = None, more: str = "") -> None:
-    """Registers a query and, where SQL can express it, its oracle."""
-    QUERIES[name] = lambda spark, path: build(from_tables(spark, path))
-    if sql is not None:
-        ORACLE[name] = oracle(views, sql, more)
-
-
-def sparse(g: Graph) -> DataFrame:
-    """The fixture's thinned edges (FIXTURES.md, B.4), for queries whose SQL reads the view of that name."""
-    return g.edges.where((F.col("source_id") * 31 + F.col("target_id")) % 37 == 0)
-
-
-def add_both(name: str, build: Callable[[Graph, DataFrame], DataFrame], views: str, sql: str, more: str = "") -> None:
-    """Registers a query over the thinned edges that its SQL reads, and ``name``_whole over all edges with the same SQL over these."""
-    whole = lambda text: re.sub(r"\bsparse\b", "edges", text)
-    add(name, lambda g: build(g, sparse(g)), views, sql, more)
-    add(f"{name}_whole", lambda g: build(g, g.edges), whole(views), whole(sql), whole(more))
-
-
-#: Tables of expressions that several oracles share.
-FILE_EDGES = "fe AS (SELECT e.source_file, t.file_path AS target_file, e.type, e.confidence FROM {} e JOIN nodes t ON t.id = e.target_id WHERE e.source_file <> t.file_path)"
-FE, SFE = FILE_EDGES.format("edges"), FILE_EDGES.format("sparse")
-PARAMS = "(CASE WHEN trim(regexp_extract(signature, '\\(([^()]*)\\)', 1)) = '' THEN 0 ELSE len(string_split(regexp_extract(signature, '\\(([^()]*)\\)', 1), ',')) END)"
-WEIGHT = "(CASE type WHEN 'CALLS' THEN 1.0E0 WHEN 'IMPORTS' THEN 0.8E0 WHEN 'EXTENDS' THEN 0.9E0 WHEN 'USES' THEN 0.5E0 ELSE 0.3E0 END)"
-GATE = "confidence >= 0.5E0 AND resolution_method IN ('same_file', 'import', 'name_match')"
-DEGREE = "deg AS (SELECT t.file_path, count(*) AS degree FROM edges e JOIN nodes t ON t.id = e.target_id WHERE e.type = 'CALLS' GROUP BY 1)"
-
 
 def _seed_files(g: Graph) -> DataFrame:
     return g.nodes.agg(F.min("file_path").alias("file_path"))
@@ -312,8 +278,16 @@ add("wilson", ev.quality_rates, "", f"SELECT lang, n, good, round(greatest(0.0E0
 add("rollups", ev.rollups, "interventions", "SELECT phase, count(*) AS n, round(avg(latency_ms), 6) AS mean, round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.75), 6) AS p75, round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.95), 6) AS p95 FROM interventions GROUP BY 1")
 add("ab_compare", ev.ab_compare, "interventions", "SELECT CASE WHEN a = 1 AND b = 1 THEN 'both' WHEN a = 1 THEN 'lost' WHEN b = 1 THEN 'gained' ELSE 'neither' END AS status, count(*) AS runs FROM (SELECT run_id, max(CASE WHEN day(ts) <= 15 THEN CAST(outcome = 'valid' AS INT) END) AS a, max(CASE WHEN day(ts) > 15 THEN CAST(outcome = 'valid' AS INT) END) AS b FROM interventions GROUP BY 1) GROUP BY 1")
 add("category_table", ev.category_table, "", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
-add("graph_metrics", ev.graph_metrics, "edges", "SELECT source_file, count(*) AS edges, count(DISTINCT target_id) AS targets, round(avg(confidence), 6) AS confidence FROM edges GROUP BY 1")
+add(
+    "graph_metrics",
+    ev.graph_metrics,
+    "nodes edges",
+    "SELECT files, edges, round(edges / CAST(files AS DOUBLE), 6) AS edges_per_file, (SELECT degree FROM (SELECT count(*) AS degree, row_number() OVER (ORDER BY count(*), target_id) - 1 AS place, count(*) OVER () AS total FROM edges WHERE type = 'CALLS' GROUP BY target_id) WHERE place = CAST(floor(total * 0.9E0) AS BIGINT)) AS p90 FROM (SELECT count(DISTINCT file_path) AS files FROM nodes) CROSS JOIN (SELECT count(*) AS edges FROM edges)",
+)
+add("file_edge_counts", ev.file_edge_counts, "edges", "SELECT source_file, count(*) AS edges, count(DISTINCT target_id) AS targets, round(CAST(sum(CAST(round(confidence * 10) AS BIGINT)) AS BIGINT) / CAST(count(*) * 10 AS DOUBLE), 6) AS confidence FROM edges GROUP BY 1")
 add("bucket_rates", ev.bucket_rates, "", "SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'middle' ELSE 'long' END AS bucket, count(*) AS n, round(avg(quality), 6) AS good FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 add("correlation", ev.correlation, "", "SELECT round(corr(quality, n_chars), 6) AS r, count(*) AS n FROM labels JOIN documents USING (doc_id)")
 add("envelope", ev.envelope, "edges", "SELECT source_file, round(CASE WHEN avg(confidence) > 0 THEN stddev_pop(confidence) / avg(confidence) ELSE 0.0E0 END, 6) AS cv FROM edges GROUP BY 1")
 add("retrieval_metrics", lambda g: ev.retrieval_metrics(lk.callers(g).groupBy("target_id").agg(F.min(F.when(F.col("resolution_method") == "import", F.col("rank"))).alias("rank"))), "nodes edges", f"SELECT count(*) AS queries, round(avg(coalesce(1.0E0 / r, 0.0E0)), 6) AS mrr, " + ", ".join(f"round(avg(CASE WHEN r <= {k} THEN 1.0E0 ELSE 0.0E0 END), 6) AS hit_{k}" for k in (1, 3, 5, 10)) + f" FROM (SELECT target_id, min(CASE WHEN resolution_method = 'import' THEN rank END) AS r FROM (SELECT e.*, row_number() OVER (PARTITION BY target_id ORDER BY CASE resolution_method WHEN 'same_file' THEN 0 WHEN 'import' THEN 1 ELSE 2 END, source_line, source_id) AS rank FROM edges e JOIN nodes t ON t.id = e.target_id WHERE e.type = 'CALLS' AND {GATE} AND e.source_file <> t.file_path) WHERE rank <= 10 GROUP BY 1)")
+
+from . import check_queries, engine_queries, parsing_queries, ranking_queries, store_queries, symbol_queries  # noqa: E402, F401  (they register more)

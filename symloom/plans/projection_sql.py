@@ -56,8 +56,12 @@ SELECT event_id AS id, ts, concat('tool_', event_type) AS tool, user_id AS run_i
        CAST(round(value) AS INT) AS latency_ms, event_type = 'purchase' AS ai_called, props
 FROM events)"""
 
-VIEWS = {"nodes": NODES, "edges": EDGES, "sparse": SPARSE, "commit_files": COMMITS, "properties": PROPERTIES, "assertions": ASSERTIONS, "interventions": INTERVENTIONS}
-NEEDS = {"edges": ["nodes"], "sparse": ["edges"], "commit_files": ["nodes"], "properties": ["nodes"], "assertions": ["nodes", "edges"]}
+# The definitions that the generated source files have, with the line of each block's first line. Class blocks begin with a decorator.
+BLOCKS = """blocks AS (
+SELECT *, CAST(3 + (row_number() OVER (PARTITION BY file_path ORDER BY start_line, id) - 1) * 8 AS INT) AS s FROM nodes)"""
+
+VIEWS = {"blocks": BLOCKS, "nodes": NODES, "edges": EDGES, "sparse": SPARSE, "commit_files": COMMITS, "properties": PROPERTIES, "assertions": ASSERTIONS, "interventions": INTERVENTIONS}
+NEEDS = {"blocks": ["nodes"], "edges": ["nodes"], "sparse": ["edges"], "commit_files": ["nodes"], "properties": ["nodes"], "assertions": ["nodes", "edges"]}
 
 
 def oracle(views: str, sql: str, more: str = "") -> str:

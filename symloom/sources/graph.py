@@ -88,6 +88,20 @@ class Graph:
         rank = F.row_number().over(Window.partitionBy("_b").orderBy("source_id", "target_id", "type"))
         return keyed.withColumn("_r", rank).join(counts, "_b").select((F.col("_before") + F.col("_r")).alias("id"), *self._plain_edges.columns)
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        """Source files (file_path, text) that have the graph's nodes as definitions, eight lines each after two of imports."""
+        pick = lambda n: (F.col("id") % n).cast("string")
+        head = F.concat(F.lit("def "), F.col("name"), F.regexp_extract("signature", r"(\(.*\))", 1), F.lit(":"))
+        fourth = F.when(F.col("id") % 2 == 0, 'ValueError("bad")').otherwise('KeyError("bad")')
+        fifth = F.when(F.col("is_test"), F.concat(F.lit("    assertEqual(helper_"), pick(5), F.lit("(a), "), pick(10), F.lit(")"))).otherwise(F.concat(F.lit("    self.total = helper_"), pick(5), F.lit("(a)")))
+        last = F.when(F.col("id") % 4 == 0, "(a, item)").when(F.col("id") % 4 == 1, "[item]").when(F.col("id") % 4 == 2, "None").otherwise("item")
+        function = [head, F.concat(F.lit('    """Doc of '), F.col("name"), F.lit('."""')), F.concat(F.lit("    if check_"), pick(4), F.lit("(a):")), F.concat(F.lit("        raise "), fourth), fifth, F.concat(F.lit("    for item in fetch_"), pick(3), F.lit("(self.size):")), F.concat(F.lit("        return "), last), F.lit("")]
+        klass = [F.lit("@dataclass"), F.concat(F.lit("class "), F.col("name"), F.lit(":")), F.lit("    size = 1"), F.lit("    def run(self):"), F.lit("        return self.size"), F.lit(""), F.lit(""), F.lit("")]
+        block = F.when(F.col("label") == "Class", F.concat_ws("\n", *klass)).otherwise(F.concat_ws("\n", *function))
+        files = self.nodes.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "id", block.alias("block")))).alias("b"))
+        return files.select("file_path", F.concat(F.lit("from lib.base import helper_0, helper_1 as h1\n\n"), F.array_join(F.col("b.block"), "\n")).alias("text"))
+
     @cached_property
     def commit_files(self) -> DataFrame:
         lines = self.table("lineitem").select(F.col("l_orderkey").alias("commit_id"), (F.col("l_partkey") + 1).alias("id"))
