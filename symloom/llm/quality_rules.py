@@ -1,9 +1,9 @@
 """Quality rules with robust multivariate outliers (DataFrame functions only).
 
 Every text gets counts, and from them a vector of transformed shares. For each language and source the minimum
-covariance determinant is estimated by concentration steps: from the rows nearest to the medians, mean and covariance
-are computed, the nearest rows by Mahalanobis distance taken anew, and so on. A text whose squared distance is over the
-chi-square limit, on the side of junk, is rejected.
+covariance determinant is estimated by concentration steps from several starts: of the rows nearest by the estimate so
+far, mean and covariance are computed, and so on; the smallest determinant holds. A text whose squared Mahalanobis
+distance is over the limit is rejected.
 """
 
 from __future__ import annotations
@@ -16,19 +16,19 @@ from .common import WORD, release, written
 
 #: Names of the transformed statistics, and for each the least standard deviation. A share that hardly varies in a
 #: group would otherwise make any other value an outlier.
-STATS = {"x_length": 0.12, "x_symbols": 0.04, "x_lines": 0.10, "x_repeats": 0.12, "x_upper": 0.05}
+STATS = {"x_length": 0.06, "x_symbols": 0.03, "x_lines": 0.12, "x_repeats": 0.12, "x_upper": 0.03}
 #: Share of a group's rows that a concentration step keeps, and the number of steps.
 KEEP, STEPS = 0.75, 3
 #: Groups of fewer rows use the estimate of their language, and languages of fewer rows that of all rows.
 LEAST_ROWS = 60
-#: Squared distances over this are rejected: the 1 - 1e-9 point of chi-square with 5 degrees of freedom.
-LIMIT = 50.9
-#: Levels that squared distances are counted by, a power of two apart by eighths; quantiles come from these counts.
-LEVELS = 8.0
+#: Squared distances over this are rejected: about the 1 - 1e-6 point of chi-square with 5 degrees of freedom.
+LIMIT = 37.5
+#: Levels that squared distances are counted by, so many to a power of two; quantiles come from these counts.
+LEVELS = 32.0
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_upper of every whole text.
+    """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_upper of every whole text.
 
     Null text has no words. Windows are compared by 64-bit hashes; rows stay as many as they are.
     """
@@ -49,7 +49,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines.alias("_lines"),
         hashes.alias("_hashes"),
     )
-    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
+    out = out.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     # most texts have no window twice: only the others sort their windows
     pairs = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), pairs)).drop("_hashes")
@@ -63,7 +63,7 @@ def _vector() -> list[Column]:
     """The transformed statistics, in the order of STATS; square roots spread the shares near 0."""
     words = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    shares = [F.log(chars / words), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / words), F.sqrt(F.col("n_repeat_words") / words), F.sqrt(F.col("n_upper") / chars)]
+    shares = [F.log(chars / words), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / words), F.sqrt(F.col("n_upper") / chars)]
     return [s.alias(n) for s, n in zip(shares, STATS)]
 
 
@@ -180,8 +180,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Counts, base verdict, squared Mahalanobis distance and kept of every document.
 
     kept is false where the base rules fail (under 50 words, or over half of the words in repeated windows) and where
-    the distance is over LIMIT with more symbols, repeats or capitals, or odd word lengths, than the group's mean.
-    Estimates cover all documents of a group that pass the base rules.
+    the squared distance is over LIMIT. Estimates cover all documents of a group that pass the base rules.
 
     Null text has no words and fails; null language or source is a group. Repeated rows are judged alike. An empty
     table gives no rows. Columns named in ``carry`` are kept under a leading ``c_``.
@@ -206,7 +205,5 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     picked = wide.select(F.col("_lang_2").alias("_kl"), F.col("_source_2").alias("_ks"), F.coalesce(*enough, F.col("e_0")).alias("e")).select("_kl", "_ks", "e.*")
     measured = stats.join(F.broadcast(picked) if few else picked, F.col("_lang").eqNullSafe(F.col("_kl")) & F.col("_source").eqNullSafe(F.col("_ks")), "left")
     measured = _distance(measured)
-    over = [F.col(n) - F.col(f"m_{i}") for i, n in enumerate(STATS)]
-    junk = F.greatest(F.abs(over[0]) / STATS["x_length"], *[over[i] / s for i, s in enumerate(STATS.values()) if i]) >= 3
-    outlier = F.coalesce((F.col("distance2") > LIMIT) & junk, F.lit(False))
+    outlier = F.coalesce(F.col("distance2") > LIMIT, F.lit(False))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~outlier).alias("kept"), "distance2", *[f"c_{c}" for c in carry if c != text_col])

@@ -17,11 +17,22 @@ def row_key(columns: list[str]) -> Column:
     return F.xxhash64(*parts)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
-    """``docs`` less the rows whose ``key`` is in the one column of ``gone``."""
-    gone = written(gone.toDF("_gone").distinct(), "stage-gone")
+    """``docs`` less the rows whose ``key`` is in the one column of ``gone``.
+
+    All rows of a key go, repeated ones too; an empty ``gone`` takes none. Columns of any name stay.
+    """
+    name = fresh(docs, "_gone")
+    gone = written(gone.toDF(name).distinct(), "stage-gone")
     few = gone.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(gone) if few else gone, key == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, key == F.col(name), "left_anti")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -53,12 +64,13 @@ def first_of_each(docs: DataFrame, groups: DataFrame, key: Column) -> DataFrame:
     groups = written(groups.select("doc_id", "row", "label"), "stage-groups")
     first = groups.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first"))
     others = groups.join(first.select(F.col("label").alias("_l"), F.col("first.row").alias("_first")), F.col("label") == F.col("_l")).where("row <> _first")
-    out = without(docs, others.select("row"), key).withColumn("_row", key)
-    again = written(groups.groupBy("row").count().where("count > 1").select(F.col("row").alias("_again")), "stage-repeated")
+    row, many = fresh(docs, "_row"), fresh(docs, "_again")
+    out = without(docs, others.select("row"), key).withColumn(row, key)
+    again = written(groups.groupBy("row").count().where("count > 1").select(F.col("row").alias(many)), "stage-repeated")
     if again.isEmpty():
-        return out.drop("_row")
-    once = out.join(again, F.col("_row") == F.col("_again"), "left_semi").dropDuplicates(["_row"])
-    return out.join(again, F.col("_row") == F.col("_again"), "left_anti").unionByName(once).drop("_row")
+        return out.drop(row)
+    once = out.join(again, F.col(row) == F.col(many), "left_semi").dropDuplicates([row])
+    return out.join(again, F.col(row) == F.col(many), "left_anti").unionByName(once).drop(row)
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,11 +78,12 @@ def repeated(docs: DataFrame, mixed: DataFrame, columns: list[str]) -> DataFrame
 
     A part of a time becomes a whole one with that chance, by a hash of the key. Rows without words stay once.
     """
+    at, key, times_ = (fresh(docs, n) for n in ("_at", "_key", "_times"))
     share = F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))
     chance = F.pmod(F.xxhash64(F.lit("times"), "key"), F.lit(1 << 30)) / float(1 << 30)
     times = mixed.groupBy("key").agg(share.alias("_share"), F.max("size").alias("_size"))
-    times = times.select(F.col("key").alias("_key"), F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_share") + chance)).cast("int").alias("_times"))
+    times = times.select(F.col("key").alias(key), F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_share") + chance)).cast("int").alias(times_))
     times = written(times, "stage-times")
     few = times.count() <= BROADCAST_KEYS
-    joined = docs.withColumn("_k", row_key(columns)).join(F.broadcast(times) if few else times, F.col("_k") == F.col("_key")).where("_times > 0")
-    return joined.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    joined = docs.withColumn(at, row_key(columns)).join(F.broadcast(times) if few else times, F.col(at) == F.col(key)).where(F.col(times_) > 0)
+    return joined.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*docs.columns)
