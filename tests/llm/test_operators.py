@@ -610,3 +610,57 @@ def test_neighbours_of_other_lengths(spark):
     df = spark.createDataFrame([(*r, "a", 1) for r in rows], "vec_id long, embedding array<double>, key string, cell int")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(df).collect())
     assert got == [(0, 1, 0), (0, 2, 1), (50, 1, 2)]
+
+
+def test_stages_keep_columns_of_any_name(spark, odd, sf_dir):
+    import corpus_pipeline
+
+    clashing = ["_key", "_gone", "_row", "_again", "_at", "_times", "_k", "_share", "c__key"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(clashing)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, sf_dir)
+            rows = [tuple(r)[5:] for r in out.collect()]
+            assert out.columns == docs.columns and all(r == tuple(range(len(clashing))) for r in rows), name
+            assert table is docs or not rows
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()
+
+
+# Minimum covariance determinant
+
+
+def numpy_mcd(x, quarter):
+    """Means and factor by the same steps over one group's rows."""
+    q, floors = quality_rules, np.array(list(quality_rules.STATS.values()))
+    factor = lambda c: np.linalg.cholesky(c + np.diag(floors**2))
+    at = lambda p: np.sort(x, axis=0)[math.ceil(p * len(x)) - 1]
+    some = x[quarter] if quarter.any() else x
+    begun = [(at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2)), (x.mean(0), np.cov(x.T, bias=True)), (some.mean(0), np.cov(some.T, bias=True))]
+    found = []
+    for mean, cov in begun:
+        low = factor(cov)
+        for _ in range(q.STEPS):
+            d = (np.linalg.solve(low, (x - mean).T) ** 2).sum(0)
+            level = np.floor(np.log2(d + 1e-6) * q.LEVELS)
+            cut = np.sort(level)[math.ceil(q.KEEP * len(x)) - 1]
+            near = x[level <= cut]
+            mean, low = near.mean(0), factor(np.cov(near.T, bias=True))
+        found.append((np.log(np.diag(low)).sum(), mean, low))
+    return min(found, key=lambda f: f[0])
+
+
+def test_mcd_equals_numpy(spark):
+    r, names = np.random.default_rng(9), list(quality_rules.STATS)
+    rows = []
+    for g, n in (("a", 300), ("b", 150), (None, 40)):
+        x = r.normal(0, [0.3, 0.05, 0.1, 0.2, 0.1], (n, 5)) + np.outer(r.normal(0, 0.2, n), [1, 0.2, 0, 0.5, 0])
+        x[: n // 10] += [0, 1.5, 0, 2, 1]
+        rows += [(g, *map(float, v)) for v in x]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{n} double" for n in names)).withColumn("quarter", F.pmod(F.xxhash64(*names), F.lit(4)) == 0)
+    table = df.toPandas()
+    for e in quality_rules.mcd(df, ["g"]).collect():
+        own = table[table.g.isna() if e["g"] is None else table.g == e["g"]]
+        _, mean, low = numpy_mcd(own[names].to_numpy(), own.quarter.to_numpy())
+        assert e["rows"] == len(own) and np.allclose(mean, [e[f"m_{i}"] for i in range(5)], atol=1e-9)
+        assert np.allclose(low[np.tril_indices(5)], [e[f"l_{i}_{j}"] for i in range(5) for j in range(i + 1)], atol=1e-9)
+        assert abs(mean[1]) < 0.05  # the planted outliers don't draw it
