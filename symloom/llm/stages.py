@@ -62,8 +62,9 @@ def first_of_each(docs: DataFrame, groups: DataFrame, key: Column) -> DataFrame:
     keys one stays.
     """
     groups = written(groups.select("doc_id", "row", "label"), "stage-groups")
-    first = groups.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first"))
-    others = groups.join(first.select(F.col("label").alias("_l"), F.col("first.row").alias("_first")), F.col("label") == F.col("_l")).where("row <> _first")
+    labelled = groups.where("label IS NOT NULL")
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first"))
+    others = labelled.join(first.select(F.col("first.row").alias("_first")), F.col("row") == F.col("_first"), "left_anti")
     row, many = fresh(docs, "_row"), fresh(docs, "_again")
     out = without(docs, others.select("row"), key).withColumn(row, key)
     again = written(groups.groupBy("row").count().where("count > 1").select(F.col("row").alias(many)), "stage-repeated")
