@@ -227,7 +227,8 @@ def properties(body: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     along = Window.partitionBy("file_path", "node_id").orderBy("line")
     number = F.row_number().over(along)
     b = body.withColumn("_before", F.lag("text").over(along)).withColumn("_n", number)
-    condition = F.regexp_extract("_before", r"^\s*(?:if|elif|unless)\s*\(?(.*?)\)?\s*[:{]?\s*$", 1)
+    condition = F.regexp_extract("_before", r"^\s*(?:if|elif|unless)\b\s*(.*?)\s*[:{]?\s*$", 1)
+    condition = F.regexp_replace(condition, r"^\(([^()]*(?:\([^()]*\)[^()]*)*)\)$", "$1")  # brackets around all of it
     raised, returned = F.regexp_extract("text", FACTS[0][1], 1), F.regexp_extract("text", r"^\s*return\b\s*(.*?)\s*$", 1)
     returns = F.col("text").rlike(r"^\s*return\b")
     fact = lambda kind, value, confidence: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(confidence).alias("confidence"))

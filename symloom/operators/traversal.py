@@ -69,8 +69,18 @@ def reach(g: Graph, seeds: DataFrame, hops: int = 3, edges: DataFrame | None = N
     return found.groupBy("file_path").agg(F.round(F.sum("score"), 6).alias("score"), F.min("length").alias("length"))
 
 
-def personalized_pagerank(g: Graph, seeds: DataFrame, rounds: int = 5, alpha: float = 0.85, edges: DataFrame | None = None) -> DataFrame:
-    """Ranks of files after some rounds over distinct unweighted edges; mass without a way out returns to the seeds."""
+def _moved(old: DataFrame, new: DataFrame, largest: bool) -> float:
+    """The largest change of a rank, or the sum of all changes."""
+    change = F.abs(F.col("rank") - F.col("_old"))
+    joined = new.join(old.select("file_path", F.col("rank").alias("_old")), "file_path")
+    return joined.agg(F.coalesce(F.max(change) if largest else F.sum(change), F.lit(0.0))).first()[0]
+
+
+def personalized_pagerank(g: Graph, seeds: DataFrame, rounds: int = 30, alpha: float = 0.85, edges: DataFrame | None = None, tolerance: float | None = 1e-4) -> DataFrame:
+    """Ranks of files over distinct unweighted edges; mass without a way out returns to the seeds.
+
+    Ends after ``rounds`` rounds, or when no rank changes by ``tolerance`` (None: never).
+    """
     e = file_edges(g, (g.edges if edges is None else edges).where("confidence >= 0.5")).select("source_file", "target_file").distinct()
     out = e.groupBy("source_file").agg(F.count(F.lit(1)).alias("out"))
     e = _cut(e.join(out, "source_file"))
@@ -82,13 +92,18 @@ def personalized_pagerank(g: Graph, seeds: DataFrame, rounds: int = 5, alpha: fl
     for _ in range(rounds):
         got = rank.join(e, F.col("file_path") == F.col("source_file")).groupBy(F.col("target_file").alias("file_path")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         lost = rank.join(e.select(F.col("source_file").alias("file_path")).distinct(), "file_path", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        rank = start.join(got, "file_path", "left").crossJoin(F.broadcast(lost)).select("file_path", ((1 - alpha) * F.col("seed") + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("seed"))).alias("rank"))
+        before, rank = rank, start.join(got, "file_path", "left").crossJoin(F.broadcast(lost)).select("file_path", ((1 - alpha) * F.col("seed") + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("seed"))).alias("rank"))
         rank = _cut(rank)
+        if tolerance is not None and _moved(before, rank, True) < tolerance:
+            break
     return rank.select("file_path", F.round("rank", 6).alias("rank"))
 
 
-def weighted_pagerank(g: Graph, rounds: int = 5, alpha: float = 0.85, edges: DataFrame | None = None) -> DataFrame:
-    """Ranks of files over weighted edges from an even start; mass without a way out is lost."""
+def weighted_pagerank(g: Graph, rounds: int = 50, alpha: float = 0.85, edges: DataFrame | None = None, tolerance: float | None = 1e-6) -> DataFrame:
+    """Ranks of files over weighted edges from an even start; mass without a way out is lost.
+
+    Ends after ``rounds`` rounds, or when all ranks together change by less than ``tolerance`` (None: never).
+    """
     e = file_edges(g, edges).groupBy("source_file", "target_file").agg(F.sum("confidence").alias("w"))
     out = e.groupBy("source_file").agg(F.sum("w").alias("out"))
     e = _cut(e.join(out, "source_file"))
@@ -98,7 +113,9 @@ def weighted_pagerank(g: Graph, rounds: int = 5, alpha: float = 0.85, edges: Dat
     rank = start.select("file_path", F.col("even").alias("rank"))
     for _ in range(rounds):
         got = rank.join(e, F.col("file_path") == F.col("source_file")).groupBy(F.col("target_file").alias("file_path")).agg(F.sum(F.col("rank") * F.col("w") / F.col("out")).alias("got"))
-        rank = _cut(start.join(got, "file_path", "left").select("file_path", ((1 - alpha) * F.col("even") + alpha * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        before, rank = rank, _cut(start.join(got, "file_path", "left").select("file_path", ((1 - alpha) * F.col("even") + alpha * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        if tolerance is not None and _moved(before, rank, False) < tolerance:
+            break
     return rank.select("file_path", F.round("rank", 6).alias("rank"))
 
 

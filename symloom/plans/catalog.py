@@ -155,8 +155,11 @@ add_both(
     "SELECT file_path, round(sum(score), 6) AS score, CAST(min(length) AS INT) AS length FROM (SELECT f AS file_path, m / 2.0E0 AS score, 1 AS length FROM m1 UNION ALL SELECT f, m / 3.0E0, 2 FROM m2 UNION ALL SELECT f, m / 4.0E0, 3 FROM m3) GROUP BY 1",
     SFE + f", w AS (SELECT source_file, target_file, sum({WEIGHT} * confidence) AS w FROM fe GROUP BY 1, 2), m1 AS (SELECT target_file AS f, sum(w) AS m FROM w WHERE source_file = (SELECT min(file_path) FROM nodes) GROUP BY 1), m2 AS (SELECT target_file AS f, sum(m * w) AS m FROM m1 JOIN w ON source_file = f GROUP BY 1), m3 AS (SELECT target_file AS f, sum(m * w) AS m FROM m2 JOIN w ON source_file = f GROUP BY 1)",
 )
-add_both("ppr_files", lambda g, e: gr.personalized_pagerank(g, _seed_files(g), 3, edges=e), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT DISTINCT source_file, target_file FROM fe WHERE confidence >= 0.5E0), o AS (SELECT source_file, count(*) AS o FROM d GROUP BY 1), s AS (SELECT file_path, CASE WHEN file_path = (SELECT min(file_path) FROM nodes) THEN 1.0E0 ELSE 0.0E0 END AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * (coalesce(g, 0.0E0) + (SELECT coalesce(sum(r), 0.0E0) FROM r{i - 1} WHERE file_path NOT IN (SELECT source_file FROM d)) * s) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
-add_both("pagerank_files", lambda g, e: gr.weighted_pagerank(g, 3, edges=e), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT source_file, target_file, sum(confidence) AS w FROM fe GROUP BY 1, 2), o AS (SELECT source_file, sum(w) AS o FROM d GROUP BY 1), s AS (SELECT file_path, 1.0E0 / count(*) OVER () AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r * w / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * coalesce(g, 0.0E0) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
+add_both("ppr_files", lambda g, e: gr.personalized_pagerank(g, _seed_files(g), 3, edges=e, tolerance=None), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT DISTINCT source_file, target_file FROM fe WHERE confidence >= 0.5E0), o AS (SELECT source_file, count(*) AS o FROM d GROUP BY 1), s AS (SELECT file_path, CASE WHEN file_path = (SELECT min(file_path) FROM nodes) THEN 1.0E0 ELSE 0.0E0 END AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * (coalesce(g, 0.0E0) + (SELECT coalesce(sum(r), 0.0E0) FROM r{i - 1} WHERE file_path NOT IN (SELECT source_file FROM d)) * s) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
+add_both("pagerank_files", lambda g, e: gr.weighted_pagerank(g, 3, edges=e, tolerance=None), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT source_file, target_file, sum(confidence) AS w FROM fe GROUP BY 1, 2), o AS (SELECT source_file, sum(w) AS o FROM d GROUP BY 1), s AS (SELECT file_path, 1.0E0 / count(*) OVER () AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r * w / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * coalesce(g, 0.0E0) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
+# to convergence; SQL would have to unroll every round, so tests hold these against brute force
+add("ppr_files_converged", lambda g: gr.personalized_pagerank(g, _seed_files(g)))
+add("pagerank_files_converged", lambda g: gr.weighted_pagerank(g))
 add_both("callee_multihop", lambda g, e: gr.callee_closure(g, _seed_nodes(g), edges=e), "nodes sparse", "SELECT id, CAST(min(depth) AS INT) AS depth FROM c GROUP BY 1", "c(id, depth) AS (SELECT id, 0 FROM nodes WHERE id <= 20 UNION SELECT target_id, depth + 1 FROM c JOIN sparse ON source_id = c.id WHERE type = 'CALLS' AND confidence >= 0.5E0 AND depth < 3)")
 add(
     "rule_expand",

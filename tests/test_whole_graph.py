@@ -34,5 +34,27 @@ def test_operators_read_all_edges(spark, tmp_path):
     assert {r["file_path"] for r in traversal.reach(g, seed).collect()} == set(FILES[1:3])
     assert {r["id"]: r["depth"] for r in traversal.callee_closure(g, spark.createDataFrame([(1,)], "id long")).collect()} == {1: 0, 2: 1, 3: 2}
     assert {r["file_path"] for r in traversal.anchor_proximity(g, seed).collect()} == set(FILES[1:])
-    assert traversal.personalized_pagerank(g, seed, 3).where(F.col("rank") > 0).count() == 3
+    assert traversal.personalized_pagerank(g, seed, 3, tolerance=None).where(F.col("rank") > 0).count() == 3
     assert traversal.weighted_pagerank(g, 3).agg(F.countDistinct("rank")).first()[0] == 4
+
+
+def test_ranks_converge_as_by_brute_force(spark, tmp_path):
+    g = stored(spark, tmp_path)
+    index, edges = {f: i for i, f in enumerate(FILES)}, {(a - 1, b - 1) for a, b in CALLS + IMPORTS}
+    weights = {e: sum(e == (a - 1, b - 1) for a, b in CALLS + IMPORTS) for e in edges}
+    out, total = [sum(a == i for a, _ in edges) for i in range(4)], [sum(w for (a, _), w in weights.items() if a == i) for i in range(4)]
+    own, even = [1.0, 0, 0, 0], [0.25] * 4
+    for _ in range(30):
+        lost = sum(r for i, r in enumerate(own) if not out[i])
+        now = [0.15 * (i == 0) + 0.85 * (sum(own[a] / out[a] for a, b in edges if b == i) + lost * (i == 0)) for i in range(4)]
+        moved, own = max(abs(x - y) for x, y in zip(own, now)), now
+        if moved < 1e-4:
+            break
+    for _ in range(50):
+        now = [0.15 * 0.25 + 0.85 * sum(even[a] * w / total[a] for (a, b), w in weights.items() if b == i) for i in range(4)]
+        moved, even = sum(abs(x - y) for x, y in zip(even, now)), now
+        if moved < 1e-6:
+            break
+    seed = spark.createDataFrame([(FILES[0],)], "file_path string")
+    for got, want in ((traversal.personalized_pagerank(g, seed), own), (traversal.weighted_pagerank(g), even)):
+        assert all(abs(r["rank"] - want[index[r["file_path"]]]) < 2e-6 for r in got.collect())
