@@ -123,11 +123,16 @@ def lines(files: DataFrame) -> DataFrame:
     return out.select("file_path", "language", (F.col("line") + 1).alias("line"), "text", F.when(blank, -1).otherwise(F.length(F.regexp_extract("text", r"^[ \t]*", 0))).alias("indent"))
 
 
-def _by_language(patterns: dict[str, str], group: int, other: str | None = None) -> Column:
-    out = F.regexp_extract("text", other, group) if other else F.lit("")
-    for language, pattern in patterns.items():
-        out = F.when(F.col("language") == language, F.regexp_extract("text", pattern, group)).otherwise(out)
-    return out
+def _of_language(values: dict[str, Column], other: Column) -> Column:
+    """The value that belongs to a row's language: one lookup, however many languages there are."""
+    table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    return F.coalesce(F.try_element_at(table, F.col("language")), other)
+
+
+def _by_language(patterns: dict[str, str], group: int, other: str = "()()()") -> Column:
+    """A group of what the language's pattern finds; empty where it finds nothing."""
+    pattern = _of_language({k: F.lit(v) for k, v in patterns.items()}, F.lit(other))
+    return F.call_function("regexp_extract", F.col("text"), pattern, F.lit(group))
 
 
 def definitions(rows: DataFrame) -> DataFrame:
@@ -196,10 +201,9 @@ def calls(body: DataFrame) -> DataFrame:
 
 def imports(rows: DataFrame) -> DataFrame:
     """Imports: file_path, line, module_path and imported_name, a row a name; a module that is imported whole has ``*``."""
-    found = F.array().cast("array<struct<module:string,names:string>>")
-    for language, patterns in IMPORTS.items():
-        each = [F.struct(F.regexp_extract("text", p, 1).alias("module"), F.regexp_extract("text", p, 2).alias("names")) for p in patterns]
-        found = F.when(F.col("language") == language, F.array(*each)).otherwise(found)
+    patterns = _of_language({k: F.array(*[F.lit(p) for p in v]) for k, v in IMPORTS.items()}, F.array().cast("array<string>"))
+    part = lambda p, i: F.call_function("regexp_extract", F.col("text"), p, F.lit(i))
+    found = F.transform(patterns, lambda p: F.struct(part(p, 1).alias("module"), part(p, 2).alias("names")))
     hits = rows.where("indent >= 0").select("file_path", "line", F.get(F.filter(found, lambda x: x["module"] != ""), F.lit(0)).alias("hit")).where("hit IS NOT NULL")
     names = F.filter(F.transform(F.split("hit.names", ","), lambda n: F.trim(F.regexp_replace(n, r"\s+as\s+\w+\s*$|^\s*\{|\}\s*$|^\s*type\s+", ""))), lambda n: n != "")
     names = F.when(F.size(names) == 0, F.array(F.lit("*"))).otherwise(names)
