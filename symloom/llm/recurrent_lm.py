@@ -33,8 +33,8 @@ INNER = 32
 #: Buckets that stand for all other words as inputs, and the input that begins a text.
 BUCKETS = 512
 START = OWN + BUCKETS
-#: Units, steps of a window, and texts side by side.
-UNITS, STEPS, LANES = 16, 16, 256
+#: Units, steps of a window (and at most, where few texts are left), and texts side by side.
+UNITS, STEPS, LONGEST, LANES = 16, 16, 256, 256
 #: Words whose counts every task has; the counts of the others are joined.
 LISTED = 150_000
 #: Training documents of the first round: one in so many.
@@ -203,6 +203,16 @@ def lanes(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return x, y, j, of
 
 
+def windows(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """First and last step of each window and the lanes that it has: STEPS steps of all lanes, more where few lanes are left."""
+    at, lanes_left = 0, (of >= 0).sum(axis=1)
+    while at < len(of):
+        n = int(lanes_left[at])
+        upto = min(len(of), at + min(LONGEST, STEPS * max(1, LANES // n)))
+        yield at, upto, n
+        at = upto
+
+
 def score_words(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     """The natural logarithm of each text's probability as a sequence of classes and entries in shared classes."""
     out = np.zeros(len(texts))
@@ -210,13 +220,11 @@ def score_words(net: Network, texts: list[np.ndarray]) -> np.ndarray:
         return out
     x, y, j, of = lanes(texts)
     state = np.zeros((x.shape[1], UNITS), np.float32)
-    for at in range(0, len(x), STEPS):
-        live = of[at : at + STEPS] >= 0
-        n = int(live[0].sum())
-        states, _ = net.window(x[at : at + STEPS, :n], state[:n])
+    for at, upto, n in windows(of):
+        states, _ = net.window(x[at:upto, :n], state[:n])
         state = states[-1]
         logits, _e, total = net.log_shares(states)
-        target, entry, texts_of = (a[at : at + STEPS, :n].ravel() for a in (y, j, of))
+        target, entry, texts_of = (a[at:upto, :n].ravel() for a in (y, j, of))
         value = logits[np.arange(len(logits)), target] - np.log(total)
         for _k, rows, logits, _e, total in net.within(states.reshape(-1, UNITS), np.where(texts_of >= 0, target, -1)):
             value[rows] += logits[np.arange(len(rows)), entry[rows]] - np.log(total)
@@ -229,10 +237,9 @@ def train_words(net: Network, adam: Adam, texts: list[np.ndarray]) -> float:
     """One pass over the texts; the summed loss."""
     x, y, j, of = lanes(texts)
     state, grad, loss = np.zeros((x.shape[1], UNITS), np.float32), Network(np.zeros_like(net.flat)), 0.0
-    for at in range(0, len(x), STEPS):
-        live = of[at : at + STEPS] >= 0
-        n = int(live[0].sum())
-        state, more = net.learn(x[at : at + STEPS, :n], y[at : at + STEPS, :n], j[at : at + STEPS, :n], live[:, :n], state[:n], grad)
+    for at, upto, n in windows(of):
+        live = of[at:upto, :n] >= 0
+        state, more = net.learn(x[at:upto, :n], y[at:upto, :n], j[at:upto, :n], live, state[:n], grad)
         adam.step(net.flat, grad.flat)
         loss += more
     return loss
