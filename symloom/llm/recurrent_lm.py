@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -369,11 +370,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
 
     def train(start: np.ndarray) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            net, seen = Network(start), 0
+            net, seen, pack = Network(start), 0, struct.Struct("<HBB").pack  # as WORD_OF
 
             class Words(dict):
                 def __missing__(self, word: bytes) -> bytes:
-                    found = self[word] = np.array([small.of(word)], WORD_OF).tobytes()
+                    found = self[word] = pack(*small.of(word))
                     return found
 
             known, adam = Words(), Adam(len(net.flat))
@@ -416,17 +417,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     record = np.dtype([*WORD_OF.descr, ("tail", "u1"), ("base", "<f8"), ("model", "<f8")])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, have, scale = Network(final), shared.value, small.base_scale()
+        net, have, scale, pack = Network(final), shared.value, small.base_scale(), struct.Struct("<HBBBdd").pack  # as record
         adds = [small.known_log10(k) for k in range(CLASSES)]
 
         class Known(dict):
             def __missing__(self, word: bytes) -> bytes:
                 (x, k, j), n = small.of(word), have.get(word)
                 if n is None:
-                    entry = np.array([(x, k, j, 1, 0.0, 0.0)], record)
+                    entry = pack(x, k, j, 1, 0.0, 0.0)
                 else:
-                    entry = np.array([(x, k, j, 0, math.log10(n + 0.5) - scale, adds[k] + math.log10(n) if k >= OWN and not j else 0.0)], record)
-                found = self[word] = entry.tobytes()
+                    entry = pack(x, k, j, 0, math.log10(n + 0.5) - scale, adds[k] + math.log10(n) if k >= OWN and not j else 0.0)
+                found = self[word] = entry
                 return found
 
         known = Known()
