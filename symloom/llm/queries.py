@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard_join, mixing, neighbours, packing, quality_model, quality_rules, recurrent_lm, sharding, url_filter
+from . import html_text, jaccard_join, mixing, neighbours, packing, phrases, quality_model, quality_rules, recurrent_lm, sharding, url_filter
 
 #: The rules that the query on URLs applies.
 URL_RULES = [
@@ -64,6 +64,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_html_extraction": op9_html_extraction,
     "op10_url_filters": op10_url_filters,
+    "op11_phrases": op11_phrases,
 }
 
 _URL_SQL = """
