@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard_join, mixing, neighbours, packing, phrases, quality_model, quality_rules, recurrent_lm, sharding, url_filter
+from . import config_packing, html_text, jaccard_join, mixing, neighbours, packing, phrases, quality_model, quality_rules, recurrent_lm, sharding, url_filter, whitening
 
 #: The rules that the query on URLs applies.
 URL_RULES = [
@@ -68,6 +68,14 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_packing.pack_whole(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -80,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_url_filters": op10_url_filters,
     "op11_phrases": op11_phrases,
+    "op12_whitening": op12_whitening,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 _URL_SQL = """
