@@ -1,8 +1,10 @@
-"""Source files to nodes, calls, imports, properties and assertions, by line patterns (DataFrame functions only).
+"""Source files to nodes, calls, imports, properties and assertions (DataFrame functions only).
 
-A file is cut into lines; patterns of its language find definitions, and indentation finds where they end and what they
-contain, for code that is indented as its language's formatters do. A definition's head is one line. Files are bounded in
-size (:data:`MOST_BYTES`), so that the definitions of one file may be one array.
+A file is cut into logical lines, in which comments and the insides of strings are told from code (``lexing``). Patterns of
+its language find the heads of definitions there, in code alone. A definition ends with its block: at the matching brace, or
+where the indentation does in languages without braces. Files are bounded in size (:data:`MOST_BYTES`).
+
+Null texts are empty, empty files have no definitions, and unclosed blocks end with their file.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import is_test_path, last_component
+from ..sources.shared import stored
+from . import lexing
 
 #: Files over this size are left out.
 MOST_BYTES = 500_000
@@ -24,22 +28,29 @@ LANGUAGES = {
 SKIPPED = r"(^|/)(\.[^/]*|node_modules|vendor|dist|build|target|__pycache__|venv|site-packages)/"
 GENERATED = r"(?i)code generated|do not edit|@generated|auto-?generated"
 #: Patterns of a function's and a class's head: the name is group 1, parameters are group 2, the type returned is group 3.
+NESTED = r"[^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+"
+PARAMETERS = f"({NESTED})"
+TYPED = r"(?:[A-Za-z_][\w.:]*(?:<[^;={}()]*>)?(?:\[\])*[\s*&]+)+?"
 FUNCTIONS = {
-    "python": r"^\s*(?:async\s+)?def\s+(\w+)\s*\((.*)\)\s*(?:->\s*(.+?))?\s*:",
-    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*(?=\w)|(?=\w+\s*\([^)]*\)\s*\{\s*$)(?!if\b|for\b|while\b|switch\b|catch\b))(\w+)\s*\(([^)]*)\)()",
-    "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:(?:public|private|protected|static)\s+)*(?:function\s*\*?\s*(?=\w)|(?=\w+\s*\([^)]*\)[^;]*\{\s*$)(?!if\b|for\b|while\b|switch\b|catch\b))(\w+)\s*\(([^)]*)\)(?:\s*:\s*([^{]+?))?\s*\{",
-    "go": r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(([^)]*)\)\s*([^{]*?)\s*\{",
-    "java": r"^\s*(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)+(?:<[^>]+>\s+)?(?=[\w<>\[\], ]+\s+\w+\s*\()(?:[\w<>\[\]]+\s+)(\w+)\s*\(([^)]*)\)()",
-    "csharp": r"^\s*(?:(?:public|private|protected|internal|static|async|virtual|override)\s+)+(?:[\w<>\[\]?]+\s+)(\w+)\s*\(([^)]*)\)()",
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)(?:<[^>]*>)?\s*\(([^)]*)\)\s*(?:->\s*([^{]+?))?\s*\{",
-    "ruby": r"^\s*def\s+(?:self\.)?(\w+[?!]?)(?:\s*\(([^)]*)\))?()",
-    "php": r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+(\w+)\s*\(([^)]*)\)(?:\s*:\s*([\w?\\]+))?",
-    "scala": r"^\s*(?:(?:private|protected|override|final)\s+)*def\s+(\w+)\s*(?:\(([^)]*)\))?(?:\s*:\s*([\w\[\]]+))?",
-    "kotlin": r"^\s*(?:(?:private|public|internal|override|suspend)\s+)*fun\s+(\w+)\s*\(([^)]*)\)(?:\s*:\s*([\w<>?]+))?",
-    "swift": r"^\s*(?:(?:private|public|static|override)\s+)*func\s+(\w+)\s*\(([^)]*)\)(?:\s*->\s*([\w<>?]+))?",
-    "lua": r"^\s*(?:local\s+)?function\s+(?:\w+[.:])?(\w+)\s*\(([^)]*)\)()",
-    "elixir": r"^\s*defp?\s+(\w+[?!]?)(?:\(([^)]*)\))?()",
+    "python": rf"^\s*(?:async\s+)?def\s+(\w+)\s*(?:\[[^\]]*\])?\({PARAMETERS}\)\s*(?:->\s*(.+?))?\s*:",
+    "javascript": rf"^\s*(?:export\s+)?(?:default\s+)?(?:static\s+)?(?:async\s+)?(?:function\s*\*?\s*(?=\w)|(?:get|set)\s+(?=\w)|(?=\w+\s*\({NESTED}\)\s*\{{)(?!(?:if|for|while|switch|catch|with)\b))\*?(\w+)\s*\({PARAMETERS}\)()",
+    "typescript": rf"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:(?:public|private|protected|static|readonly|override|abstract)\s+)*(?:async\s+)?(?:function\s*\*?\s*(?=\w)|(?:get|set)\s+(?=\w)|(?=\w+\s*(?:<[^>(]*>)?\({NESTED}\)[^;=]*\{{)(?!(?:if|for|while|switch|catch|with)\b))\*?(\w+)\s*(?:<[^>(]*>)?\({PARAMETERS}\)(?:\s*:\s*([^{{]+?))?\s*\{{",
+    "go": rf"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\({PARAMETERS}\)\s*([^{{]*?)\s*\{{",
+    "java": rf"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|synchronized|abstract|native|default|strictfp)\s+)*(?:<[^;={{}}()]+>\s+)?(?!(?:return|new|else|throw|case|assert|package|import|class|interface|enum|record)\b)(?:[\w.]+(?:<[^;={{}}()]*>)?(?:\[\])*\s+)(?!(?:if|for|while|switch|catch|try)\b)(\w+)\s*\({PARAMETERS}\)()\s*(?:throws\s+[\w., ]+)?\s*[{{;]",
+    "csharp": rf"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|async|virtual|override|abstract|sealed|partial|extern)\s+)+(?!(?:class|interface|struct|enum|record|new|return)\b)(?:[\w.]+(?:<[^;={{}}()]*>)?[\[\]?]*\s+)(\w+)\s*(?:<[^>(]*>)?\({PARAMETERS}\)()",
+    "c": rf"^(?!\s*(?:return|else|typedef|struct\s+\w+\s*\{{|case|goto|#)\b){TYPED}(?!(?:if|for|while|switch|return|sizeof)\b)(\w+)\s*\({PARAMETERS}\)()\s*(?:const\s*)?(?:\{{.*)?$",
+    "cpp": rf"^(?!\s*(?:return|else|typedef|case|goto|throw|new|delete|using|#)\b)\s*(?:template\s*<[^>]*>\s*)?{TYPED}(?:\w+(?:<[^>()]*>)?::)*(?!(?:if|for|while|switch|return|sizeof|catch)\b)(~?\w+)\s*\({PARAMETERS}\)()\s*(?:const\b|noexcept\b|override\b|final\b|\s)*(?:\{{.*)?$",
+    "rust": rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\S+)?)\s+)*fn\s+(\w+)\s*(?:<.*?>)?\s*\({PARAMETERS}\)\s*(?:->\s*([^{{;]+?))?\s*(?:where\b[^{{;]*)?(?:[{{;].*)?$",
+    "ruby": rf"^\s*def\s+(?:self\.)?(\w+[?!=]?)(?:\s*\({PARAMETERS}\))?()",
+    "php": rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)\s*\({PARAMETERS}\)(?:\s*:\s*([\w?\\|]+))?",
+    "scala": rf"^\s*(?:(?:private|protected|override|final|implicit)(?:\[\w+\])?\s+)*def\s+(\w+)\s*(?:\[[^\]]*\])?(?:\({PARAMETERS}\))?(?:\s*:\s*([\w\[\], .]+))?",
+    "kotlin": rf"^\s*(?:(?:private|public|internal|protected|override|suspend|inline|open|operator)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?(\w+)\s*\({PARAMETERS}\)(?:\s*:\s*([\w<>?, .]+))?",
+    "swift": rf"^\s*(?:@\w+\s+)*(?:(?:private|public|internal|open|static|override|mutating|final)\s+)*func\s+(\w+)\s*(?:<[^>(]*>)?\({PARAMETERS}\)(?:[^{{]*?->\s*([\w<>?\[\], .:]+))?",
+    "lua": rf"^\s*(?:local\s+)?function\s+(?:\w+[.:])*(\w+)\s*\({PARAMETERS}\)()",
+    "elixir": rf"^\s*defp?\s+(\w+[?!]?)(?:\({PARAMETERS}\))?()",
 }
+#: Functions without a head of their own: a name that an arrow or a function expression is bound to.
+ARROWS = rf"^\s*(?:export\s+)?(?:default\s+)?(?:(?:public|private|protected|static|readonly|const|let|var)\s+)*(\w+)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b\s*\w*\s*\({PARAMETERS}\)|\({PARAMETERS}\)(?:\s*:\s*[^=]+)?\s*=>|(\w+)\s*=>)"
 CLASSES = {
     "python": r"^\s*class\s+(\w+)",
     "go": r"^type\s+(\w+)\s+(?:struct|interface)\b",
@@ -50,9 +61,9 @@ CLASSES = {
 ANY_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:(?:public|private|protected|abstract|final|sealed|static|case|data|open)\s+)*(?:class|interface|trait|struct|object|enum)\s+(\w+)"
 #: Patterns of imports: the module is group 1, the names (with commas) are group 2; each language may have several.
 IMPORTS = {
-    "python": [r"^\s*from\s+([\w.]+)\s+import\s+\(?([^)#]+)", r"^\s*import\s+([\w.]+)()"],
+    "python": [r"^\s*from\s+([\w.]+)\s+import\s+\(?([^)#;]+)"],
     "javascript": [r"^\s*(?:import|export)\s+(?:type\s+)?(?=.*\bfrom\s)(?=\{?[^}]*\}?.*from\s+['\"]([^'\"]+))\{?\s*([^}'\"]*?)\s*\}?\s+from\b", r"\brequire\(\s*['\"]([^'\"]+)['\"]()", r"^\s*import\s+['\"]([^'\"]+)['\"]()"],
-    "go": [r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"()\s*$"],
+    "go": [],
     "java": [r"^\s*import\s+(?:static\s+)?([\w.]+)\.(\w+|\*)\s*;"],
     "rust": [r"^\s*(?:pub\s+)?use\s+([\w:]+?)::\{?([\w, *]+)\}?\s*;", r"^\s*(?:pub\s+)?mod\s+(\w+)()\s*;"],
     "scala": [r"^\s*import\s+([\w.]+)\.\{?([\w, _]+)\}?\s*$"],
@@ -68,19 +79,37 @@ IMPORTS = {
 }
 IMPORTS["typescript"], IMPORTS["cpp"] = IMPORTS["javascript"], IMPORTS["c"]
 #: Words that stand before a bracket without being called.
-NO_CALLS = "if for while switch catch return def function func fn fun class elif and or not in assert with except lambda print_ super_ sizeof".split()
-#: Facts that a line of a function tells: kind, pattern (group 1 is the value), confidence.
+NO_CALLS = "if for while switch catch return def function func fn fun class elif and or not in assert with except lambda print_ super_ sizeof async synchronized try using unless foreach guard match".split()
+#: Facts that a line of a function tells: kind, pattern (group 1 is the value), what stands before it, confidence; some stand in strings too.
+IN_STRINGS = ("config_read",)
 FACTS = [
-    ("exception_type", r"\b(?:raise|throw(?:\s+new)?)\s+([A-Za-z_][\w.]*)", 1.0),
-    ("side_effect", r"^\s*(?:self|this)\.(\w+)\s*[-+*/|&]?=(?!=)", 1.0),
-    ("field_read", r"\b(?:self|this)\.(\w+)\b(?!\s*\()(?!\s*[-+*/|&]?=(?!=))", 1.0),
-    ("exception_handler", r"^\s*(?:except|rescue|\}?\s*catch\s*\()\s*\(?([A-Za-z_][\w., ]*?)\)?(?:\s+as\s+\w+|\s+\w+\))?\s*[:{)]", 1.0),
-    ("boundary_condition", r"([A-Za-z_][\w.]*\s*(?:<=|>=|==|!=|<|>)\s*-?[0-9]+)\b", 0.9),
-    ("security_tag", r"(?i)(password|secret|token|crypt|sanitize|escape|permission|authenticat|authoriz)", 0.8),
-    ("concurrency_pattern", r"\b(async|await|Lock|Mutex|Semaphore|Thread|synchronized|go\s+func|chan|RwLock)\b", 0.9),
-    ("config_read", r"(?:os\.environ(?:\.get)?[\[(]|os\.[gG]etenv\(|process\.env[.\[]|System\.getenv\(|env::var\()\s*['\"]?(\w+)", 0.9),
-    ("resource_pattern", r"\b(with\s+open|defer\s+\w+\.Close|try\s*\(|using\s*\(|finally)", 0.9),
+    ("exception_type", r"\b(?:raise|throw(?:\s+new)?)\s+([A-Za-z_][\w.]*)", "", 1.0),
+    ("side_effect", r"^\s*(?:self|this)\.(\w+)\s*[-+*/|&]?=(?!=)", "", 1.0),
+    ("field_read", r"\b(?:self|this)\.(\w+)\b(?!\s*\()(?!\s*[-+*/|&]?=(?!=))", "", 1.0),
+    ("config_read", r"(?:os\.environ(?:\.get)?[\[(]|os\.[gG]etenv\(|process\.env[.\[]|System\.getenv\(|env::var\()\s*['\"]?(\w+)", "env: ", 0.9),
+    ("resource_pattern", r"^\s*(?:async\s+)?with\s+(.+?)\s*:\s*$", "context_manager: ", 0.9),
+    ("resource_pattern", r"^\s*defer\s+(.+?)\s*$", "defer: ", 0.9),
+    ("resource_pattern", r"^\s*(?:using|try)\s*\((.+)\)\s*\{?\s*$", "using: ", 0.9),
 ]
+#: Words for locks, for shared state, and of names that deal with security.
+LOCKS = ["Lock()", "Unlock()", "RLock()", "mutex", "Mutex", "synchronized", "asyncio.Lock", "threading.Lock", "Semaphore"]
+SHARED = ["atomic", "Atomic", "WaitGroup", "channel", "chan ", "select {", "go func", "goroutine", "Thread"]
+SECURITY = {
+    "authentication": ["auth", "login", "token", "password", "secret", "encrypt", "decrypt", "hash", "csrf"],
+    "authorization": ["permission", "role", "sanitize", "validate_input"],
+}
+#: A comparison, and what makes it one at a boundary, the first that holds.
+COMPARISON = r"([A-Za-z_][\w.]*(?:\([^()]*\)|\[[^\[\]]*\])*(?:\.\w+(?:\(\))?)*\s*(?:<=|>=|===?|!==?|<|>|\bis not\b|\bis\b)\s*-?[\w.]+(?:\[[^\[\]]*\])?)"
+BOUNDARIES = [
+    ("length_check", r"len\(|\.length\b|\.size\(\)|\.count\(\)|\.len\(\)"),
+    ("null_check", r"\b(?:None|null|nil|nullptr)\b"),
+    ("zero_check", r"(?<![\w.])-?0\b(?!\.)|(?<![\w.])-1\b"),
+    ("index_boundary", r"\[(?:0|-1|1)\]"),
+]
+#: An item of a list of parameters: commas in strings and brackets part nothing.
+ITEM = r"((?:\"[^\"]*\"|'[^']*'|\((?:[^()]|\([^()]*\))*\)|\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]|\{[^{}]*\}|<[^<>]*(?:<[^<>]*>[^<>]*)*>|[^,\"'(\[{<])+)"
+#: A parameter's name, mark of an optional one, type and default where the type follows a colon; type and name where it stands first.
+NAMED, TYPE_FIRST = r"^(?:\.\.\.|[*&]|(?:mut|public|private|protected|readonly|val|var|final)\s+)*([\w$]+)(\??)\s*(?::\s*([^=]+?))?\s*(?:=\s*(.+))?$", r"^(?:final\s+|@\w+\s+)*(.+?)[\s*&]+(?:\.\.\.)?\$?(\w+)(?:\[\])?\s*(?:=\s*(.+))?$"
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
@@ -116,8 +145,20 @@ def sources(files: DataFrame) -> DataFrame:
     return out.where(kept & ~F.substring_index("text", "\n", 1).rlike(GENERATED))
 
 
+def statements(files: DataFrame) -> DataFrame:
+    """The logical lines of sources, see :func:`lexing.logical_lines`."""
+    return lexing.logical_lines(files)
+
+
+def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Logical lines, nodes and bodies of sources, each stored once, as what is found in them reads them again and again."""
+    rows = stored(statements(files), "parse-lines")
+    nodes = stored(definitions(rows), "parse-nodes")
+    return rows, nodes, stored(bodies(rows, nodes), "parse-bodies")
+
+
 def lines(files: DataFrame) -> DataFrame:
-    """The lines of sources: file_path, language, line (from 1), text, indent (-1: blank)."""
+    """The physical lines of sources: file_path, language, line (from 1), text, indent (-1: blank)."""
     out = files.select("file_path", "language", F.posexplode(F.split("text", "\r?\n")).alias("line", "text"))
     blank = F.trim("text") == ""
     return out.select("file_path", "language", (F.col("line") + 1).alias("line"), "text", F.when(blank, -1).otherwise(F.length(F.regexp_extract("text", r"^[ \t]*", 0))).alias("indent"))
@@ -129,37 +170,67 @@ def _of_language(values: dict[str, Column], other: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.col("language")), other)
 
 
-def _by_language(patterns: dict[str, str], group: int, other: str = "()()()") -> Column:
+def _by_language(patterns: dict[str, str], group: int, other: str = "()()()", column: str = "code") -> Column:
     """A group of what the language's pattern finds; empty where it finds nothing."""
     pattern = _of_language({k: F.lit(v) for k, v in patterns.items()}, F.lit(other))
-    return F.call_function("regexp_extract", F.col("text"), pattern, F.lit(group))
+    return F.call_function("regexp_extract", F.col(column), pattern, F.lit(group))
+
+
+def _ends(heads: DataFrame, rows: DataFrame) -> DataFrame:
+    """``heads`` with end_line: where their braces close, or before the next line that isn't indented deeper.
+
+    Such a line belongs to the definition if it is a closing bracket or ``end``. Each line meets the heads' indentations of
+    its file that it isn't indented deeper than, so that the next one is a window's next row.
+    """
+    steps = heads.groupBy("file_path").agg(F.collect_set("indent").alias("_steps"))
+    code = rows.where("indent >= 0").select("file_path", "line", "last_line", "indent", F.col("code").rlike(r"^\s*[}\])]|^\s*end\b").alias("closes"))
+    # the last line of code before each line, and behind all lines a row that closes everything
+    code = code.withColumn("before", F.lag("last_line").over(Window.partitionBy("file_path").orderBy("line")))
+    last = code.groupBy("file_path").agg((F.max("last_line") + 1).alias("line"), F.max("last_line").alias("last_line"), F.lit(-1).alias("indent"), F.lit(False).alias("closes"), F.max("last_line").alias("before"))
+    closing = code.unionByName(last).join(steps, "file_path")
+    closing = closing.withColumn("step", F.explode(F.filter("_steps", lambda i: i >= F.col("indent"))))
+    end = F.when(F.col("closes"), F.col("last_line")).otherwise(F.col("before"))
+    ahead = Window.partitionBy("file_path", "step").orderBy("line").rowsBetween(1, 1)
+    found = closing.withColumn("_end", F.first(end).over(ahead)).where("indent = step").select("file_path", F.col("line").alias("start_line"), "_end")
+    braced = F.col("language").isin(*lexing.BRACES)
+    open_ended = F.when(braced & F.col("block_end").isNull(), F.col("last_line"))
+    return heads.join(found, ["file_path", "start_line"], "left").withColumn("end_line", F.coalesce(F.when(braced, F.col("block_end")), open_ended, F.greatest("_end", "last_line"))).drop("_end")
+
+
+def _covered(nodes: DataFrame, first: str) -> DataFrame:
+    """The innermost of ``nodes`` over each line from ``first`` to its end: file_path, line, owner (start_line, name, id, is_class)."""
+    each = nodes.where(f"{first} <= end_line").select("file_path", F.explode(F.sequence(F.expr(first).cast("int"), F.col("end_line").cast("int"))).alias("line"), F.struct("start_line", "name", "id", "is_class").alias("o"))
+    return each.groupBy("file_path", "line").agg(F.max("o").alias("owner"))
+
+
+def _restored(part: Column, before: str) -> Column:
+    """A part of ``code``, that stands behind ``before`` there, as it is in ``text``."""
+    at = F.call_function("locate", F.concat(F.lit(before), part), F.col("code")) + len(before)
+    return F.when(F.length("text") == F.length("code"), F.substring(F.col("text"), at, F.length(part))).otherwise(part)
 
 
 def definitions(rows: DataFrame) -> DataFrame:
-    """Nodes of the lines of :func:`lines`: id, label, name, qualified_name, file_path, start_line, end_line, signature,
-    parameters, return_type, is_exported, is_test, language, parent_id.
+    """Nodes of the logical lines of :func:`statements`: id, label, name, qualified_name, file_path, start_line, end_line,
+    signature, parameters, return_type, is_exported, is_test, language, parent_id.
 
-    A definition ends before the next line that isn't indented deeper; a closing bracket there belongs to it. The
-    innermost class around a function is its parent. The id is a hash of file, line and name.
+    A function is a method if the innermost definition around it is a class, which is its parent. The id is a hash of file,
+    line and name.
     """
-    name, klass = _by_language(FUNCTIONS, 1), _by_language(CLASSES, 1, ANY_CLASS)
-    heads = rows.where("indent >= 0").withColumn("_f", name).withColumn("_c", klass)
-    heads = heads.where("_f <> '' OR _c <> ''").select(
-        "file_path", "language", F.col("line").alias("start_line"), "indent", F.trim("text").alias("signature"), (F.col("_f") == "").alias("is_class"),
-        F.when(F.col("_f") != "", F.col("_f")).otherwise(F.col("_c")).alias("name"), _by_language(FUNCTIONS, 2).alias("parameters"), F.trim(_by_language(FUNCTIONS, 3)).alias("return_type"),
+    arrow = lambda group: F.when(F.col("language").isin("javascript", "typescript"), F.regexp_extract("code", ARROWS, group)).otherwise("")
+    heads = rows.where("indent >= 0").withColumn("_f", _by_language(FUNCTIONS, 1)).withColumn("_c", _by_language(CLASSES, 1, ANY_CLASS)).withColumn("_a", arrow(1))
+    # both copies of a line have their characters in the same places, so that strings come back where code was matched
+    whole = lambda group: _restored(_by_language(FUNCTIONS, group), "(" if group == 2 else "")
+    bound = F.concat(*[_restored(arrow(g), "") for g in (2, 3, 4)])
+    heads = heads.where("_f <> '' OR _c <> '' OR _a <> ''").select(
+        "file_path", "language", F.col("line").alias("start_line"), "last_line", "indent", "block_end", F.trim("text").alias("signature"), ((F.col("_f") == "") & (F.col("_a") == "")).alias("is_class"),
+        F.when(F.col("_f") != "", F.col("_f")).when(F.col("_a") != "", F.col("_a")).otherwise(F.col("_c")).alias("name"), F.regexp_replace(F.trim(F.when(F.col("_f") != "", whole(2)).otherwise(bound)), r",$", "").alias("parameters"), F.trim(whole(3)).alias("return_type"),
     )
-    body = rows.where("indent >= 0").groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("line", "indent", F.col("text").rlike(r"^\s*[}\])]|^\s*end\b").alias("close")))).alias("_lines"))
-    ended = heads.join(body, "file_path")
-    after = F.get(F.filter("_lines", lambda x: (x["line"] > F.col("start_line")) & (x["indent"] <= F.col("indent"))), F.lit(0))
-    ended = ended.withColumn("_next", after)
-    last = F.element_at(F.filter("_lines", lambda x: F.coalesce(x["line"] < F.col("_next.line"), F.lit(True))), -1)["line"]
-    ended = ended.withColumn("end_line", F.when(F.col("_next.close"), F.col("_next.line")).otherwise(last)).drop("_lines", "_next")
-    holders = ended.where("is_class").groupBy("file_path").agg(F.collect_list(F.struct("start_line", "end_line", "name")).alias("_classes"))
-    around = F.array_max(F.filter("_classes", lambda c: (c["start_line"] < F.col("start_line")) & (c["end_line"] >= F.col("start_line"))))
-    out = ended.join(holders, "file_path", "left").withColumn("_p", F.when(~F.col("is_class"), around))
+    ended = _ends(heads, rows).withColumn("id", F.xxhash64("file_path", "start_line", "name"))
+    around = _covered(ended, "start_line + 1").select("file_path", F.col("line").alias("start_line"), F.col("owner").alias("_p"))
+    out = ended.join(around, ["file_path", "start_line"], "left").withColumn("_p", F.when(~F.col("is_class") & F.col("_p.is_class"), F.col("_p")))
     exported = F.when(F.col("language") == "go", F.col("name").rlike("^[A-Z]")).when(F.col("language").isin("javascript", "typescript"), F.col("signature").startswith("export")).otherwise(~F.col("name").startswith("_"))
     return out.select(
-        F.xxhash64("file_path", "start_line", "name").alias("id"),
+        "id",
         F.when(F.col("is_class"), "Class").when(F.col("_p").isNotNull(), "Method").otherwise("Function").alias("label"),
         "name",
         F.concat_ws(".", "_p.name", "name").alias("qualified_name"),
@@ -167,45 +238,63 @@ def definitions(rows: DataFrame) -> DataFrame:
         exported.alias("is_exported"),
         is_test_path(F.col("file_path")).alias("is_test"),
         "language",
-        F.when(F.col("_p").isNotNull(), F.xxhash64("file_path", "_p.start_line", "_p.name")).alias("parent_id"),
+        F.col("_p.id").alias("parent_id"),
     )
 
 
 def bodies(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The lines within functions, with the innermost function around each as node_id, without heads; ``first``: the line after a head."""
-    functions = nodes.where("label <> 'Class'").groupBy("file_path").agg(F.collect_list(F.struct("start_line", "end_line", "id")).alias("_functions"))
-    found = rows.join(functions, "file_path")
-    inner = F.array_max(F.filter("_functions", lambda f: (f["start_line"] <= F.col("line")) & (f["end_line"] >= F.col("line"))))
-    found = found.withColumn("_f", inner).where("_f IS NOT NULL AND line > _f.start_line AND indent >= 0")
-    return found.select("file_path", "language", "line", "text", "indent", F.col("_f.id").alias("node_id"), (F.col("line") == F.col("_f.start_line") + 1).alias("first"))
+    """The logical lines within functions, with the innermost function around each as node_id; ``first``: the line after a head.
+
+    Of a head the part behind the function's name is a line too (``head``), as defaults and one-line bodies stand there.
+    """
+    functions = nodes.where("label <> 'Class'").select("file_path", "start_line", "end_line", "name", "id", F.lit(False).alias("is_class"))
+    owned = rows.where("indent >= 0").join(_covered(functions, "start_line"), ["file_path", "line"])
+    head = F.col("line") == F.col("owner.start_line")
+    # behind the name: what comes before isn't called
+    at = lambda column: F.when(head, F.call_function("regexp_extract", F.col(column), F.concat(F.lit(r"\b"), F.regexp_replace("owner.name", r"([?!])", r"\\$1"), F.lit(r"(?!\w)(.*)$")), F.lit(1))).otherwise(F.col(column))
+    owned = owned.select("file_path", "language", "line", at("text").alias("text"), at("code").alias("code"), "raw", "indent", F.col("owner.id").alias("node_id"), head.alias("head"))
+    before = F.lag("head").over(Window.partitionBy("file_path", "node_id").orderBy("line"))
+    return owned.withColumn("first", F.coalesce(before, F.lit(False)))
 
 
 def calls(body: DataFrame) -> DataFrame:
-    """Calls in function bodies: file_path, caller_id, callee_name, callee_qualified, line, context.
+    """Calls in functions: file_path, caller_id, callee_name, callee_qualified, line, context.
 
     The context tells how the result is used: destructure_tuple, iterated, boolean_check, exception_guard or none.
     """
-    before = F.lag("text").over(Window.partitionBy("file_path", "node_id").orderBy("line"))
-    text = F.col("text")
+    before = F.lag("code").over(Window.partitionBy("file_path", "node_id").orderBy("line"))
+    code = F.col("code")
     context = (
-        F.when(text.rlike(r"^\s*\w+\s*,\s*\w+[\w, ]*(=|:=)[^=].*\("), "destructure_tuple")
-        .when(text.rlike(r"^\s*for\b.*\b(in|of|range)\b.*\("), "iterated")
-        .when(text.rlike(r"^\s*(if|elif|while|assert|unless)\b.*\("), "boolean_check")
+        F.when(code.rlike(r"^\s*\w+\s*,\s*\w+[\w, ]*(=|:=)[^=].*\("), "destructure_tuple")
+        .when(code.rlike(r"^\s*for\b.*\b(in|of|range)\b.*\("), "iterated")
+        .when(code.rlike(r"^\s*(if|elif|while|assert|unless)\b.*\("), "boolean_check")
         .when(before.rlike(r"^\s*try\b\s*[:{]"), "exception_guard")
     )
-    plain = F.regexp_replace("text", r"\"[^\"]*\"|'[^']*'", "''")
-    found = body.withColumn("context", context).select("file_path", F.col("node_id").alias("caller_id"), "line", "context", F.explode(F.regexp_extract_all(plain, F.lit(r"\b([A-Za-z_][\w.]*)\s*\("), F.lit(1))).alias("callee_qualified"))
+    found = body.withColumn("context", context).select("file_path", F.col("node_id").alias("caller_id"), "line", "context", F.explode(F.regexp_extract_all("code", F.lit(r"(?<!\bdef )(?<!\bfunction )\b([A-Za-z_][\w.]*)\s*\("), F.lit(1))).alias("callee_qualified"))
     found = found.withColumn("callee_name", last_component(F.col("callee_qualified")))
     return found.where(~F.col("callee_name").isin(*NO_CALLS)).select("file_path", "caller_id", "callee_name", "callee_qualified", "line", "context")
 
 
 def imports(rows: DataFrame) -> DataFrame:
-    """Imports: file_path, line, module_path and imported_name, a row a name; a module that is imported whole has ``*``."""
-    patterns = _of_language({k: F.array(*[F.lit(p) for p in v]) for k, v in IMPORTS.items()}, F.array().cast("array<string>"))
-    part = lambda p, i: F.call_function("regexp_extract", F.col("text"), p, F.lit(i))
+    """Imports: file_path, line, module_path and imported_name, a row a name; a module that is imported whole has ``*``.
+
+    A statement counts if it is code: the masked line is matched too, so that one in a string gives nothing.
+    """
+    patterns = _of_language({k: F.array(*[F.lit(p) for p in v]).cast("array<string>") for k, v in IMPORTS.items()}, F.array().cast("array<string>"))
+    text = F.col("text")
+    part = lambda p, i: F.call_function("regexp_extract", text, p, F.lit(i))
     found = F.transform(patterns, lambda p: F.struct(part(p, 1).alias("module"), part(p, 2).alias("names")))
-    hits = rows.where("indent >= 0").select("file_path", "line", F.get(F.filter(found, lambda x: x["module"] != ""), F.lit(0)).alias("hit")).where("hit IS NOT NULL")
-    names = F.filter(F.transform(F.split("hit.names", ","), lambda n: F.trim(F.regexp_replace(n, r"\s+as\s+\w+\s*$|^\s*\{|\}\s*$|^\s*type\s+", ""))), lambda n: n != "")
+    plain = F.col("language").isin("python") & F.col("code").rlike(r"^\s*import\s")
+    block = F.col("language").isin("go") & F.col("code").rlike(r"^\s*import\b")
+    tidy = lambda n: F.trim(F.regexp_replace(n, r"\s+(?:as|=>)\s+\w+\s*$|^\s*\{|\}\s*$|^\s*type\s+|[()]", ""))
+    whole = F.transform(F.split(F.regexp_replace(text, r"^\s*import\s+", ""), ","), lambda m: F.struct(tidy(F.regexp_replace(m, r"[;\s]*$", "")).alias("module"), F.lit("").alias("names")))
+    quoted = F.transform(F.regexp_extract_all(text, F.lit(r'"([^"]+)"'), F.lit(1)), lambda m: F.struct(m.alias("module"), F.lit("").alias("names")))
+    hit = F.filter(found, lambda x: x["module"] != "")
+    several = F.when(plain, F.filter(whole, lambda x: x["module"] != "")).when(block, quoted).when(F.col("language") == "go", F.slice(hit, 1, 0)).otherwise(F.slice(hit, 1, 1))
+    # a string's inside has no words of an import in the masked line
+    real = F.col("code").rlike(r"\b(?:import|from|export|require|require_relative|use|using|mod|open|alias|include)\b")
+    hits = rows.where("indent >= 0").where(real).select("file_path", "line", F.explode(several).alias("hit"))
+    names = F.filter(F.transform(F.split("hit.names", ","), tidy), lambda n: n != "")
     names = F.when(F.size(names) == 0, F.array(F.lit("*"))).otherwise(names)
     return hits.select("file_path", "line", F.col("hit.module").alias("module_path"), F.explode(names).alias("imported_name"))
 
@@ -215,6 +304,12 @@ def cleaned(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(text), r"^(/\*\*?|//+!?|#+!?|[rR]?\"\"\"|'''|--+)\s*|\s*(\*/|\"\"\"|''')$", ""))
 
 
+def documented(raw: Column) -> Column:
+    """The first line with words of a docstring."""
+    inner = F.regexp_replace(F.trim(raw), r"^[rR]?[\"']+|[\"']+$", "")
+    return F.coalesce(F.get(F.filter(F.transform(F.split(inner, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), F.lit(""))
+
+
 def return_shape(expression: Column) -> Column:
     """none, or tuple, collection or value with the expression, cut to 80 characters."""
     bare = F.trim(F.regexp_replace(expression, r";\s*$", ""))
@@ -222,37 +317,122 @@ def return_shape(expression: Column) -> Column:
     return F.when(bare.isin("", "None", "null", "nil", "undefined"), "none").otherwise(F.concat(shape, F.lit("|"), F.substring(bare, 1, 80)))
 
 
+def parameters_of(parameters: Column) -> Column:
+    """The items of a list of parameters."""
+    return F.filter(F.transform(F.regexp_extract_all(parameters, F.lit(ITEM), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def described(item: Column, language: Column) -> Column:
+    """A parameter as ``name:type [required]`` or ``name:type opt=default``; null for the object of a method."""
+    get = lambda p, i: F.regexp_extract(item, p, i)
+    first, go = language.isin("java", "csharp", "c", "cpp", "php"), language == "go"
+    name = F.when(first, F.coalesce(F.nullif(get(TYPE_FIRST, 2), F.lit("")), get(r"^\$?(\w+)", 1))).when(go, get(r"^(\w+)", 1)).otherwise(get(NAMED, 1))
+    kind = F.trim(F.when(first, get(TYPE_FIRST, 1)).when(go, get(r"^\w+\s+(.+)$", 1)).otherwise(get(NAMED, 3)))
+    default = F.trim(F.when(first, get(TYPE_FIRST, 3)).when(go, "").otherwise(get(NAMED, 4)))
+    optional = F.when(~first & ~go & (get(NAMED, 2) == "?"), F.lit("undefined")).otherwise("")
+    default = F.when(default != "", default).otherwise(optional)
+    value = F.concat(name, F.when(kind != "", F.concat(F.lit(":"), kind)).otherwise(""), F.when(default != "", F.concat(F.lit(" opt="), default)).otherwise(" [required]"))
+    return F.when(~name.isin("", "self", "cls"), _cut(value))
+
+
+def _cut(value: Column, most: int = 200) -> Column:
+    return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most - 3), F.lit("..."))).otherwise(value)
+
+
 def properties(body: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Facts about nodes: node_id, kind, value, line, confidence.
 
     Kinds from lines: those of :data:`FACTS`, docstring, guard_clause, return_shape, conditional_return, exception_flow,
-    class_field, class_decorator; from heads: param, visibility; from calls: fingerprint, call_order, caller_usage.
+    boundary_condition, concurrency_pattern, exception_handler, class_field, class_decorator; from heads: param, visibility,
+    security_tag; from calls: fingerprint, call_order, caller_usage. Nodes without a fact have no row.
     """
     along = Window.partitionBy("file_path", "node_id").orderBy("line")
     number = F.row_number().over(along)
-    b = body.withColumn("_before", F.lag("text").over(along)).withColumn("_n", number)
+    b = body.where("NOT head").unionByName(_one_line_bodies(body)).withColumn("_before", F.lag("text").over(along)).withColumn("_then", F.lead("text").over(along)).withColumn("_n", number)
     condition = F.regexp_extract("_before", r"^\s*(?:if|elif|unless)\b\s*(.*?)\s*[:{]?\s*$", 1)
     condition = F.regexp_replace(condition, r"^\(([^()]*(?:\([^()]*\)[^()]*)*)\)$", "$1")  # brackets around all of it
-    raised, returned = F.regexp_extract("text", FACTS[0][1], 1), F.regexp_extract("text", r"^\s*return\b\s*(.*?)\s*$", 1)
-    returns = F.col("text").rlike(r"^\s*return\b")
+    raised, returned = F.regexp_extract("code", FACTS[0][1], 1), F.regexp_extract("text", r"^\s*return\b\s*(.*?)\s*;?\s*$", 1)
+    returns, plain = F.col("code").rlike(r"^\s*return\b"), F.regexp_replace(F.trim("text"), r"\s*;$", "")
     fact = lambda kind, value, confidence: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(confidence).alias("confidence"))
-    each = lambda kind, p, c: F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(1))), lambda v: fact(kind, v, c))
+    each = lambda kind, p, before, c: F.transform(F.array_distinct(F.regexp_extract_all("text" if kind in IN_STRINGS else "code", F.lit(p), F.lit(1))), lambda v: fact(kind, F.when(v != "", F.concat(F.lit(before), v)), c))
     many = [each(*f) for f in FACTS]
+    compared = F.array_distinct(F.regexp_extract_all("code", F.lit(COMPARISON), F.lit(1)))
+
+    def boundary(text: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for category, pattern in reversed(BOUNDARIES):
+            found = F.when(text.rlike(pattern), F.concat(F.lit(category + "|"), F.substring(text, 1, 150))).otherwise(found)
+        # a block's first part: its first statement, or the brace that opens it
+        first = F.when(F.col("language").isin(*lexing.BRACES), "{").otherwise(F.substring(F.trim("_then"), 1, 60))
+        return fact("boundary_condition", _cut(F.concat(found, F.when(F.col("code").rlike(r"^\s*\}?\s*(?:if|elif|else\s+if)\b"), F.concat(F.lit(" => "), first)).otherwise(""))), 0.9)
+
     single = F.array(
-        fact("docstring", F.when(F.col("first") & F.col("text").rlike(r"^\s*([rR]?\"\"\"|''')"), cleaned(F.col("text"))), 1.0),
+        fact("docstring", F.when(F.col("first") & F.col("raw").rlike(r"""^\s*[rR]?["']"""), documented(F.col("raw"))), 1.0),
         fact("return_shape", F.when(returns, return_shape(returned)), 0.9),
-        fact("conditional_return", F.when(returns & (condition != ""), F.concat(condition, F.lit(" -> "), returned)), 0.9),
-        fact("exception_flow", F.when((raised != "") & (condition != ""), F.concat(condition, F.lit(" -> "), raised)), 0.9),
+        fact("conditional_return", F.when(returns & (condition != ""), _cut(F.concat(F.lit("if "), condition, F.lit(": return"), F.when(returned != "", F.concat(F.lit(" "), returned)).otherwise("")))), 0.9),
+        fact("exception_flow", F.when((raised != "") & (condition != ""), _cut(F.concat(F.lit("WHEN "), condition, F.lit(": "), F.substring(plain, 1, 100)))), 0.9),
         fact("guard_clause", F.when((F.col("_n") <= 3) & (condition != "") & (returns | (raised != "")), condition), 1.0),
     )
-    from_lines = b.select("node_id", "line", F.explode(F.filter(F.concat(*many, single), lambda x: F.coalesce(x["value"] != "", F.lit(False)))).alias("f")).select("node_id", "f.kind", "f.value", "line", "f.confidence")
-    shapes = from_lines.where("kind = 'return_shape'").groupBy("node_id", "kind", "value", "confidence").agg(F.min("line").alias("line"))
-    from_lines = from_lines.where("kind <> 'return_shape'").unionByName(shapes)
-    parts = F.filter(F.transform(F.split("parameters", r",(?![^\[\(<]*[\]\)>])"), lambda x: F.trim(x)), lambda x: x != "")
-    params = nodes.where("label <> 'Class'").select(F.col("id").alias("node_id"), F.lit("param").alias("kind"), F.explode(parts).alias("value"), F.col("start_line").alias("line"), F.lit(1.0).alias("confidence"))
+    from_lines = b.select("node_id", "line", F.explode(F.filter(F.concat(*many, F.transform(compared, boundary), single), lambda x: F.coalesce(x["value"] != "", F.lit(False)))).alias("f")).select("node_id", "f.kind", "f.value", "line", "f.confidence")
+    once = ["return_shape", "boundary_condition"]  # a row a value
+    shapes = from_lines.where(F.col("kind").isin(once)).groupBy("node_id", "kind", "value", "confidence").agg(F.min("line").alias("line"))
+    from_lines = from_lines.where(~F.col("kind").isin(once)).unionByName(shapes)
+    functions = nodes.where("label <> 'Class'")
+    params = functions.select(F.col("id").alias("node_id"), F.lit("param").alias("kind"), F.explode(F.transform(parameters_of(F.col("parameters")), lambda x: described(x, F.col("language")))).alias("value"), F.col("start_line").alias("line"), F.lit(1.0).alias("confidence")).where("value IS NOT NULL")
     visible = F.when(F.col("signature").rlike(r"^(private|#)\b") | F.col("name").rlike(r"^__\w*[^_]$"), "private").when(F.col("signature").startswith("protected") | F.col("name").rlike("^_[^_]"), "protected").otherwise("public")
     seen = nodes.select(F.col("id").alias("node_id"), F.lit("visibility").alias("kind"), visible.alias("value"), F.col("start_line").alias("line"), F.lit(1.0).alias("confidence"))
-    return from_lines.unionByName(params).unionByName(seen).unionByName(_of_classes(rows, nodes)).unionByName(_of_calls(body, nodes))
+    out = from_lines.unionByName(params).unionByName(seen).unionByName(_of_classes(rows, nodes)).unionByName(_of_calls(body, nodes))
+    return out.unionByName(_secure(rows, functions)).unionByName(_concurrent(b)).unionByName(_handlers(b))
+
+
+def _one_line_bodies(body: DataFrame) -> DataFrame:
+    """What stands behind heads on their own lines, as lines of their functions."""
+    inner = F.when(F.col("language").isin(*lexing.BRACES), F.regexp_extract("code", r"^.*?\)[^{]*\{\s*(.*?)\s*\}[;\s]*$", 1)).otherwise(F.regexp_extract("code", r"^.*?\)\s*(?:->[^:]*)?:\s*(\S.*)$", 1))
+    return body.where("head").withColumn("_c", inner).where("_c <> ''").withColumn("text", _restored(F.col("_c"), "")).withColumn("code", F.col("_c")).drop("_c")
+
+
+def _secure(rows: DataFrame, functions: DataFrame) -> DataFrame:
+    """Words of security in functions' names and decorators, each once."""
+    words = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(w).alias("word")) for c, ws in SECURITY.items() for w in ws])
+    has = lambda text, w: F.call_function("regexp_like", F.lower(text), F.concat(F.lit("(^|[^a-z0-9])"), w["word"], F.lit("($|[^a-z0-9])")))
+    above = rows.where("indent >= 0").select("file_path", F.col("line"), F.regexp_extract("code", r"^\s*@(.*)$", 1).alias("mark"))
+    order = Window.partitionBy("file_path").orderBy("line")
+    # decorators stand in the lines before a head, one after another: runs of them are numbered alike
+    above = above.withColumn("run", F.sum((F.col("mark") == "").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    marks = above.groupBy("file_path", "run").agg(F.max("line").alias("start_line"), F.array_join(F.collect_list(F.when(F.col("mark") != "", F.col("mark"))), " ").alias("marks"))
+    named = functions.join(marks, ["file_path", "start_line"], "left")
+    text = F.concat_ws(" ", "name", "marks")
+    found = named.select(F.col("id").alias("node_id"), F.explode(F.filter(words, lambda w: has(text, w))).alias("w"), F.col("start_line").alias("line"))
+    return found.select("node_id", F.lit("security_tag").alias("kind"), F.concat("w.category", F.lit(": "), "w.word").alias("value"), "line", F.lit(1.0).alias("confidence"))
+
+
+def _concurrent(b: DataFrame) -> DataFrame:
+    """The first line of a function with each word for a lock, and each word for shared state."""
+    has = lambda w: F.call_function("regexp_like", F.col("code"), F.concat(F.lit(r"(^|\W)\Q"), w, F.lit(r"\E($|\W)"))) | (w.rlike(r"\W$") & F.col("code").contains(w))
+    word = lambda kind, values: F.transform(F.filter(F.array(*[F.lit(v) for v in values]), has), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    found = b.select("node_id", "line", "text", F.explode(F.concat(word("lock", LOCKS), word("shared_state", SHARED))).alias("w"))
+    first = found.groupBy("node_id", "w").agg(F.min(F.struct("line", "text")).alias("f"))
+    value = F.concat("w.kind", F.lit(": "), F.when(F.col("w.kind") == "lock", F.substring(F.trim("f.text"), 1, 120)).otherwise(F.trim("w.word")))
+    return first.select("node_id", F.lit("concurrency_pattern").alias("kind"), value.alias("value"), F.col("f.line").alias("line"), F.lit(0.7).alias("confidence"))
+
+
+def _handlers(b: DataFrame) -> DataFrame:
+    """Clauses that catch, with what their block does first of raising and returning, else ``handles``.
+
+    The lines from a clause to the next make a run; its block is those before one that isn't indented deeper.
+    """
+    along = Window.partitionBy("file_path", "node_id").orderBy("line")
+    clause = F.col("code").rlike(r"^\s*(?:except|rescue|\}?\s*catch)\b")
+    runs = b.withColumn("_clause", clause).withColumn("_run", F.sum(clause.cast("int")).over(along)).where("_run > 0")
+    inside = Window.partitionBy("file_path", "node_id", "_run").orderBy("line")
+    runs = runs.withColumn("_at", F.first("indent").over(inside)).withColumn("_block", F.lead("indent").over(inside))
+    runs = runs.withColumn("_block", F.first("_block").over(inside)).withColumn("_least", F.min(F.when(~F.col("_clause"), F.col("indent"))).over(inside))
+    inner = ~F.col("_clause") & (F.col("_least") > F.col("_at")) & (F.col("indent") == F.col("_block"))
+    statement = F.regexp_replace(F.trim("text"), r"\s*;$", "")
+    action = F.when(inner & F.col("code").rlike(r"^\s*(?:raise|throw)\b"), "re-raises").when(inner & F.col("code").rlike(r"^\s*return\b"), F.concat(F.lit("returns: "), F.substring(statement, 1, 40)))
+    text = F.max(F.when(F.col("_clause"), F.regexp_replace(F.regexp_replace(F.trim("text"), r"^\}\s*", ""), r"\s*[:{]\s*$", "")))
+    found = runs.withColumn("_action", action).groupBy("file_path", "node_id", "_run").agg(text.alias("text"), F.min_by("_action", F.when(F.col("_action").isNotNull(), F.col("line"))).alias("action"), F.min("line").alias("line"))
+    return found.select("node_id", F.lit("exception_handler").alias("kind"), _cut(F.concat("text", F.lit(" -> "), F.coalesce("action", F.lit("handles")))).alias("value"), "line", F.lit(1.0).alias("confidence"))
 
 
 def _of_classes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -260,7 +440,7 @@ def _of_classes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     functions = nodes.where("label <> 'Class'").groupBy("file_path").agg(F.collect_list(F.struct("start_line", "end_line")).alias("_functions"))
     near = rows.where("indent >= 0").join(classes, "file_path").where("line BETWEEN start_line - 3 AND end_line").join(functions, "file_path", "left")
     outside = ~F.exists(F.coalesce("_functions", F.array().cast("array<struct<start_line:int,end_line:int>>")), lambda f: (f["start_line"] <= F.col("line")) & (f["end_line"] >= F.col("line")))
-    field = F.regexp_extract("text", r"^\s*(?:(?:public|private|protected|static|final|readonly|let|var|val)\s+)*(\w+)\s*(?::[^=]+)?(?:=[^=]|$)", 1)
+    field = F.regexp_extract("code", r"^\s*(?:(?:public|private|protected|static|final|readonly|let|var|val)\s+)*(\w+)\s*(?::[^=]+)?(?:=[^=]|$)", 1)
     fields = near.where((F.col("line") > F.col("start_line")) & outside & (F.col("indent") > 0)).select("node_id", F.lit("class_field").alias("kind"), field.alias("value"), "line", F.lit(1.0).alias("confidence"))
     # decorators stand directly above the head, one after another
     above = near.where("line < start_line").groupBy("node_id", "start_line").agg(F.array_sort(F.collect_list(F.struct((F.col("start_line") - F.col("line")).alias("d"), F.regexp_extract("text", r"^\s*@([\w.]+)", 1).alias("name"), "line"))).alias("_above"))
@@ -272,13 +452,13 @@ def _of_classes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def _of_calls(body: DataFrame, nodes: DataFrame) -> DataFrame:
     found = calls(body)
     usage = found.where("context IS NOT NULL").select(F.col("caller_id").alias("node_id"), F.lit("caller_usage").alias("kind"), F.concat_ws(":", "callee_name", "context").alias("value"), "line", F.lit(0.9).alias("confidence"))
-    arity = F.size(F.filter(F.split("parameters", ","), lambda x: F.trim(x) != ""))
+    arity = F.size(parameters_of(F.col("parameters")))
     names = found.groupBy(F.col("caller_id").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("callee_name")), ",").alias("_callees"))
     prints = nodes.where("label <> 'Class'").select(F.col("id").alias("node_id"), arity.alias("_arity"), F.col("start_line").alias("line")).join(names, "node_id", "left")
     prints = prints.select("node_id", F.lit("fingerprint").alias("kind"), F.concat(F.col("_arity").cast("string"), F.lit("|"), F.coalesce("_callees", F.lit(""))).alias("value"), "line", F.lit(1.0).alias("confidence"))
     receiver = F.regexp_extract("callee_qualified", r"^(.*)\.\w+$", 1)
     order = found.withColumn("_r", receiver).where("_r <> ''").groupBy(F.col("caller_id").alias("node_id"), "_r").agg(F.array_sort(F.collect_list(F.struct("line", "callee_name"))).alias("_calls"))
-    order = order.where(F.size("_calls") > 1).select("node_id", F.lit("call_order").alias("kind"), F.concat("_r", F.lit(":"), F.array_join(F.col("_calls.callee_name"), ">")).alias("value"), F.array_min("_calls")["line"].alias("line"), F.lit(0.9).alias("confidence"))
+    order = order.where(F.size("_calls") > 1).select("node_id", F.lit("call_order").alias("kind"), _cut(F.concat("_r", F.lit(": "), F.array_join(F.slice(F.col("_calls.callee_name"), 1, 5), " -> "))).alias("value"), F.array_min("_calls")["line"].alias("line"), F.lit(0.9).alias("confidence"))
     return usage.unionByName(prints).unionByName(order)
 
 

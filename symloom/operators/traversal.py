@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.graph import Graph
+from ..sources.shared import stored
 from .lookups import file_edges
 
 #: Weights of edges by type.
@@ -18,11 +19,8 @@ TYPE_WEIGHTS = {"CALLS": 1.0, "IMPORTS": 0.8, "EXTENDS": 0.9, "USES": 0.5}
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder where there is one, else the plan as it is."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()
+    """A table in the shared folder."""
+    return stored(df, "walk")
 
 
 def type_weight() -> F.Column:

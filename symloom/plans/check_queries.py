@@ -112,8 +112,7 @@ add(
 
 
 def _calls(g: Graph) -> DataFrame:
-    rows = ps.lines(ps.sources(g.sources))
-    return ps.calls(ps.bodies(rows, ps.definitions(rows)))
+    return ps.calls(ps.parsed(ps.sources(g.sources))[2])
 
 
 add(

@@ -17,6 +17,81 @@ from pyspark.sql.window import Window
 ID_BUCKET = 1024
 
 
+#: Files of three languages; NAME, LIMIT, KEY and HELPER are filled in.
+TEMPLATES = {
+    "py": '''import os, sys
+from lib.core import (
+    alpha,
+    beta as b,
+)
+TEXT = """
+def ghost(): pass
+"""
+@login_required
+async def NAME(
+    a: str = "x, (y)",
+    *rest,
+) -> dict:
+    """Doc of NAME.
+
+    def hidden(): pass
+    """
+    if a == LIMIT:
+        return None
+    token = os.environ["KEY"]
+    try:
+        with open(a) as f:
+            f.read()
+            f.close()
+    except (OSError, ValueError) as e:
+        raise RuntimeError("bad # not a comment")
+    async with Lock() as held:
+        return HELPER(a, "call_in_string()")
+''',
+    "ts": """import {
+  alpha,
+  beta as b,
+} from './core';
+const quoted = "function ghost() {";
+export const NAME = async (a: string, n = LIMIT) => {
+  // function hidden() {
+  if (n > LIMIT) {
+    return null;
+  }
+  try {
+    client.open(a);
+    client.send(process.env.KEY);
+  } catch (err) {
+    throw new AppError(a);
+  }
+  await HELPER(a, `call_in_string(`);
+};
+""",
+    "java": """package gen;
+import lib.core.Alpha;
+class Holder<T> {
+    int size() { return count(); }
+    <R> T NAME(Map<String, R> a,
+            int n) throws IOException {
+        String s = "void ghost() {";
+        if (n < LIMIT) {
+            return null;
+        }
+        synchronized (this) {
+            store.open(a);
+            store.close();
+        }
+        try (Reader r = HELPER(a)) {
+            return tokenOf(System.getenv("KEY"));
+        } catch (IOException e) {
+            throw new IllegalStateException("x");
+        }
+    }
+}
+""",
+}
+
+
 @dataclass
 class Graph:
     """Lazy tables of one graph; each is planned when first asked for."""
@@ -102,6 +177,17 @@ class Graph:
         files = self.nodes.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "id", block.alias("block")))).alias("b"))
         return files.select("file_path", F.concat(F.lit("from lib.base import helper_0, helper_1 as h1\n\n"), F.array_join(F.col("b.block"), "\n")).alias("text"))
 
+    @cached_property
+    def mixed_sources(self) -> DataFrame:
+        """A source file for each node (file_path, text) in one of three languages, with strings and comments that hold code,
+        heads and imports over several lines, and each kind of fact about a function; see :data:`TEMPLATES`."""
+        template = F.when(F.col("id") % 3 == 0, TEMPLATES["py"]).when(F.col("id") % 3 == 1, TEMPLATES["ts"]).otherwise(TEMPLATES["java"])
+        text = F.replace(template, F.lit("NAME"), F.col("name"))
+        for mark, n in (("LIMIT", 10), ("KEY", 7), ("HELPER", 5)):
+            text = F.replace(text, F.lit(mark), F.concat(F.lit(mark.lower() + "_" if n < 10 else ""), (F.col("id") % n).cast("string")))
+        extension = F.when(F.col("id") % 3 == 0, "py").when(F.col("id") % 3 == 1, "ts").otherwise("java")
+        return self.nodes.select(F.concat(F.lit("gen/f"), F.col("id").cast("string"), F.lit("."), extension).alias("file_path"), text.alias("text"))
+
     @cached_property
     def commit_files(self) -> DataFrame:
         lines = self.table("lineitem").select(F.col("l_orderkey").alias("commit_id"), (F.col("l_partkey") + 1).alias("id"))

@@ -53,7 +53,7 @@ FILES = [
 @pytest.fixture(scope="module")
 def parsed(spark):
     files = spark.createDataFrame(FILES, "file_path string, text string")
-    rows = ps.lines(ps.sources(files)).cache()
+    rows = ps.statements(ps.sources(files)).cache()
     nodes = ps.definitions(rows).cache()
     return rows, nodes, ps.bodies(rows, nodes).cache()
 
@@ -82,7 +82,7 @@ def test_imports(parsed):
 
 @pytest.mark.parametrize("path, line, module, name", [("a.cs", "using System.IO;", "System.IO", "*"), ("a.php", "use A\\B\\C;", "A\\B", "C"), ("a.cpp", "#include <vector>", "vector", "*"), ("a.swift", "import UIKit", "UIKit", "*"), ("a.ml", "open List", "List", "*"), ("a.rb", "require 'json'", "json", "*"), ("a.ex", "alias A.B", "A.B", "*"), ("a.lua", "local x = require('m')", "m", "*"), ("a.scala", "import a.b.{C, D}", "a.b", "C"), ("a.kt", "import a.b.C", "a.b", "C"), ("a.js", "const x = require('y')", "y", "*")])
 def test_imports_of_other_languages(spark, path, line, module, name):
-    rows = ps.imports(ps.lines(ps.sources(spark.createDataFrame([(path, line)], "file_path string, text string")))).collect()
+    rows = ps.imports(ps.statements(ps.sources(spark.createDataFrame([(path, line)], "file_path string, text string")))).collect()
     assert (module, name) in {(r["module_path"], r["imported_name"]) for r in rows}
 
 
@@ -96,11 +96,11 @@ def test_properties(parsed):
     named = ps.properties(body, nodes, rows).join(nodes.select(F.col("id").alias("node_id"), "name"), "node_id")
     got = {(r["name"], r["kind"], r["value"]) for r in named.collect()}
     assert {
-        ("read", "docstring", "Reads it."), ("read", "guard_clause", "not path"), ("read", "exception_type", "ValueError"), ("read", "exception_flow", "not path -> ValueError"),
-        ("read", "return_shape", "none"), ("read", "return_shape", "tuple|(a, self.limit)"), ("read", "conditional_return", "x.size > 10 -> None"), ("read", "side_effect", "count"),
-        ("read", "param", "path: str"), ("read", "param", "n=1"), ("read", "security_tag", "TOKEN"), ("test_read", "exception_handler", "OSError, ValueError"), ("read", "field_read", "limit"),
-        ("read", "boundary_condition", "x.size > 10"), ("Reader", "class_field", "limit"), ("Reader", "class_decorator", "register"), ("Reader", "class_decorator", "dataclass"),
-        ("read", "config_read", "API_TOKEN"), ("read", "resource_pattern", "with open"), ("test_read", "call_order", "r:open>close"), ("read", "visibility", "public"), ("read", "caller_usage", "rows:iterated"), ("size", "exception_type", "IllegalStateException"),
+        ("read", "docstring", "Reads it."), ("read", "guard_clause", "not path"), ("read", "exception_type", "ValueError"), ("read", "exception_flow", "WHEN not path: raise ValueError(\"no path\")"),
+        ("read", "return_shape", "none"), ("read", "return_shape", "tuple|(a, self.limit)"), ("read", "conditional_return", "if x.size > 10: return None"), ("read", "side_effect", "count"),
+        ("read", "param", "path:str [required]"), ("read", "param", "n opt=1"), ("test_read", "exception_handler", "except (OSError, ValueError) as e -> handles"), ("read", "field_read", "limit"),
+        ("Reader", "class_field", "limit"), ("Reader", "class_decorator", "register"), ("Reader", "class_decorator", "dataclass"),
+        ("read", "config_read", "env: API_TOKEN"), ("read", "resource_pattern", "context_manager: open(path) as f"), ("test_read", "call_order", "r: open -> close"), ("read", "visibility", "public"), ("read", "caller_usage", "rows:iterated"), ("size", "exception_type", "IllegalStateException"),
     } <= got
     assert {v for n, k, v in got if n == "read" and k == "fingerprint"} == {"3|ValueError,open,parse_expr,rows"}
 
