@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import inverted, replacing
 from ..operators import resolver as rv
 from ..operators import store as st
 from ..sources.graph import Graph
+from ..sources.versions import scratch
 from .registry import add, sparse
 
 FILE = "src/brand4/large.py"
@@ -163,3 +165,49 @@ add(
     "nodes",
     "SELECT DISTINCT t.id AS target_id, 'EXTENDS' AS type, 0.95E0 AS confidence FROM (SELECT n.file_path, n.name, arg_min(c.id, c.id + CASE WHEN c.file_path = n.file_path THEN 0 ELSE 1000000000 END) AS id FROM nodes n JOIN nodes c ON c.name = 'red_plate' AND c.label IN ('Class', 'Interface') WHERE n.id % 5 = 0 AND n.label IN ('Class', 'Interface') GROUP BY 1, 2) t JOIN nodes o ON o.file_path = t.file_path AND o.name = t.name AND o.label IN ('Class', 'Interface') WHERE o.id <> t.id",
 )
+
+
+def _replaced(g: Graph) -> DataFrame:
+    """All edges of a stored graph, after one file was replaced by one whose functions have new names in part."""
+    versions = scratch(g.spark, "graph")
+    replacing.create(versions, {"nodes": g.nodes, "edges": g.edges, "properties": g.properties})
+    renamed = g.nodes.where(F.col("file_path") == FILE).withColumn("name", F.when(F.col("id") % 3 == 0, F.concat("name", F.lit("_new"))).otherwise(F.col("name")))
+    replacing.replace_files(versions, renamed.select("file_path").distinct(), renamed.drop("id"))
+    targets = versions.read("nodes").select(F.col("id").alias("target_id"), F.col("file_path").alias("target_file"), F.col("name").alias("target_name"))
+    return versions.read("edges").join(targets, "target_id").select("source_id", "type", "target_file", "target_name", "resolution_method", "confidence", "candidate_count")
+
+
+add(
+    "replaced_graph",
+    _replaced,
+    "nodes edges",
+    f"""SELECT e.source_id, e.type, t.file_path AS target_file, t.name AS target_name, e.resolution_method, e.confidence, e.candidate_count FROM edges e JOIN nodes t ON t.id = e.target_id WHERE e.source_file <> '{FILE}' AND t.file_path <> '{FILE}'
+UNION ALL SELECT e.source_id, e.type, t.file_path, t.name, CASE WHEN c.n = 1 AND e.resolution_method IN ('same_file', 'import') THEN e.resolution_method ELSE 'name_match' END,
+CASE WHEN c.n = 1 AND e.resolution_method IN ('same_file', 'import') THEN CASE WHEN e.confidence < 0.5 THEN 1.0E0 ELSE e.confidence END WHEN c.n = 1 THEN 0.9E0 WHEN c.n = 2 THEN 0.6E0 WHEN c.n <= 5 THEN 0.4E0 ELSE 0.2E0 END, CAST(c.n AS INT)
+FROM edges e JOIN nodes t ON t.id = e.target_id JOIN (SELECT CASE WHEN id % 3 = 0 THEN concat(name, '_new') ELSE name END AS name, count(*) AS n FROM nodes WHERE file_path = '{FILE}' GROUP BY 1) c ON c.name = t.name WHERE t.file_path = '{FILE}' AND e.source_file <> '{FILE}'""",
+)
+
+#: What is searched in the stored index.
+SOUGHT = ["the", "of", "and", "river", "house", "der", "le", "que"]
+
+
+def _searched(g: Graph) -> DataFrame:
+    """The best documents of a stored index, after a tenth of them was replaced and a seventh deleted."""
+    versions, docs = scratch(g.spark, "index"), g.table("documents").select("doc_id", "text").where("doc_id IS NOT NULL")
+    inverted.build(versions, docs, "doc_id", "text")
+    inverted.update(versions, docs.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" river house river"))), "doc_id", "text", docs.where("doc_id % 7 = 3").select("doc_id"))
+    return inverted.search(versions, SOUGHT, 50).withColumnRenamed("key", "doc_id")
+
+
+add(
+    "stored_search",
+    _searched,
+    "",
+    f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN concat(text, ' river house river') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3 AND text IS NOT NULL),
+t AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS tokens FROM d),
+l AS (SELECT doc_id, len(tokens) AS n, tokens FROM t WHERE len(tokens) > 0),
+m AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
+f AS (SELECT doc_id, n, token, count(*) AS tf FROM (SELECT doc_id, n, unnest(tokens) AS token FROM l) WHERE token IN ({", ".join(f"'{w}'" for w in SOUGHT)}) GROUP BY 1, 2, 3),
+w AS (SELECT token, ln(1 + ((SELECT docs FROM m) - count(*) + 0.5E0) / (count(*) + 0.5E0)) AS idf FROM f GROUP BY 1)
+SELECT doc_id, round(sum(idf * tf * 2.2E0 / (tf + 1.2E0 * (0.25E0 + 0.75E0 * n / (SELECT mean FROM m)))), 6) AS score FROM f JOIN w USING (token) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
+)
