@@ -9,6 +9,7 @@ from ..operators import aggregates as ag
 from ..operators import evaluation as ev
 from ..operators import lookups as lk
 from ..operators import mining as mn
+from ..operators import push
 from ..operators import resolution as rs
 from ..operators import text as tx
 from ..operators import traversal as gr
@@ -159,6 +160,8 @@ add_both("ppr_files", lambda g, e: gr.personalized_pagerank(g, _seed_files(g), 3
 add_both("pagerank_files", lambda g, e: gr.weighted_pagerank(g, 3, edges=e, tolerance=None), "nodes sparse", "SELECT file_path, round(r, 6) AS rank FROM r3", SFE + ", d AS (SELECT source_file, target_file, sum(confidence) AS w FROM fe GROUP BY 1, 2), o AS (SELECT source_file, sum(w) AS o FROM d GROUP BY 1), s AS (SELECT file_path, 1.0E0 / count(*) OVER () AS s FROM (SELECT DISTINCT file_path FROM nodes)), r0 AS (SELECT file_path, s AS r FROM s)" + "".join(f", g{i} AS (SELECT target_file AS f, sum(r * w / o) AS g FROM r{i - 1} JOIN d ON d.source_file = file_path JOIN o ON o.source_file = file_path GROUP BY 1), r{i} AS (SELECT s.file_path, 0.15000000000000002E0 * s + 0.85E0 * coalesce(g, 0.0E0) AS r FROM s LEFT JOIN g{i} ON f = s.file_path)" for i in (1, 2, 3)))
 # to convergence; SQL would have to unroll every round, so tests hold these against brute force
 add("ppr_files_converged", lambda g: gr.personalized_pagerank(g, _seed_files(g)))
+# a set of seeds for each label, whole graph
+add("node_ranks", lambda g: push.node_ranks(g, g.nodes.where("id % 50 = 0").select(F.col("label").alias("seed_set"), "id")).select("seed_set", "id", F.round("rank", 6).alias("rank")))
 add("pagerank_files_converged", lambda g: gr.weighted_pagerank(g))
 add_both("callee_multihop", lambda g, e: gr.callee_closure(g, _seed_nodes(g), edges=e), "nodes sparse", "SELECT id, CAST(min(depth) AS INT) AS depth FROM c GROUP BY 1", "c(id, depth) AS (SELECT id, 0 FROM nodes WHERE id <= 20 UNION SELECT target_id, depth + 1 FROM c JOIN sparse ON source_id = c.id WHERE type = 'CALLS' AND confidence >= 0.5E0 AND depth < 3)")
 add(
