@@ -78,9 +78,13 @@ def suggested(wanted: DataFrame, g: Graph, base: float = 0.9) -> DataFrame:
     return both.select("name", "suggestion", "how", F.round(base * F.when(F.col("ties") > 1, 0.6).otherwise(1.0), 6).alias("confidence"))
 
 
+#: A rank that no list of neighbours has: all are kept.
+EVERY = (1 << 31) - 1
+
+
 def minority_spellings(names: DataFrame) -> DataFrame:
     """Names (name, uses) one edit from a name that is used more: name, usual."""
-    near = alternatives(names.select("name"), names.select("name"), 1, 100)
+    near = alternatives(names.select("name"), names.select("name"), 1, EVERY)
     joined = near.join(names, "name").join(names.select(F.col("name").alias("suggestion"), F.col("uses").alias("_more")), "suggestion").where("_more > uses")
     return joined.groupBy("name").agg(F.max_by("suggestion", F.struct("_more", "suggestion")).alias("usual"))
 

@@ -110,6 +110,13 @@ def disambiguated(candidates: DataFrame) -> DataFrame:
 
 
 def greedy_lines(lines: DataFrame, budget: int) -> DataFrame:
-    """Lines (task, place, text) of each task that fit a budget of tokens (a quarter of the characters), in order: those before the first that doesn't, and how many don't."""
-    run = F.sum(F.floor(F.length("text") / 4)).over(Window.partitionBy("task").orderBy("place"))
-    return lines.withColumn("_run", run).groupBy("task").agg(F.count_if(F.col("_run") <= budget).alias("kept"), F.count_if(F.col("_run") > budget).alias("suppressed"))
+    """Lines (task, place, text) of each task that fit a budget of tokens (a quarter of the characters): kept, suppressed, used.
+
+    Lines are taken in order of place; one that doesn't fit what is left is skipped and the next ones are tried. A task's
+    lines are those of one brief, whose sizes are folded in one row. Null texts take nothing; ties of place follow the size.
+    """
+    sized = lines.select("task", F.struct("place", F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("size")).alias("x"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("kept"))
+    taken = F.aggregate(F.array_sort("xs"), start, lambda s, x: F.when(s["used"] + x["size"] <= budget, F.struct((s["used"] + x["size"]).alias("used"), (s["kept"] + 1).alias("kept"))).otherwise(s))
+    folded = sized.groupBy("task").agg(F.collect_list("x").alias("xs")).select("task", F.size("xs").alias("n"), taken.alias("s"))
+    return folded.select("task", F.col("s.kept").alias("kept"), (F.col("n") - F.col("s.kept")).alias("suppressed"), F.col("s.used").alias("used"))

@@ -150,7 +150,12 @@ def top_directories(g: Graph, most: int = 10) -> DataFrame:
 
 def module_symbols(g: Graph, coverage: DataFrame) -> DataFrame:
     """Symbols of each module of ``coverage`` (module_path, symbol_count): those in the graph, or those covered if more."""
-    counts = coverage.select("module_path").distinct().join(g.nodes.select("file_path"), F.col("file_path").startswith(F.col("module_path"))).groupBy("module_path").agg(F.count(F.lit(1)).alias("n"))
+    modules = coverage.select("module_path").where("module_path IS NOT NULL").distinct()
+    # each file meets its beginnings of the lengths that modules have: one row of lengths, no more than a path is long
+    lengths = modules.agg(F.collect_set(F.length("module_path")).alias("_lengths"))
+    files = g.nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(lengths))
+    beginnings = files.select(F.explode(F.filter("_lengths", lambda n: n <= F.length("file_path"))).alias("_l"), "file_path", "_n").select(F.substring(F.col("file_path"), F.lit(1), F.col("_l")).alias("module_path"), "_n")
+    counts = beginnings.join(modules, "module_path", "left_semi").groupBy("module_path").agg(F.sum("_n").alias("n"))
     return coverage.join(counts, "module_path", "left").select("module_path", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("symbol_count", F.lit(0))).alias("symbols"))
 
 

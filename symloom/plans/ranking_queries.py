@@ -225,5 +225,6 @@ add(
     "budget_lines",
     lambda g: rk.greedy_lines(g.nodes.select(F.col("file_path").alias("task"), F.col("id").alias("place"), F.col("qualified_name").alias("text")), 40),
     "nodes",
-    "SELECT task, count(*) FILTER (r <= 40) AS kept, count(*) FILTER (r > 40) AS suppressed FROM (SELECT file_path AS task, sum(length(qualified_name) // 4) OVER (PARTITION BY file_path ORDER BY id) AS r FROM nodes) GROUP BY 1",
+    """SELECT task, s % 100000 AS kept, n - s % 100000 AS suppressed, s // 100000 AS used FROM (
+SELECT file_path AS task, count(*) AS n, list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(length(qualified_name) // 4 AS BIGINT) ORDER BY id)), lambda s, t: CASE WHEN s // 100000 + t <= 40 THEN s + t * 100000 + 1 ELSE s END) AS s FROM nodes GROUP BY 1)""",
 )
