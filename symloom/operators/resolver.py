@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import directory
+from ..sources.shared import stored
 from .resolution import name_match_confidence
 
 #: The steps of the cascade with their method, confidence and evidence; name_match takes its confidence from the candidates.
@@ -57,17 +58,38 @@ def import_index(imports: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def through_reexports(index: DataFrame, nodes: DataFrame, hops: int = 3) -> DataFrame:
-    """The index with names followed on through files that import them themselves and don't define them."""
+    """The index with names followed on through files that import them, or everything, and don't define them.
+
+    Chains have ``hops`` steps at most; a file that was reached already is not entered again, so cycles stop.
+    """
     defined = nodes.select(F.col("file_path").alias("target_file"), F.col("name").alias("imported_name")).distinct()
-    reached, open_ = index, index
+    keys = ["file_path", "imported_name", "target_file"]
+    index = stored(index.select(*keys), "reexports")
+    reached, open_ = index, index.where("imported_name <> '*'")
+    on = index.select(F.col("file_path").alias("_at"), F.col("imported_name").alias("_as"), F.col("target_file").alias("_next"))
     for _ in range(hops):
-        lacking = open_.join(defined, ["target_file", "imported_name"], "left_anti")
-        on = index.select(F.col("file_path").alias("target_file"), "imported_name", F.col("target_file").alias("_next"))
-        open_ = lacking.join(on, ["target_file", "imported_name"]).select("file_path", "imported_name", F.col("_next").alias("target_file")).distinct()
+        lacking = open_.join(defined, ["target_file", "imported_name"], "left_anti").withColumn("_as", F.explode(F.array("imported_name", F.lit("*"))))
+        further = lacking.join(on, (F.col("target_file") == F.col("_at")) & (lacking["_as"] == on["_as"])).select("file_path", "imported_name", F.col("_next").alias("target_file")).where("file_path <> target_file").distinct()
+        open_ = stored(further.join(reached, keys, "left_anti"), "reexports")
+        if open_.isEmpty():
+            break
         reached = reached.unionByName(open_)
     return reached.distinct()
 
 
+def _first(nodes: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Of the nodes of each key (column: its name here) how many there are, the smallest id and the one after it."""
+    named = nodes.select(F.col("id"), *[F.col(c).alias(k) for c, k in keys.items()])
+    least = named.groupBy(*keys.values()).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_one"))
+    after = named.join(least.select(*keys.values(), "_one"), list(keys.values())).where("id > _one").groupBy(*keys.values()).agg(F.min("id").alias("_two"))
+    return least.join(after, list(keys.values()), "left")
+
+
+def _but_self() -> F.Column:
+    """The smallest candidate that isn't the caller; null if there is none."""
+    return F.when(F.col("_one") != F.col("caller_id"), F.col("_one")).otherwise(F.col("_two"))
+
+
 def resolve(calls: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFrame:
     """Edges of calls (file_path, caller_id, callee_name, callee_qualified, line), by the first step that knows the callee.
 
@@ -76,25 +98,36 @@ def resolve(calls: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFrame:
     a method, where the file imports anything. 6: the graph's one node of the name. 7: the method of the class that the
     receiver names. 8: any node of the name. Of several candidates the smallest id holds. A step never finds the caller
     itself. Of calls between the same ends the first line is kept.
+
+    Names are followed through files that re-export them. A call meets one row for its name, and one for its name in a file,
+    however many nodes share them. Null names resolve to nothing.
     """
+    index = stored(through_reexports(index, nodes), "resolve-index")
     c = calls.select("file_path", "caller_id", "callee_name", "callee_qualified", "line").distinct()
     c = c.withColumn("call", F.xxhash64(*c.columns)).withColumn("receiver", F.regexp_extract("callee_qualified", r"^(.+)\.\w+$", 1))
+    c = stored(c, "resolve-calls")
     n = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("_name"), F.col("file_path").alias("_file"), "label", F.col("parent_id").alias("_class"))
     classes = nodes.where(F.col("label").isin(*CLASSES)).select(F.col("id").alias("_class"), F.col("name").alias("_cname"), F.col("file_path").alias("_cfile"), F.col("label").alias("_clabel"))
     methods = n.where("_class IS NOT NULL AND label IN ('Method', 'Function')").join(classes, "_class").select("target_id", "_name", "_cname", "_cfile", "_clabel")
-    named = c.join(n, (F.col("callee_name") == F.col("_name")) & (F.col("target_id") != F.col("caller_id")))
     tagged = lambda df, step: df.select("call", F.lit(step).alias("step"), "target_id")
-    here = c.join(n, (F.col("callee_name") == F.col("_name")) & (F.col("file_path") == F.col("_file"))).groupBy("call", "caller_id").agg(F.count(F.lit(1)).alias("_n"), F.min("target_id").alias("target_id")).where("_n = 1 AND target_id <> caller_id")
+    by_name = stored(_first(nodes, {"name": "callee_name"}), "resolve-names")
+    by_file = stored(_first(nodes, {"name": "callee_name", "file_path": "_file"}), "resolve-names")
+    here = c.join(by_file.withColumnRenamed("_file", "file_path"), ["callee_name", "file_path"]).where("_n = 1 AND _one <> caller_id").withColumn("target_id", F.col("_one"))
     by = index.select(F.col("file_path").alias("_from"), "imported_name", F.col("target_file").alias("_file"))
-    imported = named.join(by, ["_file"]).where("_from = file_path")
-    step2 = imported.where("imported_name = callee_name OR imported_name = '*'")
-    step3 = imported.where("receiver <> '' AND imported_name = substring_index(receiver, '.', 1)")
+    # the names that a file may have imported for a call: the callee's, everything, the receiver's
+    head = F.substring_index("receiver", ".", 1)
+    want = lambda step, name: F.struct(F.lit(step).alias("step"), name.alias("imported_name"))
+    asked = c.select("call", "caller_id", "callee_name", F.col("file_path").alias("_from"), F.explode(F.array(want(2, F.col("callee_name")), want(2, F.lit("*")), want(3, F.when(F.col("receiver") != "", head)))).alias("a"))
+    imported = asked.select("call", "caller_id", "callee_name", "_from", "a.step", "a.imported_name").join(by, ["_from", "imported_name"]).join(by_file, ["callee_name", "_file"]).withColumn("target_id", _but_self()).where("target_id IS NOT NULL")
+    step2, step3 = imported.where("step = 2"), imported.where("step = 3")
     known = by.where("imported_name <> '*'").join(methods, (F.col("imported_name") == F.col("_cname")) & (F.col("_file") == F.col("_cfile"))).select("_from", "_name", "target_id")
     step4 = c.join(known, (F.col("_from") == F.col("file_path")) & (F.col("_name") == F.col("callee_name"))).where("target_id <> caller_id")
     only = methods.where("_clabel IN ('Class', 'Struct')").groupBy("_name").agg(F.count(F.lit(1)).alias("_n"), F.min("target_id").alias("target_id")).where("_n = 1")
     importing = index.select(F.col("file_path")).distinct()
     step5 = c.join(importing, "file_path", "left_semi").join(only, F.col("callee_name") == F.col("_name")).where("target_id <> caller_id")
-    counts = named.groupBy("call").agg(F.count(F.lit(1)).alias("candidates"), F.min("target_id").alias("target_id"))
+    callers = nodes.select(F.col("id").alias("caller_id"), F.col("name").alias("_own"))
+    homonyms = c.join(by_name, "callee_name").join(callers, "caller_id", "left")
+    counts = homonyms.select("call", (F.col("_n") - F.coalesce((F.col("_own") == F.col("callee_name")).cast("int"), F.lit(0))).alias("candidates"), _but_self().alias("target_id")).where("candidates > 0")
     step7 = c.where("receiver <> ''").join(methods, (F.col("receiver") == F.col("_cname")) & (F.col("callee_name") == F.col("_name"))).where("target_id <> caller_id")
     every = tagged(here, 1)
     for df, step in ((step2, 2), (step3, 3), (step4, 4), (step5, 5), (counts.where("candidates = 1"), 6), (step7, 7), (counts.where("candidates > 1"), 8)):

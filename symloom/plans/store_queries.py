@@ -10,7 +10,7 @@ from ..operators import resolver as rv
 from ..operators import store as st
 from ..sources.graph import Graph
 from ..sources.versions import scratch
-from .registry import add, sparse
+from .registry import add, add_both, sparse
 
 FILE = "src/brand4/large.py"
 MODULE = "replace(regexp_replace({}, '\\.py$', ''), '/', '.')"
@@ -20,23 +20,23 @@ def _module(path: str):
     return F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit("."))
 
 
-def _calls(g: Graph) -> DataFrame:
-    """Calls of the thinned edges by name, of methods with their class before."""
+def _calls(g: Graph, edges: DataFrame) -> DataFrame:
+    """Calls of edges by name, of methods with their class before."""
     owner = g.nodes.select(F.col("id").alias("parent_id"), F.col("name").alias("_owner"))
     t = g.nodes.join(owner, "parent_id", "left").select(F.col("id").alias("target_id"), "name", "_owner", "label")
-    e = sparse(g).where("type = 'CALLS'").join(t, "target_id")
+    e = edges.where("type = 'CALLS'").join(t, "target_id")
     qualified = F.when((F.col("label") == "Method") & (F.col("target_id") % 2 == 0), F.concat("_owner", F.lit("."), "name")).otherwise(F.col("name"))
     return e.select(F.col("source_file").alias("file_path"), F.col("source_id").alias("caller_id"), F.col("name").alias("callee_name"), qualified.alias("callee_qualified"), F.col("source_line").alias("line"))
 
 
-def _imports(g: Graph) -> DataFrame:
+def _imports(g: Graph, edges: DataFrame) -> DataFrame:
     t = g.nodes.select(F.col("id").alias("target_id"), F.col("name").alias("imported_name"), _module("file_path").alias("module_path"))
-    e = sparse(g).where("type = 'IMPORTS'").join(t, "target_id")
+    e = edges.where("type = 'IMPORTS'").join(t, "target_id")
     return e.select(F.col("source_file").alias("file_path"), "source_line", F.when(F.col("target_id") % 10 == 0, "*").otherwise(F.col("imported_name")).alias("imported_name"), "module_path")
 
 
-def _index(g: Graph) -> DataFrame:
-    return rv.import_index(_imports(g), rv.aliases(g.nodes))
+def _index(g: Graph, edges: DataFrame) -> DataFrame:
+    return rv.import_index(_imports(g, edges), rv.aliases(g.nodes))
 
 
 CALLS = "calls AS (SELECT DISTINCT e.source_file AS file_path, e.source_id AS caller_id, t.name AS callee_name, CASE WHEN t.label = 'Method' AND t.id % 2 = 0 THEN concat(o.name, '.', t.name) ELSE t.name END AS q, e.source_line AS line FROM sparse e JOIN nodes t ON t.id = e.target_id LEFT JOIN nodes o ON o.id = t.parent_id WHERE e.type = 'CALLS')"
@@ -52,10 +52,10 @@ UNION ALL SELECT c.*, 5, m.id FROM calls c JOIN (SELECT name, min(id) AS id FROM
 UNION ALL SELECT c.*, CASE WHEN count(*) = 1 THEN 6 ELSE 8 END, min(n.id) FROM calls c JOIN nodes n ON n.name = c.callee_name AND n.id <> c.caller_id GROUP BY ALL
 UNION ALL SELECT c.*, 7, m.id FROM calls c JOIN meth m ON m.cname = {RECEIVER} AND m.name = c.callee_name AND m.id <> c.caller_id)"""
 RESOLVED = "res AS (SELECT caller_id, id AS target_id, min((line, step, callee_name, file_path)) AS f FROM (SELECT *, row_number() OVER (PARTITION BY file_path, caller_id, callee_name, q, line ORDER BY step, id) AS k FROM cand) WHERE k = 1 GROUP BY 1, 2)"
-add("import_index", _index, "nodes sparse", "SELECT * FROM idx", INDEX)
-add(
+add_both("import_index", _index, "nodes sparse", "SELECT * FROM idx", INDEX)
+add_both(
     "resolve_cascade",
-    lambda g: rv.resolve(_calls(g), g.nodes, _index(g)).select("source_id", "target_id", "source_line", "resolution_method", "confidence", "trust_tier"),
+    lambda g, e: rv.resolve(_calls(g, e), g.nodes, _index(g, e)).select("source_id", "target_id", "source_line", "resolution_method", "confidence", "trust_tier"),
     "nodes sparse",
     "SELECT caller_id AS source_id, target_id, f[1] AS source_line, CASE WHEN f[2] = 1 THEN 'same_file' WHEN f[2] <= 5 THEN 'import' WHEN f[2] = 6 THEN 'verified_unique' WHEN f[2] = 7 THEN 'type_flow' ELSE 'name_match' END AS resolution_method, CASE WHEN f[2] <= 3 THEN 1.0E0 WHEN f[2] = 4 OR f[2] = 6 THEN 0.95E0 WHEN f[2] = 5 THEN 0.85E0 WHEN f[2] = 7 THEN 0.9E0 WHEN n = 2 THEN 0.6E0 WHEN n <= 5 THEN 0.4E0 ELSE 0.2E0 END AS confidence, CASE WHEN f[2] < 8 THEN 'CERTIFIED' WHEN n = 2 THEN 'CANDIDATE' ELSE 'SPECULATIVE' END AS trust_tier FROM (SELECT r.*, (SELECT count(*) FROM nodes m WHERE m.name = r.f[3] AND m.id <> r.caller_id) AS n FROM res r)",
     ", ".join([CALLS, INDEX, METHODS, CANDIDATES, RESOLVED]),

@@ -87,3 +87,22 @@ def test_engine(spark, sf_dir):
     assert e.find_relevant("small red plate").count() > 0 and e.trace("red_plate").count() >= 0 and e.status().count() > 0
     diff = spark.createDataFrame([(1, "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@\n-def red_plate(a):\n+def red_plate(a, b):\n")], "diff_id long, diff string")
     assert e.review(diff).where("kind <> 'changed_signature'").count() == 0
+
+
+def test_chains_of_reexports(spark):
+    """Three hops resolve as an import, by name or by everything; cycles stop; a fourth hop isn't taken."""
+    files = ["app.py", "a/__init__.py", "b/__init__.py", "c/__init__.py", "d/core.py", "e/core.py"]
+    nodes = spark.createDataFrame([(i, "Function", f"own{i}", f, None) for i, f in enumerate(files)] + [(50, "Function", "deep", "d/core.py", None), (51, "Function", "deep", "zzz.py", None), (60, "Function", "far", "e/core.py", None), (61, "Function", "far", "zzz.py", None)], "id long, label string, name string, file_path string, parent_id long")
+    links = [("app.py", "deep", files[1]), (files[1], "deep", files[2]), (files[2], "*", files[3]), (files[3], "deep", files[4]), (files[3], "deep", files[1]), ("app.py", "far", files[1]), (files[1], "far", files[2]), (files[2], "far", files[3]), (files[3], "far", files[4]), (files[4], "far", files[5])]
+    index = spark.createDataFrame(links, "file_path string, imported_name string, target_file string")
+    calls = spark.createDataFrame([("app.py", 0, "deep", "deep", 3), ("app.py", 0, "far", "far", 4)], "file_path string, caller_id long, callee_name string, callee_qualified string, line int")
+    got = {(r["target_id"], r["resolution_method"], r["confidence"]) for r in rv.resolve(calls, nodes, index).collect()}
+    assert got == {(50, "import", 1.0), (60, "name_match", 0.6)}
+
+
+def test_a_caller_is_no_candidate(spark):
+    nodes = spark.createDataFrame([(1, "Function", "f", "a.py", None), (2, "Function", "f", "b.py", None), (3, "Function", "f", "b.py", None), (9, "Function", "g", "b.py", None)], "id long, label string, name string, file_path string, parent_id long")
+    none = spark.createDataFrame([], "file_path string, imported_name string, target_file string")
+    calls = spark.createDataFrame([("a.py", 1, "f", "f", 1), ("b.py", 9, "f", "f", 2), ("b.py", 9, "g", "g", 3), ("b.py", 9, None, None, 4)], "file_path string, caller_id long, callee_name string, callee_qualified string, line int")
+    got = {(r["source_id"], r["target_id"], r["candidate_count"]) for r in rv.resolve(calls, nodes, none).collect()}
+    assert got == {(1, 2, 2), (9, 1, 3)}
