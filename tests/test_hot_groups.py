@@ -37,3 +37,7 @@ def test_broken_callers_are_counted_by_name(spark, ring):
     assert sorted(tuple(r) for r in checks.broken_caller_counts(two, checks.diff_lines(both)).collect()) == [(1, "removed", 2), (2, "removed", 1)]
     pairs = checks.broken_callers(two, checks.diff_lines(both)).groupBy("diff_id", "status").agg(F.countDistinct("caller_id")).collect()
     assert sorted(tuple(r) for r in pairs) == [(1, "removed", 2), (2, "removed", 1)]
+
+
+def test_import_dependents_are_counted_by_file(ring):
+    assert counted(symbols.import_dependent_counts(ring), "dependents", "first_id") == {(N // 2, 1): N // 2, (N // 2, 2): N // 2}
