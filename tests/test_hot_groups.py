@@ -41,3 +41,8 @@ def test_broken_callers_are_counted_by_name(spark, ring):
 
 def test_import_dependents_are_counted_by_file(ring):
     assert counted(symbols.import_dependent_counts(ring), "dependents", "first_id") == {(N // 2, 1): N // 2, (N // 2, 2): N // 2}
+
+
+def test_calls_meet_one_row_a_step(ring):
+    found = resolution.resolve_calls(ring)
+    assert counted(found, "target_id", "method") == {(1, "same_file"): N // 2, (2, "same_file"): N // 2}
