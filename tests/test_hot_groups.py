@@ -46,3 +46,12 @@ def test_import_dependents_are_counted_by_file(ring):
 def test_calls_meet_one_row_a_step(ring):
     found = resolution.resolve_calls(ring)
     assert counted(found, "target_id", "method") == {(1, "same_file"): N // 2, (2, "same_file"): N // 2}
+
+
+def test_cascade_meets_one_row_a_step(spark, ring):
+    calls = ring.nodes.select("file_path", F.col("id").alias("caller_id"), F.col("name").alias("callee_name"), F.lit("f").alias("callee_qualified"), F.lit(1).alias("line"))
+    files = spark.range(2000).select(F.lit("src/a.py").alias("file_path"), F.lit("*").alias("imported_name"), F.concat(F.lit("lib/"), F.col("id").cast("string")).alias("target_file"))
+    more = files.select((F.row_number().over(Window.orderBy("target_file")) + N).cast("long").alias("id"), F.lit("Function").alias("label"), F.lit("f").alias("name"), F.lit("m.f").alias("qualified_name"), F.col("target_file").alias("file_path"), F.lit(True).alias("is_exported"), F.lit(None).cast("long").alias("parent_id"))
+    got = resolver.resolve(calls, ring.nodes.unionByName(more), files)
+    # calls in a find the first of the imported files, those in b any node of the name but themselves
+    assert counted(got, "target_id", "resolution_method") == {(N + 1, "import"): N // 2, (1, "name_match"): N // 2}
