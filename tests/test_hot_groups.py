@@ -55,3 +55,8 @@ def test_cascade_meets_one_row_a_step(spark, ring):
     got = resolver.resolve(calls, ring.nodes.unionByName(more), files)
     # calls in a find the first of the imported files, those in b any node of the name but themselves
     assert counted(got, "target_id", "resolution_method") == {(N + 1, "import"): N // 2, (1, "name_match"): N // 2}
+
+
+def test_siblings_are_counted_by_group(ring):
+    one = {(N // 2 - 1, f): N // 2 - 1 for f in (1, 2)} | {(N // 2 - 1, f): 1 for f in (3, 4)}
+    assert counted(lookups.first_siblings(ring), "n", "first_id") == one
