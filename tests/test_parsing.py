@@ -121,3 +121,9 @@ def test_scan_of_a_folder(spark, tmp_path):
         (tmp_path / path).write_text(text or "")
     got = {r["file_path"] for r in ps.scan(spark, str(tmp_path), ["*.rs", "# no", "/cmd/"]).collect()}
     assert got == {"src/reader.py", "web/app.ts", "A.java"}  # readers leave empty files out
+
+
+def test_files_over_the_scan_limit_are_parsed(spark):
+    text = "import os\n" + "def f():\n    pass\n" * (ps.MOST_BYTES // 18 + 10)
+    files = ps.sources(spark.createDataFrame([("src/large.py", text)], "file_path string, text string"))
+    assert files.count() == 1 and ps.imports(ps.statements(files)).count() == 1
