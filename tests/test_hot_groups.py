@@ -60,3 +60,10 @@ def test_cascade_meets_one_row_a_step(spark, ring):
 def test_siblings_are_counted_by_group(ring):
     one = {(N // 2 - 1, f): N // 2 - 1 for f in (1, 2)} | {(N // 2 - 1, f): 1 for f in (3, 4)}
     assert counted(lookups.first_siblings(ring), "n", "first_id") == one
+
+
+def test_classes_are_found_once_a_name(spark):
+    nodes = spark.range(1, N + 1).select("id", F.lit("Class").alias("label"), F.lit("f").alias("name"), F.concat(F.lit("src/"), F.col("id").cast("string")).alias("file_path"))
+    wanted = nodes.select(F.when(F.col("id") % 2 == 0, F.col("file_path")).otherwise(F.concat(F.lit("x/"), "file_path")).alias("file_path"), "name")
+    got = resolver.class_named(wanted, nodes)
+    assert counted(got.select((F.col("node_id") == F.regexp_extract("file_path", r"(\d+)$", 1).cast("long")).alias("own"), (F.col("node_id") == 1).alias("first")), "own", "first") == {(True, False): N // 2, (False, True): N // 2 - 1, (True, True): 1}
