@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symloom.operators import checks, lookups, resolution, resolver, symbols
+from symloom.operators import checks, lookups, mining, resolution, resolver, symbols
+from symloom.sources import graph
 from symloom.sources.graph import Graph
 
 N = 100_000
@@ -67,3 +68,14 @@ def test_classes_are_found_once_a_name(spark):
     wanted = nodes.select(F.when(F.col("id") % 2 == 0, F.col("file_path")).otherwise(F.concat(F.lit("x/"), "file_path")).alias("file_path"), "name")
     got = resolver.class_named(wanted, nodes)
     assert counted(got.select((F.col("node_id") == F.regexp_extract("file_path", r"(\d+)$", 1).cast("long")).alias("own"), (F.col("node_id") == 1).alias("first")), "own", "first") == {(True, False): N // 2, (False, True): N // 2 - 1, (True, True): 1}
+
+
+def test_many_nodes_are_dealt_and_never_broadcast(spark, sf_dir, monkeypatch):
+    few = sorted(tuple(r) for r in mining.sibling_outliers(Graph(spark, sf_dir)).collect())
+    monkeypatch.setattr(graph, "NODES_PER_TASK", 50, raising=False)
+    many = Graph(spark, sf_dir)
+    assert many.nodes.rdd.getNumPartitions() > 1
+    # by its file's size alone the planner would broadcast it, however many rows the file has
+    joined = many.properties.join(many.nodes.select(F.col("id").alias("node_id"), "name"), "node_id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(tuple(r) for r in mining.sibling_outliers(many).collect()) == few
