@@ -79,3 +79,13 @@ def test_many_nodes_are_dealt_and_never_broadcast(spark, sf_dir, monkeypatch):
     joined = many.properties.join(many.nodes.select(F.col("id").alias("node_id"), "name"), "node_id")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
     assert sorted(tuple(r) for r in mining.sibling_outliers(many).collect()) == few
+
+
+def test_many_lines_are_dealt_to_tasks_by_their_number(spark, sf_dir, monkeypatch):
+    few = Graph(spark, sf_dir)
+    monkeypatch.setattr(graph, "LINES_PER_TASK", 300, raising=False)
+    many = Graph(spark, sf_dir)
+    assert many.edges.rdd.getNumPartitions() == many.commit_files.rdd.getNumPartitions() == -(-many.table("lineitem").count() // 300) > 8
+    for name in ("edges", "commit_files"):
+        a, b = getattr(few, name), getattr(many, name)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
