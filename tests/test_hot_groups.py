@@ -89,3 +89,24 @@ def test_many_lines_are_dealt_to_tasks_by_their_number(spark, sf_dir, monkeypatc
     for name in ("edges", "commit_files"):
         a, b = getattr(few, name), getattr(many, name)
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_enclosing_meets_no_pairs_of_a_file(spark):
+    import random
+
+    draw = random.Random(1)
+    nodes = [(i, "Function", f"f{i % 3}", s, s + draw.choice([-1, 0, 3, 7, 8, 9, 63, 64, 65, 700])) for i in range(300) for s in [draw.randrange(1, 900)]]
+    points = [(p, f"f{draw.randrange(4)}", draw.randrange(1, 1000)) for p in range(200)] + [(7, "f1", 5), (500, "f0", None), (None, "f0", 8)]
+    g = Graph(spark, "/nowhere")
+    g.__dict__["nodes"] = spark.createDataFrame(nodes, "id long, label string, file_path string, start_line int, end_line int")
+    best = {}
+    for p, f, line in points:
+        inner = [(e - s, i) for i, _, path, s, e in nodes if path == f and line is not None and s <= line <= e]
+        best[p] = min(inner + ([best[p]] if p in best else []), default=None)
+    got = lookups.enclosing(g, spark.createDataFrame(points, "point_id long, file_path string, line int")).collect()
+    assert {r[0]: r[1] for r in got} == {p: b[1] for p, b in best.items() if b}
+    # a file of as many nodes as points: 10^10 pairs
+    hot = spark.range(N).select("id", F.lit("Function").alias("label"), F.lit("f").alias("file_path"), (F.col("id") % 97 + 1).cast("int").alias("start_line"), (F.col("id") % 97 + 20).cast("int").alias("end_line"))
+    g.__dict__["nodes"] = hot
+    found = lookups.enclosing(g, hot.select(F.col("id").alias("point_id"), "file_path", F.col("start_line").alias("line")))
+    assert found.where("node_id < 97").count() == N
