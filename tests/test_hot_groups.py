@@ -110,3 +110,22 @@ def test_enclosing_meets_no_pairs_of_a_file(spark):
     g.__dict__["nodes"] = hot
     found = lookups.enclosing(g, hot.select(F.col("id").alias("point_id"), "file_path", F.col("start_line").alias("line")))
     assert found.where("node_id < 97").count() == N
+
+
+def test_budget_is_spent_without_python(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(t, f"k{draw.randrange(4)}", draw.choice([0.5, 0.7, 0.9]), draw.choice([0, 50, 100, 200, 449, 451])) for t in range(40) for _ in range(draw.randrange(1, 9))]
+    want = []
+    for t in range(40):
+        left, many = 450, {}
+        for _, k, s, n in sorted((r for r in rows if r[0] == t), key=lambda r: (-r[2], r[3])):
+            many.setdefault(k, []).append((s, n))
+        for s, k, n in sorted(((s, k, n) for k, each in many.items() for s, n in each[:2]), key=lambda r: (-r[0], r[1], r[2])):
+            if n <= left:
+                left -= n
+                want.append((t, k, s, n))
+    chosen = mining.select_within_budget(spark.createDataFrame(rows, "target long, family string, score double, tokens long"))
+    assert sorted(tuple(r) for r in chosen.collect()) == sorted(want)
+    assert "Pandas" not in chosen._jdf.queryExecution().sparkPlan().toString()
