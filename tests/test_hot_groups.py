@@ -129,3 +129,13 @@ def test_budget_is_spent_without_python(spark):
     chosen = mining.select_within_budget(spark.createDataFrame(rows, "target long, family string, score double, tokens long"))
     assert sorted(tuple(r) for r in chosen.collect()) == sorted(want)
     assert "Pandas" not in chosen._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_serialization_pairs_come_once_without_a_distinct(spark):
+    names = ["to_x", "from_x", "encode_to_x", "decode_from_x", "decode_to_x", "encode_from_x", "to_from_x", "from_to_x", "ab", "ba", "aab", "bab", "b", "a", "aba"]
+    parts = [("to_", "from_"), ("encode", "decode"), ("a", "b"), ("b", "a")]
+    nodes = spark.createDataFrame([(i, "Function", n, "f", None) for i, n in enumerate(names)], "id long, label string, name string, file_path string, parent_id long")
+    want = {(i, j) for i, x in enumerate(names) for j, y in enumerate(names) for a, b in parts + [(b, a) for a, b in parts] if a in x and b in y and x.replace(a, "*") == y.replace(b, "*")}
+    found = resolver.serialization_pairs(nodes, parts)
+    assert sorted(tuple(r) for r in found.select("id", "other_id").collect()) == sorted(want)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
