@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import parsing as ps
 from ..sources.graph import Graph
+from ..sources.shared import stored
 from .registry import add
 
 
@@ -18,6 +19,11 @@ def _parsed(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ps.parsed(ps.sources(files))
 
 
+def _nodes(files: DataFrame) -> DataFrame:
+    """The definitions of sources, whose lines are stored first, as they are read several times."""
+    return ps.definitions(stored(ps.statements(ps.sources(files)), "parse-lines"))
+
+
 def _properties(g: Graph) -> DataFrame:
     rows, nodes, body = _parsed(g.sources)
     return ps.properties(body, nodes, rows).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -49,7 +55,7 @@ ARITY = "(CASE id % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 6 END)"
 
 add(
     "parse_nodes",
-    lambda g: ps.definitions(_lines(g)).select("file_path", "label", "name", "qualified_name", "start_line", "end_line", "is_exported", "is_test", "language"),
+    lambda g: _nodes(g.sources).select("file_path", "label", "name", "qualified_name", "start_line", "end_line", "is_exported", "is_test", "language"),
     "blocks",
     """SELECT file_path, 'Function' AS label, name, name AS qualified_name, s AS start_line, s + 6 AS end_line, true AS is_exported, is_test, 'python' AS language FROM blocks WHERE label <> 'Class'
 UNION ALL SELECT file_path, 'Class', name, name, s + 1, s + 4, true, is_test, 'python' FROM blocks WHERE label = 'Class'
@@ -116,7 +122,7 @@ add(
 )
 add(
     "parse_mixed_nodes",
-    lambda g: ps.definitions(ps.statements(ps.sources(g.mixed_sources))).select("file_path", "label", "qualified_name", "start_line", "end_line", "parameters", "return_type", "language"),
+    lambda g: _nodes(g.mixed_sources).select("file_path", "label", "qualified_name", "start_line", "end_line", "parameters", "return_type", "language"),
     "nodes",
     _facts(
         "label, qualified_name, start_line, end_line, parameters, return_type, language",
