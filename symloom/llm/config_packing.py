@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, kept, prefix_sums, small_batches, written
-from .packing import CACHE, MARKS, Plan, _Pieces, place
+from .packing import MARKS, Plan, _Pieces, place
 
 #: Ids in a sequence and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -39,6 +39,13 @@ FILLED = 0.98
 GAP = 0.001
 #: Letters up to here are classed alike by all versions of Unicode.
 LATIN = "ɏ"
+#: Pieces that an encoder keeps before it begins a new cache beside the old one, and words of a text made of new ones.
+PIECES, TOGETHER = 400_000, 5_000
+
+
+def _letters(word: str) -> bool:
+    """Whether a word is letters alone, which all versions of Unicode class alike."""
+    return word.isalpha() and (word.isascii() or max(word) <= LATIN)
 
 
 class SpacedEncoder:
@@ -46,7 +53,9 @@ class SpacedEncoder:
 
     For byte-level byte-pair tokenizers that split texts before a space and change nothing else: a single space between
     other characters always begins a new unit, so a text's ids are those of its pieces in turn. Pieces at other white space
-    stay with their neighbours. With a tokenizer of any other kind, whole texts go through it.
+    stay with their neighbours, but for single line ends between other characters, which are units of their own. New words of
+    a batch go through the tokenizer together, as one text, whose ids are cut where a space or line end begins. With a
+    tokenizer of any other kind, whole texts go through it.
     """
 
     def __init__(self, path: str):
@@ -66,17 +75,76 @@ class SpacedEncoder:
         self.alphabet = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
         self.space = chr(self.alphabet[32])
         self.pieces, self.old, self.ends = _Pieces(self._found), {}, {"": b""}
+        self.lines: dict[str, bytes] = {}  # ids of a line end and the word after it
         self.between = re.compile(r"(?<=\S) (?=\S)")
+        tokens = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(tokens.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in tokens.items() if t.startswith((self.space, chr(self.alphabet[10])))]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > PIECES:
             self.old, self.pieces = self.pieces, _Pieces(self._found)
-        return [self._text(t) for t in texts]
+        if len(self.lines) > PIECES:
+            self.lines = {}
+        split = [t.split(" ") for t in texts]
+        self._learn(set().union(*(s[1:] for s in split)).difference(self.pieces))
+        return [self._text(t, s) for t, s in zip(texts, split)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Finds the ids of those new pieces that are words with punctuation after them, on one line or several."""
+        pieces, old = self.pieces, self.old
+        words, lines, ended, several = set(), set(), [], []
+        for piece in new:
+            if (known := old.get(piece)) is not None:
+                pieces[piece] = known
+                continue
+            word = piece.rstrip(MARKS)
+            if _letters(word):
+                words.add(word)
+                if len(word) < len(piece):
+                    ended.append(piece)
+            elif "\n" in piece and all(map(_letters, parts := [x.rstrip(MARKS) for x in piece.split("\n")])):
+                several.append(piece)
+                words.add(parts[0])
+                lines.update(parts[1:])
+        words = words.difference(pieces)
+        if old:
+            again = {w: known for w in words if (known := old.get(w)) is not None}
+            pieces.update(again)
+            words.difference_update(again)
+        self._together(" ", [*words], pieces)
+        self._together("\n", [*lines.difference(self.lines)], self.lines)
+        for piece in ended:
+            word = piece.rstrip(MARKS)
+            pieces[piece] = pieces[word] + self._end(piece[len(word) :])
+        for piece in several:
+            head, *rest = piece.split("\n")
+            word = head.rstrip(MARKS)
+            pieces[piece] = pieces[word] + self._end(head[len(word) :]) + b"".join([self.lines[w := x.rstrip(MARKS)] + self._end(x[len(w) :]) for x in rest])
+
+    def _together(self, before: str, words: list[str], to: dict[str, bytes]) -> None:
+        """Puts the ids of words of letters, with a space or line end before, into ``to``."""
+        texts = [before + before.join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        for n, found in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            some, ids = words[n * TOGETHER : (n + 1) * TOGETHER], np.array(found.ids, "<u4")
+            raw, cuts = ids.tobytes(), [*(4 * np.nonzero(self.begins[ids])[0]).tolist(), 4 * len(ids)]
+            if len(cuts) - 1 != len(some):  # a vocabulary without the space or line end
+                to.update((w, self._plain(before + w)) for w in some)
+            else:
+                to.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+
+    def _end(self, end: str) -> bytes:
+        """Ids of punctuation after a word."""
+        if end not in self.ends:
+            if len(self.ends) > 10_000:
+                self.ends = {"": b""}
+            self.ends[end] = self._plain(end)
+        return self.ends[end]
 
-    def _text(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
+    def _text(self, text: str, split: list[str]) -> bytes:
+        head, *rest = split
         if not rest:
             return self._plain(text)
         if not (head and (head[0].isspace() or head[-1].isspace())):
@@ -96,15 +164,11 @@ class SpacedEncoder:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
         word = piece.rstrip(MARKS)
-        if not word.isalpha() or max(word) > LATIN:
+        if not _letters(word):
             return self._plain(" " + piece)
         end = piece[len(word) :]
-        if end not in self.ends:
-            if len(self.ends) > 10_000:
-                self.ends = {"": b""}
-            self.ends[end] = self._plain(end)
         if end:
-            return self.pieces[word] + self.ends[end]
+            return self.pieces[word] + self._end(end)
         return np.array([t.id for t in self.tokenizer.model.tokenize(self.space + word.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
 
 

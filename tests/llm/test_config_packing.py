@@ -140,3 +140,13 @@ def test_near_the_bound(low, high, slack):
 def test_times_of_a_million_copies():
     rows, bound = config_packing.pack_histogram({700: 10**9, 648: 10**9, 2048: 5})
     assert sum(n for _, n in rows) <= 1.01 * bound and len(rows) < 1000
+
+
+def test_new_words_of_a_batch_are_encoded_together(monkeypatch):
+    ours, alone = config_packing.SpacedEncoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    plain = ours._plain
+    monkeypatch.setattr(ours, "_plain", lambda text: alone.append(text) or plain(text))
+    texts = [f"Head wordy{chr(97 + i)} lasting.\nNext{chr(97 + i)}, über.\nÉté 'tis a\n\nb" for i in range(20)]
+    want = [np.array(ours.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert ours.encode(texts) == want
+    assert {t for t in alone if t.strip() not in {"Head", ".", ",", "'tis", "a\n\nb"}} == set()
