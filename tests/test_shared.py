@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from symloom.operators import resolver
 from symloom.sources import shared
 
 
@@ -14,3 +15,19 @@ def test_large_stored_tables_are_never_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(spark.range(50).join(large.groupBy("id").count(), "id", "left"))
     assert "BroadcastHashJoin" in plan(spark.range(1_000).join(small, "id"))
     assert met.count() == shared.MERGED_ROWS + 1
+
+
+def test_reexports_are_met_by_merging_at_every_hop(spark, monkeypatch):
+    monkeypatch.setattr(shared, "MERGED_ROWS", 0)
+    plans = []
+
+    def stored(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.stored(df, label)
+
+    monkeypatch.setattr(resolver, "stored", stored)
+    index = spark.createDataFrame([(f"{i}.py", "x", f"{i + 1}.py") for i in range(5)], "file_path string, imported_name string, target_file string")
+    nodes = spark.createDataFrame([("5.py", "x")], "file_path string, name string")
+    got = {tuple(r) for r in resolver.through_reexports(index, nodes).collect()}
+    assert got == {(f"{i}.py", "x", f"{j}.py") for i in range(5) for j in range(i + 1, min(i + 4, 5) + 1)}
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans)
