@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from symloom.operators import inverted
+from symloom.sources import shared
 from symloom.sources.versions import Versions
 
 
@@ -92,3 +93,17 @@ def test_symbols_are_searched(spark, changed):
     nodes = spark.createDataFrame([(i, f"n{i}") for i in range(1000)], "id BIGINT, name STRING")
     got = {(r["id"], r["name"]) for r in inverted.search_symbols(v, nodes, ["rare"], 3).collect()}
     assert got == {(k, f"n{k}") for k, _ in plain(docs, ["rare"], 3)}
+
+
+def test_postings_need_no_shuffle_and_no_copies_are_left(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "b a b"), (2, "a"), (3, None), (None, "a"), (4, "?")], "k long, t string")
+    rows = inverted._postings(inverted._analysed(docs, "k", "t"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r["token"], r["key"], r["length"], r["tf"]) for r in rows.collect()} == {("a", 1, 3, 1), ("b", 1, 3, 2), ("a", 2, 1, 1)}
+    monkeypatch.setattr(shared, "folder", lambda _: str(tmp_path / "shared"))
+    versions = Versions(spark, str(tmp_path / "index"))
+    inverted.build(versions, docs, "k", "t")
+    inverted.update(versions, docs.where("k = 2"), "k", "t", docs.where("k = 1").select("k"))
+    left = {p.name.rpartition("-")[0] for p in (tmp_path / "shared").iterdir()}
+    assert not left & {"index-docs", "index-postings"}
+    assert [tuple(r) for r in inverted.search(versions, ["a", "b"], 5).select("key").collect()] == [(2,)]
